@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from folioflow.llm import simhash
+from folioflow.llm import linededup, simhash
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_line_dedup": linededup.OP1_SQL,
+}
