@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioflow.llm import linededup, simhash
+from folioflow.llm import linededup, packing, simhash
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_packing": packing.op2_packing,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
