@@ -129,11 +129,11 @@ def fill_gaps(groups: list[Group], size: int) -> list[Group]:
     Afterwards at most one pack is not full.
     """
     done = [g for g in groups if g.used == size]
-    takers = sorted((g for g in groups if g.used < size), key=lambda g: -g.used)
+    takers = [g for g in groups if g.used < size]
     pieces: list = []  # (length, rank, start, cut, count), from the emptiest packs
     while takers:
         if not pieces:  # just as many of the emptiest packs as fill all the others
-            donor = takers.pop()
+            donor = takers.pop(min(range(len(takers)), key=lambda i: (takers[i].used, -takers[i].count)))
             need = sum((size - g.used) * g.count for g in takers) + (size - donor.used) * donor.count
             n = min(donor.count, -(-need // size))
             head = donor if n == donor.count else donor.split(n)
@@ -142,12 +142,13 @@ def fill_gaps(groups: list[Group], size: int) -> list[Group]:
             pieces = [(length, rank, start, cut, n) for length, rank, start, cut, _ in head.slots]
             if not takers:
                 break
-        g = takers.pop(0)
-        length, rank, start, cut, count = pieces.pop()
+        # The largest counts meet first; else single packs would nibble at large groups one by one.
+        g = takers.pop(max(range(len(takers)), key=lambda i: takers[i].count))
+        length, rank, start, cut, count = pieces.pop(max(range(len(pieces)), key=lambda i: pieces[i][4]))
         n = min(g.count, count)
         head = g if g.count == n else g.split(n)
         if head is not g:
-            takers.insert(0, g)
+            takers.append(g)
         if count > n:
             pieces.append((length, rank + n, start, cut, count - n))
         room = size - head.used
@@ -157,7 +158,7 @@ def fill_gaps(groups: list[Group], size: int) -> list[Group]:
         if head.used == size:
             done.append(head)
         else:
-            takers.insert(0, head)
+            takers.append(head)
     # Less than a pack is left of the last donor.
     if pieces:
         last = Group(1)
