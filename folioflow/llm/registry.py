@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from folioflow.llm import linededup, packing, simhash
+from folioflow.llm import linededup, packing, simhash, substring
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_packing": packing.op2_packing,
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
     "op1_line_dedup": linededup.OP1_SQL,
+    "op4_substring_dedup": substring.OP4_SQL,
 }
