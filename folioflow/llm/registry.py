@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from folioflow.llm import linededup, packing, simhash, substring
+from folioflow.llm import linededup, packing, simhash, substring, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_packing": packing.op2_packing,
     "op4_substring_dedup": substring.op4_substring_dedup,
+    "op8_warc": warc.op8_warc,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
     "op1_line_dedup": linededup.OP1_SQL,
     "op4_substring_dedup": substring.OP4_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
