@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from folioflow.llm import annsearch, linededup, packing, simhash, substring, warc
+from folioflow.llm import annsearch, langid, licenses, linededup, packing, simhash, substring, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_packing": packing.op2_packing,
     "op4_substring_dedup": substring.op4_substring_dedup,
+    "op5_licenses": licenses.op5_licenses,
+    "op6_language_id": langid.op6_language_id,
     "op8_warc": warc.op8_warc,
     "op9_mips": annsearch.op9_mips,
     "op10_simhash": simhash.op10_simhash,
