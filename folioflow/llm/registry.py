@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioflow.llm import annsearch, langid, licenses, linededup, packing, simhash, substring, warc
+from folioflow.llm import annsearch, langid, licenses, linededup, packing, secrets, simhash, substring, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_packing": packing.op2_packing,
+    "op3_secrets": secrets.op3_secrets,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_licenses": licenses.op5_licenses,
     "op6_language_id": langid.op6_language_id,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": linededup.OP1_SQL,
+    "op3_secrets": secrets.OP3_SQL,
     "op4_substring_dedup": substring.OP4_SQL,
     "op8_warc": warc.OP8_SQL,
 }
