@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import annsearch, langid, licenses, linededup, packing, secrets, simhash, substring, warc
+from folioflow.llm import annsearch, decontam, langid, licenses, linededup, packing, secrets, simhash, substring, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_licenses": licenses.op5_licenses,
     "op6_language_id": langid.op6_language_id,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_warc": warc.op8_warc,
     "op9_mips": annsearch.op9_mips,
     "op10_simhash": simhash.op10_simhash,
