@@ -131,9 +131,10 @@ def glossary_matches(chunks: DataFrame, glossary: DataFrame, on: list[str] | Non
         return chunks.join(terms, on).where(F.contains(text, F.col("src_key")))
     if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
         return chunks.join(F.broadcast(terms), F.contains(text, F.col("src_key")))
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("__l") - (n - 1), F.lit(1))), lambda i: F.substr(F.col("__l"), i, F.lit(n)))
-    held = chunks.withColumn("__l", text)
-    held = held.withColumn("__g", F.explode(F.array_distinct(F.concat(gram(1), gram(2), gram(3))))).drop("__l")
+    # Each text as its code points once, so that grams cost no walk through the text.
+    held = chunks.withColumn("__c", F.split(text, ""))
+    gram = lambda n: F.transform("__c", lambda _, i: F.array_join(F.slice("__c", i + 1, n), ""))
+    held = held.withColumn("__g", F.explode(F.array_distinct(F.concat(gram(1), gram(2), gram(3))))).drop("__c")
     first = terms.withColumn("__g", F.left("src_key", F.lit(3)))
     return held.join(first, "__g").where(F.contains(text, F.col("src_key"))).drop("__g")
 

@@ -38,7 +38,7 @@ def region_of(boxes: Column | str, x: Column | str, y: Column | str, width: Colu
     def state(b: Column, i: Column) -> Column:
         r = G.pixel_region(b, w, h)
         covers = (px >= r.x0) & (px < r.x1) & (py >= r.y0) & (py < r.y1)
-        return F.when(covers, F.when(b.name.isin(*K.RESERVED_REGIONS), F.lit(1 << 30)).otherwise(i + 2)).otherwise(1)
+        return F.when(covers, F.when(b["name"].isin(*K.RESERVED_REGIONS), F.lit(1 << 30)).otherwise(i + 2)).otherwise(1)
 
     top = F.array_max(F.transform(F.coalesce(c(boxes), F.array().cast("array<struct<order: double, pos: int, name: string, conf: double, x0: double, y0: double, x1: double, y1: double>>")), state))
     return F.when(top == 1 << 30, 0).otherwise(F.coalesce(top, F.lit(1)))
@@ -79,9 +79,9 @@ def page_raw_text(elements: DataFrame, by: list[str]) -> DataFrame:
 
 
 def best_image(placements: DataFrame, by: list[str]) -> DataFrame:
-    """The image (xref) that covers most of a page; of equals the first, pages without cover have none."""
+    """The image (xref) that covers most of a page; of equals the first, then the smallest xref. Pages without cover have none."""
     covered = placements.groupBy(*by, "xref").agg(F.sum("coverage").alias("c"), F.min("pos").alias("p")).where("c > 0")
-    return covered.groupBy(*by).agg(F.max_by("xref", F.struct("c", -F.col("p"))).alias("xref"), F.max("c").alias("coverage"))
+    return covered.groupBy(*by).agg(F.max_by("xref", F.struct("c", -F.col("p"), -F.col("xref"))).alias("xref"), F.max("c").alias("coverage"))
 
 
 # ---------------------------------------------------------------- paragraphs and formulas

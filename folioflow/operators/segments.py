@@ -43,10 +43,10 @@ def segments_of(pages: Column | str, cell_text: str = "text") -> Column:
     return F.filter(each, lambda s: s.wanted)
 
 
-def collect_segments(docs: DataFrame, cell_text: str = "text") -> DataFrame:
-    """One row per segment of docs(doc_id, pages); seg_id counts from 0 in each document."""
-    found = docs.select("doc_id", F.posexplode(segments_of("pages", cell_text)).alias("pos", "s"))
-    return found.select("doc_id", F.col("pos").cast("string").alias("seg_id"), "s.page_pos", "s.elem_pos", "s.slot", "s.cell_pos", "s.write_key", "s.text")
+def collect_segments(docs: DataFrame, cell_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per segment of docs(doc_id, pages); seg_id counts from 0 in each document. carry: more columns of docs to keep."""
+    found = docs.select("doc_id", *carry, F.posexplode(segments_of("pages", cell_text)).alias("pos", "s"))
+    return found.select("doc_id", *carry, F.col("pos").cast("string").alias("seg_id"), "s.page_pos", "s.elem_pos", "s.slot", "s.cell_pos", "s.write_key", "s.text")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -76,13 +76,13 @@ def chunk_numbers(sizes: Column, max_bytes: int = K.CHUNK_BYTES) -> Column:
     return _next_fit(sizes, F.lit(max_bytes))
 
 
-def chunked_segments(docs: DataFrame, max_bytes: int = K.CHUNK_BYTES, cell_text: str = "text") -> DataFrame:
+def chunked_segments(docs: DataFrame, max_bytes: int = K.CHUNK_BYTES, cell_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """collect_segments with chunk_no, in one pass over docs."""
-    held = docs.select("doc_id", segments_of("pages", cell_text).alias("segs"))
+    held = docs.select("doc_id", *carry, segments_of("pages", cell_text).alias("segs"))
     sizes = F.transform("segs", lambda s, i: entry_bytes(i.cast("string"), s.text))
     held = held.withColumn("chunks", chunk_numbers(sizes, max_bytes))
-    found = held.select("doc_id", F.posexplode(F.arrays_zip("segs", "chunks")).alias("pos", "z"))
-    return found.select("doc_id", F.col("pos").cast("string").alias("seg_id"), "z.segs.page_pos", "z.segs.elem_pos", "z.segs.slot", "z.segs.cell_pos", "z.segs.write_key", "z.segs.text", F.col("z.chunks").alias("chunk_no"))
+    found = held.select("doc_id", *carry, F.posexplode(F.arrays_zip("segs", "chunks")).alias("pos", "z"))
+    return found.select("doc_id", *carry, F.col("pos").cast("string").alias("seg_id"), "z.segs.page_pos", "z.segs.elem_pos", "z.segs.slot", "z.segs.cell_pos", "z.segs.write_key", "z.segs.text", F.col("z.chunks").alias("chunk_no"))
 
 
 def payloads(chunked: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries and their DuckDB equivalents, gathered from the query modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from folioflow.plans import calls_queries, layout_queries, segment_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_MODULES = (segment_queries, calls_queries, layout_queries, text_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.REGISTER.queries.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.REGISTER.oracles.items()}
