@@ -73,7 +73,7 @@ def html_unescaped_literals(spark, sf_dir):
     return _literals(spark, [a for a, _ in ENTITIES]).select("id", X.html_unescape("s").alias("resolved"))
 
 
-@REGISTER("SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')) AS html_md5 FROM pages")
+@REGISTER("SELECT page_id, md5(regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')) AS html_md5 FROM pages")
 def html_unescaped_pages(spark, sf_dir):
     """F3 over every page."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.html_unescape("html")).alias("html_md5"))
