@@ -136,6 +136,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # One row a shard: each distinct hash once, and how many of the ids that follow are its own.
         for b in batches:
             h, f, ids = _batch_keys(b, min_chars)
+            if not len(h):
+                continue
             shard = h % shards
             order = np.lexsort((f, h, shard))
             h, f, ids, shard = h[order], f[order], ids[order], shard[order]
