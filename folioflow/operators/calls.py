@@ -204,11 +204,16 @@ def missing_ids(sent: DataFrame, received: DataFrame, by: list[str]) -> DataFram
 
 def merge_parts(parts: DataFrame, by: list[str]) -> DataFrame:
     """Items of continued answers, parts(by..., part, pos, id, item): the first of each id wins.
-    Items without an id in later parts count as one id; the first part keeps all its own."""
-    order = Window.partitionBy(*by, "id").orderBy("part", "pos")
-    first = Window.partitionBy(*by)
-    own = parts.withColumn("__first", F.min("part").over(first)).withColumn("__n", F.row_number().over(order))
-    return own.where((F.col("part") == F.col("__first")) | (F.col("__n") == 1)).drop("__first", "__n")
+    Items without an id in later parts count as one id; the first part keeps all its own.
+
+    Two aggregates with partial sums instead of windows, so a large group has no single task.
+    """
+    columns = parts.columns
+    start = parts.groupBy(*by).agg(F.min("part").alias("__start"))
+    known = parts.join(start, by)
+    head = known.where(F.col("part") == F.col("__start")).select(*columns)
+    first = known.groupBy(*by, "id").agg(F.min_by(F.struct(*columns, "__start"), F.struct("part", "pos")).alias("r")).select("r.*")
+    return head.unionByName(first.where(F.col("part") > F.col("__start")).select(*columns))
 
 
 def all_unchanged(sent: DataFrame, answers: DataFrame, by: list[str]) -> DataFrame:
@@ -233,9 +238,8 @@ def reconcile(sent: DataFrame, first: DataFrame, retry_missing: DataFrame, retry
 
     all_of = put(put(put(put(sent, first, "t1"), retry_missing, "t2"), retry_unchanged, "t3"), retry_length, "t4")
     all_of = all_of.withColumn("t", F.coalesce("t1", "t2", "text")).withColumn("source_of", F.when(F.col("t1").isNotNull(), "first").when(F.col("t2").isNotNull(), "retry").otherwise("source"))
-    group = Window.partitionBy(*by)
-    same = lambda c: F.bool_and(F.coalesce(F.col(c) == F.col("text"), F.lit(False))).over(group)
-    all_of = all_of.withColumn("same", same("t")).withColumn("same3", same("t3"))
+    same = lambda c: F.bool_and(F.coalesce(F.col(c) == F.col("text"), F.lit(False)))
+    all_of = all_of.join(all_of.groupBy(*by).agg(same("t").alias("same"), same("t3").alias("same3")), by)
     again = F.col("same") & ~F.col("same3") & F.col("t3").isNotNull()
     all_of = all_of.withColumn("source_of", F.when(again, "unchanged").otherwise(F.col("source_of"))).withColumn("t", F.when(again, F.col("t3")).otherwise(F.col("t")))
     off = X.length_violation("t", "text", tolerance) & F.col("t4").isNotNull()
@@ -243,14 +247,22 @@ def reconcile(sent: DataFrame, first: DataFrame, retry_missing: DataFrame, retry
     return all_of.select(*key, "text", "t", "source_of")
 
 
-def rate_audit(calls: DataFrame, by: list[str], ts: str = "ts", seconds: int = 60) -> DataFrame:
+def rate_audit(calls: DataFrame, by: list[str], ts: str = "ts", seconds: int = 60, span: int = 3600) -> DataFrame:
     """calls with n_window, the calls of the same key in the half-open window up to each.
 
-    Partition by a key that bounds the calls of a group, such as the user or the provider's account.
+    A key's calls are split into spans of time, each with the calls of the window before it for
+    context, so that a key with a third of all calls is still many groups. span is in seconds and
+    not shorter than the window.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    window = Window.partitionBy(*by).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return calls.withColumn("n_window", F.count("*").over(window))
+    if span < seconds:
+        raise ValueError("a span holds at least one window")
+    width, step = seconds * 1_000_000, span * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    own, last = F.floor(at / step), F.floor((at + (width - 1)) / step)
+    held = calls.withColumn("__at", at).withColumn("__own", own).withColumn("__span", F.explode_outer(F.sequence(own, last)))
+    window = Window.partitionBy(*by, "__span").orderBy("__at").rangeBetween(-(width - 1), 0)
+    counted = held.withColumn("n_window", F.count("*").over(window))
+    return counted.where(F.col("__span").eqNullSafe(F.col("__own"))).drop("__at", "__own", "__span")
 
 
 class RateLimiter:

@@ -96,13 +96,14 @@ def known_ids(spark, sf_dir):
     return calls.known_ids(_sent(spark, sf_dir).where("lang = 'en'"), _received(spark, sf_dir), ["source"]).select("source", "seg_id", "quality")
 
 
-@REGISTER("SELECT source, list_sort(list(d.doc_id) FILTER (WHERE l.doc_id IS NULL)) AS missing FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
+@REGISTER("SELECT d.doc_id // 100 AS batch, list_sort(list(d.doc_id) FILTER (WHERE l.doc_id IS NULL)) AS missing FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def id_difference(spark, sf_dir):
-    """The difference of id sets within each batch."""
-    sent = _sent(spark, sf_dir).groupBy("source").agg(F.collect_set("seg_id").alias("s"))
-    got = _received(spark, sf_dir).groupBy("source").agg(F.collect_set("seg_id").alias("r"))
+    """The difference of id sets within each batch of a hundred."""
+    batch = F.floor(F.col("seg_id") / 100).alias("batch")
+    sent = _sent(spark, sf_dir).groupBy(batch).agg(F.collect_set("seg_id").alias("s"))
+    got = _received(spark, sf_dir).groupBy(batch).agg(F.collect_set("seg_id").alias("r"))
     none = F.array().cast("array<bigint>")
-    return sent.join(got, "source", "left").select("source", F.sort_array(F.array_except("s", F.coalesce("r", none))).alias("missing"))
+    return sent.join(got, "batch", "left").select("batch", F.sort_array(F.array_except("s", F.coalesce("r", none))).alias("missing"))
 
 
 @REGISTER("SELECT event_type, user_id AS seg_id, arg_max(props, event_id) AS t FROM events GROUP BY event_type, user_id")
