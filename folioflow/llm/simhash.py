@@ -121,7 +121,9 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
         ball += [(keep, 0)] + [(keep, 1 << i) for i in range(64) if keep >> i & 1]
     signed = lambda x: x - 2**64 if x >> 63 else x
     variants = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(k))).bitwiseXOR(F.lit(signed(f))) for k, f in ball])
-    rows = fps.select(F.explode(variants).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    # Spread first: the table is small, but each row becomes 196.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = spread.select(F.explode(variants).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A key holds at most 2**16 * 49 fingerprints, so the open group stays bounded.
