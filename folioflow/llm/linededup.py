@@ -188,10 +188,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [new_text if c == text_col else b.column(i) for i, c in enumerate(keep)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*keep, "n_lines", "n_dropped"])
 
-    carried = [F.lit(None).cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in keep]
-    whole = docs.select(*carried, F.col(f"`{text_col}`").cast("string").alias("__text"), ids.alias("__id"))
-    joined = whole.join(drops.withColumnRenamed("id", "__id").hint("shuffle_hash"), "__id", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "__text", "drops").mapInArrow(apply, schema)
+    # By number, so that no name of an input column can clash with these.
+    carried = [(F.lit(None).cast("string") if c == text_col else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(keep)]
+    whole = docs.select(*carried, F.col(f"`{text_col}`").cast("string").alias("text"), ids.alias("id"))
+    joined = whole.join(drops.hint("shuffle_hash"), "id", "left")
+    return joined.select(*[f"c{i}" for i in range(len(keep))], "text", "drops").mapInArrow(apply, schema)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
