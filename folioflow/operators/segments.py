@@ -45,7 +45,8 @@ def segments_of(pages: Column | str, cell_text: str = "text") -> Column:
 
 def collect_segments(docs: DataFrame, cell_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per segment of docs(doc_id, pages); seg_id counts from 0 in each document. carry: more columns of docs to keep."""
-    found = docs.select("doc_id", *carry, F.posexplode(segments_of("pages", cell_text)).alias("pos", "s"))
+    # The outer form, as for the other one the optimizer computes the segments once more to count them.
+    found = docs.select("doc_id", *carry, F.posexplode_outer(segments_of("pages", cell_text)).alias("pos", "s")).where("s is not null")
     return found.select("doc_id", *carry, F.col("pos").cast("string").alias("seg_id"), "s.page_pos", "s.elem_pos", "s.slot", "s.cell_pos", "s.write_key", "s.text")
 
 
@@ -81,7 +82,7 @@ def chunked_segments(docs: DataFrame, max_bytes: int = K.CHUNK_BYTES, cell_text:
     held = docs.select("doc_id", *carry, segments_of("pages", cell_text).alias("segs"))
     sizes = F.transform("segs", lambda s, i: entry_bytes(i.cast("string"), s.text))
     held = held.withColumn("chunks", chunk_numbers(sizes, max_bytes))
-    found = held.select("doc_id", *carry, F.posexplode(F.arrays_zip("segs", "chunks")).alias("pos", "z"))
+    found = held.select("doc_id", *carry, F.posexplode_outer(F.arrays_zip("segs", "chunks")).alias("pos", "z")).where("z is not null")
     return found.select("doc_id", *carry, F.col("pos").cast("string").alias("seg_id"), "z.segs.page_pos", "z.segs.elem_pos", "z.segs.slot", "z.segs.cell_pos", "z.segs.write_key", "z.segs.text", F.col("z.chunks").alias("chunk_no"))
 
 
