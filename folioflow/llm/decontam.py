@@ -19,10 +19,10 @@ from folioflow.llm.common import documents, id_and_text, materialize
 WINDOW, COVERAGE = 5, 0.8
 BROADCAST_WINDOWS = 1_000_000
 SPACE = r"[\x20\x09-\x0D]+"
-#: A capitalised word within a sentence.
-NAME = r"(?<=[^\s.!?:;\"'(][\x20\x09])\p{Lu}\p{L}*"
+#: A capitalised word within a sentence; words all in capitals are none.
+NAME = r"(?<=[^\s.!?:;\"'(][\x20\x09])\p{Lu}\p{Ll}\p{L}*"
 #: Punctuation, but for points and commas within numbers.
-MARKS = r"(?<![0-9])[.,;:!?\"'()]+|[.,;:!?\"'()]+(?![0-9])"
+MARKS = r"(?=[.,;:!?\"'()])(?:(?<![0-9])[.,;:!?\"'()]+|[.,;:!?\"'()]+(?![0-9]))"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 UNITS = ("km", "m", "cm", "mm", "miles?", "feet", "ft", "inch(?:es)?", "kg", "g", "mg", "lbs?", "pounds?", "l", "ml", "lit(?:er|re)s?", "s", "ms", "seconds?", "min(?:utes?)?", "h", "hours?", "days?", "weeks?", "months?", "years?", "%", "percent", "dollars?", "euros?", "usd", "eur", "degrees?", "mph", "kmh", "kb", "mb", "gb", "tb", "w", "kw", "v", "hz")
 SLOTS = ("<name>", "<num>", "<unit>", "<num><unit>")
@@ -44,8 +44,10 @@ def plain_words(text: Column) -> Column:
 
 def _windows(df: DataFrame, words: str, n: int) -> DataFrame:
     """df with a row (pos, window) for each n consecutive words; window is a hash."""
-    hashed = df.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w))).drop(words).where(F.size("__h") >= n)
-    return hashed.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("__h") - (n - 1)), lambda i: F.xxhash64(F.slice("__h", i, n)))).alias("pos", "window")).drop("__h")
+    hashed = df.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w))).drop(words)
+    windows = F.when(F.size("__h") >= n, F.transform(F.sequence(F.lit(1), F.size("__h") - (n - 1)), lambda i: F.xxhash64(F.slice("__h", i, n))))
+    # The outer form, as for the other one the optimizer computes the array once more to test its size.
+    return hashed.select("*", F.posexplode_outer(windows).alias("pos", "window")).drop("__h").where("window is not null")
 
 
 def classes(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -61,8 +63,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     windows counts the item's distinct windows, matched those found in the document; start and
     end are template words of the document, end exclusive, where most windows line up. kind is
-    verbatim, or reparameterised where slot values differ. Letter case and punctuation do not
-    count. An item with fewer words than a window is never held; a null or empty text holds
+    verbatim, or reparameterised where slot values differ. Letter case, but for the capitals
+    that make names, and punctuation do not count. An item with fewer words than a window is never held; a null or empty text holds
     nothing; items or documents without an id give no rows; documents that share an id are
     judged as one. Repeated items each give their row. Other columns are not read.
     """
@@ -84,8 +86,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     columns = ["id", F.explode("items").alias("item"), "windows", "matched", "start", "end", "kind"]
     plain = held.where("not slots").withColumn("kind", F.lit("verbatim")).select(*columns)
 
-    # Only pairs with slots need the documents' own words.
-    slotted = held.where("slots").join(text.select("id", "text"), "id")
+    # Only pairs with slots need the documents' own words. They are written first, so that their
+    # true size decides whether they go to the documents or both are dealt out by id.
+    slotted = materialize(held.where("slots").drop("item_words", "item_plain", "slots", "items"), "slotted")
+    slotted = text.select("id", "text").join(slotted, "id").join(bench.select("item", "items", F.col("words").alias("item_words"), F.col("plain").alias("item_plain")), "item")
     slotted = slotted.withColumn("words", template_words(F.col("text"))).withColumn("plain", plain_words(F.col("text"))).drop("text")
     value = lambda a, i: F.get(F.col(a), i)
     pair = lambda i: F.struct(value("item_words", i).alias("kind"), value("item_plain", i).alias("item"), value("plain", i + F.col("shift")).alias("doc"), value("words", i + F.col("shift")).alias("doc_kind"))
