@@ -212,6 +212,20 @@ def validation_summary(spark, sf_dir):
     return found.agg(F.count("*").alias("n_documents"), F.count_if("valid").alias("n_valid"), F.sum(F.size("errors")).alias("n_errors"))
 
 
+@REGISTER("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber % 2 = 0 AND l_discount = 0")
+def rule_lines(spark, sf_dir):
+    """P10: black horizontal strokes; other line items are fills, slanted or coloured."""
+    point = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    q = F.col("l_quantity")
+    paths = table(spark, sf_dir, "lineitem").withColumns({
+        "op": F.when(F.col("l_returnflag") == "N", "S").otherwise("f"),
+        "points": F.array(point("m", F.lit(0), q), point("l", q, q + F.col("l_linenumber") % 2)),
+        "color": F.array("l_discount", F.lit(0.0)),
+        "matrix": F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 2.0, 5.0, 7.0)]),
+    })
+    return layout.rule_lines(paths).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 @REGISTER()
 def paragraphs(spark, sf_dir):
     """Every document as a page of glyphs, read into paragraphs and formulas."""
