@@ -37,6 +37,17 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join whose hot keys can be split at run time, also where one side comes from an aggregate.
+
+    An aggregate on the same keys leaves its rows dealt by them, and then the other side must
+    lie in one task per key too. A second key, a hash of the first, has both sides dealt anew,
+    so that adaptive execution may divide what a hot key holds among tasks.
+    """
+    keyed = [df.withColumn("__k", F.xxhash64(*on)) for df in (left, right)]
+    return keyed[0].join(keyed[1], [*on, "__k"], how).drop("__k")
+
+
 def cleanup(spark: SparkSession) -> None:
     """Deletes what this application's operators wrote to the shared folder."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

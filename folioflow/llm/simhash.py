@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import id_and_text, materialize
+from folioflow.llm.common import id_and_text, materialize, split_join
 from folioflow.llm.graph import connected_components
 
 BLOCKS, BLOCK_BITS, SEED = 4, 16, 42
@@ -123,7 +123,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     variants = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(k))).bitwiseXOR(F.lit(signed(f))) for k, f in ball])
     # Spread first: the table is small, but each row becomes 196.
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = spread.select(F.explode(variants).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    rows = spread.select(F.explode_outer(variants).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A key holds at most 2**16 * 49 fingerprints, so the open group stays bounded.
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = own.join(roots, own.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     component = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = rooted.join(component, "root").select("fp", "component")
+    by_fp = split_join(rooted, component, ["root"]).select("fp", "component")
     return fps.join(by_fp, "fp").select("id", "fp", "component")
 
 
