@@ -39,12 +39,12 @@ def missing_from(wanted: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Nested documents from JSON with the fixed schema; doc_id is the file's path (and line, if by line).
+    """Nested documents from JSON with the fixed schema; doc_id is a hash of the file's path and the record.
 
     NaN and Infinity are read as numbers. Absent and null fields are both null.
     """
     found = spark.read.schema(schemas.DOCUMENT).option("multiLine", multi_line).option("allowNonNumericNumbers", "true").json(path)
-    return found.withColumn("doc_id", F.xxhash64(F.input_file_name(), F.to_json(F.struct(F.coalesce("pdf_path", F.lit(""))))))
+    return found.withColumn("doc_id", F.xxhash64(F.col("_metadata.file_path"), F.to_json(F.struct(*found.columns))))
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
