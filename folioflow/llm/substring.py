@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents, materialize
+from folioflow.llm.common import documents, materialize, split_join
 from folioflow.llm.mph import mix
 
 LEAST = -(2**63)
@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = materialize(edges, "edges")
     place = F.struct("id", "at")
     first = edges.groupBy("e1", "e2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = edges.join(first, ["e1", "e2"]).where(place > F.col("first"))
+    later = split_join(edges, first, ["e1", "e2"]).where(place > F.col("first"))
     return found.where("not more").select("id", "span").unionAll(later.select("id", F.shiftleft("at", 9).bitwiseOR(F.lit(1)).alias("span")))
 
 
