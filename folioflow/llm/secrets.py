@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents, materialize
+from folioflow.llm.common import documents, materialize, split_join
 
 # Patterns of the base kinds, in the order that breaks ties of start.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -82,7 +82,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = placed.where(base | (F.coalesce(F.col("left") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("right") >= F.col("end"), F.lit(True))))
 
     owned = placed.groupBy("hashes").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
-    judged = placed.join(owned, "hashes").withColumn("live", (F.col("owners") == 1) & (F.col("repos") <= max_repos)).where(base | F.col("live"))
+    judged = split_join(placed, owned, ["hashes"]).withColumn("live", (F.col("owners") == 1) & (F.col("repos") <= max_repos)).where(base | F.col("live"))
     secret = F.struct("start", "ord", "kind", "end", F.col("hashes").alias("value_md5"), "repos", "owners", "live")
     secrets = judged.groupBy("row").agg(F.sort_array(F.collect_list(secret)).alias("secrets"))
     none = F.array().cast(secrets.schema["secrets"].dataType)
