@@ -46,13 +46,15 @@ def _encoders(json_path: str, ranks_path: str | None) -> tuple:
     return slow, fast
 
 
-def token_ids(text: str | None, json_path: str, ranks_path: str | None = None) -> list[int]:
-    """The ids of a text. ranks_path: the same vocabulary as ranks, which encode faster; a text
-    with a special token's string goes by json_path, which alone knows it."""
+def token_ids(text: str | None, json_path: str, ranks_path: str | None = None) -> np.ndarray:
+    """The ids of a text, as uint32. ranks_path: the same vocabulary as ranks, which encode faster;
+    a text with a special token's string goes by json_path, which alone knows it."""
     if not text:
-        return []
+        return np.empty(0, np.uint32)
     slow, fast = _encoders(json_path, ranks_path)
-    return slow.encode(text, add_special_tokens=False).ids if fast is None or SPECIAL in text else fast.encode_ordinary(text)
+    if fast is None or SPECIAL in text:
+        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    return fast.encode_to_numpy(text, disallowed_special=())
 
 
 @dataclass
@@ -193,7 +195,7 @@ def tokens(docs: DataFrame, json_path: str, ranks_path: str | None, id_col: str,
         for b in batches:
             ids, ns, data, rests, at, before = b.column("id"), [], [], [], [], []
             for text in b.column("text").to_pylist():
-                found = np.array([*token_ids(text, json_path, ranks_path), END_ID], np.uint32)
+                found = np.append(token_ids(text, json_path, ranks_path), np.uint32(END_ID))
                 full, rest = divmod(len(found), size)
                 ns.append(len(found))
                 data.append((found.astype(np.uint16) if found.max() < 1 << 16 else found).tobytes())
@@ -250,10 +252,11 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, size: i
                     part = ids[start : start + length]
                     for column, x in zip(out, (key, start, length, zlib.crc32(part), n, seq, offset, part), strict=True):
                         column.append(x)
-            long = pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(x, long) for x in out[:7]] + [pa.array(out[7], pa.list_(pa.int32()))], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            ends = np.concatenate(([0], np.cumsum(out[2], dtype=np.int64))).astype(np.int32)
+            values = np.concatenate(out[7]).view(np.int32) if out[7] else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:7]] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    ranked = table.join(base, "bucket").withColumn("rank", F.col("rank") + F.coalesce(F.element_at("bases", F.col("rest")), F.lit(0))).withColumn("full", F.col("fulls") + F.col("full_base"))
+    ranked = table.join(base.hint("shuffle_hash"), "bucket").withColumn("rank", F.col("rank") + F.coalesce(F.element_at("bases", F.col("rest")), F.lit(0))).withColumn("full", F.col("fulls") + F.col("full_base"))
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
     return ranked.select("id", "n", "ids", "rest", "rank", "full").mapInArrow(run, schema)
 
