@@ -115,9 +115,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A text is split at \\n; a null or empty text is one empty line and comes back empty. A line's
     key is the line without ASCII white space at both ends, A-Z lower-cased. A key of at least
-    min_chars code points that at least min_docs rows hold loses all its lines except those in
-    the row with the largest id that holds it. Rows that share that id all keep it; a null id
-    counts as smaller than any other. Input columns named n_lines or n_dropped are replaced;
+    min_chars code points that at least min_docs documents hold loses all its lines except those
+    in the document with the largest id that holds it. Rows that share an id are one document and
+    all keep or lose a line; rows with a null id are one document, with the smallest id. Input columns named n_lines or n_dropped are replaced;
     all others stay as they are. An empty table gives an empty result.
     """
     new = {"n_lines", "n_dropped"}
@@ -129,7 +129,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _batch_keys(b, min_chars)], ["h", "f", "id"])
 
-    lines = slim.mapInArrow(emit, "h long, f int, id long").groupBy("h", "f").agg(F.count("*").alias("n"), F.max("id").alias("owner"))
+    held = slim.mapInArrow(emit, "h long, f int, id long").distinct()
+    lines = held.groupBy("h", "f").agg(F.count("*").alias("n"), F.max("id").alias("owner"))
     index, shards = build_index(materialize(lines, "lines"), min_docs)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

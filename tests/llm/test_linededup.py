@@ -14,11 +14,11 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def brute(texts):
     key = lambda x: x.strip(SPACE).translate(LOWER)
     least = -(2**63)
-    held = defaultdict(list)
+    held = defaultdict(set)
     for d, t in texts:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= 20:
-                held[k].append(least if d is None else d)
+                held[k].add(least if d is None else d)
     out = []
     for d, t in texts:
         lines = (t or "").split("\n")
