@@ -51,17 +51,18 @@ def _windows(df: DataFrame, words: str, n: int) -> DataFrame:
 
 
 def classes(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """Rows (item, items, words, plain, slots): one for each distinct template."""
+    """Rows (item, items, words, plain, slots, capital): one for each distinct template. capital:
+    whether the first word begins with one, and so would be a name within a sentence."""
     rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.where("item is not null").select("item", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"))
-    held = rows.groupBy("words").agg(F.min_by("plain", "item").alias("plain"), F.min("item").alias("item"), F.sort_array(F.collect_set("item")).alias("items"))
+    rows = rows.where("item is not null").select("item", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"), F.col("text").rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}").alias("capital"))
+    held = rows.groupBy("words").agg(F.min_by("plain", "item").alias("plain"), F.min("item").alias("item"), F.sort_array(F.collect_set("item")).alias("items"), F.max("capital").alias("capital"))
     return held.withColumn("slots", F.exists("words", lambda w: w.isin(*SLOTS)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Pairs (id, item, windows, matched, start, end, kind) of documents and the items they hold.
 
-    windows counts the item's distinct windows, matched those found in the document; start and
+    windows counts the item's windows, matched those found in the document; start and
     end are template words of the document, end exclusive, where most windows line up. kind is
     verbatim, or reparameterised where slot values differ. Letter case, but for the capitals
     that make names, and punctuation do not count. An item with fewer words than a window is never held; a null or empty text holds
@@ -69,15 +70,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     judged as one. Repeated items each give their row. Other columns are not read.
     """
     bench = materialize(classes(benchmark, item_col, item_text_col), "benchmark")
-    grams = _windows(bench.select("item", "words"), "words", window).withColumnRenamed("pos", "item_pos")
-    grams = materialize(grams, "benchmark-windows")
-    total = grams.groupBy("item").agg(F.countDistinct("window").alias("windows"))
+    # An item's first word begins a sentence there, but perhaps not in a document.
+    within = F.concat(F.array(F.lit("<name>")), F.slice("words", 2, window - 1))
+    grams = _windows(bench.select("item", "words"), "words", window)
+    grams = grams.unionAll(_windows(bench.where(F.col("capital") & (F.size("words") >= window)).select("item", within.alias("words")), "words", window))
+    grams = materialize(grams.withColumnRenamed("pos", "item_pos").distinct(), "benchmark-windows")
+    total = grams.groupBy("item").agg(F.countDistinct("item_pos").alias("windows"))
     small = grams.count() <= BROADCAST_WINDOWS
     text = id_and_text(docs, id_col, text_col).where("id is not null and text is not null")
     own = _windows(text.select("id", template_words(F.col("text")).alias("words")), "words", window)
     met = own.join(F.broadcast(grams) if small else grams, "window")
     # Along one diagonal the words of document and item run in step.
-    lines = met.groupBy("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("window").alias("found"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    lines = met.groupBy("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("found"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     main = F.struct(F.size("found").alias("n"), (-F.col("shift")).alias("back"), "first", "last")
     held = lines.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched"), F.max(main).alias("main"))
     held = held.join(total, "item").where(F.col("matched") >= F.lit(coverage) * F.col("windows"))

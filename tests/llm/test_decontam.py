@@ -7,7 +7,7 @@ from folioflow.llm import decontam
 
 ITEM = "A train leaves Boston station at 9 hours and travels 120 km north before Alice boards, then Alice walks 3 km more along the river to reach the old mill"
 OTHER = "completely different words make up this second question about nothing in particular at all today"
-BENCH = [(1, ITEM), (2, OTHER), (3, ITEM), (4, "too short"), (5, None), (None, OTHER)]
+BENCH = [(1, ITEM), (2, OTHER), (3, ITEM), (4, "too short"), (5, None), (None, OTHER), (6, "Eight short words make this item up here")]
 CASES = [
     (1, f"Prefix words here. {ITEM} and the suffix goes on.", {1, 3}, "verbatim"),
     (2, "x " + ITEM.replace("120", "85").replace("Alice", "Zoe").replace("9", "11"), {1, 3}, "reparameterised"),
@@ -17,6 +17,7 @@ CASES = [
     (6, None, set(), None), (7, "", set(), None), (8, "nothing of that kind", set(), None),
     (9, f"{OTHER} {ITEM}", {1, 2, 3}, "verbatim"),
     (10, OTHER.replace(" ", "\n\t ") , {2}, "verbatim"),
+    (11, "and Eight short words make this item up here", {6}, "verbatim"), (12, "eight short words make this item.", set(), None),
     (None, OTHER, set(), None),
 ]
 
