@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import mph
-from folioflow.llm.common import documents, materialize
+from folioflow.llm.common import documents, materialize, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 250_000
@@ -126,7 +126,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(ids.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _batch_keys(b, min_chars)], ["h", "f", "id"])
 
     held = slim.mapInArrow(emit, "h long, f int, id long").distinct()
@@ -175,7 +175,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, drop in zip(b.column(len(keep)).cast(pa.binary()).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents, id_and_text, materialize
+from folioflow.llm.common import documents, id_and_text, materialize, slices
 
 END_ID = 0
 SPECIAL = "<|endoftext|>"
@@ -192,7 +192,7 @@ def tokens(docs: DataFrame, json_path: str, ranks_path: str | None, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, ranks, fulls = TaskContext.get().partitionId(), {}, 0
-        for b in batches:
+        for b in slices(batches):
             ids, ns, data, rests, at, before = b.column("id"), [], [], [], [], []
             for text in b.column("text").to_pylist():
                 found = np.append(token_ids(text, json_path, ranks_path), np.uint32(END_ID))
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, size: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = plan.value
         lo, hi = np.searchsorted(rows[:, 0], np.arange(size + 1)), np.searchsorted(rows[:, 0], np.arange(size + 1), "right")
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in range(8)]
             for key, n, data, rest, rank, full in zip(*(b.column(c).to_pylist() for c in ("id", "n", "ids", "rest", "rank", "full")), strict=True):
                 ids = np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype("<u4")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import id_and_text, materialize, split_join
+from folioflow.llm.common import id_and_text, materialize, slices, split_join
 from folioflow.llm.graph import connected_components
 
 BLOCKS, BLOCK_BITS, SEED = 4, 16, 42
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Rows (id long, fp long: the fingerprint's bits). One row for each input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = np.fromiter((fingerprint(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents, materialize, split_join
+from folioflow.llm.common import documents, materialize, slices, split_join
 from folioflow.llm.mph import mix
 
 LEAST = -(2**63)
@@ -274,7 +274,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = own.join(spans.hint("shuffle_hash"), "id", "left").select("own", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, n_words, n_removed, removed = [], [], [], []
             for text, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans"), strict=True):
                 words = (text or b"").split()
