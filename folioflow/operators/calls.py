@@ -127,10 +127,12 @@ def glossary_matches(chunks: DataFrame, glossary: DataFrame, on: list[str] | Non
     on = on or []
     terms = glossary.where("src_key <> ''")
     text = F.lower("chunk_text")
+    # Lower-cased before the join: once per chunk, not once per pair.
+    lowered, held_in = chunks.withColumn("__l", text), F.contains(F.col("__l"), F.col("src_key"))
     if on:
-        return chunks.join(terms, on).where(F.contains(text, F.col("src_key")))
+        return lowered.join(terms, on).where(held_in).drop("__l")
     if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        return chunks.join(F.broadcast(terms), F.contains(text, F.col("src_key")))
+        return lowered.join(F.broadcast(terms), held_in).drop("__l")
     # Each text as its code points once, so that grams cost no walk through the text.
     held = chunks.withColumn("__c", F.split(text, ""))
     gram = lambda n: F.transform("__c", lambda _, i: F.array_join(F.slice("__c", i + 1, n), ""))
