@@ -5,8 +5,8 @@ its template. Windows of five template words of every document meet those of the
 hash. A document holds an item if it has at least 0.8 of the item's windows and, where the item
 has slots, one and the same document value stands for every occurrence of an item's value.
 
-Benchmark items with equal templates are one class, so a template used a thousand times costs
-one. The benchmark's windows are broadcast only below a checked number of rows.
+Benchmark items with equal templates are one class, whose windows a document meets once; the
+slots are tested for each way in which the items of the class repeat values. The benchmark's windows are broadcast only below a checked number of rows.
 """
 
 from __future__ import annotations
@@ -51,12 +51,21 @@ def _windows(df: DataFrame, words: str, n: int) -> DataFrame:
 
 
 def classes(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """Rows (item, items, words, plain, slots, capital): one for each distinct template. capital:
-    whether the first word begins with one, and so would be a name within a sentence."""
+    """Rows (item, items, words, forms, at, slots, capital): one for each distinct template. forms
+    holds a struct (pattern, members) for each way in which slots share values: pattern gives for
+    each slot the first one of the same kind and value, members the distinct values with their
+    items. at: the places of the slots, from 0. capital: whether the first word begins with one,
+    and so would be a name within a sentence."""
     rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.where("item is not null").select("item", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"), F.col("text").rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}").alias("capital"))
-    held = rows.groupBy("words").agg(F.min_by("plain", "item").alias("plain"), F.min("item").alias("item"), F.sort_array(F.collect_set("item")).alias("items"), F.max("capital").alias("capital"))
-    return held.withColumn("slots", F.exists("words", lambda w: w.isin(*SLOTS)))
+    both = F.filter(F.arrays_zip("words", "plain"), lambda x: x.words.isin(*SLOTS))
+    rows = rows.withColumn("both", both).withColumn("pattern", F.transform("both", lambda x: F.array_position("both", x).cast("int"))).withColumn("own", F.col("both.plain"))
+    held = rows.groupBy("words", "pattern", "own").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max("capital").alias("capital"))
+    held = held.groupBy("words", "pattern").agg(F.collect_list(F.struct("own", "items")).alias("members"), F.max("capital").alias("capital"))
+    held = held.groupBy("words").agg(F.collect_list(F.struct("pattern", "members")).alias("forms"), F.max("capital").alias("capital"))
+    held = held.withColumn("items", F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten("forms.members"), lambda m: m["items"])))))
+    at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*SLOTS), i)), lambda i: i.isNotNull())
+    return held.withColumn("item", F.get("items", F.lit(0))).withColumn("at", at).withColumn("slots", F.size("at") > 0)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -86,22 +95,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     held = lines.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched"), F.max(main).alias("main"))
     held = held.join(total, "item").where(F.col("matched") >= F.lit(coverage) * F.col("windows"))
     held = held.select("id", "item", "windows", F.col("matched").cast("long").alias("matched"), F.col("main.first").cast("long").alias("start"), (F.col("main.last") + window).cast("long").alias("end"), (-F.col("main.back")).alias("shift"))
-    held = materialize(held, "held").join(bench.select("item", "items", "slots", F.col("words").alias("item_words"), F.col("plain").alias("item_plain")), "item")
+    held = materialize(held, "held").join(bench.select("item", "items", "slots"), "item")
     columns = ["id", F.explode("items").alias("item"), "windows", "matched", "start", "end", "kind"]
     plain = held.where("not slots").withColumn("kind", F.lit("verbatim")).select(*columns)
 
     # Only pairs with slots need the documents' own words. They are written first, so that their
     # true size decides whether they go to the documents or both are dealt out by id.
-    slotted = materialize(held.where("slots").drop("item_words", "item_plain", "slots", "items"), "slotted")
-    slotted = text.select("id", "text").join(slotted, "id").join(bench.select("item", "items", F.col("words").alias("item_words"), F.col("plain").alias("item_plain")), "item")
+    slotted = materialize(held.where("slots").drop("slots", "items"), "slotted")
+    slotted = text.select("id", "text").join(slotted, "id").join(bench.select("item", "at", "forms", F.col("words").alias("item_words")), "item")
     slotted = slotted.withColumn("words", template_words(F.col("text"))).withColumn("plain", plain_words(F.col("text"))).drop("text")
-    value = lambda a, i: F.get(F.col(a), i)
-    pair = lambda i: F.struct(value("item_words", i).alias("kind"), value("item_plain", i).alias("item"), value("plain", i + F.col("shift")).alias("doc"), value("words", i + F.col("shift")).alias("doc_kind"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), pair)
-    slotted = slotted.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda p: p.kind.isin(*SLOTS) & (p.kind == p.doc_kind))))
-    values = F.array_distinct(F.transform("pairs", lambda p: F.struct(p.kind, p.item)))
-    slotted = slotted.where(F.size("pairs") == F.size(values))
-    same = F.forall("pairs", lambda p: p.item == p.doc)
+    # The document's value for each slot; null where it has no slot of that kind.
+    there = lambda i: F.when(F.get("item_words", i) == F.get("words", i + F.col("shift")), F.get("plain", i + F.col("shift")))
+    slotted = slotted.withColumn("values", F.transform("at", there)).drop("words", "plain", "item_words", "at")
+    slotted = slotted.withColumn("form", F.explode("forms")).drop("forms", "item")
+    pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("form.pattern").alias("pattern"), F.col("values").alias("doc")), lambda p: p.doc.isNotNull()))
+    slotted = slotted.withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.pattern"))))
+    slotted = slotted.withColumn("member", F.explode("form.members")).withColumn("items", F.col("member.items"))
+    same = F.forall(F.zip_with("member.own", "values", lambda own, doc: doc.isNull() | (own == doc)), lambda x: x)
     slotted = slotted.withColumn("kind", F.when(same, "verbatim").otherwise("reparameterised")).select(*columns)
     return plain.unionAll(slotted).groupBy("id", "item").agg(*[F.min(c).alias(c) for c in ("windows", "matched", "start", "end")], F.max("kind").alias("kind"))
 

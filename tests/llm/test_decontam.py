@@ -36,6 +36,15 @@ def test_cases(tables):
             assert d == 9 or got[d, i] == kind
 
 
+def test_each_item_of_a_template_is_tested(spark):
+    text = "in the large box there are {} red pens and {} blue pens on the old table of the school"
+    bench = spark.createDataFrame([(1, text.format(3, 3)), (2, text.format(3, 4)), (3, text.format(5, 6)), (4, text.format(3, 4))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + text.format(3, 4)), (2, text.format(3, 3)), (3, text.format(9, 9)), (4, text.format(7, 8))], "doc_id long, text string")
+    got = {(r.id, r.item): r.kind for r in decontam.contaminated(docs, bench).collect()}
+    v, p = "verbatim", "reparameterised"
+    assert got == {(1, 2): v, (1, 4): v, (1, 3): p, **{(2, i): p for i in (2, 3, 4)}, (2, 1): v, **{(3, i): p for i in (1, 2, 3, 4)}, **{(4, i): p for i in (2, 3, 4)}}
+
+
 def test_large_benchmark_takes_the_other_way(tables, monkeypatch):
     want = {tuple(r) for r in decontam.contaminated(*tables).collect()}
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
