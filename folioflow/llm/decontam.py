@@ -11,7 +11,7 @@ slots are tested for each way in which the items of the class repeat values. The
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import documents, id_and_text, materialize
@@ -72,8 +72,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Pairs (id, item, windows, matched, start, end, kind) of documents and the items they hold.
 
     windows counts the item's windows, matched those found in the document; start and
-    end are template words of the document, end exclusive, where most windows line up. kind is
-    verbatim, or reparameterised where slot values differ. Letter case, but for the capitals
+    end are template words of the document, end exclusive, where most windows line up; of several
+    places only those with consistent slots count, verbatim ones first. kind is verbatim, or reparameterised where slot values differ. Letter case, but for the capitals
     that make names, and punctuation do not count. An item with fewer words than a window is never held; a null or empty text holds
     nothing; items or documents without an id give no rows; documents that share an id are
     judged as one. Repeated items each give their row. Other columns are not read.
@@ -91,29 +91,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = own.join(F.broadcast(grams) if small else grams, "window")
     # Along one diagonal the words of document and item run in step.
     lines = met.groupBy("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("found"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    main = F.struct(F.size("found").alias("n"), (-F.col("shift")).alias("back"), "first", "last")
-    held = lines.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched"), F.max(main).alias("main"))
+    line = F.struct(F.size("found").alias("n"), (-F.col("shift")).alias("back"), "first", "last")
+    held = lines.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched"), F.max(line).alias("line"), F.collect_list(F.struct(line.alias("line"), "found")).alias("lines"))
     held = held.join(total, "item").where(F.col("matched") >= F.lit(coverage) * F.col("windows"))
-    held = held.select("id", "item", "windows", F.col("matched").cast("long").alias("matched"), F.col("main.first").cast("long").alias("start"), (F.col("main.last") + window).cast("long").alias("end"), (-F.col("main.back")).alias("shift"))
-    held = materialize(held, "held").join(bench.select("item", "items", "slots"), "item")
-    columns = ["id", F.explode("items").alias("item"), "windows", "matched", "start", "end", "kind"]
-    plain = held.where("not slots").withColumn("kind", F.lit("verbatim")).select(*columns)
+    held = materialize(held.withColumn("matched", F.col("matched").cast("long")), "held").join(bench.select("item", "items", "slots"), "item")
+    columns = ["id", F.explode("items").alias("item"), "windows", "matched", "start", "end", "kind", "line"]
+    ends = [F.col("line.first").cast("long").alias("start"), (F.col("line.last") + window).cast("long").alias("end")]
+    plain = held.where("not slots").select("id", "items", "windows", "matched", *ends, F.lit("verbatim").alias("kind"), "line").select(*columns)
+
+    # A place is a run of diagonals at most an item's length apart. The slots are tested on the best
+    # diagonal of all, on the best of each place that has enough windows and on each that has them alone.
+    each = held.where("slots").select("id", "item", "windows", "matched", F.col("line").alias("best"), F.explode("lines").alias("l")).select("id", "item", "windows", "matched", "best", "l.line", "l.found")
+    along = Window.partitionBy("id", "item").orderBy(F.desc("line.back"))
+    each = each.withColumn("apart", F.coalesce((F.lag("line.back").over(along) - F.col("line.back") > F.col("windows")).cast("int"), F.lit(0)))
+    each = each.withColumn("place", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    enough = lambda n: n >= F.lit(coverage) * F.col("windows")
+    places = each.groupBy("id", "item", "place", "windows", "matched", "best").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n"), F.max("line").alias("main"), F.collect_list("line").alias("lines"))
+    tested = F.filter("lines", lambda x: enough(x.n) | (x == F.col("best")) | (enough(F.col("n")) & (x == F.col("main"))))
+    tested = places.groupBy("id", "item", "windows", "matched").agg(F.flatten(F.collect_list(tested)).alias("tested")).where(F.size("tested") > 0)
 
     # Only pairs with slots need the documents' own words. They are written first, so that their
     # true size decides whether they go to the documents or both are dealt out by id.
-    slotted = materialize(held.where("slots").drop("slots", "items"), "slotted")
-    slotted = text.select("id", "text").join(slotted, "id").join(bench.select("item", "at", "forms", F.col("words").alias("item_words")), "item")
-    slotted = slotted.withColumn("words", template_words(F.col("text"))).withColumn("plain", plain_words(F.col("text"))).drop("text")
+    slotted = materialize(tested, "slotted")
+    slotted = text.select("id", "text").join(slotted, "id")
+    # A row of its own for the words, as the optimizer would compute them again for each place.
+    slotted = slotted.select("id", "item", "windows", "matched", "tested", F.explode_outer(F.array(F.struct(template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain")))).alias("w"))
+    slotted = slotted.join(bench.select("item", "at", F.col("words").alias("item_words")), "item").select("*", "w.words", "w.plain").drop("w")
+    # Of rows that share an id only those that hold a window there count; its first word may be a name.
+    equal = lambda x: F.array_join(F.transform("item_words", lambda w, i: F.when(w == F.get("words", i - x.back), "1").otherwise("0")), "").contains("1" * (window - 1))
     # The document's value for each slot; null where it has no slot of that kind.
-    there = lambda i: F.when(F.get("item_words", i) == F.get("words", i + F.col("shift")), F.get("plain", i + F.col("shift")))
-    slotted = slotted.withColumn("values", F.transform("at", there)).drop("words", "plain", "item_words", "at")
-    slotted = slotted.withColumn("form", F.explode("forms")).drop("forms", "item")
+    there = lambda x: F.transform("at", lambda i: F.when(F.get("item_words", i) == F.get("words", i - x.back), F.get("plain", i - x.back)))
+    slotted = slotted.withColumn("tested", F.transform(F.filter("tested", equal), lambda x: F.struct(x.alias("line"), there(x).alias("values"))))
+    slotted = slotted.select("id", "item", "windows", "matched", F.explode("tested").alias("x")).select("id", "item", "windows", "matched", "x.line", "x.values").select("*", *ends)
+    slotted = slotted.join(bench.select("item", "forms"), "item").withColumn("form", F.explode("forms")).drop("forms", "item")
     pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("form.pattern").alias("pattern"), F.col("values").alias("doc")), lambda p: p.doc.isNotNull()))
     slotted = slotted.withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.pattern"))))
     slotted = slotted.withColumn("member", F.explode("form.members")).withColumn("items", F.col("member.items"))
     same = F.forall(F.zip_with("member.own", "values", lambda own, doc: doc.isNull() | (own == doc)), lambda x: x)
     slotted = slotted.withColumn("kind", F.when(same, "verbatim").otherwise("reparameterised")).select(*columns)
-    return plain.unionAll(slotted).groupBy("id", "item").agg(*[F.min(c).alias(c) for c in ("windows", "matched", "start", "end")], F.max("kind").alias("kind"))
+    best = F.max(F.struct("kind", "line", "windows", "matched", "start", "end")).alias("best")
+    found = plain.unionAll(slotted).groupBy("id", "item").agg(best)
+    return found.select("id", "item", *[f"best.{c}" for c in ("windows", "matched", "start", "end", "kind")])
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -45,6 +45,18 @@ def test_each_item_of_a_template_is_tested(spark):
     assert got == {(1, 2): v, (1, 4): v, (1, 3): p, **{(2, i): p for i in (2, 3, 4)}, (2, 1): v, **{(3, i): p for i in (1, 2, 3, 4)}, **{(4, i): p for i in (2, 3, 4)}}
 
 
+def test_every_place_is_tested(spark):
+    broken = ITEM.replace("Alice boards", "Zoe boards").replace("Alice walks", "Bob walks")
+    other = ITEM.replace("Alice", "Zoe")
+    split = lambda t: t.replace("before", "well before")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(1, f"x {broken} {ITEM}"), (2, f"x {broken} and {other} {broken}"), (3, f"x {broken} {broken}"), (4, f"x {split(broken)} then {split(ITEM)}"), (5, f"x {broken}"), (5, f"some words before {other}"), (6, f"x {other} {ITEM}")]
+    got = {r.id: r for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {d: r.kind for d, r in got.items()} == {1: "verbatim", 2: "reparameterised", 4: "verbatim", 5: "reparameterised", 6: "verbatim"}
+    n = len(ITEM.split())
+    assert [(got[d].start, got[d].end) for d in (1, 6)] == [(n + 1, 2 * n + 1)] * 2
+
+
 def test_large_benchmark_takes_the_other_way(tables, monkeypatch):
     want = {tuple(r) for r in decontam.contaminated(*tables).collect()}
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
