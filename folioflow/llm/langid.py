@@ -26,8 +26,10 @@ from folioflow.llm.common import documents, slices
 ROWS_PER_LANG, WORDS_PER_LANG, GRAMS_PER_LANG, TABLE_CELLS = 5000, 20_000, 10_000, 4_000_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH, CACHE = 0.5, 200_000
-#: Unseen words scored at a time, and how much of a very long one counts.
+#: Unseen words scored at a time; longer ones are scored in portions of so many n-grams.
 PORTION, LONGEST = 500, 200
+#: Counts of n-grams that a worker holds at a time.
+HELD_GRAMS = 500_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,6 +45,14 @@ def _grams(word: str, order: int) -> list[str]:
     return [padded[i : i + order] for i in range(len(padded) - order + 1)]
 
 
+def _portions(word: str, order: int) -> Iterator[list[str]]:
+    """All n-grams of a word, at most LONGEST at a time."""
+    padded = f"\x02{word}\x03"
+    ends = len(padded) - order + 1
+    for a in range(0, ends, LONGEST):
+        yield [padded[i : i + order] for i in range(a, min(a + LONGEST, ends))]
+
+
 class Model:
     """Log frequencies (entries, languages) of words and n-grams; n-grams' keys begin with \\0."""
 
@@ -83,16 +93,34 @@ class Model:
         """Scores of words that are not known: the means of their n-grams'."""
         out = []
         for i in range(0, len(words), PORTION):
-            if len(self._seen_grams) > CACHE - PORTION * (LONGEST + 2):
-                self._seen_grams.clear()
-            rows, begin = [], []
-            for w in words[i : i + PORTION]:
+            self._make_room()
+            rows, begin, long = [], [], {}
+            for j, w in enumerate(words[i : i + PORTION]):
                 begin.append(len(rows))
-                rows += [self._gram_row(g) for g in _grams(w[:LONGEST], min(ORDERS[0], len(w) + 2))]
+                if len(w) > LONGEST:
+                    long[j] = w
+                    w = w[:1]  # noqa: PLW2901
+                rows += [self._gram_row(g) for g in _grams(w, min(ORDERS[0], len(w) + 2))]
             sizes = np.diff(np.append(begin, len(rows)))
-            out.append(np.add.reduceat(self._rows[rows], begin) / sizes[:, None])
+            scores = np.add.reduceat(self._rows[rows], begin) / sizes[:, None]
+            for j, w in long.items():
+                scores[j] = self._long(w)
+            out.append(scores)
         return np.concatenate(out)
 
+    def _make_room(self) -> None:
+        if len(self._seen_grams) > CACHE - PORTION * (LONGEST + 2):
+            self._seen_grams.clear()
+
+    def _long(self, word: str) -> np.ndarray:
+        """Score of a long word: the mean of all its n-grams', summed in portions."""
+        total, n = np.zeros(len(self.langs)), 0
+        for part in _portions(word, ORDERS[0]):
+            self._make_room()
+            total += self._rows[[self._gram_row(g) for g in part]].sum(0)
+            n += len(part)
+        return total / n
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the probability of all languages, none preferred."""
         if not self._ready:
@@ -138,13 +166,20 @@ def _counts(df: DataFrame) -> DataFrame:
 
 def _gram_counts(words: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "key", "n"])
+
         for b in batches:
             found: Counter = Counter()
             for lang, w, n in zip(*(b.column(c).to_pylist() for c in ("lang", "key", "n")), strict=True):
                 for order in ORDERS:
-                    for g in _grams(w[:LONGEST], order):
-                        found[lang, g] += n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "key", "n"])
+                    for part in _portions(w, order):
+                        for g in part:
+                            found[lang, g] += n
+                        if len(found) > HELD_GRAMS:
+                            yield out(found)
+                            found.clear()
+            yield out(found)
 
     return words.mapInArrow(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 

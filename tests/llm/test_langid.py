@@ -24,6 +24,18 @@ def test_backoff_for_unseen_words(spark):
     assert 0.5 < word <= long <= 1
 
 
+def test_long_words_count_whole(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("abcabcabc", "aa"), ("xyzxyzxyz", "zz")] * 20)]
+    model = langid.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    long = "abc" * 100 + "xyz" * 5000
+    assert model.predict(long)[0] == "zz" and model.predict("abc" * 5000 + "xyz" * 100)[0] == "aa"
+    grams = langid._grams(long, 5)
+    assert abs(model.unseen(["q", long, "abcq"])[1] - sum(model.gram(g) for g in grams) / len(grams)).max() < 1e-9
+    assert [g for part in langid._portions(long, 5) for g in part] == grams
+    late = [(i, t, lang) for i, (t, lang) in enumerate([("q" * 300 + "abc" * 99, "aa"), ("q" * 300 + "xyz" * 99, "zz")] * 20)]
+    assert langid.fit(spark.createDataFrame(late, "id long, text string, lang string")).predict("abcabc")[0] == "aa"
+
+
 def test_odd_texts(spark, docs):
     model = langid.learn(docs)
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 ²½ _"), (4, "x" * 100_000), (5, "É")], "doc_id long, text string")
