@@ -28,20 +28,26 @@ SHORT_RUN = 16
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """Unsigned 64-bit fingerprint of one whole text in UTF-8."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hash of each word shingle of one whole text in UTF-8; none of a text without words."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     whole = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        spans = zip(starts[: 1 - shingle].tolist() if shingle > 1 else starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)
-        hashes = np.array([digest(whole[a:b], SEED) for a, b in spans], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[: 1 - shingle].tolist() if shingle > 1 else starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.array([digest(whole[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """Unsigned 64-bit fingerprint of one whole text in UTF-8."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
         part = hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8)
