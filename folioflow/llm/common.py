@@ -9,17 +9,21 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one in local mode,
+    as in tests; on a cluster, whose machines do not share such a folder, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="folioflow-")
@@ -57,6 +61,38 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return keyed[0].join(keyed[1], [*on, "__k"], how).drop("__k")
 
 
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Columns k1 and k2, two hashes of id and text: a key for rows whose id is null or repeated.
+    Only rows with equal id and text share it."""
+    own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    return F.xxhash64(F.lit(1), own, text).alias("k1"), F.xxhash64(text, F.lit(2), own).alias("k2")
+
+
+def small(df: DataFrame) -> bool:
+    """Whether a written table is small enough for Spark to broadcast it."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toLong() <= conf.autoBroadcastJoinThreshold()
+
+
+def build_side(df: DataFrame) -> DataFrame:
+    """The written table as the build side of a join: broadcast if it is small, else of a hash join, so
+    that the rows that meet it are never sorted."""
+    return df if small(df) else df.hint("shuffle_hash")
+
+
+def prefix_sums(df: DataFrame, key: str, value: str, alias: str, by: tuple[str, ...] = (), width: int = 4096) -> DataFrame:
+    """df(by..., key long from 0, value) with alias: the sum of value over the smaller keys of the group.
+
+    In two levels, sums of ranges of width keys first, so that no task holds the keys of a group.
+    """
+    ranged = df.withColumn("__range", F.floor(F.col(key) / width))
+    whole = ranged.groupBy(*by, "__range").agg(F.sum(value).alias("__sum"))
+    up_to = lambda *c: Window.partitionBy(*c).rowsBetween(Window.unboundedPreceding, -1)
+    base = whole.withColumn("__base", F.coalesce(F.sum("__sum").over(up_to(*by).orderBy("__range")), F.lit(0))).drop("__sum")
+    within = ranged.withColumn("__in", F.coalesce(F.sum(value).over(up_to(*by, "__range").orderBy(key)), F.lit(0)))
+    return within.join(base, [*by, "__range"]).withColumn(alias, F.col("__base") + F.col("__in")).drop("__range", "__base", "__in")
+
+
 def cleanup(spark: SparkSession) -> None:
     """Deletes what this application's operators wrote to the shared folder."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -1,12 +1,19 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so a question with other parameters keeps
-its template. Windows of five template words of every document meet those of the benchmark by
-hash. A document holds an item if it has at least 0.8 of the item's windows and, where the item
-has slots, one and the same document value stands for every occurrence of an item's value.
-
-Benchmark items with equal templates are one class, whose windows a document meets once; the
-slots are tested for each way in which the items of the class repeat values. The benchmark's windows are broadcast only below a checked number of rows.
+its template. Template windows of the benchmark and of the documents meet by hash:
+
+1. Every item chooses its rarest windows as seeds, one more than it may lack; so a document that
+   holds enough of the item holds a seed, and a window that many items share draws few rows.
+2. A seed found in a document proposes an alignment, the shift between item and document. Only
+   there, and within a bounded number of words around it, the item's windows are compared.
+3. A document holds the item if one alignment has at least 0.8 of the item's windows and one and
+   the same document value stands for every occurrence of an item's value. Two values of an item
+   may become one value: parameters that are drawn anew can coincide.
+
+Benchmark items with equal templates are one class, met once; the slots are tested for each way
+in which the items of the class repeat values. The seeds are broadcast only below a checked
+number of rows.
 """
 
 from __future__ import annotations
@@ -14,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents, id_and_text, materialize
+from folioflow.llm.common import documents, id_and_text, materialize, row_keys
 
 WINDOW, COVERAGE = 5, 0.8
 BROADCAST_WINDOWS = 1_000_000
+#: Words of a document whose alignments travel together, so that no row grows with a document.
+SPAN = 8192
 SPACE = r"[\x20\x09-\x0D]+"
 #: A capitalised word within a sentence; words all in capitals are none.
 NAME = r"(?<=[^\s.!?:;\"'(][\x20\x09])\p{Lu}\p{Ll}\p{L}*"
@@ -42,12 +51,14 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.regexp_replace(text, MARKS, "")), SPACE), "")
 
 
-def _windows(df: DataFrame, words: str, n: int) -> DataFrame:
-    """df with a row (pos, window) for each n consecutive words; window is a hash."""
-    hashed = df.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w))).drop(words)
-    windows = F.when(F.size("__h") >= n, F.transform(F.sequence(F.lit(1), F.size("__h") - (n - 1)), lambda i: F.xxhash64(F.slice("__h", i, n))))
-    # The outer form, as for the other one the optimizer computes the array once more to test its size.
-    return hashed.select("*", F.posexplode_outer(windows).alias("pos", "window")).drop("__h").where("window is not null")
+def _hashes(words: Column | str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _windows(hashes: Column | str, size: Column | int) -> Column:
+    """Hashes of all runs of size word hashes; null if there are fewer words."""
+    n, size = F.size(hashes), F.lit(size) if isinstance(size, int) else size
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(hashes, i, size))))
 
 
 def classes(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -68,73 +79,123 @@ def classes(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return held.withColumn("item", F.get("items", F.lit(0))).withColumn("at", at).withColumn("slots", F.size("at") > 0)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """Pairs (id, item, windows, matched, start, end, kind) of documents and the items they hold.
-
-    windows counts the item's windows, matched those found in the document; start and
-    end are template words of the document, end exclusive, where most windows line up; of several
-    places only those with consistent slots count, verbatim ones first. kind is verbatim, or reparameterised where slot values differ. Letter case, but for the capitals
-    that make names, and punctuation do not count. An item with fewer words than a window is never held; a null or empty text holds
-    nothing; items or documents without an id give no rows; documents that share an id are
-    judged as one. Repeated items each give their row. Other columns are not read.
-    """
-    bench = materialize(classes(benchmark, item_col, item_text_col), "benchmark")
-    # An item's first word begins a sentence there, but perhaps not in a document.
-    within = F.concat(F.array(F.lit("<name>")), F.slice("words", 2, window - 1))
-    grams = _windows(bench.select("item", "words"), "words", window)
-    grams = grams.unionAll(_windows(bench.where(F.col("capital") & (F.size("words") >= window)).select("item", within.alias("words")), "words", window))
-    grams = materialize(grams.withColumnRenamed("pos", "item_pos").distinct(), "benchmark-windows")
-    total = grams.groupBy("item").agg(F.countDistinct("item_pos").alias("windows"))
-    small = grams.count() <= BROADCAST_WINDOWS
-    text = id_and_text(docs, id_col, text_col).where("id is not null and text is not null")
-    own = _windows(text.select("id", template_words(F.col("text")).alias("words")), "words", window)
-    met = own.join(F.broadcast(grams) if small else grams, "window")
-    # Along one diagonal the words of document and item run in step.
-    lines = met.groupBy("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("found"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    line = F.struct(F.size("found").alias("n"), (-F.col("shift")).alias("back"), "first", "last")
-    held = lines.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched"), F.max(line).alias("line"), F.collect_list(F.struct(line.alias("line"), "found")).alias("lines"))
-    held = held.join(total, "item").where(F.col("matched") >= F.lit(coverage) * F.col("windows"))
-    held = materialize(held.withColumn("matched", F.col("matched").cast("long")), "held").join(bench.select("item", "items", "slots"), "item")
-    columns = ["id", F.explode("items").alias("item"), "windows", "matched", "start", "end", "kind", "line"]
-    ends = [F.col("line.first").cast("long").alias("start"), (F.col("line.last") + window).cast("long").alias("end")]
-    plain = held.where("not slots").select("id", "items", "windows", "matched", *ends, F.lit("verbatim").alias("kind"), "line").select(*columns)
-
-    # A place is a run of diagonals at most an item's length apart. The slots are tested on the best
-    # diagonal of all, on the best of each place that has enough windows and on each that has them alone.
-    each = held.where("slots").select("id", "item", "windows", "matched", F.col("line").alias("best"), F.explode("lines").alias("l")).select("id", "item", "windows", "matched", "best", "l.line", "l.found")
-    along = Window.partitionBy("id", "item").orderBy(F.desc("line.back"))
-    each = each.withColumn("apart", F.coalesce((F.lag("line.back").over(along) - F.col("line.back") > F.col("windows")).cast("int"), F.lit(0)))
-    each = each.withColumn("place", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    enough = lambda n: n >= F.lit(coverage) * F.col("windows")
-    places = each.groupBy("id", "item", "place", "windows", "matched", "best").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n"), F.max("line").alias("main"), F.collect_list("line").alias("lines"))
-    tested = F.filter("lines", lambda x: enough(x.n) | (x == F.col("best")) | (enough(F.col("n")) & (x == F.col("main"))))
-    tested = places.groupBy("id", "item", "windows", "matched").agg(F.flatten(F.collect_list(tested)).alias("tested")).where(F.size("tested") > 0)
-
-    # Only pairs with slots need the documents' own words. They are written first, so that their
-    # true size decides whether they go to the documents or both are dealt out by id.
-    slotted = materialize(tested, "slotted")
-    slotted = text.select("id", "text").join(slotted, "id")
+def _indexed(benchmark: DataFrame, item_col: str, text_col: str, window: int, coverage: float) -> DataFrame:
+    """The classes with the window size, the hashes of all windows and of the first one as it reads
+    within a sentence, the number of words that an alignment may drift by, and the number of seeds.
+    An item with fewer words than a window is one window of all its words."""
+    held = classes(benchmark, item_col, text_col).where(F.size("words") > 0)
+    held = held.withColumn("short", F.size("words") < window).withColumn("size", F.least(F.lit(window), F.size("words")))
+    held = held.withColumn("hashes", _hashes("words")).withColumn("windows", _windows("hashes", F.col("size")))
+    within = F.concat(F.array(F.xxhash64(F.lit("<name>"))), F.slice("hashes", F.lit(2), F.col("size") - 1))
+    held = held.withColumn("first", F.when(F.col("capital"), F.xxhash64(within))).drop("hashes", "capital")
+    spare = F.floor(F.size("windows") * F.lit(1 - coverage)).cast("int")
+    return held.withColumn("drift", F.greatest(F.lit(1), spare)).withColumn("seeds", F.least(F.size("windows"), spare + 2))
+
+
+def _seeds(bench: DataFrame) -> DataFrame:
+    """Rows (window, item, item_pos): the rarest windows of each item, as many as seeds says."""
+    each = bench.select("item", "first", "seeds", F.posexplode("windows").alias("item_pos", "window"))
+    common = each.groupBy("window").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("item").orderBy("n", "item_pos")
+    chosen = each.join(common, "window").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("seeds"))
+    forms = F.when((F.col("item_pos") == 0) & F.col("first").isNotNull(), F.array("window", "first")).otherwise(F.array("window"))
+    return chosen.select(F.explode(F.array_distinct(forms)).alias("window"), "item", "item_pos")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, coverage: float) -> DataFrame:
+    """contaminated() with the keys of the rows."""
+    bench = materialize(_indexed(benchmark, item_col, item_text_col, window, coverage), "benchmark")
+    seeds = materialize(_seeds(bench), "seeds")
+    small = seeds.count() <= BROADCAST_WINDOWS
+    sizes = sorted(r[0] for r in bench.select("size").distinct().collect()) or [window]  # at most window rows
+    rows = id_and_text(docs, id_col, text_col).where("text is not null").select(*row_keys("id", "text"), "id", "text")
+
+    hashed = rows.select("k1", "k2", _hashes(template_words(F.col("text"))).alias("h"))
+    # The outer forms, as for the others the optimizer computes the arrays once more to test their sizes.
+    if len(sizes) == 1:
+        own = hashed.select("k1", "k2", F.posexplode_outer(_windows("h", sizes[0])).alias("pos", "window"))
+    else:
+        each = [F.coalesce(F.transform(_windows("h", n), lambda w, i: F.struct(i.alias("pos"), w.alias("window"))), F.array().cast("array<struct<pos: int, window: bigint>>")) for n in sizes]
+        own = hashed.select("k1", "k2", F.explode_outer(F.concat(*each)).alias("w")).select("k1", "k2", "w.pos", "w.window")
+    met = own.where("window is not null").join(F.broadcast(seeds) if small else seeds, "window")
+    met = met.select("k1", "k2", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    # Written first, so that its true size decides whether it goes to the documents or both are dealt out.
+    met = materialize(met, "alignments").join(bench.select("item", "drift", F.size("words").alias("n")), "item")
+    place = F.struct("item", "shift", F.greatest(F.lit(0), F.col("shift") - F.col("drift")).alias("begin"), (F.col("n") + 2 * F.col("drift")).alias("len"))
+    met = met.groupBy("k1", "k2", F.floor(F.col("shift") / SPAN).alias("span")).agg(F.collect_list(place).alias("places"))
+
+    # The words around each alignment, of the template and of the text.
+    around = rows.join(met, ["k1", "k2"])
+    words = F.array(F.struct(template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("p")))
     # A row of its own for the words, as the optimizer would compute them again for each place.
-    slotted = slotted.select("id", "item", "windows", "matched", "tested", F.explode_outer(F.array(F.struct(template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain")))).alias("w"))
-    slotted = slotted.join(bench.select("item", "at", F.col("words").alias("item_words")), "item").select("*", "w.words", "w.plain").drop("w")
-    # Of rows that share an id only those that hold a window there count; its first word may be a name.
-    equal = lambda x: F.array_join(F.transform("item_words", lambda w, i: F.when(w == F.get("words", i - x.back), "1").otherwise("0")), "").contains("1" * (window - 1))
-    # The document's value for each slot; null where it has no slot of that kind.
-    there = lambda x: F.transform("at", lambda i: F.when(F.get("item_words", i) == F.get("words", i - x.back), F.get("plain", i - x.back)))
-    slotted = slotted.withColumn("tested", F.transform(F.filter("tested", equal), lambda x: F.struct(x.alias("line"), there(x).alias("values"))))
-    slotted = slotted.select("id", "item", "windows", "matched", F.explode("tested").alias("x")).select("id", "item", "windows", "matched", "x.line", "x.values").select("*", *ends)
-    slotted = slotted.join(bench.select("item", "forms"), "item").withColumn("form", F.explode("forms")).drop("forms", "item")
+    around = around.select("k1", "k2", "id", "places", F.explode_outer(words).alias("w"))
+    part = lambda x, c: F.slice(F.col(f"w.{c}"), x.begin + 1, x.len)
+    around = around.select("k1", "k2", "id", F.explode(F.transform("places", lambda x: F.struct(x.item.alias("item"), x.shift.alias("shift"), x.begin.alias("begin"), part(x, "t").alias("t"), part(x, "p").alias("p")))).alias("x"))
+    around = around.select("k1", "k2", "id", "x.*").join(bench.select("item", "size", "windows", "first", "drift", "at"), "item")
+    around = around.withColumn("there", _windows(_hashes("t"), F.col("size")))
+    around = around.withColumn("shifts", F.transform(F.sequence(F.lit(0), 2 * F.col("drift")), lambda k: F.when(k % 2 == 0, F.floor(k / 2)).otherwise(-F.floor((k + 1) / 2)).cast("int")))
+
+    # For each window of the item the nearest shift at which the document has it, or null.
+    def step(w: Column, j: Column) -> Column:
+        here = lambda x: F.get("there", j + F.col("shift") + x - F.col("begin"))
+        return F.get(F.filter("shifts", lambda x: (here(x) == w) | ((j == 0) & (here(x) == F.col("first")))), F.lit(0))
+
+    lines = around.withColumn("steps", F.transform("windows", step)).withColumn("windows", F.size("windows"))
+    lines = lines.withColumn("matched", F.size(F.filter("steps", lambda x: x.isNotNull()))).where(F.col("matched") >= F.lit(coverage) * F.col("windows"))
+    at = F.transform("steps", lambda x, j: F.when(x.isNotNull(), j + F.col("shift") + x))
+    lines = lines.withColumn("start", F.array_min(at).cast("long")).withColumn("end", (F.array_max(at) + F.col("size")).cast("long"))
+    # The document's value for each slot, by a window that covers it; null where there is none.
+    covering = lambda i: F.filter(F.slice("steps", F.greatest(F.lit(1), i - F.col("size") + 2), F.least(F.col("size"), i + 1)), lambda x: x.isNotNull())
+    value = lambda i: F.get("p", i + F.col("shift") + F.get(covering(i), F.lit(0)) - F.col("begin"))
+    lines = materialize(lines.withColumn("values", F.transform("at", value)).select("k1", "k2", "id", "item", F.col("windows").cast("long").alias("windows"), F.col("matched").cast("long").alias("matched"), "start", "end", "values"), "held")
+
+    held = lines.join(bench.select("item", "forms", "slots", "short", "items"), "item")
+    columns = ["k1", "k2", "id", F.explode("items").alias("item"), "windows", "matched", "start", "end", "kind"]
+    plain = held.where("not slots").withColumn("kind", F.lit("verbatim")).select(*columns)
+    formed = held.where("slots").drop("items").withColumn("form", F.explode("forms"))
     pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("form.pattern").alias("pattern"), F.col("values").alias("doc")), lambda p: p.doc.isNotNull()))
-    slotted = slotted.withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.pattern"))))
-    slotted = slotted.withColumn("member", F.explode("form.members")).withColumn("items", F.col("member.items"))
+    formed = formed.withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.pattern"))))
+    formed = formed.withColumn("member", F.explode("form.members")).withColumn("items", F.col("member.items"))
     same = F.forall(F.zip_with("member.own", "values", lambda own, doc: doc.isNull() | (own == doc)), lambda x: x)
-    slotted = slotted.withColumn("kind", F.when(same, "verbatim").otherwise("reparameterised")).select(*columns)
-    best = F.max(F.struct("kind", "line", "windows", "matched", "start", "end")).alias("best")
-    found = plain.unionAll(slotted).groupBy("id", "item").agg(best)
-    return found.select("id", "item", *[f"best.{c}" for c in ("windows", "matched", "start", "end", "kind")])
+    formed = formed.withColumn("kind", F.when(F.size("pairs") == 0, "partial").when(same, "verbatim").otherwise("reparameterised"))
+    formed = formed.where(~F.col("short") | (F.col("kind") == "verbatim")).select(*columns)
+    best = F.max(F.struct("kind", "matched", (-F.col("start")).alias("back"), "end", "windows")).alias("best")
+    found = plain.unionAll(formed).groupBy("k1", "k2", "id", "item").agg(best)
+    return found.select("k1", "k2", "id", "item", "best.windows", "best.matched", (-F.col("best.back")).alias("start"), "best.end", "best.kind")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, null_ids: bool = False) -> DataFrame:
+    """Pairs (id, item, windows, matched, start, end, kind) of documents and the items they hold.
+
+    windows counts the item's windows, matched those that one place of the document has, all
+    within a fifth of the item's windows (at least one word) of one alignment. start and end are
+    template words of the document, end exclusive. Of several places the best kind counts, then
+    the one with most windows, then the first. kind is verbatim; reparameterised where slot
+    values differ; partial where none of the item's slots lies in a window found. Letter case,
+    but for the capitals that make names, and punctuation do not count. An item with fewer words
+    than a window must be there with all its words and its own values. A null or empty text or
+    item holds nothing and is in nothing; items without an id give no rows, documents without one
+    only with null_ids. Each row of docs is judged by itself; equal rows give one row an item,
+    rows with one id and other texts their own. Repeated items each give their row. Other columns
+    are not read. Empty tables give no rows.
+    """
+    docs = docs if null_ids else docs.where(F.col(f"`{id_col}`").isNotNull())
+    return _found(docs, benchmark, id_col, text_col, item_col, item_text_col, window, coverage).drop("k1", "k2")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns; see contaminated.
+
+    Each row is judged by itself, whether its id is null or repeated.
+    """
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, window, coverage)
+    # Written first, so that its true size decides how the documents meet it.
+    bad = materialize(found.select("k1", "k2").distinct(), "contaminated")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_keys(id_col, text_col))
+    return keyed.join(bad, ["k1", "k2"], "left_anti").select("row.*")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item."""
-    found = contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), null_ids=True)
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "windows", "matched", "start", "end", "kind")
