@@ -71,7 +71,7 @@ def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
 def small(df: DataFrame) -> bool:
     """Whether a written table is small enough for Spark to broadcast it."""
     conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toLong() <= conf.autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= conf.autoBroadcastJoinThreshold()
 
 
 def build_side(df: DataFrame) -> DataFrame:
