@@ -4,10 +4,11 @@ A known word scores by its log frequency in each language. An unseen word falls
 character n-grams, from the longest order down: a known n-gram scores by log frequency, an
 unknown one by the mean of the two n-grams one shorter that it is made of.
 
-The classifier is fitted on a bounded sample of labelled rows (at most about ROWS_PER_LANG for
-each language, chosen by a hash of the id). Its tables are bounded too, so they can be
-broadcast: at most WORDS_PER_LANG words and GRAMS_PER_LANG n-grams of each order per language,
-and TABLE_CELLS numbers in all. Prediction reads the whole text of every row.
+The classifier is fitted on a bounded sample of labelled rows: in expectation at most
+ROWS_PER_LANG rows and CHARS_PER_LANG characters of each language, chosen by a hash of the id.
+Every word and n-gram of the sample counts; the model holds, sparsely, only the languages that
+have an entry, so the sample's bound is also that of what is broadcast. Prediction reads the
+whole text of every row.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import documents, slices
 
-ROWS_PER_LANG, WORDS_PER_LANG, GRAMS_PER_LANG, TABLE_CELLS = 5000, 20_000, 10_000, 4_000_000
+ROWS_PER_LANG, CHARS_PER_LANG = 5000, 50_000_000
 ORDERS = (5, 4, 3, 2, 1)
-SMOOTH, CACHE = 0.5, 200_000
+SMOOTH = 0.5
+#: Scores that a worker keeps, of words and of n-grams, and the rows that hold them at least.
+CACHE_CELLS, CACHE_ROWS = 800_000, 60_000
 #: Unseen words scored at a time; longer ones are scored in portions of so many n-grams.
-PORTION, LONGEST = 500, 200
+PORTION, LONGEST = 200, 200
 #: Counts of n-grams that a worker holds at a time.
 HELD_GRAMS = 500_000
 UNKNOWN = "und"
@@ -54,44 +57,62 @@ def _portions(word: str, order: int) -> Iterator[list[str]]:
 
 
 class Model:
-    """Log frequencies (entries, languages) of words and n-grams; n-grams' keys begin with \\0."""
+    """Log frequencies of words and n-grams; n-grams' keys begin with \\0.
 
-    def __init__(self, langs: list[str], keys: list[str], logs: np.ndarray, floor: np.ndarray):
-        self.langs, self.keys, self.logs, self.floor = langs, keys, logs, floor
+    An entry's kind is 0 for a word, else the order of the n-gram. base (kinds, languages) scores
+    what a language lacks; entry i gains gain[j] in language which[j] for begin[i] <= j < begin[i + 1].
+    """
+
+    def __init__(self, langs: list[str], keys: list[str], begin: np.ndarray, which: np.ndarray, gain: np.ndarray, base: np.ndarray, floor: np.ndarray):
+        self.langs, self.keys, self.begin, self.which, self.gain, self.base, self.floor = langs, keys, begin, which, gain, base, floor
         self._ready = False
 
     def _prepare(self) -> None:
-        """Lookup tables, built once where the model is used. Rows after those of the known
-        entries keep the scores of unseen words, then of unknown n-grams, CACHE of each."""
+        """Lookup tables, built once where the model is used, and room for the scores of entries met."""
         self._words = {k: i for i, k in enumerate(self.keys) if not k.startswith("\0")}
         self._grams = {k[1:]: i for i, k in enumerate(self.keys) if k.startswith("\0")}
-        self._rows = np.vstack([self.logs, np.zeros((2 * CACHE, len(self.langs)))])
+        self._kinds = np.array([len(k) - 1 if k.startswith("\0") else 0 for k in self.keys], np.int64)
+        self._room = max(CACHE_ROWS, CACHE_CELLS // max(1, len(self.langs)))
+        self._rows, self._gram_rows = (np.zeros((self._room, len(self.langs))) for _ in range(2))
         self._seen: dict[str, int] = {}
         self._seen_grams: dict[str, int] = {}
         self._ready = True
 
     def __getstate__(self) -> dict:
-        return {"langs": self.langs, "keys": self.keys, "logs": self.logs, "floor": self.floor, "_ready": False}
+        return {k: v for k, v in vars(self).items() if not k.startswith("_")} | {"_ready": False}
+
+    def _known(self, at: list[int]) -> np.ndarray:
+        """Scores of entries of the model."""
+        ids = np.array(at, np.int64)
+        out = self.base[self._kinds[ids]]
+        lens = self.begin[ids + 1] - self.begin[ids]
+        ends = np.cumsum(lens)
+        flat = np.repeat(self.begin[ids] - (ends - lens), lens) + np.arange(lens.sum())
+        out[np.repeat(np.arange(len(ids)), lens), self.which[flat]] += self.gain[flat]
+        return out
 
     def gram(self, g: str) -> np.ndarray:
         """Scores of an n-gram, known or backed off."""
         at = self._grams.get(g)
         if at is not None:
-            return self.logs[at]
+            a, z = self.begin[at], self.begin[at + 1]
+            out = self.base[len(g)].copy()
+            out[self.which[a:z]] += self.gain[a:z]
+            return out
         return self.floor if len(g) == 1 else (self.gram(g[:-1]) + self.gram(g[1:])) / 2
 
     def _gram_row(self, g: str) -> int:
-        at = self._grams.get(g)
+        at = self._seen_grams.get(g)
         if at is None:
-            at = self._seen_grams.get(g)
-            if at is None:
-                at = self._seen_grams[g] = len(self.keys) + CACHE + len(self._seen_grams)
-                self._rows[at] = self.gram(g)
+            at = self._seen_grams[g] = len(self._seen_grams)
+            self._gram_rows[at] = self.gram(g)
         return at
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """Scores of words that are not known: the means of their n-grams'."""
-        out = []
+        if not self._ready:
+            self._prepare()
+        out = [np.empty((0, len(self.langs)))]
         for i in range(0, len(words), PORTION):
             self._make_room()
             rows, begin, long = [], [], {}
@@ -102,14 +123,14 @@ class Model:
                     w = w[:1]  # noqa: PLW2901
                 rows += [self._gram_row(g) for g in _grams(w, min(ORDERS[0], len(w) + 2))]
             sizes = np.diff(np.append(begin, len(rows)))
-            scores = np.add.reduceat(self._rows[rows], begin) / sizes[:, None]
+            scores = np.add.reduceat(self._gram_rows[rows], begin) / sizes[:, None]
             for j, w in long.items():
                 scores[j] = self._long(w)
             out.append(scores)
         return np.concatenate(out)
 
     def _make_room(self) -> None:
-        if len(self._seen_grams) > CACHE - PORTION * (LONGEST + 2):
+        if len(self._seen_grams) > self._room - PORTION * (LONGEST + 2):
             self._seen_grams.clear()
 
     def _long(self, word: str) -> np.ndarray:
@@ -117,10 +138,21 @@ class Model:
         total, n = np.zeros(len(self.langs)), 0
         for part in _portions(word, ORDERS[0]):
             self._make_room()
-            total += self._rows[[self._gram_row(g) for g in part]].sum(0)
+            total += self._gram_rows[[self._gram_row(g) for g in part]].sum(0)
             n += len(part)
         return total / n
 
+    def _scores(self, words: list[str]) -> np.ndarray:
+        """Scores of words, known or not."""
+        known = [i for i, w in enumerate(words) if w in self._words]
+        out = np.empty((len(words), len(self.langs)))
+        if known:
+            out[known] = self._known([self._words[words[i]] for i in known])
+        if len(known) < len(words):
+            rest = [i for i, w in enumerate(words) if w not in self._words]
+            out[rest] = self.unseen([words[i] for i in rest])
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the probability of all languages, none preferred."""
         if not self._ready:
@@ -128,21 +160,20 @@ class Model:
         counts = Counter(words_of(text))
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        words, seen, total = self._words, self._seen, np.zeros(len(self.langs))
-        if len(seen) + len(counts) > CACHE:
+        seen, total = self._seen, np.zeros(len(self.langs))
+        new = [w for w in counts if w not in seen]
+        if len(seen) + len(new) > self._room:
             seen.clear()
-        new = [w for w in counts if w not in words and w not in seen]
-        if len(new) > CACHE:  # a text with more unseen words than fit: they count at once
-            for i in range(0, len(new), CACHE):
-                part = new[i : i + CACHE]
-                total += np.array([counts.pop(w) for w in part], float) @ self.unseen(part)
-        elif new:
-            base = len(self.keys) + len(seen)
-            self._rows[base : base + len(new)] = self.unseen(new)
+            new = list(counts)
+        while len(new) > self._room:  # a text with more words than fit: some count at once
+            part, new = new[: self._room], new[self._room :]
+            total += np.array([counts.pop(w) for w in part], float) @ self._scores(part)
+        if new:
+            base = len(seen)
+            self._rows[base : base + len(new)] = self._scores(new)
             seen.update(zip(new, range(base, base + len(new)), strict=True))
-        if counts:
-            at = [words[w] if w in words else seen[w] for w in counts]
-            total += np.fromiter(counts.values(), float, len(at)) @ self._rows[at]
+        at = [seen[w] for w in counts]
+        total += np.fromiter(counts.values(), float, len(at)) @ self._rows[at]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -184,46 +215,38 @@ def _gram_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
+def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG) -> Model:
     """A model from rows (id, text, lang); rows without lang or with a null id teach nothing."""
     labelled = labelled.where("lang is not null and id is not null")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    # One row a language.
+    sizes = {r.lang: (r.n, r.chars or 0) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], [], np.zeros((0, 0)), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, rows_per_lang / sizes[lang]))])
+        return Model([], [], np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros((len(ORDERS) + 1, 0)), np.zeros(0))
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, rows_per_lang / sizes[lang][0], chars_per_lang / max(1, sizes[lang][1])))])
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
-    n_words = max(200, min(WORDS_PER_LANG, TABLE_CELLS // len(langs) ** 2))
-    n_grams = max(100, min(GRAMS_PER_LANG, TABLE_CELLS // len(langs) ** 2))
     words = _counts(sample.select("lang", "text")).cache()
     try:
-        order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-        per_order = Window.partitionBy("lang", F.length("key")).orderBy(F.desc("n"), "key")
-        grams = _gram_counts(words)
-        top = [df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("lang", "key", "n").toArrow().to_pydict() for df, w, n in ((words, order, n_words), (grams, per_order, n_grams))]
-        total = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        tables = [df.toArrow() for df in (words, _gram_counts(words))]  # as large as the bounded sample makes them
     finally:
         words.unpersist()
     number = {lang: i for i, lang in enumerate(langs)}
     keys: dict[str, int] = {}
-    cells = []
-    for mark, table in zip(("", "\0"), top, strict=True):
-        for lang, key, n in zip(table["lang"], table["key"], table["n"], strict=True):
-            cells.append((keys.setdefault(mark + key, len(keys)), number[lang], n))
-    counts = np.zeros((len(keys), len(langs)))
-    if cells:
-        at = np.array(cells)
-        counts[at[:, 0], at[:, 1]] = at[:, 2]
+    entry, which, counts = [], [], []
+    for mark, table in zip(("", "\0"), tables, strict=True):
+        table = table.sort_by([("key", "ascending"), ("lang", "ascending")])
+        entry += [keys.setdefault(mark + k, len(keys)) for k in table["key"].to_pylist()]
+        which += [number[x] for x in table["lang"].to_pylist()]
+        counts.append(table["n"].to_numpy())
+    entry, which, counts = np.array(entry, np.int64), np.array(which, np.int32), np.concatenate(counts).astype(float)
+    kinds = np.array([len(k) - 1 if k.startswith("\0") else 0 for k in keys], np.int64)
     # A word's frequency is its share of the language's words, an n-gram's that of its order.
-    size = np.array([total.get(lang, 0) for lang in langs], float)
-    kinds = np.array([0 if not k.startswith("\0") else len(k) - 1 for k in keys])
-    logs = np.empty_like(counts)
-    for kind in np.unique(kinds):
-        own = kinds == kind
-        whole = size if kind == 0 else counts[own].sum(0)
-        logs[own] = np.log((counts[own] + SMOOTH) / (whole + SMOOTH * own.sum() + 1))
-    floor = np.log(SMOOTH / (size + SMOOTH * len(keys) + 1))
-    return Model(langs, list(keys), logs, floor)
+    whole = np.zeros((len(ORDERS) + 1, len(langs)))
+    np.add.at(whole, (kinds[entry], which), counts)
+    base = np.log(SMOOTH / (whole + SMOOTH * np.bincount(kinds, minlength=len(ORDERS) + 1)[:, None] + 1))
+    floor = np.log(SMOOTH / (whole[0] + SMOOTH * len(keys) + 1))
+    begin = np.searchsorted(entry, np.arange(len(keys) + 1))
+    return Model(langs, list(keys), begin, which, np.log((counts + SMOOTH) / SMOOTH), base, floor)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -36,6 +39,85 @@ def test_long_words_count_whole(spark):
     assert langid.fit(spark.createDataFrame(late, "id long, text string, lang string")).predict("abcabc")[0] == "aa"
 
 
+def brute(rows, texts):
+    """(language, score) of texts by a plain scorer that learns from rows (text, lang)."""
+    words_of = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    langs = sorted({lang for _, lang in rows})
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for text, lang in rows:
+        words[lang].update(words_of(text))
+    for lang in langs:
+        for w, n in words[lang].items():
+            for k in range(1, 6):
+                p = f"\x02{w}\x03"
+                for i in range(len(p) - k + 1):
+                    grams[lang][p[i : i + k]] += n
+    known, pieces = set().union(*words.values()), set().union(*grams.values())
+    total = {lang: sum(words[lang].values()) for lang in langs}
+    of_order = {(lang, k): sum(n for g, n in grams[lang].items() if len(g) == k) for lang in langs for k in range(1, 6)}
+    distinct = Counter(map(len, pieces))
+
+    def gram(g, lang):
+        if g in pieces:
+            return math.log((grams[lang][g] + 0.5) / (of_order[lang, len(g)] + 0.5 * distinct[len(g)] + 1))
+        if len(g) == 1:
+            return math.log(0.5 / (total[lang] + 0.5 * (len(known) + len(pieces)) + 1))
+        return (gram(g[:-1], lang) + gram(g[1:], lang)) / 2
+
+    def word(w, lang):
+        if w in known:
+            return math.log((words[lang][w] + 0.5) / (total[lang] + 0.5 * len(known) + 1))
+        p = f"\x02{w}\x03"
+        k = min(5, len(p))
+        return sum(gram(p[i : i + k], lang) for i in range(len(p) - k + 1)) / (len(p) - k + 1)
+
+    out = []
+    for t in texts:
+        score = [sum(n * word(w, lang) for w, n in Counter(words_of(t)).items()) for lang in langs]
+        best = max(range(len(langs)), key=lambda i: (score[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(x - score[best]) for x in score)) if words_of(t) else ("und", 0.0))
+    return out
+
+
+def test_query_like_a_plain_scorer(spark, sf_dir):
+    docs = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    want = brute([(r.text, r.lang) for r in docs if r.lang and not held(r.doc_id)], [r.text for r in docs])
+    got = {r.doc_id: r for r in langid.op6_language_id(spark, sf_dir).collect()}
+    assert [got[r.doc_id].lang_pred for r in docs] == [x for x, _ in want]
+    assert max(abs(got[r.doc_id].score - x) for r, (_, x) in zip(docs, want, strict=True)) < 1e-6
+
+
+def test_backoff_like_a_plain_scorer(spark, monkeypatch):
+    rows = [("the cat talks", "aa"), ("the dog walked home", "aa"), ("el gato habla", "bb"), ("el perro anda a casa", "bb"), ("le chat parle", "cc")]
+    texts = ["talked", "hablando", "q", "the el le", "zzz www", "chats parlent", "perros y gatos", "habla " * 40 + "talk", "", "12", None, "ab" * 300]
+    model = langid.fit(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "id long, text string, lang string"))
+    want = brute(rows, texts)
+    for rooms in (None, 2):
+        if rooms:  # little room gives the same
+            monkeypatch.setattr(model, "_room", rooms)
+            monkeypatch.setattr(langid.Model, "_make_room", lambda self: self._seen_grams.clear())
+            model._seen.clear()
+        for t, (lang, score) in zip(texts, want, strict=True):
+            got = model.predict(t)
+            assert got[0] == lang and abs(got[1] - score) < 1e-9
+
+
+def test_every_word_of_the_sample_counts(spark):
+    """No vocabulary is cut, however many words a language has."""
+    rows = [(0, " ".join(f"{a}{b}{c}x" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz"), "aa"), (1, "other", "bb")]
+    model = langid.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert sum(not k.startswith("\0") for k in model.keys) == 20 * 20 * 26 + 1
+    many = [(i, f"word{chr(97 + i // 26)}{chr(97 + i % 26)}", f"l{i:03d}") for i in range(150)]
+    model = langid.fit(spark.createDataFrame(many, "id long, text string, lang string"))
+    assert [model.predict(t)[0] for _, t, _ in many] == [x for _, _, x in many]
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(i, "same words", x) for i, x in enumerate(["bb", "aa"])]
+    assert langid.fit(spark.createDataFrame(rows, "id long, text string, lang string")).predict("same") == ("aa", 0.5)
+
+
 def test_odd_texts(spark, docs):
     model = langid.learn(docs)
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 ²½ _"), (4, "x" * 100_000), (5, "É")], "doc_id long, text string")
