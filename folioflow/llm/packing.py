@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents, id_and_text, materialize, slices
+from folioflow.llm.common import build_side, documents, id_and_text, materialize, prefix_sums, slices
 
 END_ID = 0
 SPECIAL = "<|endoftext|>"
@@ -220,20 +220,18 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, size: i
     """
     spark = docs.sparkSession
     table = tokens(docs, json_path, ranks_path, id_col, text_col, size)
-    counts = table.groupBy("bucket", "rest").agg(F.count("*").alias("c"), F.sum(F.floor(F.col("n") / size)).alias("f"))
+    counts = materialize(table.groupBy("bucket", "rest").agg(F.count("*").alias("c"), F.sum(F.floor(F.col("n") / size)).alias("f")), "lengths")
     histogram = {r.rest: r.c for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("c").alias("c")).collect()}  # under size rows
     places = placements(histogram, size)
     partial = int((places[:, 5] + places[:, 2]).max()) if len(places) else 0
     plan = spark.sparkContext.broadcast(places)
 
-    # Where each bucket's ranks begin, by length: running sums over the buckets.
-    from pyspark.sql import Window
-
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    by_length = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("base", F.coalesce(F.sum("c").over(by_length), F.lit(0)))
-    base = base.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("rest", "base"))).alias("bases"), F.sum("f").alias("f"))
-    base = base.withColumn("full_base", F.coalesce(F.sum("f").over(before), F.lit(0))).drop("f")
+    # Where each bucket's ranks begin, by length, and its whole sequences: sums over the buckets before.
+    base = prefix_sums(counts.select("rest", "bucket", "c"), "bucket", "c", "base", ("rest",))
+    base = base.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("rest", "base"))).alias("bases"))  # under size entries
+    fulls = prefix_sums(counts.groupBy("bucket").agg(F.sum("f").alias("f")), "bucket", "f", "full_base")
+    # Written first, so that their true size decides whether the tokens have to be dealt out.
+    base = materialize(base.join(fulls.drop("f"), "bucket"), "bases")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = plan.value
@@ -256,7 +254,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, size: i
             values = np.concatenate(out[7]).view(np.int32) if out[7] else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:7]] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    ranked = table.join(base.hint("shuffle_hash"), "bucket").withColumn("rank", F.col("rank") + F.coalesce(F.element_at("bases", F.col("rest")), F.lit(0))).withColumn("full", F.col("fulls") + F.col("full_base"))
+    ranked = table.join(build_side(base), "bucket").withColumn("rank", F.col("rank") + F.coalesce(F.element_at("bases", F.col("rest")), F.lit(0))).withColumn("full", F.col("fulls") + F.col("full_base"))
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
     return ranked.select("id", "n", "ids", "rest", "rank", "full").mapInArrow(run, schema)
 
