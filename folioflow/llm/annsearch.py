@@ -6,8 +6,13 @@ a vector is what shifts its large inner products. A query scans a block of codes
 partial scores, two codes (a byte) at a time; the block's best by that score, ties and all by
 smaller id, are reranked by exact inner products in double precision.
 
-The codebooks are fitted on a bounded, documented sample; every row is encoded and scanned.
-Queries and candidates meet block by block, each pair of blocks in a task of fixed size.
+Every row lies in one coarse cell of about CELL_ROWS rows. A query goes to the cells whose
+centres score best, as many as held RECALL of the neighbours among the rows of the sample; so
+clustered vectors need few cells whatever their number, and vectors without structure need most.
+A cell's rows travel once for each QUERIES_PER_BLOCK of the queries that it gets, and large
+cells are cut into blocks, so a vector that very many rows share is many tasks.
+
+Centres and codebooks are fitted on a bounded, documented sample; every row is indexed.
 """
 
 from __future__ import annotations
@@ -18,11 +23,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from folioflow.llm.common import materialize
 
 #: Bound of the rows that the codebooks are fitted on (in expectation; rows are chosen by hash).
 TRAIN_ROWS = 8192
-CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 2048
+#: Rows a cell, up to MOST_CELLS, whose centres are fitted on TRAIN_ROWS or ROWS_PER_CENTRE rows a cell.
+CELL_ROWS, MOST_CELLS, ROWS_PER_CENTRE = 8192, 4096, 32
+#: Share of the neighbours within the sample that the cells searched must hold, and the rows that judge it.
+RECALL, JUDGES = 0.97, 256
+CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 8192
 RERANK = 200
+#: Larger components are cut to this size where only approximate scores are computed.
+LARGEST = 1e15
 CENTRES, THRESHOLD, ROUNDS = 16, 0.2, 8
 
 
@@ -39,7 +53,7 @@ class Quantiser:
     def split(self, x: np.ndarray) -> np.ndarray:
         m, _, w = self.books.shape
         out = np.zeros((len(x), m * w), np.float32)
-        out[:, : self.dim] = x
+        out[:, : self.dim] = np.clip(x, -LARGEST, LARGEST)
         return out.reshape(len(x), m, w)
 
     def assign(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
@@ -83,7 +97,7 @@ class Quantiser:
 
 def fit(x: np.ndarray, width: int = 2, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> Quantiser:
     """Codebooks for rows x, from any order of equal rows' multiset deterministically."""
-    x = x[np.lexsort(x.T[::-1])].astype(np.float32)
+    x = np.clip(x[np.lexsort(x.T[::-1])], -LARGEST, LARGEST).astype(np.float32)
     dim = x.shape[1]
     eta = max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
     m = -(-dim // width)
@@ -129,59 +143,129 @@ def best(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate((above, np.flatnonzero(score == least)[: n - len(above)]))
 
 
+class Cells:
+    """Centres of coarse cells, and how many of the best a query is to search."""
+
+    def __init__(self, centres: np.ndarray, probes: int):
+        self.centres, self.probes = centres, probes
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row: that of the nearest centre."""
+        x = np.clip(x, -LARGEST, LARGEST).astype(np.float32)
+        half = (self.centres**2).sum(1) / 2
+        return np.concatenate([(x[i : i + 4096] @ self.centres.T - half).argmax(1) for i in range(0, len(x), 4096)] or [np.empty(0, np.int64)])
+
+    def ranked(self, q: np.ndarray) -> np.ndarray:
+        """Cells by the inner products of their centres with each query, best first."""
+        return np.argsort(-(np.clip(q, -LARGEST, LARGEST).astype(np.float32) @ self.centres.T), axis=1, kind="stable")
+
+
+def partition(x: np.ndarray, cells: int, k: int, recall: float = RECALL, rounds: int = 6) -> Cells:
+    """Cells for rows x of a sample. probes: the fewest best cells that hold the recall of the k best
+    neighbours that JUDGES of the rows have among the others. Farther apart than in the whole table,
+    these are spread over more cells than the neighbours that a search is for."""
+    x = np.clip(x[np.lexsort(x.T[::-1])], -LARGEST, LARGEST).astype(np.float32)
+    if cells == 1 or len(x) <= cells:
+        return Cells(x[:1], 1)
+    rng = np.random.default_rng(0)
+    found = Cells(x[rng.choice(len(x), cells, replace=False)].copy(), cells)
+    for _ in range(rounds):
+        own = found.of(x)
+        n = np.bincount(own, minlength=cells)
+        for j in range(x.shape[1]):
+            sums = np.bincount(own, weights=x[:, j], minlength=cells)
+            found.centres[n > 0, j] = (sums[n > 0] / n[n > 0]).astype(np.float32)
+    own, judges = found.of(x), rng.choice(len(x), min(JUDGES, len(x)), replace=False)
+    score = x[judges] @ x.T
+    score[np.arange(len(judges)), judges] = -np.inf
+    k = min(k, len(x) - 1)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.empty((len(judges), cells), np.int64)
+    np.put_along_axis(place, found.ranked(x[judges]), np.arange(cells)[None], axis=1)
+    held = np.cumsum(np.bincount(place[np.arange(len(judges))[:, None], own[near]].ravel(), minlength=cells)) / near.size
+    found.probes = int(np.searchsorted(held, recall)) + 1
+    return found
+
+
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Rows (id, v) without null ids and vectors that are null, empty, zero or not finite; without repeats."""
-    v = F.col(f"`{vec_col}`").cast("array<float>")
+    """Rows (id, v) without null ids and vectors that are null, empty, zero or not finite; without repeats.
+    v keeps single precision where that is what df holds, else it has double precision."""
+    kind = df.select(F.col(f"`{vec_col}`")).schema[0].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    v = F.col(f"`{vec_col}`").cast("array<float>" if single else "array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists("v", lambda x: x != 0)).distinct()
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
+SCHEMA = "query_id long, rank int, vec_id long, score double"
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, recall: float = RECALL, exact: bool = False) -> DataFrame:
     """The k nearest found of each query: (query_id, rank, vec_id, score).
 
     vectors: all candidates; the rows for which is_query (a condition on id) holds are the
     queries. A query's own id is no candidate. score is the inner product of the vectors as
     given, in double precision; ties go to the smaller id. Vectors that are null, empty, zero
     or not finite take no part, nor do rows with a null id; equal rows count once; of several
-    vectors with one id the best scoring counts. Vectors whose length is not the most frequent one
-    (the smaller of equally frequent ones) take no part. An empty table gives no rows.
+    vectors with one id the best scoring counts. Vectors of different lengths have no inner
+    product: a query meets those of its own length, each length is searched for itself. exact
+    compares every query with every candidate. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = valid_vectors(vectors, id_col, vec_col)
-    schema = "query_id long, rank int, vec_id long, score double"
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"))
-    found = sizes.orderBy(F.desc("n"), "d").first()
-    if found is None or not found.q:
-        return spark.createDataFrame([], schema)
-    dim, n, n_queries = found.d, found.n, found.q
-    rows = rows.where(F.size("v") == dim)
-    share = min(1.0, TRAIN_ROWS / n)
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).where("q > 0").orderBy(F.desc("n"), "d").collect()  # one row a length
+    out = vectors.sparkSession.createDataFrame([], SCHEMA)
+    for i, s in enumerate(sizes):
+        found = _search(rows.where(F.size("v") == s.d), is_query, s.d, s.n, k, rerank, recall, exact)
+        out = out.unionAll(found) if i else found
+    return out
+
+
+def _search(rows: DataFrame, is_query, dim: int, n: int, k: int, rerank: int, recall: float, exact: bool) -> DataFrame:
+    """search() over n valid rows (id, v) of one length."""
+    spark, kind = rows.sparkSession, rows.schema["v"].dataType
+    cells = 1 if exact else max(1, min(MOST_CELLS, -(-n // CELL_ROWS)))
+    share = min(1.0, max(TRAIN_ROWS, ROWS_PER_CENTRE * cells) / n)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).select("v").toArrow()
     x = sample["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-    shared = spark.sparkContext.broadcast(fit(x if len(x) else np.eye(1, dim, dtype=np.float32)))
+    x = x if len(x) else np.eye(1, dim, dtype=np.float32)
+    x = x[np.lexsort(x.T[::-1])]
+    train = x[np.random.default_rng(1).permutation(len(x))[:TRAIN_ROWS]] if len(x) > 2 * TRAIN_ROWS else x
+    shared = spark.sparkContext.broadcast((fit(train), partition(x, cells, k, recall)))
+    keep = n if exact else rerank
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quantiser, coarse = shared.value
         for b in batches:
             for i in range(0, b.num_rows, CANDIDATES_PER_BLOCK):
                 part = b.slice(i, CANDIDATES_PER_BLOCK)
-                codes = shared.value.encode(part.column("v").flatten().to_numpy().reshape(-1, dim))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "code"])
+                v = part.column("v").flatten().to_numpy().reshape(-1, dim)
+                probed = [r.astype(np.int32) if q else None for r, q in zip(coarse.ranked(v)[:, : coarse.probes], part.column("query").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array([c.tobytes() for c in quantiser.encode(v)], pa.binary()), pa.array(coarse.of(v).astype(np.int32)), pa.array(probed, pa.list_(pa.int32()))], ["id", "v", "code", "cell", "probed"])
 
-    blocks, query_blocks = -(-n // CANDIDATES_PER_BLOCK), -(-n_queries // QUERIES_PER_BLOCK)
-    block = lambda count: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = rows.mapInArrow(encode, "id long, v array<float>, code binary").withColumn("cb", block(blocks)).withColumn("qb", every(query_blocks))
-    queries = rows.where(is_query).withColumn("qb", block(query_blocks)).withColumn("cb", every(blocks))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", kind), T.StructField("code", T.BinaryType()), T.StructField("cell", T.IntegerType()), T.StructField("probed", T.ArrayType(T.IntegerType()))])
+    placed = materialize(rows.withColumn("query", is_query).mapInArrow(place, schema), "cells")
+    asked = placed.where("probed is not null").select("id", "v", F.explode("probed").alias("cell"))
+    # Blocks of each cell and of the queries that it gets; a row a cell.
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / CANDIDATES_PER_BLOCK).cast("int").alias("blocks"))
+    groups = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).cast("int").alias("groups"))
+    plan = F.broadcast(materialize(blocks.join(groups, "cell"), "cell-blocks"))
+    own = lambda count: F.pmod(F.xxhash64("id", F.lit(7)), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    candidates = placed.select("id", "v", "code", "cell").join(plan, "cell").withColumn("cb", own("blocks")).withColumn("qb", every("groups")).drop("blocks", "groups")
+    queries = asked.join(plan, "cell").withColumn("qb", own("groups")).withColumn("cb", every("blocks")).drop("blocks", "groups")
+    # Both come from one table: names of their own keep the columns apart.
+    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "v", "cell", "cb", "qb")])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
+            quantiser = shared.value[0]
             left = left.sort_by("id")
             ids = left["id"].to_numpy()
             x = left["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
             codes = np.ascontiguousarray(np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1).T)
-            for own, q in zip(right["id"].to_pylist(), right["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim), strict=True):
-                at = best(scan(shared.value, q, codes), rerank + 1)
+            for own, q in zip(right["q_id"].to_pylist(), right["q_v"].combine_chunks().flatten().to_numpy().reshape(-1, dim), strict=True):
+                at = np.arange(len(ids)) if keep >= len(ids) else best(scan(quantiser, q, codes), keep + 1)
                 at = at[ids[at] != own]
                 exact = (x[at].astype(np.float64) * q.astype(np.float64)).sum(1)
                 order = np.lexsort((ids[at], -exact))
@@ -194,7 +278,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(cat(out[1], np.int64)), "score": pa.array(cat(out[2], np.float64))})
 
-    pairs = candidates.groupBy("cb", "qb").cogroup(queries.groupBy("cb", "qb")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    key = ("cell", "cb", "qb")
+    pairs = candidates.groupBy(*key).cogroup(queries.groupBy(*[f"q_{c}" for c in key])).applyInArrow(meet, "query_id long, vec_id long, score double")
     single = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return single.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
