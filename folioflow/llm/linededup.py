@@ -16,17 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import mph
-from folioflow.llm.common import documents, materialize, slices
+from folioflow.llm.common import build_side, documents, materialize, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 250_000
 PROBES_PER_COPY = 4_000_000
-LEAST = -(2**63)
+LEAST, NULL_IDS = -(2**63), -(2**62)
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -95,6 +95,13 @@ class Shard:
         return hit, owner
 
 
+def line_ids(id_col: str, text_col: str) -> Column:
+    """The id of a row's document. A row without one is a document of its own: it takes an id below
+    -2**62 by a hash of its text, which only rows with the same text share."""
+    own = F.lit(LEAST) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), 2)
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), own)
+
+
 INDEX_SCHEMA = "shard long, mph binary, fps binary, counts binary, owners binary, rest binary, copies long"
 
 
@@ -117,25 +124,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key is the line without ASCII white space at both ends, A-Z lower-cased. A key of at least
     min_chars code points that at least min_docs documents hold loses all its lines except those
     in the document with the largest id that holds it. Rows that share an id are one document and
-    all keep or lose a line; rows with a null id are one document, with the smallest id. Input columns named n_lines or n_dropped are replaced;
-    all others stay as they are. An empty table gives an empty result.
+    all keep or lose a line. Rows with a null id are documents of their own, each counted, with ids
+    below -2**62 by a hash of the text; of those equal texts keep or lose a line together. Input
+    columns named n_lines or n_dropped are replaced; all others stay as they are. An empty table
+    gives an empty result.
     """
     new = {"n_lines", "n_dropped"}
     keep = [c for c in docs.columns if c not in new]
-    ids = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST))
+    ids = line_ids(id_col, text_col)
     slim = docs.select(ids.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _batch_keys(b, min_chars)], ["h", "f", "id"])
 
-    held = slim.mapInArrow(emit, "h long, f int, id long").distinct()
-    lines = held.groupBy("h", "f").agg(F.count("*").alias("n"), F.max("id").alias("owner"))
+    held = slim.mapInArrow(emit, "h long, f int, id long").groupBy("h", "f", "id").agg(F.count("*").alias("rows"))
+    n = F.sum(F.when(F.col("id") < NULL_IDS, F.col("rows")).otherwise(1))
+    lines = held.groupBy("h", "f").agg(n.alias("n"), F.max("id").alias("owner"))
     index, shards = build_index(materialize(lines, "lines"), min_docs)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One row a shard: each distinct hash once, and how many of the ids that follow are its own.
-        for b in batches:
+        for b in slices(batches, 4096):
             h, f, ids = _batch_keys(b, min_chars)
             if not len(h):
                 continue
@@ -169,7 +179,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"id": np.concatenate(out_id), "h": np.concatenate(out_h)})
 
     found = probes.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(probe, "id long, h long")
-    drops = found.groupBy("id").agg(F.collect_set("h").alias("drops"))
+    # Written first, so that its true size decides whether the texts have to be dealt out.
+    drops = materialize(found.groupBy("id").agg(F.collect_set("h").alias("drops")), "drops")
 
     fields = [T.StructField(text_col, T.StringType()) if f.name == text_col else T.StructField(f.name, f.dataType) for f in docs.select(*[f"`{c}`" for c in keep]).schema]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -192,7 +203,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # By number, so that no name of an input column can clash with these.
     carried = [(F.lit(None).cast("string") if c == text_col else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(keep)]
     whole = docs.select(*carried, F.col(f"`{text_col}`").cast("string").alias("text"), ids.alias("id"))
-    joined = whole.join(drops.hint("shuffle_hash"), "id", "left")
+    joined = whole.join(build_side(drops), "id", "left")
     return joined.select(*[f"c{i}" for i in range(len(keep))], "text", "drops").mapInArrow(apply, schema)
 
 

@@ -46,6 +46,18 @@ def test_clashing_and_empty(spark, docs):
     assert [(r.text, r.n_lines, r.n_dropped) for r in one] == [("", 1, 0)] * 2
 
 
+def test_rows_without_an_id_are_documents(spark):
+    line = "a line that is long enough to count"
+    rows = [(None, f"{line}\none"), (None, f"{line}\ntwo"), (None, f"three\n{line}"), (4, line), (9, "other")]
+    found = lambda r: sorted(((x.doc_id, x.text) for x in linededup.dedup_lines(spark.createDataFrame(r, "doc_id long, text string")).collect()), key=repr)
+    assert found(rows) == sorted([(None, "one"), (None, "two"), (None, "three"), (4, line), (9, "other")], key=repr)
+    # Equal rows count each, and all stay where nobody else holds the line.
+    assert found([(None, line)] * 3) == [(None, line)] * 3
+    assert found([(None, line)] * 2 + [(4, line)]) == sorted([(None, "")] * 2 + [(4, line)], key=repr)
+    # Of different texts without an id one keeps the line.
+    assert sum(line in t for _, t in found(rows[:3])) == 1
+
+
 def test_query_hash(spark, tmp_path, docs, texts):
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in linededup.op1_line_dedup(spark, str(tmp_path)).collect()), key=repr)
