@@ -13,13 +13,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialize, split_join
+from folioflow.llm.common import build_side, materialize, slices, split_join
 
 ARCHIVE_BYTES = 16 << 20
 READ_BYTES = 64 << 10
@@ -125,12 +126,13 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_
     own = own.withColumn("least", F.coalesce("id", F.lit(-(2**63)))).withColumn("digest", F.when(F.octet_length("html") >= min_bytes, F.sha1(F.encode("html", "UTF-8"))))
     keyed = own.where("digest is not null").select("least", "digest")
     owner = keyed.groupBy("digest").agg(F.max("least").alias("owner"), F.count("*").alias("n")).where(f"n > 1 and owner > {-(2**63)}").drop("n")
-    to = split_join(keyed, owner, ["digest"]).where("least < owner").distinct()
-    joined = own.join(to.hint("shuffle_hash"), ["least", "digest"], "left").select("id", "url", "html", "owner")
+    # Written first, so that its true size decides whether the payloads have to be dealt out.
+    to = materialize(split_join(keyed, owner, ["digest"]).where("least < owner").distinct(), "revisits")
+    joined = own.join(build_side(to), ["least", "digest"], "left").select("id", "url", "html", "owner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, size = [], 0
+        data, size = [], 0
+        for b in slices(batches, 64):
             rows = zip(b.column("id").to_pylist(), b.column("url").to_pylist(), b.column("html").cast(pa.binary()).to_pylist(), b.column("owner").to_pylist(), strict=True)
             for id_, url, html, owner in rows:
                 data.append(write_record(id_, url, html, owner))
@@ -138,12 +140,30 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_
                 if size >= ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_pydict({"data": [b"".join(data)]})
                     data, size = [], 0
-            if data:
-                yield pa.RecordBatch.from_pydict({"data": [b"".join(data)]})
+        if data:
+            yield pa.RecordBatch.from_pydict({"data": [b"".join(data)]})
 
     return joined.mapInArrow(run, "data binary").select(F.concat(F.sha1("data"), F.lit(".warc.gz")).alias("archive"), "data")
 
 
+_PAGE = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string, digest_ok boolean"
+
+
+def _page_batches(chunks: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+    """The pages of one archive, some megabytes of blocks at a time."""
+    long, text = pa.int64(), pa.string()
+    kinds = pa.schema([("page_id", long), ("url", text), ("record_type", text), ("payload_bytes", long), ("payload_digest", text), ("refers_to", long), ("html", text), ("digest_ok", pa.bool_())])
+    rows, size = [], 0
+    for record in read_records(chunks):
+        rows.append(parse_page(record))
+        size += len(record["block"])
+        if size >= ARCHIVE_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
     """One row per record of archives(data binary): see parse_page."""
 
@@ -151,19 +171,23 @@ def read_archives(archives: DataFrame) -> DataFrame:
         for b in batches:
             for data in b.column("data"):
                 view = memoryview(data.as_buffer())
-                rows, size = [], 0
-                for record in read_records(bytes(view[i : i + READ_BYTES]) for i in range(0, len(view), READ_BYTES)):
-                    rows.append(parse_page(record))
-                    size += len(record["block"])
-                    if size >= ARCHIVE_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                yield from _page_batches(bytes(view[i : i + READ_BYTES]) for i in range(0, len(view), READ_BYTES))
 
-    long, text = pa.int64(), pa.string()
-    kinds = pa.schema([("page_id", long), ("url", text), ("record_type", text), ("payload_bytes", long), ("payload_digest", text), ("refers_to", long), ("html", text), ("digest_ok", pa.bool_())])
-    return archives.select("data").mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string, digest_ok boolean")
+    return archives.select("data").mapInArrow(run, _PAGE)
+
+
+def read_files(paths: DataFrame, open_file: Callable[[str], BinaryIO]) -> DataFrame:
+    """One row per record of the archive files paths(path string), of any size: a file is read from its
+    begin to its end, a few kilobytes at a time. open_file opens a path where the workers run; it
+    decides which store that is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                with open_file(path) as f:
+                    yield from _page_batches(iter(lambda f=f: f.read(READ_BYTES), b""))
+
+    return paths.select("path").mapInArrow(run, _PAGE)
 
 
 def save_archives(archives: DataFrame, directory: str) -> None:

@@ -32,6 +32,14 @@ def test_round_trip(spark, pages, tmp_path):
     assert sorted(map(repr, again.collect())) == sorted(map(repr, got.values()))
 
 
+def test_files_are_read_as_streams(spark, pages, tmp_path):
+    archives = warc.write_archives(pages.repartition(2))
+    warc.save_archives(archives, str(tmp_path / "w"))
+    paths = spark.createDataFrame([(str(p),) for p in (tmp_path / "w").glob("*.warc.gz")], "path string")
+    got = warc.read_files(paths, lambda path: open(path, "rb"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, warc.read_archives(archives).collect()))
+
+
 def test_members_and_framing():
     data = warc.write_record(1, "u", b"one") + warc.write_record(2, "u", b"two", 1)
     assert gzip.decompress(data).count(b"WARC/1.1") == 2
