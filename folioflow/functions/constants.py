@@ -5,7 +5,7 @@ from __future__ import annotations
 # Text predicates.
 MATH_TAG = r"(?s)<math>.*?</math>"
 EQUATION_LABEL = r"(?U)\(\d+(\.\d+)*[a-z]?\)"
-LETTER_RUN = r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿ؀-ۿऀ-ॿ฀-๿⺀-鿿]{2,}"
+LETTER_RUN = r"[A-Za-z\u00C0-\u024F\u0370-\u03FF\u0400-\u04FF\u0600-\u06FF\u0900-\u097F\u0E00-\u0E7F\u2E80-\u9FFF]{2,}"
 BLANK_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 # Replacements in OCR text, in this order.
@@ -26,6 +26,13 @@ OCR_REPLACEMENTS = (
     ("…", "..."),
 )
 
+# A leading block of a model's thoughts, in three strictnesses.
+THINK = {"plain": r"(?s)^<think>.+?</think>", "lines": r"(?s)^<think>.+?\n*(</think>|\n)*(</think>)\n*", "gateway": r"(?sU)^\s*<think>.*?</think>"}
+
+# Drawing operators: font, size, x, y, codes; and x, y, width, dx, dy.
+TEXT_OP = "/%s %f Tf 1 0 0 1 %f %f Tm [<%s>] TJ "
+LINE_OP = "ET q 1 0 0 1 %f %f cm [] 0 d 0 J %f w 0 0 m %f %f l S Q BT "
+
 # Layout labels and their categories.
 CATEGORIES = ("BYPASS", "FLOWING_TEXT", "IN_PLACE", "TABLE", "EQUATION")
 DEFAULT_CATEGORY = "FLOWING_TEXT"

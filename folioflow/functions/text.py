@@ -49,7 +49,7 @@ def length_violation(translation: Column | str, source: Column | str, tolerance:
 def _normal_form(s: pd.Series) -> pd.Series:
     # Java has neither this normal form as a function nor the same table of categories.
     keep = lambda t: "".join(c for c in unicodedata.normalize("NFC", t) if c in "\n\t" or unicodedata.category(c)[0] != "C")
-    return s.map(lambda t: t if t is None or t.isascii() and t.isprintable() else keep(t))
+    return s.map(lambda t: t if t is None else keep(t))
 
 
 @F.pandas_udf(T.StringType())
@@ -67,7 +67,12 @@ def clean_ocr_text(s: Column | str) -> Column:
 
     Blank lines within stay. A null text becomes empty.
     """
-    t = F.coalesce(_normal_form(_c(s)), F.lit(""))
+    # ASCII is in normal form; its control characters go in the JVM. Only other texts go to Python: the
+    # column that does is null for the rest, and a plain regular expression decides.
+    plain = ~_c(s).rlike(r"[^\x00-\x7F]")
+    ascii_ = F.when(_c(s).rlike(r"[\x00-\x08\x0B-\x1F\x7F]"), F.regexp_replace(_c(s), r"[\x00-\x08\x0B-\x1F\x7F]+", "")).otherwise(_c(s))
+    t = F.when(plain, ascii_).otherwise(_normal_form(F.when(~plain, _c(s))))
+    t = F.coalesce(t, F.lit(""))
     for old, new in K.OCR_REPLACEMENTS:
         t = F.replace(t, F.lit(old), F.lit(new))
     t = F.regexp_replace(F.translate(t, "\t", " "), " +", " ")
@@ -87,8 +92,7 @@ def html_unescape(s: Column | str) -> Column:
 
 def strip_think(s: Column | str, form: str = "gateway") -> Column:
     """Without one leading <think> block. form: plain, lines (also the line ends after it) or gateway (white space before and an empty block allowed)."""
-    pattern = {"plain": r"(?s)^<think>.+?</think>", "lines": r"(?s)^<think>.+?\n*(</think>|\n)*(</think>)\n*", "gateway": r"(?sU)^\s*<think>.*?</think>"}[form]
-    return F.regexp_replace(_c(s), pattern, "")
+    return F.regexp_replace(_c(s), K.THINK[form], "")
 
 
 def placeholder_ids(s: Column | str) -> Column:
@@ -110,12 +114,12 @@ def hex_codes(s: Column | str, width: int) -> Column:
 
 def text_op(font: Column | str, size: Column | str, x: Column | str, y: Column | str, codes: Column | str) -> Column:
     """The drawing operator of a run of encoded text."""
-    return F.format_string("/%s %f Tf 1 0 0 1 %f %f Tm [<%s>] TJ ", _c(font), _c(size), _c(x), _c(y), _c(codes))
+    return F.format_string(K.TEXT_OP, _c(font), _c(size), _c(x), _c(y), _c(codes))
 
 
 def line_op(x: Column | str, y: Column | str, dx: Column | str, dy: Column | str, width: Column | str) -> Column:
     """The drawing operator of a line."""
-    return F.format_string("ET q 1 0 0 1 %f %f cm [] 0 d 0 J %f w 0 0 m %f %f l S Q BT ", _c(x), _c(y), _c(width), _c(dx), _c(dy))
+    return F.format_string(K.LINE_OP, _c(x), _c(y), _c(width), _c(dx), _c(dy))
 
 
 def is_formula_glyph(font: Column | str, char: Column | str, font_pattern: str | None = None, char_pattern: str | None = None) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,33 +26,41 @@ def ranked_boxes(boxes: DataFrame, by: list[str], min_conf: float | None = K.MIN
     return own.groupBy(*by).agg(F.sort_array(F.collect_list(box)).alias("boxes"))
 
 
-def region_of(boxes: Column | str, x: Column | str, y: Column | str, width: Column | str, height: Column | str) -> Column:
+def page_marks(boxes: DataFrame, width: Column | str, height: Column | str) -> DataFrame:
+    """ranked_boxes with a column marks instead: for each box the pixels that it covers on a raster of the
+    page, and its region: 0 where it is reserved, else 2 plus its index. One row a page, so the corners are
+    computed once a box and not once a glyph."""
+    w, h = (F.col(v) if isinstance(v, str) else v for v in (width, height))
+    mark = lambda b, i: F.struct(F.when(b["name"].isin(*K.RESERVED_REGIONS), F.lit(1 << 30)).otherwise(i + 2).alias("region"), G.pixel_region(b, w, h).alias("px"))
+    return boxes.withColumn("marks", F.transform("boxes", mark)).drop("boxes")
+
+
+def region_of(marks: Column | str, x: Column | str, y: Column | str, width: Column | str, height: Column | str) -> Column:
     """The region at a point of a page: 0 if a reserved box covers it, else 2 plus the index of the
     least sure covering box, else 1. Boxes cover whole pixels of the page's raster, the last row
-    and column never; x and y are truncated and clipped to it.
+    and column never; x and y are truncated and clipped to it. marks: from page_marks.
     """
-    c = lambda v: F.col(v) if isinstance(v, str) else v
-    x, y, w, h = c(x), c(y), c(width), c(height)
+    marks, x, y, w, h = (F.col(v) if isinstance(v, str) else v for v in (marks, x, y, width, height))
     px = F.greatest(F.lit(0), F.least(x.cast("int"), (w - 1).cast("int")))
     py = F.greatest(F.lit(0), F.least(y.cast("int"), (h - 1).cast("int")))
+    covers = lambda m: (px >= m.px.x0) & (px < m.px.x1) & (py >= m.px.y0) & (py < m.px.y1)
+    top = F.coalesce(F.array_max(F.transform(F.filter(marks, covers), lambda m: m.region)), F.lit(1))
+    return F.when(top == 1 << 30, 0).otherwise(top)
 
-    def state(b: Column, i: Column) -> Column:
-        r = G.pixel_region(b, w, h)
-        covers = (px >= r.x0) & (px < r.x1) & (py >= r.y0) & (py < r.y1)
-        return F.when(covers, F.when(b["name"].isin(*K.RESERVED_REGIONS), F.lit(1 << 30)).otherwise(i + 2)).otherwise(1)
-
-    top = F.array_max(F.transform(F.coalesce(c(boxes), F.array().cast("array<struct<order: double, pos: int, name: string, conf: double, x0: double, y0: double, x1: double, y1: double>>")), state))
-    return F.when(top == 1 << 30, 0).otherwise(F.coalesce(top, F.lit(1)))
 
-
-def glyph_regions(glyphs: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
+def glyph_regions(glyphs: DataFrame, boxes: DataFrame, by: list[str], size: tuple[float, float] | None = None) -> DataFrame:
     """glyphs with their region; a page's boxes travel as one array, so glyphs are not multiplied.
 
-    glyphs has page_width and page_height; boxes comes from ranked_boxes. Bullets have region 0.
+    glyphs has page_width and page_height, the same for all of a page; boxes comes from
+    ranked_boxes. Bullets have region 0. size: width and height, where all pages have the same.
     """
-    joined = glyphs.join(boxes, by, "left")
-    found = region_of("boxes", "x0", "y0", "page_width", "page_height")
-    return joined.withColumn("region", F.when(F.col("text") == "•", 0).otherwise(found)).drop("boxes")
+    if size:
+        sized = boxes.withColumn("__w", F.lit(size[0])).withColumn("__h", F.lit(size[1]))
+    else:
+        sized = boxes.join(glyphs.groupBy(*by).agg(F.max("page_width").alias("__w"), F.max("page_height").alias("__h")), by)
+    marks = page_marks(sized, "__w", "__h").drop("__w", "__h")
+    found = region_of("marks", "x0", "y0", "page_width", "page_height")
+    return glyphs.join(marks, by, "left").withColumn("region", F.when(F.col("text") == "•", 0).otherwise(found)).drop("marks")
 
 
 def lines_in_cells(cells: DataFrame, lines: DataFrame, by: list[str], overlap: float = K.OVERLAP) -> DataFrame:
@@ -108,8 +117,8 @@ class Paragraph:
     y0: float
     y1: float
     size: float
-    text: str = ""
-    brk: bool = False
+    text: str
+    brk: bool
 
 
 @dataclass
@@ -123,86 +132,131 @@ class Formula:
         return max(g.x1 for g in self.glyphs) - self.glyphs[0].x0
 
 
+class Glyphs:
+    """The glyphs of a page in order as columns, and what each is to the one before it."""
+
+    def __init__(self, glyphs: list, page_width: float):
+        column = lambda name, kind: np.array([getattr(g, name) for g in glyphs], kind)
+        self.text = column("text", object)
+        self.x0, self.x1, self.y0, self.y1, self.size = (column(c, float) for c in ("x0", "x1", "y0", "y1", "size"))
+        self.region, self.marked = column("region", int), column("formula", bool) | (column("region", int) == 0)
+        before = np.arange(len(glyphs)) - 1
+        self.same = (self.region == self.region[before]) & (before >= 0)
+        self.far = np.abs(self.x0 - self.x0[before]) > page_width / 4
+        self.gap = self.x0 > self.x1[before] + 1
+        self.back = ~self.gap & (self.x1 < self.x0[before])
+        self.right = self.x0 > self.x0[before]
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+
 @dataclass
+class Cuts:
+    """For each glyph: whether it is of a formula, begins a run of its kind or a paragraph, and whether a
+    space comes before it; the size of its paragraph so far; and each run's placeholder by its begin."""
+
+    math: np.ndarray
+    run: np.ndarray
+    paragraph: np.ndarray
+    spaced: np.ndarray
+    size: np.ndarray
+
+
+def cut_runs(page: Glyphs) -> Cuts:
+    """The decisions of a page that depend on the paragraph read so far: only these need a fold.
+
+    Small glyphs after two visible characters and brackets that open within a formula belong to
+    formulas. A formula ends at text, at another region and at a jump across the page, unless
+    nothing stands before it in its paragraph; one by itself is a paragraph.
+    """
+    n = len(page)
+    out = Cuts(*(np.zeros(n, bool) for _ in range(4)), np.zeros(n))
+    size, shown, depth, formulas, inside = 0.0, "", 0, 0, False
+    for i in range(n):
+        small = page.same[i] and page.size[i] < size * K.SUBSCRIPT and len(shown.strip()) > 1
+        math = bool(page.marked[i] or small)
+        if not math and page.text[i] in ("(", ")"):
+            turn = 1 if page.text[i] == "(" else -1
+            math = inside if turn > 0 else depth > 0
+            depth += turn * math
+        follows = inside and math and page.same[i] and not (shown and page.far[i])
+        if not follows:
+            alone = inside and not shown
+            if inside:
+                shown += f"{{v{formulas}}}"
+                formulas += 1
+            out.paragraph[i] = alone or not page.same[i]
+            out.run[i] = out.paragraph[i] or math or inside
+            if out.paragraph[i]:
+                size, shown = page.size[i], ""
+            elif page.gap[i] or page.back[i]:
+                out.spaced[i] = True
+                shown += " "
+        if not math:
+            if page.text[i] != " " and (page.size[i] > size or len(shown.strip()) == 1):
+                size = page.size[i]
+            shown += page.text[i]
+        out.math[i], out.size[i], inside = math, size, math
+    return out
+
+
+def _ranges(begins: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last + 1) of the parts that begin where begins holds."""
+    at = np.flatnonzero(begins).tolist()
+    return list(zip(at, [*at[1:], len(begins)], strict=False))
+
+
+def _offset(page: Glyphs, cuts: Cuts, a: int, z: int) -> float:
+    """How far the formula of glyphs a to z stands above the text: by the text right of it, if the
+    formula ends there and it is of the same region, else by the glyph left of it."""
+    if z < len(page) and not cuts.math[z] and page.same[z] and (page.x0[z] > page.x0[a:z]).all():
+        return page.y0[a] - page.y0[z]
+    return page.y0[a] - page.y0[a - 1] if page.right[a] and not cuts.paragraph[a] else 0.0
+
+
 class Segmenter:
     """Reads a page's glyphs and lines in order; gives paragraphs, formulas and lines of no formula.
 
     A glyph needs text, size, x0, y0, x1, y1, region and formula (font, character or direction
-    already mark it). Tests read the paragraph as built so far, which is why this is a fold.
+    already mark it). end() reads what was given.
     """
 
-    page_width: float
-    paragraphs: list = field(default_factory=list)
-    formulas: list = field(default_factory=list)
-    lines: list = field(default_factory=list)
-    _open: list = field(default_factory=list)
-    _open_lines: list = field(default_factory=list)
-    _fix: float = 0.0
-    _depth: int = 0
-    _last: object = None
-    _region: int = -1
+    def __init__(self, page_width: float):
+        self.page_width = page_width
+        self._glyphs: list = []
+        self._lines: list[tuple[int, object]] = []
 
     def line(self, item) -> None:
-        (self._open_lines if self._open and item.region == self._region else self.lines).append(item)
+        self._lines.append((len(self._glyphs) - 1, item))
 
     def glyph(self, g) -> None:
-        math = self._is_math(g)
-        jump = bool(self.paragraphs and self.paragraphs[-1].text and abs(g.x0 - self._last.x0) > self.page_width / 4)
-        if self._open and (not math or g.region != self._region or jump):
-            if not math and g.region == self._region and all(g.x0 > f.x0 for f in self._open):
-                self._fix = self._open[0].y0 - g.y0
-            if not self.paragraphs[-1].text:
-                self._region = -1  # nothing may follow on a formula by itself
-            self._close()
-        if not self._open:
-            self._place(g)
-        own = self.paragraphs[-1]
-        if math:
-            if not self._open and g.region == self._region and g.x0 > self._last.x0:
-                self._fix = g.y0 - self._last.y0
-            self._open.append(g)
-        else:
-            if g.text != " " and (g.size > own.size or len(own.text.strip()) == 1):
-                own.y -= g.size - own.size
-                own.size = g.size
-            own.text += g.text
-        own.x0, own.x1 = min(own.x0, g.x0), max(own.x1, g.x1)
-        own.y0, own.y1 = min(own.y0, g.y0), max(own.y1, g.y1)
-        self._last, self._region = g, g.region
+        self._glyphs.append(g)
 
     def end(self) -> Segmenter:
-        if self._open:
-            self._close()
+        page = Glyphs(self._glyphs, self.page_width)
+        cuts = cut_runs(page)
+        runs = _ranges(cuts.run)
+        formulas = [(a, z) for a, z in runs if cuts.math[a]]
+        # A line belongs to the formula that the glyph before it is of.
+        owner = np.cumsum(cuts.run & cuts.math) - 1
+        held = [i >= 0 and cuts.math[i] and page.region[i] == item.region for i, item in self._lines]
+        self.lines = [item for (_, item), h in zip(self._lines, held, strict=True) if not h]
+        own: list[list] = [[] for _ in formulas]
+        for (i, item), h in zip(self._lines, held, strict=True):
+            if h:
+                own[owner[i]].append(item)
+        self.formulas = [Formula(self._glyphs[a:z], lines, _offset(page, cuts, a, z)) for (a, z), lines in zip(formulas, own, strict=True)]
+        pieces = np.where(cuts.spaced, " ", "").astype(object) + np.where(cuts.math, "", page.text)
+        for number, (_, z) in enumerate(formulas):
+            pieces[z - 1] += f"{{v{number}}}"
+        self.paragraphs = []
+        for a, z in _ranges(cuts.paragraph):
+            box = page.x0[a:z].min(), max(page.x0[a], page.x1[a:z].max()), page.y0[a:z].min(), page.y1[a:z].max()
+            size = cuts.size[z - 1]
+            self.paragraphs.append(Paragraph(*map(float, (page.x0[a], page.y0[a] - (size - page.size[a]), *box, size)), "".join(pieces[a:z]), bool((cuts.spaced & page.back)[a:z].any())))
         return self
 
-    def _is_math(self, g) -> bool:
-        own = self.paragraphs[-1] if self.paragraphs else None
-        small = own is not None and g.region == self._region and len(own.text.strip()) > 1 and g.size < own.size * K.SUBSCRIPT
-        if g.region == 0 or small or g.formula:
-            return True
-        if self._open and g.text == "(":
-            self._depth += 1
-            return True
-        if self._depth and g.text == ")":
-            self._depth -= 1
-            return True
-        return False
-
-    def _place(self, g) -> None:
-        """A space in the paragraph that goes on, or a new paragraph."""
-        if g.region != self._region:
-            self.paragraphs.append(Paragraph(g.x0, g.y0, g.x0, g.x0, g.y0, g.y1, g.size))
-        elif g.x0 > self._last.x1 + 1:
-            self.paragraphs[-1].text += " "
-        elif g.x1 < self._last.x0:
-            self.paragraphs[-1].text += " "
-            self.paragraphs[-1].brk = True
-
-    def _close(self) -> None:
-        self.paragraphs[-1].text += f"{{v{len(self.formulas)}}}"
-        self.formulas.append(Formula(self._open, self._open_lines, self._fix))
-        self._open, self._open_lines, self._fix = [], [], 0.0
-
 
 _G = "struct<text: string, font: string, size: double, x0: double, y0: double, x1: double, y1: double, cid: int>"
 _L = "struct<x0: double, y0: double, x1: double, y1: double, line_width: double>"
@@ -251,81 +305,108 @@ class FixedMetrics:
 
 
 _PLACEHOLDER = re.compile(r"\{\s*v([\d\s]+)\}", re.I)
+_MODIFIERS = ("Lm", "Mn", "Sk")
 
 
-def _pieces(text: str, known: int) -> Iterator[str | int]:
-    """Characters and numbers of known formulas, in order."""
-    at = 0
-    while at < len(text):
-        if m := _PLACEHOLDER.match(text, at):
-            at = m.end()
-            try:
-                n = int(m[1].replace(" ", ""))
-            except ValueError:
-                continue
-            if n < known:
-                yield n
-        else:
-            yield text[at]
-            at += 1
+@dataclass
+class Token:
+    """A character or a formula: what it takes up, and how far it moves on what follows."""
 
+    char: str
+    formula: dict | None
+    font: str | None
+    width: float
+    advance: float
 
-@dataclass
-class Reflow:
-    """Lays the new text of one paragraph out from left to right."""
 
-    par: dict
-    formulas: list
-    metrics: FixedMetrics
-    ops: list = field(default_factory=list)
-    lines: int = 0
+def measure(text: str, formulas: list, metrics: FixedMetrics, size: float) -> list[Token]:
+    """The characters and known formulas of a text with their sizes; unknown placeholders are left out.
+    A formula that ends in a modifier moves on by that much less."""
 
-    def run(self, text: str) -> Reflow:
-        par, size = self.par, self.par["size"]
-        self.x, self.buffer, self.font, self.start = par["x"], "", None, par["x"]
-        for piece in _pieces(text, len(self.formulas)):
-            if isinstance(piece, int):
-                formula, font, step = self.formulas[piece], self.font, self.formulas[piece]["width"]
-            else:
-                formula, (font, em) = None, self.metrics.advance(piece)
-                step = em * size
-            full = self.x + step > par["x1"] + 0.1 * size
-            if formula or font != self.font or full:
-                self._flush()
-            if full and par["brk"]:
-                self.x, self.lines = par["x0"], self.lines + 1
-            if formula:
-                self._formula(formula)
-                last = formula["glyphs"][-1]
-                if last["text"] and unicodedata.category(last["text"][0]) in ("Lm", "Mn", "Sk"):
-                    step -= last["x1"] - last["x0"]
-            elif not self.buffer:
-                self.start = self.x
-                if piece == " " and self.x == par["x0"]:
-                    step = 0
-                else:
-                    self.buffer = piece
-            else:
-                self.buffer += piece
-            self.font, self.x = font, self.x + step
-        self._flush()
-        return self
+    def formula(m: re.Match) -> list[Token]:
+        digits = m[1].replace(" ", "")
+        f = formulas[int(digits)] if digits.isdigit() and int(digits) < len(formulas) else None
+        if f is None:
+            return []
+        last = f["glyphs"][-1]
+        modifier = bool(last["text"]) and unicodedata.category(last["text"][0]) in _MODIFIERS
+        return [Token("", f, None, f["width"], f["width"] - (last["x1"] - last["x0"]) * modifier)]
+
+    def chars(part: str) -> list[Token]:
+        sized = ((c, *metrics.advance(c)) for c in part)
+        return [Token(c, None, font, em * size, em * size) for c, font, em in sized]
+
+    out, at = [], 0
+    for m in _PLACEHOLDER.finditer(text):
+        out += chars(text[at : m.start()]) + formula(m)
+        at = m.end()
+    return out + chars(text[at:])
+
+
+def _dropped(t: Token, x: float, par: dict) -> bool:
+    """Whether a token is a space at the begin of a line, which takes up nothing."""
+    return t.char == " " and x == par["x0"]
+
+
+def place(tokens: list[Token], par: dict) -> list[tuple[float, int, bool]]:
+    """Where each token stands: x, line, and whether it is beyond the right edge of the line before.
+
+    Beyond the edge a paragraph that had several lines goes on in the next one, another runs on.
+    """
+    out, x, line = [], par["x"], 0
+    for t in tokens:
+        beyond = x + t.width > par["x1"] + 0.1 * par["size"]
+        if beyond and par["brk"]:
+            x, line = par["x0"], line + 1
+        out.append((x, line, beyond))
+        x += 0 if _dropped(t, x, par) else t.advance
+    return out
+
+
+def _text_op(font, size, x, dy, codes, line) -> dict:
+    return {"kind": "TEXT", "font": font, "size": size, "x": x, "dy": dy, "codes": codes, "line": line, "dx": None, "dy2": None, "width": None}
 
-    def _flush(self) -> None:
-        if self.buffer:
-            self._text(self.font, self.par["size"], self.start, 0.0, self.metrics.codes(self.font, self.buffer))
-            self.buffer = ""
 
-    def _text(self, font, size, x, dy, codes) -> None:
-        self.ops.append({"kind": "TEXT", "font": font, "size": size, "x": x, "dy": dy, "codes": codes, "line": self.lines, "dx": None, "dy2": None, "width": None})
+def _formula_ops(f: dict, x: float, line: int, fix: float, metrics: FixedMetrics) -> list[dict]:
+    """The glyphs of a formula and its thin lines, each as far from x as it was from the first glyph."""
+    left, base = f["glyphs"][0]["x0"], f["glyphs"][0]["y0"]
+    glyphs = [_text_op(g["font"], g["size"], x + g["x0"] - left, fix + g["y0"] - base, metrics.codes(g["font"], chr(g["cid"])), line) for g in f["glyphs"]]
+    thin = [s for s in f["lines"] if s["line_width"] < K.MAX_LINE_WIDTH]
+    return glyphs + [{"kind": "LINE", "font": None, "size": None, "x": s["x0"] + x - left, "dy": s["y0"] + fix - base, "codes": None, "line": line, "dx": s["x1"] - s["x0"], "dy2": s["y1"] - s["y0"], "width": s["line_width"]} for s in thin]
 
-    def _formula(self, f: dict) -> None:
-        first, fix = f["glyphs"][0], f["fix"] if self.font is not None else 0.0
-        for g in f["glyphs"]:
-            self._text(g["font"], g["size"], self.x + g["x0"] - first["x0"], fix + g["y0"] - first["y0"], self.metrics.codes(g["font"], chr(g["cid"])))
-        for s in f["lines"]:
-            if s["line_width"] < K.MAX_LINE_WIDTH:
-                self.ops.append({"kind": "LINE", "font": None, "size": None, "x": s["x0"] + self.x - first["x0"], "dy": s["y0"] + fix - first["y0"], "codes": None, "line": self.lines, "dx": s["x1"] - s["x0"], "dy2": s["y1"] - s["y0"], "width": s["line_width"]})
+
+class Reflow:
+    """The drawing operators of one paragraph with a new text: tokens are measured, placed, then drawn
+    in stretches of one font and line."""
+
+    def __init__(self, par: dict, formulas: list, metrics: FixedMetrics):
+        self.par, self.formulas, self.metrics = par, formulas, metrics
+        self.ops: list[dict] = []
+        self.lines = 0
+
+    def run(self, text: str) -> Reflow:
+        tokens = measure(text, self.formulas, self.metrics, self.par["size"])
+        places = place(tokens, self.par)
+        self.lines = places[-1][1] if places else 0
+        first_text = next((i for i, t in enumerate(tokens) if t.formula is None), len(tokens))
+        stretch: list[int] = []
+
+        def draw() -> None:
+            if stretch:
+                x, line, _ = places[stretch[0]]
+                font = tokens[stretch[0]].font
+                self.ops.append(_text_op(font, self.par["size"], x, 0.0, self.metrics.codes(font, "".join(tokens[i].char for i in stretch)), line))
+                stretch.clear()
+
+        for i, (t, (x, line, beyond)) in enumerate(zip(tokens, places, strict=True)):
+            if t.formula is not None or beyond or (stretch and tokens[stretch[-1]].font != t.font):
+                draw()
+            if t.formula is not None:
+                self.ops += _formula_ops(t.formula, x, line, t.formula["fix"] if first_text < i else 0.0, self.metrics)
+            elif not _dropped(t, x, self.par):
+                stretch.append(i)
+        draw()
+        return self
 
 
 def fitted_line_height(start: float, lines: int, size: float, height: float) -> float:
@@ -337,14 +418,15 @@ def fitted_line_height(start: float, lines: int, size: float, height: float) ->
 def draw_page(page: dict, texts: list[str], lang: str, metrics: FixedMetrics | None = None) -> str:
     """The drawing operators of a page whose paragraphs have new texts, then its own lines."""
     metrics, out = metrics or FixedMetrics(), []
-    line = "ET q 1 0 0 1 {:f} {:f} cm [] 0 d 0 J {:f} w 0 0 m {:f} {:f} l S Q BT "
+    height = K.LINE_HEIGHTS.get(lang.lower(), K.DEFAULT_LINE_HEIGHT)
     for par, text in zip(page["paragraphs"], texts, strict=True):
         flow = Reflow(par, page["formulas"], metrics).run(text)
-        leading = par["size"] * fitted_line_height(K.LINE_HEIGHTS.get(lang.lower(), K.DEFAULT_LINE_HEIGHT), flow.lines, par["size"], par["y1"] - par["y0"])
+        leading = par["size"] * fitted_line_height(height, flow.lines, par["size"], par["y1"] - par["y0"])
         for op in flow.ops:
             y = op["dy"] + par["y"] - op["line"] * leading
-            out.append(f"/{op['font']} {op['size']:f} Tf 1 0 0 1 {op['x']:f} {y:f} Tm [<{op['codes']}>] TJ " if op["kind"] == "TEXT" else line.format(op["x"], y, op["width"], op["dx"], op["dy2"]))
-    out += [line.format(s["x0"], s["y0"], s["line_width"], s["x1"] - s["x0"], s["y1"] - s["y0"]) for s in page["lines"] if s["line_width"] < K.MAX_LINE_WIDTH]
+            values = (op["font"], op["size"], op["x"], y, op["codes"]) if op["kind"] == "TEXT" else (op["x"], y, op["width"], op["dx"], op["dy2"])
+            out.append((K.TEXT_OP if op["kind"] == "TEXT" else K.LINE_OP) % values)
+    out += [K.LINE_OP % (s["x0"], s["y0"], s["line_width"], s["x1"] - s["x0"], s["y1"] - s["y0"]) for s in page["lines"] if s["line_width"] < K.MAX_LINE_WIDTH]
     return f"BT {''.join(out)}ET "
 
 

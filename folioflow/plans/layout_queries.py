@@ -53,7 +53,7 @@ def region_of_point(spark, sf_dir):
     """The region under each glyph."""
     boxes = layout.ranked_boxes(_boxes(spark, sf_dir), ["page"])
     glyphs = _points(spark, sf_dir).withColumns({"text": F.lit("x"), "page_width": F.lit(612), "page_height": F.lit(792)})
-    return layout.glyph_regions(glyphs, boxes, ["page"]).select("l_orderkey", "l_linenumber", "region")
+    return layout.glyph_regions(glyphs, boxes, ["page"], (612, 792)).select("l_orderkey", "l_linenumber", "region")
 
 
 @REGISTER(REGIONS + "SELECT CAST(CASE WHEN reserved THEN 0 ELSE coalesce(top, 1) END AS INTEGER) AS region, count(*) AS n FROM m GROUP BY 1")
