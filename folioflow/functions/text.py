@@ -234,6 +234,31 @@ def translation_prompt(payload: Column | str, source: str, target: str, glossary
     return F.concat(F.lit(head), block, _c(payload))
 
 
+def translation_request(payload: Column | str, ids: Column | str, source: Column | str, target: Column | str, glossary: Column | str) -> Column:
+    """Struct (system, user) that asks for the translation of one chunk. payload is its JSON, ids its ids in
+    order, of which the first two serve as the example; glossary its lines, or empty."""
+    terms = F.when(F.coalesce(_c(glossary), F.lit("")) != "", F.concat(F.lit("\nGlossary, to be used as it stands:\n"), _c(glossary))).otherwise("")
+    rules = " Leave markup, formulas between <math> and </math>, addresses and placeholders such as {v0} as they are. Keep each length within 15 percent of its source. Neither merge nor split entries. Answer with JSON and nothing else."
+    system = F.concat(F.lit("You translate documents from "), _c(source), F.lit(" to "), _c(target), F.lit("."), F.lit(rules), terms)
+    shape = F.array_join(F.transform(F.slice(_c(ids), 1, 2), lambda i: F.concat(F.lit('{"id": "'), i, F.lit('", "t": "translation of '), i, F.lit('"}'))), ", ")
+    user = F.concat(F.lit(f"{INPUT}\n"), _c(payload), F.lit(f"\n{ANSWER}\n["), shape, F.lit("]"))
+    return F.struct(system.alias("system"), user.alias("user"))
+
+
+def glossary_request(payload: Column | str, source: Column | str, target: Column | str) -> Column:
+    """Struct (system, user) that asks for the proper names and technical terms of one chunk."""
+    system = F.concat(F.lit("You collect the terms of documents for translators from "), _c(source), F.lit(" to "), _c(target), F.lit("."))
+    wanted = "Take names of people, places, organisations and products, and technical terms, each once. Leave common words, formulas and placeholders out."
+    user = F.concat(F.lit(f"{wanted}\n{INPUT}\n"), _c(payload), F.lit(f'\n{ANSWER}\n[{{"src": "term", "dst": "its translation"}}]'))
+    return F.struct(system.alias("system"), user.alias("user"))
+
+
+#: Marks around the payload of a request, and what is said when an answer is asked for again.
+INPUT, ANSWER = "Input:", "Answer in this form:"
+EVERY_ID = "\nEvery id of the input must be answered, each exactly once."
+OTHER_LENGTHS = "\nThe lengths of the last answer were off by more than 15 percent. It was:\n"
+
+
 def fill_template(template: str, values: dict[str, Column]) -> Column:
     """A template with $name or ${name} filled in; unknown names stay as they are and $$ is a dollar sign."""
     parts, at = [], 0

@@ -8,7 +8,7 @@ that runs again cannot mix two answers.
 from __future__ import annotations
 
 import json
-import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import constants as K
+from folioflow.functions import lenient
 from folioflow.functions import text as X
 
 CACHE_KEY = ["translate_engine", "translate_engine_params", "original_text"]
@@ -113,7 +114,7 @@ def merge_glossary(terms: DataFrame) -> DataFrame:
     return terms.groupBy("doc_id", key.alias("src_key")).agg(F.min_by("dst", F.struct("chunk_no", "item_pos", "dst")).alias("dst"))
 
 
-#: Above this many terms the terms are found through shared three-character grams instead of a broadcast.
+#: Above this many terms the terms are found through shared three-character grams instead of one automaton.
 BROADCAST_TERMS = 10_000
 
 
@@ -121,24 +122,59 @@ def glossary_matches(chunks: DataFrame, glossary: DataFrame, on: list[str] | Non
     """Pairs of chunks (chunk columns, chunk_text) and glossary terms (src_key, dst) that occur in
     them, letter case aside, also within words.
 
-    on: columns that must be equal, such as the document's. With a small glossary of its size is
-    checked first and it is broadcast; a large one meets the chunks by grams and is verified.
+    on: columns that must be equal, such as the document's; the terms of each value are then few and
+    travel as one array. Without, the size of the glossary is checked first: a small one is read
+    in one pass over each text, by an automaton over all terms; of a large one each text meets
+    the terms that share a gram with it. No text travels more than once for each match.
     """
-    on = on or []
-    terms = glossary.where("src_key <> ''")
-    text = F.lower("chunk_text")
+    terms = glossary.where("src_key <> ''").select(*(on or []), "src_key", "dst").distinct()
     # Lower-cased before the join: once per chunk, not once per pair.
-    lowered, held_in = chunks.withColumn("__l", text), F.contains(F.col("__l"), F.col("src_key"))
+    lowered = chunks.withColumn("__l", F.lower("chunk_text"))
     if on:
-        return lowered.join(terms, on).where(held_in).drop("__l")
-    if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        return lowered.join(F.broadcast(terms), held_in).drop("__l")
+        held = terms.groupBy(*on).agg(F.collect_list(F.struct("src_key", "dst")).alias("__t"))
+        found = F.filter("__t", lambda t: F.contains(F.col("__l"), t.src_key))
+        return lowered.join(held, on).withColumn("__m", found).where(F.size("__m") > 0).select(*chunks.columns, F.explode("__m").alias("__m")).select(*chunks.columns, "__m.src_key", "__m.dst")
+    size = terms.agg(F.count("*").alias("n"), F.min(F.length("src_key")).alias("least")).first()
+    if not size.n:
+        return lowered.join(terms, F.lit(False)).drop("__l")
+    if size.n <= broadcast_terms:
+        return _by_automaton(lowered, terms.collect(), chunks.columns)  # at most broadcast_terms rows
+    return _by_grams(lowered, terms, chunks.columns, size.least)
+
+
+def _by_automaton(lowered: DataFrame, terms: list, columns: list[str]) -> DataFrame:
+    """glossary_matches for a small glossary: positions of terms in one pass over each text."""
+    keys = sorted({t.src_key for t in terms})
+    number = {k: i for i, k in enumerate(keys)}
+
+    @F.pandas_udf("array<int>")
+    def held(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for k, i in number.items():
+            machine.add_word(k, i)
+        machine.make_automaton()
+        for s in texts:
+            yield s.map(lambda t: [] if t is None else sorted({i for _, i in machine.iter(t)}))
+
+    rows = lowered.sparkSession.createDataFrame([(number[t.src_key], t.src_key, t.dst) for t in terms], "__i int, src_key string, dst string")
+    found = lowered.withColumn("__m", held("__l")).where(F.size("__m") > 0).select(*columns, F.explode("__m").alias("__i"))
+    return found.join(F.broadcast(rows), "__i").select(*columns, "src_key", "dst")
+
+
+def _by_grams(lowered: DataFrame, terms: DataFrame, columns: list[str], least: int) -> DataFrame:
+    """glossary_matches for a large glossary: keys of chunks meet the first gram of each term; only the
+    pairs that do meet the text again, which decides."""
+    keyed = lowered.withColumn("__k1", F.xxhash64(F.lit(1), *columns)).withColumn("__k2", F.xxhash64(*columns, F.lit(2)))
     # Each text as its code points once, so that grams cost no walk through the text.
-    held = chunks.withColumn("__c", F.split(text, ""))
+    points = keyed.select("__k1", "__k2", F.explode_outer(F.array(F.split("__l", ""))).alias("__c"))
     gram = lambda n: F.transform("__c", lambda _, i: F.array_join(F.slice("__c", i + 1, n), ""))
-    held = held.withColumn("__g", F.explode(F.array_distinct(F.concat(gram(1), gram(2), gram(3))))).drop("__c")
+    grams = F.array_distinct(F.concat(*[gram(n) for n in range(min(least, 3), 4)]))
+    slim = points.select("__k1", "__k2", F.explode(grams).alias("__g"))
     first = terms.withColumn("__g", F.left("src_key", F.lit(3)))
-    return held.join(first, "__g").where(F.contains(text, F.col("src_key"))).drop("__g")
+    pairs = slim.join(first, "__g").select("__k1", "__k2", "src_key", "dst").distinct()
+    return keyed.join(pairs, ["__k1", "__k2"]).where(F.contains("__l", F.col("src_key"))).select(*columns, "src_key", "dst")
 
 
 def glossary_block(matches: DataFrame, by: list[str]) -> DataFrame:
@@ -147,26 +183,7 @@ def glossary_block(matches: DataFrame, by: list[str]) -> DataFrame:
     return matches.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("src_key", line.alias("line")))), lambda s: s.line), "\n").alias("glossary"))
 
 
-_FENCE = re.compile(r"^\s*```[A-Za-z]*\s*\n?|\n?\s*```\s*$")
-
-
-def parse_lenient(raw: str | None):
-    """JSON in an answer. Takes code fences off and cuts a truncated list or object back to its last
-    whole entry; anything worse is None. This narrow grammar is our own."""
-    if raw is None:
-        return None
-    text = _FENCE.sub("", raw.strip())
-    try:
-        return json.loads(text)
-    except ValueError:
-        pass
-    close = {"[": "]", "{": "}"}.get(text[:1])
-    for at in (i for i in range(len(text), 0, -1) if close and text[i - 1] in '}"],'):
-        try:
-            return json.loads(text[:at].rstrip().rstrip(",") + close)
-        except ValueError:
-            continue
-    return None
+parse_lenient = lenient.loads
 
 
 def parse_answer(raw: str | None) -> list[tuple[str, str]]:
@@ -187,6 +204,18 @@ def parse_answers(raw: DataFrame, by: list[str]) -> DataFrame:
     return raw.select(*by, F.posexplode(parse("answer")).alias("pos", "x")).select(*by, "pos", "x.seg_id", "x.t")
 
 
+def parse_terms(raw: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by..., item_pos, src, dst) of raw(by..., answer): a list of objects with src and dst. Any other
+    answer has no terms."""
+
+    @F.pandas_udf("array<struct<src: string, dst: string>>")
+    def parse(s: pd.Series) -> pd.Series:
+        terms = lambda found: [{"src": str(x["src"]), "dst": str(x["dst"])} for x in found if isinstance(x, dict) and "src" in x and "dst" in x] if isinstance(found, list) else []
+        return s.map(lambda x: terms(parse_lenient(x)))
+
+    return raw.select(*by, F.posexplode(parse("answer")).alias("item_pos", "x")).select(*by, "item_pos", "x.src", "x.dst")
+
+
 def last_of_each(received: DataFrame, by: list[str]) -> DataFrame:
     """The last answer of each id."""
     return received.groupBy(*by, "seg_id").agg(F.max_by("t", "pos").alias("t"))
@@ -284,17 +313,16 @@ class RateLimiter:
         return self.log[0][0] + self.seconds - now
 
 
-def with_retries(call, attempts: int = 3, base: float = 0.5, sleep=None, retry_on: tuple = (OSError,)):
-    """The result of call(), tried again with growing waits. Bounded, so a dead provider ends."""
-    import time
-
+def with_retries(call, attempts: int = 3, base: float = 0.5, sleep=None, retry_on: tuple = (OSError,), extra=None):
+    """The result of call(), tried again with growing waits, longer by extra(error) seconds. Bounded, so a
+    dead provider ends."""
     for i in range(attempts):
         try:
             return call()
-        except retry_on:
+        except retry_on as e:
             if i == attempts - 1:
                 raise
-            (sleep or time.sleep)(base * 2**i)
+            (sleep or time.sleep)(base * 2**i + (extra(e) if extra else 0.0))
     raise ValueError("attempts must be positive")
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import constants as K
-from folioflow.operators import calls, quality, segments
+from folioflow.functions import text as X
+from folioflow.operators import calls, gateway, quality, segments
+
+KEY = ["doc_id", "chunk_no"]
 
 
 @dataclass
@@ -18,6 +21,8 @@ class Settings:
     chunk_bytes: int = K.CHUNK_BYTES
     tolerance: float = K.LENGTH_TOLERANCE
     cell_text: str = "text"  # source_text also reads what the layout stage writes
+    glossary: bool = False
+    limits: gateway.Limits = field(default_factory=gateway.Limits)
 
 
 @dataclass
@@ -26,6 +31,7 @@ class Result:
     segments: DataFrame
     cache: DataFrame
     report: DataFrame
+    errors: DataFrame | None = None
 
 
 def with_languages(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -35,11 +41,101 @@ def with_languages(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def translate_documents(docs: DataFrame, cache: DataFrame, provider, settings: Settings, staging: str, write_seq: int = 1) -> Result:
-    """Translates docs(doc_id and schemas.DOCUMENT) with a provider and a cache."""
+    """Translates docs(doc_id and schemas.DOCUMENT).
+
+    A chat model (with complete) gets whole chunks, see translate_chunks. A text provider (with
+    translate) gets the distinct texts that the cache lacks.
+    """
     docs = with_languages(docs, settings)
-    found = segments.chunked_segments(docs, settings.chunk_bytes, settings.cell_text)
-    done, new = calls.translate_texts(found, cache, provider, write_seq, staging)
-    # A call that failed leaves the source text in place.
-    done = done.withColumn("translation", F.coalesce("translation", "text"))
+    if hasattr(provider, "complete"):
+        found = translate_chunks(docs, provider, settings, staging)
+        done, new, errors = found.segments, cache, found.errors
+    else:
+        found = segments.chunked_segments(docs, settings.chunk_bytes, settings.cell_text)
+        done, new = calls.translate_texts(found, cache, provider, write_seq, staging)
+        # A call that failed leaves the source text in place.
+        done, errors = done.withColumn("translation", F.coalesce("translation", "text")), None
     back = segments.write_back(docs, done.select("doc_id", "seg_id", "translation"), settings.cell_text)
-    return Result(back, done, new, quality.translation_report(done, settings.tolerance))
+    return Result(back, done, new, quality.translation_report(done, settings.tolerance), errors)
+
+
+@dataclass
+class Chunked:
+    segments: DataFrame
+    errors: DataFrame
+
+
+def _payloads(rows: DataFrame, text: str, *also: str) -> DataFrame:
+    """One row per chunk of rows(doc_id, chunk_no, seg_id, languages, ...): ids and texts in order, and JSON."""
+    entry = F.struct(F.col("seg_id").cast("long").alias("n"), "seg_id", F.col(text).alias("text"), *also)
+    found = rows.groupBy(*KEY, "source_language", "target_language").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    return found.withColumn("ids", F.col("entries.seg_id")).withColumn("json", _json(F.col("entries.text")))
+
+
+def _json(texts: Column) -> Column:
+    """The entries of a chunk as a JSON object from id to text."""
+    return F.to_json(F.map_from_arrays("entries.seg_id", texts))
+
+
+def translate_chunks(docs: DataFrame, model, settings: Settings, staging: str) -> Chunked:
+    """The segments of docs with translation, source_of and off, by a chat model that gets whole chunks.
+
+    Four rounds, each called for and written to the folder staging once before it is read: all
+    chunks; chunks with ids that did not come back; chunks that came back unchanged as a whole;
+    the texts whose length is off, with the answer that was rejected. See calls.reconcile for
+    how answers settle. With settings.glossary the terms of each document are collected first
+    and every chunk gets those that it holds; a chunk whose terms cannot be had goes without.
+    errors lists the calls that failed: (round, doc_id, chunk_no, error). off marks segments whose
+    length stays off after the last round.
+    """
+    spark, limits = docs.sparkSession, settings.limits
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{staging}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{staging}/{name}")
+
+    failed = []
+
+    def asked(requests: DataFrame, name: str) -> DataFrame:
+        """Answers to requests(doc_id, chunk_no, request)."""
+        answers = kept(gateway.call_requests(requests.select(*KEY, "request.*"), KEY, model, limits), name)
+        failed.append(answers.where("error is not null").select(F.lit(name).alias("round"), *KEY, "error"))
+        return answers.where("answer is not null")
+
+    def settled(answers: DataFrame) -> DataFrame:
+        return calls.last_of_each(calls.parse_answers(answers, KEY), KEY)
+
+    found = segments.chunked_segments(docs, settings.chunk_bytes, settings.cell_text, carry=("source_language", "target_language"))
+    found = kept(found, "segments")
+    chunks = _payloads(found, "text").withColumn("chunk_text", F.array_join("entries.text", " ")).drop("entries")
+    languages = ("source_language", "target_language")
+    if settings.glossary:
+        chunks = kept(chunks, "chunks")
+        terms = calls.parse_terms(asked(chunks.withColumn("request", X.glossary_request("json", *languages)), "terms"), KEY)
+        terms = kept(calls.merge_glossary(terms), "glossary")
+        lines = calls.glossary_block(calls.glossary_matches(chunks.select(*KEY, "chunk_text"), terms, ["doc_id"]), KEY)
+        chunks = chunks.join(lines, KEY, "left")
+    else:
+        chunks = chunks.withColumn("glossary", F.lit(""))
+    requests = kept(chunks.select(*KEY, X.translation_request("json", "ids", *languages, "glossary").alias("request")), "requests")
+    more = lambda note: F.col("request").withField("user", F.concat("request.user", F.lit(note)))
+
+    sent, none = found.select(*KEY, "seg_id", "text"), spark.createDataFrame([], "doc_id long, chunk_no int, seg_id string, t string")
+    first = settled(asked(requests, "first"))
+    lacking = calls.missing_ids(sent, first, KEY).select(*KEY).distinct()
+    again = settled(asked(requests.join(lacking, KEY, "left_semi").withColumn("request", more(X.EVERY_ID)), "missing"))
+    so_far = calls.reconcile(sent, first, again, none, none, KEY, settings.tolerance)
+    same = calls.all_unchanged(sent, so_far.select(*KEY, "seg_id", "t"), KEY).where("unchanged")
+    other = settled(asked(requests.join(same, KEY, "left_semi"), "unchanged"))
+    so_far = calls.reconcile(sent, first, again, other, none, KEY, settings.tolerance)
+    off = so_far.where(X.length_violation("t", "text", settings.tolerance)).join(found.select(*KEY, "seg_id", *languages), [*KEY, "seg_id"])
+    off = _payloads(off, "text", "t")
+    rejected = X.translation_request("json", "ids", *languages, F.lit(""))
+    rejected = rejected.withField("user", F.concat(rejected["user"], F.lit(X.OTHER_LENGTHS), _json(F.col("entries.t"))))
+    lengths = settled(asked(off.withColumn("request", rejected), "length"))
+    done = calls.reconcile(sent, first, again, other, lengths, KEY, settings.tolerance).withColumnRenamed("t", "translation")
+    done = done.withColumn("off", X.length_violation("translation", "text", settings.tolerance))
+    errors = failed[0]
+    for x in failed[1:]:
+        errors = errors.unionAll(x)
+    return Chunked(found.drop("text").join(done, [*KEY, "seg_id"]), errors)
