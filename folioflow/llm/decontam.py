@@ -61,6 +61,12 @@ def _windows(hashes: Column | str, size: Column | int) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(hashes, i, size))))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column computed once a row: the optimizer would put the expression of a plain column
+    into the functions that read it, to be computed again for every element."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def classes(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """Rows (item, items, words, forms, at, slots, capital): one for each distinct template. forms
     holds a struct (pattern, members) for each way in which slots share values: pattern gives for
@@ -126,21 +132,19 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
 
     # The words around each alignment, of the template and of the text.
     around = rows.join(met, ["k1", "k2"])
-    words = F.array(F.struct(template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("p")))
-    # A row of its own for the words, as the optimizer would compute them again for each place.
-    around = around.select("k1", "k2", "id", "places", F.explode_outer(words).alias("w"))
+    around = _once(around, "w", F.struct(template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("p"))).drop("text")
     part = lambda x, c: F.slice(F.col(f"w.{c}"), x.begin + 1, x.len)
     around = around.select("k1", "k2", "id", F.explode(F.transform("places", lambda x: F.struct(x.item.alias("item"), x.shift.alias("shift"), x.begin.alias("begin"), part(x, "t").alias("t"), part(x, "p").alias("p")))).alias("x"))
     around = around.select("k1", "k2", "id", "x.*").join(bench.select("item", "size", "windows", "first", "drift", "at"), "item")
-    around = around.withColumn("there", _windows(_hashes("t"), F.col("size")))
-    around = around.withColumn("shifts", F.transform(F.sequence(F.lit(0), 2 * F.col("drift")), lambda k: F.when(k % 2 == 0, F.floor(k / 2)).otherwise(-F.floor((k + 1) / 2)).cast("int")))
+    around = _once(_once(around, "h", _hashes("t")), "there", _windows("h", F.col("size"))).drop("h", "t")
+    around = _once(around, "shifts", F.transform(F.sequence(F.lit(0), 2 * F.col("drift")), lambda k: F.when(k % 2 == 0, F.floor(k / 2)).otherwise(-F.floor((k + 1) / 2)).cast("int")))
 
     # For each window of the item the nearest shift at which the document has it, or null.
     def step(w: Column, j: Column) -> Column:
         here = lambda x: F.get("there", j + F.col("shift") + x - F.col("begin"))
         return F.get(F.filter("shifts", lambda x: (here(x) == w) | ((j == 0) & (here(x) == F.col("first")))), F.lit(0))
 
-    lines = around.withColumn("steps", F.transform("windows", step)).withColumn("windows", F.size("windows"))
+    lines = _once(around, "steps", F.transform("windows", step)).withColumn("windows", F.size("windows"))
     lines = lines.withColumn("matched", F.size(F.filter("steps", lambda x: x.isNotNull()))).where(F.col("matched") >= F.lit(coverage) * F.col("windows"))
     at = F.transform("steps", lambda x, j: F.when(x.isNotNull(), j + F.col("shift") + x))
     lines = lines.withColumn("start", F.array_min(at).cast("long")).withColumn("end", (F.array_max(at) + F.col("size")).cast("long"))

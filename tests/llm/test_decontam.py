@@ -57,6 +57,90 @@ def test_every_place_is_tested(spark):
     assert [(got[d].start, got[d].end) for d in (1, 6)] == [(n + 1, 2 * n + 1)] * 2
 
 
+def letters(n, prefix=""):
+    """Words without digits, which would be placeholders."""
+    return [prefix + "".join("abcdefghij"[int(d)] for d in f"{i:03d}") for i in range(n)]
+
+
+def test_scattered_fragments_are_no_copy(spark):
+    item = letters(14)
+    scattered = " then ".join(" ".join(item[i : i + 5]) for i in range(10))
+    docs = spark.createDataFrame([(1, scattered), (2, " ".join(item)), (3, " ".join([*item[:7], "more", *item[7:]]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.id for r in decontam.contaminated(docs, bench).collect()} == {2}
+    longer = letters(40)
+    bench = spark.createDataFrame([(1, " ".join(longer))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([*longer[:20], "one", "two", *longer[20:]])), (2, " ".join([*longer[:20], *(["more"] * 30), *longer[20:]]))], "doc_id long, text string")
+    assert [(r.id, r.start, r.end, r.matched, r.windows) for r in decontam.contaminated(docs, bench).collect()] == [(1, 0, 42, 32, 36)]
+
+
+def test_short_items_and_unaligned_slots(spark):
+    bench = spark.createDataFrame([(1, "seven tall herons"), (2, "12 kg"), (3, "the train with all of its passengers and freight leaves for the coast of the northern sea on day 4")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "I saw seven tall herons there"), (2, "weighs 13 kg"), (3, "weighs 12 kg now"), (4, "seven tall"), (5, "the train with all of its passengers and freight leaves for the coast of the northern sea on day four"), (6, "the train with all of its passengers and freight leaves for the coast of the northern sea on day 9")], "doc_id long, text string")
+    assert {(r.id, r.item): r.kind for r in decontam.contaminated(docs, bench).collect()} == {(1, 1): "verbatim", (3, 2): "verbatim", (5, 3): "partial", (6, 3): "reparameterised"}
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    bench = spark.createDataFrame([(1, OTHER)], "item_id long, text string")
+    rows = [(None, f"x {OTHER}", "a"), (None, "clean text", "b"), (7, OTHER, "c"), (7, "clean as well", "d"), (7, OTHER, "e"), (8, None, "f"), (None, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    assert sorted(r.k1 for r in decontam.without_contaminated(docs, bench).collect()) == ["b", "d", "f", "g"]
+    assert decontam.without_contaminated(docs, bench).columns == docs.columns
+    assert sorted(((r.id, r.item) for r in decontam.contaminated(docs, bench, null_ids=True).collect()), key=repr) == [(7, 1), (None, 1)]
+
+
+def test_common_windows_draw_few_rows(spark):
+    """Pages of numbers against items of numbers: every place that fits is found, others are not."""
+    bench = spark.createDataFrame([(i, " ".join(["7"] * 6 + [key] * 6)) for i, key in enumerate(letters(30, "key"))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "5 " * 400), (2, "5 " * 50 + "8 " * 6 + "keyaad " * 6)], "doc_id long, text string")
+    assert [(r.id, r.item, r.kind) for r in decontam.contaminated(docs, bench).collect()] == [(2, 3, "reparameterised")]
+
+
+def template(text):
+    """Template and plain words, and where the slots are, of one text; a plain version."""
+    mark = re.compile(r"(?<![0-9])[.,;:!?\"'()]+|(?=[.,;:!?\"'()])[.,;:!?\"'()]+(?![0-9])")
+    plain = mark.sub("", text).lower().split()
+    named = re.sub(r"(?<=[^\s.!?:;\"'(][ \t])[A-Z][a-z][A-Za-z]*", "<name>", text)
+    words = re.sub(r"[0-9]+(?:[.,][0-9]+)*", "<num>", mark.sub("", named).lower())
+    words = re.sub(rf"<num>([ \t]?)(?:{'|'.join(decontam.UNITS)})(?![^\W_])", r"<num>\1<unit>", words).split()
+    return words, plain
+
+
+def brute_holds(text, item):
+    """Whether a text holds an item as a whole, slots replaced consistently."""
+    words, plain = template(text)
+    want, own = template(item)
+    for at in range(len(words) - len(want) + 1):
+        if words[at : at + len(want)] == want:
+            values = {}
+            if all(values.setdefault((w, o), p) == p for w, o, p in zip(want, own, plain[at:], strict=False) if w in decontam.SLOTS):
+                return True
+    return False
+
+
+def test_reparameterised_like_brute_force(spark):
+    """Random items with slots in random texts, filled in again consistently or not."""
+    import random
+
+    rng = random.Random(6)
+    names, vocabulary = ["Anna", "Bert", "Carla", "Dora", "Emil"], [f"w{c}x" for c in "abcdefghijklmnopqrst"]
+    fill = lambda shape, values: " ".join(values[w] if isinstance(w, int) else w for w in shape)
+    draw = lambda n, like: [rng.choice(names) if isinstance(v, str) and v[0].isalpha() else f"{rng.randint(1, 9)}" for v in like[:n]]
+    items, docs = [], []
+    for i in range(25):
+        values = [rng.choice(names) if rng.random() < 0.5 else f"{rng.randint(1, 9)}" for _ in range(3)]
+        shape = [rng.choice(vocabulary), rng.choice(vocabulary)] + [rng.choice([*vocabulary, 0, 1, 2, 0, 1]) for _ in range(rng.randint(12, 24))] + [rng.choice(vocabulary)]
+        items.append((i, fill(shape, values)))
+        for _ in range(4):
+            again = draw(3, values)
+            broken = [again[w] if isinstance(w, int) and rng.random() < 0.8 else values[w] if isinstance(w, int) else w for w in shape]
+            body = " ".join(broken) if rng.random() < 0.4 else fill(shape, again)
+            docs.append((len(docs), f"{' '.join(rng.choices(vocabulary, k=rng.randint(1, 30)))} {body} {' '.join(rng.choices(vocabulary, k=rng.randint(0, 30)))}"))
+    want = {(d, i) for d, t in docs for i, q in items if brute_holds(t, q)}
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), coverage=1.0)
+    assert {(r.id, r.item) for r in found.collect()} == want and 20 < len(want) < 100
+
+
 def test_large_benchmark_takes_the_other_way(tables, monkeypatch):
     want = {tuple(r) for r in decontam.contaminated(*tables).collect()}
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
