@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,23 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from folioflow.staging import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one in local mode,
-    as in tests; on a cluster, whose machines do not share such a folder, an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="folioflow-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return f"file://{_OWN[app]}"
+#: Ids that row_ids gives to rows without one lie below.
+NULL_IDS = -(2**62)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -68,6 +52,13 @@ def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), own, text).alias("k1"), F.xxhash64(text, F.lit(2), own).alias("k2")
 
 
+def row_ids(id_col: str, text_col: str) -> Column:
+    """The id of a row's document. A row without one is a document of its own: it takes an id below
+    NULL_IDS by a hash of its text, which only rows with the same text share."""
+    own = F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), 2)
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), own)
+
+
 def small(df: DataFrame) -> bool:
     """Whether a written table is small enough for Spark to broadcast it."""
     conf = df.sparkSession._jsparkSession.sessionState().conf()

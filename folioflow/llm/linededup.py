@@ -16,17 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import mph
-from folioflow.llm.common import build_side, documents, materialize, slices
+from folioflow.llm.common import NULL_IDS, documents, materialize, row_ids, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 250_000
 PROBES_PER_COPY = 4_000_000
-LEAST, NULL_IDS = -(2**63), -(2**62)
+LEAST = -(2**63)
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -95,13 +95,6 @@ class Shard:
         return hit, owner
 
 
-def line_ids(id_col: str, text_col: str) -> Column:
-    """The id of a row's document. A row without one is a document of its own: it takes an id below
-    -2**62 by a hash of its text, which only rows with the same text share."""
-    own = F.lit(LEAST) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), 2)
-    return F.coalesce(F.col(f"`{id_col}`").cast("long"), own)
-
-
 INDEX_SCHEMA = "shard long, mph binary, fps binary, counts binary, owners binary, rest binary, copies long"
 
 
@@ -131,7 +124,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     new = {"n_lines", "n_dropped"}
     keep = [c for c in docs.columns if c not in new]
-    ids = line_ids(id_col, text_col)
+    ids = row_ids(id_col, text_col)
     slim = docs.select(ids.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +172,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"id": np.concatenate(out_id), "h": np.concatenate(out_h)})
 
     found = probes.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(probe, "id long, h long")
-    # Written first, so that its true size decides whether the texts have to be dealt out.
-    drops = materialize(found.groupBy("id").agg(F.collect_set("h").alias("drops")), "drops")
+    drops = found.groupBy("id").agg(F.collect_set("h").alias("drops"))
 
     fields = [T.StructField(text_col, T.StringType()) if f.name == text_col else T.StructField(f.name, f.dataType) for f in docs.select(*[f"`{c}`" for c in keep]).schema]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -203,7 +195,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # By number, so that no name of an input column can clash with these.
     carried = [(F.lit(None).cast("string") if c == text_col else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(keep)]
     whole = docs.select(*carried, F.col(f"`{text_col}`").cast("string").alias("text"), ids.alias("id"))
-    joined = whole.join(build_side(drops), "id", "left")
+    joined = whole.join(drops.hint("shuffle_hash"), "id", "left")
     return joined.select(*[f"c{i}" for i in range(len(keep))], "text", "drops").mapInArrow(apply, schema)
 
 

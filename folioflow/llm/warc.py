@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import build_side, materialize, slices, split_join
+from folioflow.llm.common import materialize, slices, split_join
 
 ARCHIVE_BYTES = 16 << 20
 READ_BYTES = 64 << 10
@@ -126,9 +126,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_
     own = own.withColumn("least", F.coalesce("id", F.lit(-(2**63)))).withColumn("digest", F.when(F.octet_length("html") >= min_bytes, F.sha1(F.encode("html", "UTF-8"))))
     keyed = own.where("digest is not null").select("least", "digest")
     owner = keyed.groupBy("digest").agg(F.max("least").alias("owner"), F.count("*").alias("n")).where(f"n > 1 and owner > {-(2**63)}").drop("n")
-    # Written first, so that its true size decides whether the payloads have to be dealt out.
-    to = materialize(split_join(keyed, owner, ["digest"]).where("least < owner").distinct(), "revisits")
-    joined = own.join(build_side(to), ["least", "digest"], "left").select("id", "url", "html", "owner")
+    to = split_join(keyed, owner, ["digest"]).where("least < owner").distinct()
+    joined = own.join(to.hint("shuffle_hash"), ["least", "digest"], "left").select("id", "url", "html", "owner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, size = [], 0
