@@ -1,19 +1,22 @@
-"""Substring dedup: De Bruijn compaction over word windows.
-
-Edges are k-mers of words (k = the window, 20). As in minimizer-partitioned compaction, each
-edge belongs to its minimizer, the 6-word sub-sequence with the least hash. Consecutive edges
-of a document with the same minimizer occurrence are one nonbranching path by construction
-and travel as one row: (minimizer hash, hash of all its words, id, start, number of edges).
-
-1. Paths meet by minimizer. Equal edges have equal minimizers, so no repeat is missed, and a
-   minimizer that occurs once ends there. Within an Arrow batch only the first copy of a path
-   is sent on; its later copies are known repeats.
-2. Where a minimizer has one path everywhere, the path stays compacted: every occurrence but
-   the first (smallest id, then start) is a repeat as a whole. Where paths branch, one
-   occurrence of each path is expanded into its edges, which meet by edge hash.
-3. Spans of repeated edges return to their documents by source coordinates and are merged.
-
-Hashes of edges are verified by a second, independent 64-bit hash.
+"""Substring dedup: a De Bruijn graph over word windows, compacted, and spans verified at their places.
+
+Edges are k-mers of words (k = the window, 20), nodes the (k-1)-mers between them. Of the graph
+only edges that repeat matter, so these are found first, in partitions by minimizer:
+
+1. Each edge belongs to its minimizer, the 6-word sub-sequence with the least hash. Consecutive
+   edges of a document with the same minimizer occurrence are one path and travel as one row:
+   (minimizer hash, hash of all its words, id, place). Equal edges have equal minimizers, so no
+   repeat is missed, and a minimizer that occurs once ends there. Within an Arrow batch only the
+   first copy of a path is compared with others; its later copies are known repeats.
+2. A path that occurs again is one long edge of the graph. Where different paths share a
+   minimizer, one occurrence of each is also cut into its edges, which meet by two 64-bit hashes.
+3. Every distinct repeated edge, long or single, has its two nodes. A node with one edge in and
+   one out does not branch: its edges are linked. Links between edges whose first occurrences are
+   neighbours in one document are followed there; the others by joins that double the distance
+   each round. So every edge gets its unbranched path and its offset there.
+4. Later occurrences of the edges of one path that lie end to end in a document are one span.
+   A span goes back to its document by its coordinates, with a checksum of the words at the
+   coordinates of the first occurrence, and is cut only where the document's own words agree.
 """
 
 from __future__ import annotations
@@ -24,13 +27,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents, materialize, slices, split_join
+from folioflow.llm.common import build_side, documents, materialize, row_ids, slices, split_join
 from folioflow.llm.mph import mix
 
-LEAST = -(2**63)
 MINIMIZER = 6
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bits of a word's place in a chunk; the rest of a 64-bit key holds the sub-sequence's hash.
@@ -136,126 +138,239 @@ def _paths_of(starts, valid, place, doc, first, sub, roll, window) -> tuple[np.n
     edges = np.diff(np.append(begin, len(starts)))
     s, d = starts[begin], own[begin]
     anchor = place[begin] + first[d]
-    whole = roll(s, s + edges + window - 1)
-    with np.errstate(over="ignore"):
-        whole = mix(whole + (anchor - s).astype(np.uint64), 3)
-    return sub[anchor], whole, d, s - first[d], edges
+    return sub[anchor], roll(s, s + edges + window - 1), d, s - first[d], edges
+
+
+#: A place packs a row's tag, a start, two flags and a number of edges. The tag tells rows that share
+#: an id apart; where it does not, the checksums do. Flags: the occurrence is known to be a repeat;
+#: it has such repeats.
+EDGES, KNOWN, COPIED, START, TAG = 255, 1 << 8, 1 << 9, 10, 41
+PLACE = ~(KNOWN | COPIED)
+#: Kinds of resolved occurrences: a later one, or the first one of an edge, of paths that branch, or both.
+LATER, EDGE, BRANCH = 0, 1, 2
 
 
-#: span packs a start, whether it is known to be a repeat (bit 8), and the number of edges.
-KNOWN, EDGES = 1 << 8, 255
+def _tag(id_: Column, text: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(id_, text), TAG + 1)
+
+
+def _start(place: Column | str) -> Column:
+    return F.shiftright(place, START).bitwiseAND(F.lit((1 << (TAG - START)) - 1))
 
 
 def emit_paths(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (h, p, id, span). A path that a chunk holds twice is a known repeat from its second
-    copy on; such a row only rides along, so its h is a hash of its place."""
+    """Rows (h, p, id, place) of rows (id, tag, text). A path that a chunk holds again is a known
+    repeat from its second copy on."""
     for whole in batches:
         for b in chunks(whole):
-            ids = b.column("id").to_numpy().astype(np.int64)
+            ids, tags = (b.column(c).to_numpy().astype(np.int64) for c in ("id", "tag"))
             h, p, d, start, edges = paths(*chunk_words(b.column("text")), window)
-            own = ids[d]
-            order = np.lexsort((start, own, p, h))
-            h, p, own, start, edges = h[order], p[order], own[order], start[order], edges[order]
+            own, place = ids[d], tags[d] << TAG | start << START | edges
+            order = np.lexsort((place, own, p, h))
+            h, p, own, place = h[order], p[order], own[order], place[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])
             at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            known = ~new & ((own != own[at]) | (start != start[at]))
-            h = np.where(known, mix(own.view(np.uint64) ^ mix(start.astype(np.uint64), 17), 19), h)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), p.view(np.int64), own, start << 9 | known * KNOWN | edges)], ["h", "p", "id", "span"])
+            known = ~new & ((own != own[at]) | (place != place[at]))
+            copied = np.zeros(len(h), bool)
+            copied[at[known]] = True
+            place = place | known * KNOWN | copied * COPIED
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), p.view(np.int64), own, place)], ["h", "p", "id", "place"])
 
 
 class Resolver:
-    """Takes rows sorted by h, p, id, span, batch by batch.
+    """Takes rows sorted by h, p, id, place, batch by batch.
 
-    Keeps only the first row and the open path of the open minimizer, so a minimizer may hold
-    any number of rows.
+    Keeps only the first row of the open minimizer and that of its open path, so both may hold any
+    number of rows. Equal rows count once.
     """
 
     def __init__(self) -> None:
-        self.h = self.p = None
-        self.branched = False
-        self.head: tuple = ()  # first row of the open minimizer
-        self.first: tuple = ()  # first row of the open path
+        self.kept = [np.empty(0, np.int64) for _ in range(5)]  # h, p, id, place and the kinds given already
 
-    def step(self, h: np.ndarray, p: np.ndarray, own: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, span, whether to expand): repeats, and paths of minimizers where paths branch."""
+    def step(self, *rows: np.ndarray) -> list[np.ndarray]:
+        """(h, p, id, place, kind) of later occurrences and of the first ones that matter."""
+        h, p, own, place, done = (np.concatenate(x) for x in zip(self.kept, (*rows, np.zeros(len(rows[0]), np.int64)), strict=True))
         new_h = np.ones(len(h), bool)
         new_h[1:] = h[1:] != h[:-1]
-        new_h[0] = self.h is None or h[0] != self.h
         new_p = new_h.copy()
         new_p[1:] |= p[1:] != p[:-1]
-        new_p[0] |= self.p is None or p[0] != self.p
-        at = np.maximum.accumulate(np.where(new_p, np.arange(len(h)), -1))
-        seen = at >= 0
-        first_own = np.where(seen, own[np.maximum(at, 0)], self.first[0] if self.first else 0)
-        first_span = np.where(seen, span[np.maximum(at, 0)], self.first[1] if self.first else 0)
-        later = ~new_p & ((own != first_own) | (span != first_span))
-        group = np.cumsum(new_h) - new_h[0]
-        per = np.bincount(group, weights=new_p).astype(np.int64)
-        per[0] += 0 if new_h[0] else 1 + self.branched
-        expand = new_p & (per[group] > 1)
-        ids, spans = [own[later], own[expand]], [span[later], span[expand]]
-        more = np.repeat([False, True], [later.sum(), expand.sum()])
-        if not new_h[0] and not self.branched and per[0] > 1:
-            ids.append(np.array([self.head[0]])), spans.append(np.array([self.head[1]]))
-            more = np.append(more, True)
-        begin = np.flatnonzero(new_h)
-        if len(begin):
-            self.head = int(own[begin[-1]]), int(span[begin[-1]])
-        self.branched = bool(per[-1] > 1)
-        if seen[-1]:
-            self.first = int(own[at[-1]]), int(span[at[-1]])
-        self.h, self.p = h[-1], p[-1]
-        return np.concatenate(ids), np.concatenate(spans), more
+        again = np.zeros(len(h), bool)
+        again[1:] = ~new_p[1:] & (own[1:] == own[:-1]) & ((place[1:] & PLACE) == (place[:-1] & PLACE))
+        later = ~new_p & ~again
+        first, group = np.flatnonzero(new_p), np.cumsum(new_h) - 1
+        repeated = np.logical_or.reduceat(later | (place & COPIED > 0), first)
+        branched = (np.bincount(group, weights=new_p) > 1)[group[first]]
+        kind = (EDGE * repeated | BRANCH * branched) & ~done[first]
+        head, last = np.flatnonzero(new_h)[-1], first[-1]
+        keep = np.unique([head, last])
+        done[first] |= kind
+        self.kept = [x[keep] for x in (h, p, own, place, done)]
+        out = [np.concatenate((x[later], x[first[kind > 0]])) for x in (h, p, own, place & PLACE)]
+        return [*out, np.concatenate((np.full(later.sum(), LATER), kind[kind > 0]))]
 
 
 def resolve_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, span, more) from sorted rows (h, p, id, span)."""
+    """Rows (h, p, id, place, kind) from sorted rows (h, p, id, place); known repeats pass."""
     state = Resolver()
     for b in batches:
-        h, p, own, span = (b.column(c).to_numpy() for c in ("h", "p", "id", "span"))
-        known = span & KNOWN > 0
-        ids, spans, more = [own[known]], [span[known]], [np.zeros(known.sum(), bool)]
+        rows = [b.column(c).to_numpy() for c in ("h", "p", "id", "place")]
+        known = rows[3] & KNOWN > 0
+        out = [[x[known] for x in rows[:3]] + [rows[3][known] & PLACE, np.full(known.sum(), LATER)]]
         if not known.all():
-            for column, x in zip((ids, spans, more), state.step(h[~known], p[~known], own[~known], span[~known]), strict=True):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, spans, more)], ["id", "span", "more"])
+            out.append(state.step(*(x[~known] for x in rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["h", "p", "id", "place", "kind"])
+
+
+class Windows:
+    """Hashes and checksums of the windows of texts in a row."""
+
+    def __init__(self, words: np.ndarray, lens: np.ndarray, window: int):
+        self.words, self.lens, self.window = words, lens, window
+        self.first = np.cumsum(lens) - lens
+        at = np.arange(max(0, len(words) - window + 1))
+        self.e1, self.e2 = (Rolling(words, c, seed)(at, at + window) for c, seed in ((_C1, 11), (_C2, 13)))
+        self.s1, self.s2 = (np.concatenate(([0], np.cumsum((e >> np.uint64(33)).astype(np.int64)))) for e in (self.e1, self.e2))
+
+    def fits(self, d: np.ndarray, start: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        return start + edges + self.window - 1 <= self.lens[d]
+
+    def sums(self, s: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two checksums of edges from places s on; those of spans end to end add up."""
+        return self.s1[s + edges] - self.s1[s], self.s2[s + edges] - self.s2[s]
+
+
+def _listed(b: pa.RecordBatch, column: str, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each struct in a column of lists (null ones are empty), and its fields."""
+    lists = b.column(column)
+    lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    flat = lists.flatten()
+    return np.repeat(np.arange(b.num_rows), lens), [flat.field(n).to_numpy().astype(np.int64) for n in names]
 
 
-def expand_edges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (e1, e2, id, at), one for each edge of the spans of each text."""
+def read_edges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The edges of the texts (id, tag, text, wanted): (a, b, id, place, head, tail, d1, d2, single). a and
+    b name an edge, head and tail its nodes, d1 and d2 are its checksums."""
     for whole in batches:
         for b in chunks(whole):
-            ids = b.column("id").to_numpy().astype(np.int64)
+            ids, tags = (b.column(c).to_numpy().astype(np.int64) for c in ("id", "tag"))
             words, lens = chunk_words(b.column("text"))
-            lists = b.column("spans")
-            span = lists.flatten().to_numpy().astype(np.int64)
-            d = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy().astype(np.int64))
-            edges = span & EDGES
-            at = np.repeat(span >> 9, edges) + np.arange(edges.sum()) - np.repeat(np.cumsum(edges) - edges, edges)
-            own = np.repeat(d, edges)
-            fits = at + window <= lens[own]  # another row with the same id may be shorter
-            at, own = at[fits], own[fits]
-            s = at + (np.cumsum(lens) - lens)[own]
-            e1, e2 = Rolling(words, _C1, 11)(s, s + window), Rolling(words, _C2, 13)(s, s + window)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e1.view(np.int64), e2.view(np.int64), ids[own], at)], ["e1", "e2", "id", "at"])
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """Rows (id, span): edges that also start earlier; span packs start and number of edges."""
+            here = Windows(words, lens, window)
+            d, (h, p, place, kind) = _listed(b, "wanted", ("h", "p", "place", "kind"))
+            edges, start = place & EDGES, place >> START & (1 << (TAG - START)) - 1
+            fits = here.fits(d, start, edges)
+            d, h, p, start, edges, kind = (x[fits] for x in (d, h, p, start, edges, kind))
+            s = start + here.first[d]
+            # A row that shares id and tag with the one that is meant has other words.
+            meant = Rolling(words, _C1, 1)(s, s + edges + window - 1).view(np.int64) == p
+            d, h, p, start, edges, kind, s = (x[meant] for x in (d, h, p, start, edges, kind, s))
+            node = Rolling(words, _C1, 21)
+            long, cut = kind & EDGE > 0, kind & BRANCH > 0
+            many = edges[cut]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            d = np.concatenate((d[long], np.repeat(d[cut], many)))
+            start = np.concatenate((start[long], np.repeat(start[cut], many) + step))
+            s = np.concatenate((s[long], np.repeat(s[cut], many) + step))
+            n = np.concatenate((edges[long], np.ones(len(step), np.int64)))
+            single = np.arange(len(n)) >= long.sum()
+            only = s[single]
+            a = np.concatenate((h[long], here.e1[only].view(np.int64)))
+            c = np.concatenate((p[long], here.e2[only].view(np.int64)))
+            ends = [node(x, x + window - 1).view(np.int64) for x in (s, s + n)]
+            columns = [a, c, ids[d], tags[d] << TAG | start << START | n, *ends, *here.sums(s, n)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(single)], ["a", "b", "id", "place", "head", "tail", "d1", "d2", "single"])
+
+
+def _links(graph: DataFrame) -> DataFrame:
+    """Rows (k, before): the edge that must come before edge k, as the node between does not branch."""
+    into = graph.groupBy(F.col("tail").alias("head")).agg(F.count("*").alias("n"), F.min("k").alias("before")).where("n = 1").drop("n")
+    out = graph.groupBy("head").agg(F.count("*").alias("n"), F.min("k").alias("k")).where("n = 1").drop("n")
+    return out.join(into, "head").where("k <> before").select("k", "before")
+
+
+def _doubled(pointers: DataFrame) -> DataFrame:
+    """Rows (chain, root, offset) for pointers(chain, root, offset) to a chain before: the first chain of
+    all. Chains in a circle keep themselves. Each round is written, so that a lost executor costs
+    one round, and reaches twice as far; nothing but a count comes to the driver."""
+    reached, before = materialize(pointers.withColumn("open", F.lit(True)), "reached"), None
+    while True:
+        n = reached.where("open").count()
+        # As many as in the round before: circles are all that is left.
+        if not n or n == before:
+            own = F.col("open")
+            return reached.select("chain", F.when(own, F.col("chain")).otherwise(F.col("root")).alias("root"), F.when(own, 0).otherwise(F.col("offset")).alias("offset"))
+        before = n
+        far = reached.select(F.col("chain").alias("root"), F.col("root").alias("far"), F.col("offset").alias("more"))
+        step = reached.join(far, "root", "left")
+        step = step.select("chain", F.coalesce("far", "root").alias("root"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), F.col("far").isNotNull().alias("open"))
+        reached = materialize(step, "reached")
+
+
+def unbranched_paths(graph: DataFrame) -> DataFrame:
+    """graph(k, id, place, head, tail, ...) with the unbranched path of each edge and its offset there."""
+    by_row = Window.partitionBy("id", F.shiftright("place", TAG)).orderBy("place")
+    n, start = F.col("place").bitwiseAND(F.lit(EDGES)), _start("place")
+    end = F.lag(start + n).over(by_row)
+    linked = graph.join(_links(graph), "k", "left")
+    linked = linked.withColumn("next", F.coalesce((F.lag("k").over(by_row) == F.col("before")) & (end == start), F.lit(False)))
+    origin = F.last(F.when(~F.col("next"), F.struct("k", start.alias("start"))), True).over(by_row.rowsBetween(Window.unboundedPreceding, 0))
+    chains = linked.withColumn("origin", origin).withColumn("chain", F.col("origin.k")).withColumn("offset", start - F.col("origin.start"))
+    chains = materialize(chains.withColumn("before", F.when(~F.col("next"), F.col("before"))).drop("next", "origin"), "chains")
+    ends = chains.select(F.col("k").alias("before"), F.col("chain").alias("root"), (F.col("offset") + n).alias("offset"))
+    pointers = chains.where("before is not null").select("chain", "before").join(ends, "before").select("chain", "root", "offset")
+    roots = _doubled(pointers).select("chain", F.col("root").alias("path"), F.col("offset").alias("more"))
+    found = chains.drop("before").join(roots, "chain", "left")
+    return found.withColumn("path", F.coalesce("path", "chain")).withColumn("offset", F.col("offset") + F.coalesce("more", F.lit(0))).drop("chain", "more")
+
+
+def repeated_spans(slim: DataFrame, window: int = 20) -> DataFrame:
+    """Rows (id, tag, spans) for rows (id, tag, text): the spans of edges that also occur earlier, by id,
+    tag and start, as structs (start, n, d1, d2) with the checksums of the first occurrences."""
     if not MINIMIZER <= window <= 200:
         raise ValueError("the window can be 6 to 200 words")
-    slim = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST)).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    emitted = slim.mapInArrow(lambda it: emit_paths(it, window), "h long, p long, id long, span long")
-    dealt = emitted.repartition("h").sortWithinPartitions("h", "p", "id", "span")
-    found = materialize(dealt.mapInArrow(resolve_paths, "id long, span long, more boolean"), "paths")
-    wanted = found.where("more").groupBy("id").agg(F.collect_set("span").alias("spans"))
-    edges = slim.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "spans").mapInArrow(lambda it: expand_edges(it, window), "e1 long, e2 long, id long, at long")
-    edges = materialize(edges, "edges")
-    place = F.struct("id", "at")
-    first = edges.groupBy("e1", "e2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = split_join(edges, first, ["e1", "e2"]).where(place > F.col("first"))
-    return found.where("not more").select("id", "span").unionAll(later.select("id", F.shiftleft("at", 9).bitwiseOR(F.lit(1)).alias("span")))
+    emitted = slim.mapInArrow(lambda it: emit_paths(it, window), "h long, p long, id long, place long")
+    known = F.col("place").bitwiseAND(F.lit(KNOWN)) > 0
+    # Known repeats have nobody to meet, so they go anywhere.
+    dealt = emitted.repartition(F.when(known, F.xxhash64("id", "place")).otherwise(F.col("h"))).sortWithinPartitions(known, "h", "p", "id", "place")
+    found = materialize(dealt.mapInArrow(resolve_paths, "h long, p long, id long, place long, kind long"), "paths")
+    tag = F.shiftright("place", TAG).alias("tag")
+    wanted = found.where("kind > 0").groupBy("id", tag).agg(F.collect_set(F.struct("h", "p", "place", "kind")).alias("wanted"))
+    read = slim.join(wanted.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "text", "wanted")
+    edges = materialize(read.mapInArrow(lambda it: read_edges(it, window), "a long, b long, id long, place long, head long, tail long, d1 long, d2 long, single boolean"), "edges")
+
+    at = F.struct("id", "place")
+    first = edges.where("single").groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
+    hits = materialize(split_join(edges.where("single").drop("single"), first, ["a", "b"]).withColumn("later", at > F.col("first")).drop("first"), "hits")
+    columns = ["id", "place", "head", "tail", "d1", "d2"]
+    graph = edges.where("not single").select("a", "b", *columns).unionByName(hits.where("not later").drop("later"))
+    graph = graph.groupBy("a", "b").agg(F.min(F.struct(*columns)).alias("e")).select("a", "b", F.xxhash64("a", "b").alias("k"), "e.*")
+    labels = materialize(unbranched_paths(materialize(graph, "graph")).select("a", "b", "path", "offset", "d1", "d2"), "labels")
+
+    later = found.where(f"kind = {LATER}").select(F.col("h").alias("a"), F.col("p").alias("b"), "id", "place").unionByName(hits.where("later").select("a", "b", "id", "place"))
+    placed = split_join(later, labels, ["a", "b"]).select("id", tag, _start("place").alias("start"), F.col("place").bitwiseAND(F.lit(EDGES)).alias("n"), "path", "offset", "d1", "d2")
+    along = Window.partitionBy("id", "tag", "path", "line").orderBy("start")
+    placed = placed.withColumn("line", F.col("start") - F.col("offset")).drop("offset")
+    placed = placed.withColumn("last", F.lag("start").over(along)).withColumn("end", F.lag(F.col("start") + F.col("n")).over(along))
+    fresh = F.col("last").isNull() | ((F.col("last") != F.col("start")) & (F.col("end") != F.col("start")))
+    placed = placed.withColumn("part", F.sum(fresh.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    # Equal rows of the table have each occurrence more than once.
+    placed = placed.where("last is null or last <> start")
+    spans = placed.groupBy("id", "tag", "path", "line", "part").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.sum("d1").alias("d1"), F.sum("d2").alias("d2"))
+    return materialize(spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", "d1", "d2")).alias("spans")), "spans")
+
+
+def _covered(b: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many spans, less those whose words differ from the first occurrence, cover each word of a
+    chunk; and where its texts begin."""
+    words, lens = chunk_words(b.column("text"))
+    here = Windows(words, lens, window)
+    d, (start, n, d1, d2) = _listed(b, "spans", ("start", "n", "d1", "d2"))
+    fits = here.fits(d, start, n)
+    s, n, d1, d2 = start[fits] + here.first[d[fits]], n[fits], d1[fits], d2[fits]
+    own1, own2 = here.sums(s, n)
+    same = (own1 == d1) & (own2 == d2)
+    change = np.bincount(s[same], minlength=len(words) + 1) - np.bincount((s + n + window - 1)[same], minlength=len(words) + 1)
+    return np.cumsum(change)[: len(words)], here.first
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -265,26 +380,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     that covers it also starts earlier, in a smaller id or before in the same document; windows
     are judged on the input. text is what stays, joined by one space; removed lists the spans
     of removed words as structs (start, end), end exclusive. A null, empty or blank text has no
-    words and an empty kept text. A null id counts as the smallest. Rows that repeat an id are
-    taken as one document: equal rows all get the same result, and texts that differ lose what
-    repeats in either. Other columns of docs are not read. An empty table gives no rows.
+    words and an empty kept text. Every row is a document of its own: rows that share an id come
+    in an order of their texts' hashes, and rows with a null id come before all others (ids under
+    -2**62 may mix with them), in such an order. Equal rows are one document and all get the same
+    result. Other columns of docs are not read. An empty table gives no rows.
     """
-    spans = repeated_spans(docs, id_col, text_col, window).groupBy("id").agg(F.collect_list("span").alias("spans"))
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST)).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    joined = own.join(spans.hint("shuffle_hash"), "id", "left").select("own", "text", "spans")
+    text, id_ = F.col(f"`{text_col}`").cast("string"), row_ids(id_col, text_col)
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), id_.alias("id"), _tag(id_, text).alias("tag"), text.alias("text"))
+    spans = repeated_spans(own.select("id", "tag", "text"), window)
+    joined = own.join(build_side(spans), ["id", "tag"], "left").select("own", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in (c for s in slices(batches) for c in chunks(s)):
+            covered, first = _covered(b, window) if b.column("spans").null_count < b.num_rows else (None, None)
             texts, n_words, n_removed, removed = [], [], [], []
-            for text, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans"), strict=True):
-                words = (text or b"").split()
-                n, gone = len(words), []
-                if spans.is_valid:
-                    span = spans.values.to_numpy()
-                    start, end = span >> 9, np.minimum((span >> 9) + (span & EDGES) + window - 1, n)
-                    ok = start < end
-                    change = np.bincount(start[ok], minlength=n + 1) - np.bincount(end[ok], minlength=n + 1)
-                    keep = np.cumsum(change)[:n] == 0
+            for i, (text, has) in enumerate(zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").is_valid().to_pylist(), strict=True)):
+                words, gone = (text or b"").split(), []
+                n = len(words)
+                if has:
+                    keep = covered[first[i] : first[i] + n] == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                     edge = np.flatnonzero(np.diff(np.concatenate(([True], keep, [True])).astype(np.int8)))
                     gone = [{"start": int(a), "end": int(z)} for a, z in zip(edge[::2], edge[1::2], strict=True)]
