@@ -77,3 +77,33 @@ TEXT_CAPS = {"google": 5000, "bing": 1000}
 MIN_CONFIDENCE, OVERLAP, EDGE_TOLERANCE, DEGENERATE = 0.25, 0.5, 0.01, 0.1
 TEXT_CHARS, TEXT_BLOCKS, IMAGE_COVERAGE, SAMPLED_PAGES = 100, 3, 0.5, 5
 MAX_LINE_WIDTH, SUBSCRIPT, LINE_STEP = 5, 0.79, 0.05
+DOMINANT_IMAGE = 0.8
+
+# Services and the parameters that their cache keys have beside both languages and the model.
+SERVICES = {
+    "google": (),
+    "bing": (),
+    "deepl": (),
+    "deeplx": (),
+    "ollama": ("temperature",),
+    "xinference": ("temperature",),
+    "openai": ("temperature", "prompt", "think"),
+    "azure-openai": ("temperature", "prompt"),
+    "modelscope": ("temperature", "prompt", "think"),
+    "zhipu": ("temperature", "prompt", "think"),
+    "silicon": ("temperature", "prompt", "think"),
+    "302ai": ("temperature", "prompt", "think"),
+    "gemini": ("temperature", "prompt", "think"),
+    "azure": (),
+    "tencent": (),
+    "anythingllm": (),
+    "dify": (),
+    "argos": (),
+    "grok": ("temperature", "prompt", "think"),
+    "groq": ("temperature", "prompt", "think"),
+    "deepseek": ("temperature", "prompt", "think"),
+    "openailiked": ("temperature", "prompt", "think"),
+    "qwen-mt": ("temperature", "prompt", "think"),
+}
+UNCACHED_SERVICES = ("argos",)
+RESULT_MARK = r'(?s)class="(?:t0|result-container)">(.*?)<'

@@ -90,6 +90,12 @@ def html_unescape(s: Column | str) -> Column:
     return _unescape(_c(s))
 
 
+def result_of_page(s: Column | str) -> Column:
+    """The first result on a service's answer page: unescaped, without control characters; null without one."""
+    found = F.regexp_extract_all(_c(s), F.lit(K.RESULT_MARK), F.lit(1))
+    return remove_control_characters(html_unescape(F.get(found, F.lit(0))))
+
+
 def strip_think(s: Column | str, form: str = "gateway") -> Column:
     """Without one leading <think> block. form: plain, lines (also the line ends after it) or gateway (white space before and an empty block allowed)."""
     return F.regexp_replace(_c(s), K.THINK[form], "")

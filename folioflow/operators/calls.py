@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -25,13 +25,13 @@ CACHE_KEY = ["translate_engine", "translate_engine_params", "original_text"]
 
 @dataclass
 class EchoProvider:
-    """A deterministic stand-in for a remote provider: answers <TR:text>."""
+    """A deterministic stand-in for a remote provider: answers echo(text)."""
 
     name: str = "echo"
     params: dict = field(default_factory=dict)
 
     def translate(self, texts: list[str]) -> list[str]:
-        return [f"<TR:{t}>" for t in texts]
+        return [f"echo({t})" for t in texts]
 
 
 @dataclass
@@ -46,16 +46,38 @@ class ScriptedProvider:
         return [self.answers.get(t, t) for t in texts]
 
 
-#: Registered providers by service name; others register here.
+@dataclass
+class ServiceProvider:
+    """A service by name: its texts are cut to what it takes, and params are its cache key. send does the
+    work; it is an adapter, as nothing here knows a network."""
+
+    name: str
+    send: Callable[[list[str]], list[str]]
+    params: dict = field(default_factory=dict)
+
+    def translate(self, texts: list[str]) -> list[str]:
+        return self.send([t[: K.TEXT_CAPS.get(self.name)] for t in texts])
+
+
+def cache_params(service: str, lang_in: str, lang_out: str, model: str = "", **options) -> dict:
+    """The parameters that tell a service's cached texts apart; other options do not count."""
+    return {"lang_in": lang_in, "lang_out": lang_out, "model": model} | {k: options[k] for k in K.SERVICES[service] if k in options}
+
+
+#: Stand-ins by service name; others register here.
 PROVIDERS: dict[str, type] = {"echo": EchoProvider, "scripted": ScriptedProvider}
 
 
-def provider_for(service: str, **options):
-    """The provider of a service or service:model name."""
+def provider_for(service: str, send: Callable | None = None, lang_in: str = "", lang_out: str = "", **options):
+    """The provider of a service or service:model name. The services of K.SERVICES need send."""
     name, _, model = service.partition(":")
-    if name not in PROVIDERS:
+    if name in PROVIDERS:
+        return PROVIDERS[name](**options, **({"params": {"model": model}} if model else {}))
+    if name not in K.SERVICES:
         raise ValueError(f"unknown service {name}")
-    return PROVIDERS[name](**options, **({"params": {"model": model}} if model else {}))
+    if send is None:
+        raise ValueError(f"service {name} needs a function that sends texts")
+    return ServiceProvider(name, send, cache_params(name, lang_in, lang_out, model, **options))
 
 
 def upsert_cache(cache: DataFrame, writes: DataFrame) -> DataFrame:
@@ -94,7 +116,8 @@ def translate_texts(texts: DataFrame, cache: DataFrame, provider, write_seq: int
 
     texts has a column text. Blank texts and single placeholders pass through uncalled. With
     ignore_cache everything is called for; the answers are still written. Answers go to the
-    folder staging first. Failed calls are not cached and leave the translation null.
+    folder staging first. Failed calls are not cached and leave the translation null; services that
+    are not cached leave the cache as it is.
     """
     spark = texts.sparkSession
     keyed = texts.withColumn("translate_engine", F.lit(provider.name)).withColumn("translate_engine_params", F.lit(X.canonical_params(provider.params))).withColumnRenamed("text", "original_text")
@@ -105,6 +128,7 @@ def translate_texts(texts: DataFrame, cache: DataFrame, provider, write_seq: int
     fresh = fresh.select(F.lit(provider.name).alias("translate_engine"), F.lit(X.canonical_params(provider.params)).alias("translate_engine_params"), "original_text", "translation", F.lit(write_seq).cast("long").alias("write_seq"))
     new = upsert_cache(cache, fresh)
     found = lookup_cache(keyed, new).withColumn("translation", F.when(X.is_passthrough("original_text"), F.col("original_text")).otherwise(F.col("translation")))
+    new = cache if provider.name in K.UNCACHED_SERVICES else new
     return found.drop("translate_engine", "translate_engine_params").withColumnRenamed("original_text", "text"), new
 
 

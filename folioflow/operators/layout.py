@@ -75,6 +75,16 @@ def lines_in_cells(cells: DataFrame, lines: DataFrame, by: list[str], overlap: f
     return cells.join(found, [*by, "cell_pos"], "left").withColumn("cell_text", X.clean_ocr_text(F.coalesce("t", F.lit("")))).drop("t")
 
 
+def texts_of_crops(blocks: DataFrame, results: DataFrame, crop: str = "crop_id") -> DataFrame:
+    """blocks(crop, category, ...) with source_text from results(crop, text), by the crop's id and never by
+    order. A crop without a result, as of a failed call, has an empty text; equations get their
+    placeholder as latex."""
+    text = F.coalesce(results["text"], F.lit(""))
+    found = blocks.join(results.select(crop, text.alias("source_text")), crop, "left")
+    latex = F.when(F.col("category") == "EQUATION", K.EQUATION_LATEX)
+    return found.withColumn("source_text", F.coalesce("source_text", F.lit(""))).withColumn("latex", F.coalesce(latex, F.lit("")))
+
+
 def ordered_text(df: DataFrame, by: list[str], order: list[str], text: str, sep: str, alias: str) -> DataFrame:
     """Texts of each group in order, joined; empty ones are skipped."""
     own = F.when(F.col(text) != "", F.struct(*order, F.col(text).alias("__t")))

@@ -120,6 +120,24 @@ def validation_errors(stage: str = "A") -> Column:
     return F.when(F.col("pdf_path").isNull(), missing).otherwise(F.coalesce(found, none))
 
 
+def schema_errors(raw: Column | str) -> Column:
+    """Errors of one document as JSON text that the schema cannot read: no JSON, or a value of another
+    type than its field's. Absent fields are not errors here."""
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    read = F.from_json(raw, f"{schemas.DOCUMENT}, __broken string", {"columnNameOfCorruptRecord": "__broken", "mode": "PERMISSIVE", "allowNonNumericNumbers": "true"})
+    broken = raw.isNull() | read["__broken"].isNotNull()
+    return F.when(broken, F.array(_error(F.lit(""), "the text is no document of the schema", "JSON_SCHEMA")).cast(_ERROR)).otherwise(F.array().cast(_ERROR))
+
+
+def validate_json(texts: DataFrame, column: str = "value", stage: str = "A") -> DataFrame:
+    """texts with errors and valid, for documents as JSON text. What the schema cannot read has that one
+    error; the rest is judged as by validate."""
+    found = texts.withColumn("__schema", schema_errors(column))
+    read = F.from_json(F.col(column), schemas.DOCUMENT, {"allowNonNumericNumbers": "true"})
+    judged = found.withColumn("__d", read).select(*texts.columns, "__schema", "__d.*").withColumn("errors", F.when(F.size("__schema") > 0, F.col("__schema")).otherwise(validation_errors(stage)))
+    return judged.select(*texts.columns, "errors", (F.size("errors") == 0).alias("valid"))
+
+
 def validate(docs: DataFrame, stage: str = "A") -> DataFrame:
     """docs with errors and valid."""
     return docs.withColumn("errors", validation_errors(stage)).withColumn("valid", F.size("errors") == 0)

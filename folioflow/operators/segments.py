@@ -1,6 +1,7 @@
 """From nested documents to numbered segments and byte-bounded chunks, and back.
 
-Everything here works within the row of a document: no step shuffles.
+Collecting, numbering and packing work within the row of a document and do not shuffle; putting
+results back joins documents with their translations once.
 """
 
 from __future__ import annotations

@@ -55,7 +55,7 @@ def cache_misses(spark, sf_dir):
     return calls.cache_misses(_texts(spark, sf_dir), _cache(spark, sf_dir)).groupBy("translate_engine").agg(F.count("*").alias("n_misses"))
 
 
-@REGISTER("WITH l AS (SELECT DISTINCT l FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM conversations) WHERE trim(l) <> '') SELECT md5(l) AS text_md5, '<TR:' || l || '>' AS translation FROM l")
+@REGISTER("WITH l AS (SELECT DISTINCT l FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM conversations) WHERE trim(l) <> '') SELECT md5(l) AS text_md5, 'echo(' || l || ')' AS translation FROM l")
 def translated_lines(spark, sf_dir):
     """Distinct worthwhile lines through the stand-in provider."""
     lines = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n", -1)).alias("original_text"))

@@ -226,6 +226,15 @@ def rule_lines(spark, sf_dir):
     return layout.rule_lines(paths).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
+@REGISTER(f"""WITH {BOXES}, r AS (SELECT DISTINCT ON (l_partkey) l_partkey AS crop_id, 'w' || l_orderkey AS text FROM lineitem WHERE l_partkey % 3 <> 0 ORDER BY l_partkey, l_orderkey)
+SELECT b.pos AS crop_id, coalesce(text, '') AS source_text, CASE WHEN b.pos % 7 = 0 THEN '{K.EQUATION_LATEX}' ELSE '' END AS latex FROM b LEFT JOIN r ON r.crop_id = b.pos""")
+def crop_texts(spark, sf_dir):
+    """Results of crops by their id; crops without one are empty."""
+    results = table(spark, sf_dir, "lineitem").where("l_partkey % 3 <> 0").groupBy(F.col("l_partkey").alias("crop_id")).agg(F.concat(F.lit("w"), F.min("l_orderkey")).alias("text"))
+    blocks = _boxes(spark, sf_dir).select(F.col("pos").cast("long").alias("crop_id"), F.when(F.col("pos") % 7 == 0, "EQUATION").otherwise("FLOWING_TEXT").alias("category"))
+    return layout.texts_of_crops(blocks, results).select("crop_id", "source_text", "latex")
+
+
 @REGISTER()
 def paragraphs(spark, sf_dir):
     """Every document as a page of glyphs, read into paragraphs and formulas."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import urllib.parse
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +47,11 @@ def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> D
     return found.withColumn("doc_id", F.xxhash64(F.col("_metadata.file_path"), F.to_json(F.struct(*found.columns))))
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """One JSON object a line, UTF-8, null fields left out."""
-    docs.write.mode("overwrite").json(path)
+def write_documents(docs: DataFrame, path: str | None = None, source: str | None = None) -> None:
+    """One JSON object a line, UTF-8, null fields left out; to path, or beside the source."""
+    if path is None and source is None:
+        raise ValueError("a path or a source is needed")
+    docs.write.mode("overwrite").json(path or translated_path(source))
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -72,31 +74,51 @@ def read_template(path: str) -> str:
         return f.read()
 
 
-def fetch(urls: DataFrame, download: Callable[[str], tuple[int, bytes, str | None]], max_bytes: int) -> DataFrame:
+def _within(body: bytes | Iterable[bytes], most: int) -> bytes | None:
+    """The whole body, or None as soon as it is larger than most bytes."""
+    if isinstance(body, bytes):
+        return body if len(body) <= most else None
+    parts, size = [], 0
+    for part in body:
+        size += len(part)
+        if size > most:
+            return None
+        parts.append(part)
+    return b"".join(parts)
+
+
+def fetch(urls: DataFrame, download: Callable[[str], tuple[int, bytes | Iterable[bytes], str | None]], max_bytes: int) -> DataFrame:
     """(url, name, content, error) of urls(url), by a function url -> (status, body, name or None).
 
-    Only status 200 counts; a larger body is an error; names end in .pdf. The function is an
-    adapter: without a network, tests pass one that answers from memory.
+    Only status 200 counts; names end in .pdf. A body may come in parts: no more of them is read
+    than max_bytes allow, and a larger body is an error. The function is an adapter: without a
+    network, tests pass one that answers from memory.
     """
 
     def run(frames):
         import pandas as pd
 
         for df in frames:
-            rows = []
             for url in df["url"]:
+                content, name, error = None, None, None
                 try:
                     status, body, name = download(url)
-                    error = f"status {status}" if status != 200 else f"over {max_bytes} bytes" if len(body) > max_bytes else None
+                    error = None if status == 200 else f"status {status}"
+                    content = _within(body, max_bytes) if error is None else None
+                    error = f"over {max_bytes} bytes" if error is None and content is None else error
                 except Exception as e:  # noqa: BLE001
-                    body, name, error = b"", None, f"{type(e).__name__}: {e}"
+                    content, error = None, f"{type(e).__name__}: {e}"
                 stem = os.path.splitext(os.path.basename(name or urllib.parse.urlsplit(url).path))[0] or "document"
-                rows.append((url, f"{stem}.pdf", None if error else body, error))
-            yield pd.DataFrame(rows, columns=["url", "name", "content", "error"])
+                yield pd.DataFrame([(url, f"{stem}.pdf", content, error)], columns=["url", "name", "content", "error"])
 
     return urls.select("url").mapInPandas(run, "url string, name string, content binary, error string")
 
 
+def translated_path(path: str) -> str:
+    """Where the translation of a document file goes unless a place is named."""
+    return f"{path.removesuffix('.json')}.translated.json"
+
+
 def result_names(docs: DataFrame, path: str = "path") -> DataFrame:
     """docs with the names of their two results."""
     stem = X.file_stem(path)

@@ -40,34 +40,37 @@ class PlainBackend:
         return out.assign(line_width=pd.Series([None] * len(out), dtype="float64"))
 
 
-BACKENDS: dict[str, Callable] = {"plain": PlainBackend}
+def form_backend():
+    """interpreter.FormBackend, imported where it is used."""
+    from folioflow.sources.interpreter import FormBackend
+
+    return FormBackend()
+
+
+BACKENDS: dict[str, Callable] = {"plain": PlainBackend, "forms": form_backend}
 
 
 class _Pages(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, part: int, parts: int):
+        self.path, self.part, self.parts = path, part, parts
 
 
 class PageReader(DataSourceReader):
-    """One partition per range of pages of a file."""
+    """partsPerFile partitions for each file, each with every so manieth page. Files are opened by the
+    tasks alone, from a folder that all machines mount; for other stores see read_pages."""
 
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
         self.backend = BACKENDS[options.get("backend", "plain")]()
-        self.per = int(options.get("pagesPerPartition", "32"))
+        self.parts = int(options.get("partsPerFile", "1"))
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for path in self.paths:
-            with open(path, "rb") as f:
-                n = self.backend.n_pages(f.read())
-            out += [_Pages(path, i, min(i + self.per, n)) for i in range(0, n, self.per)]
-        return out
+        return [_Pages(path, i, self.parts) for path in self.paths for i in range(self.parts)]
 
     def read(self, partition: _Pages) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
             content = f.read()
-        for n in range(partition.first, partition.last):
+        for n in range(partition.part, self.backend.n_pages(content), partition.parts):
             for g in self.backend.page(content, n).itertuples(index=False):
                 width = None if g.line_width != g.line_width else g.line_width
                 yield (partition.path, n, g.seq, g.kind, g.text, g.font, g.size, g.x0, g.y0, g.x1, g.y1, g.m0, g.m3, g.region, width, self.backend.page_width, self.backend.page_height)
@@ -113,12 +116,20 @@ def page_matrix(rotate: Column | str, x0: Column, y0: Column, x1: Column, y1: Co
 
 def predict(images: DataFrame, make_model: Callable[[], Callable[[list], list]], by: list[str], schema: str) -> DataFrame:
     """Model results of images(by..., image): make_model() runs once per task and gives a function
-    from a list of images to a list of lists of dicts, which become rows."""
+    from a list of images to a list of lists of dicts, which become rows. Of a batch that fails each
+    image is tried by itself; one that still fails has no rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, names = make_model(), [c.strip().split(" ")[0] for c in schema.split(",")]
+
+        def tried(batch: list) -> list:
+            try:
+                return model(batch)
+            except Exception:  # noqa: BLE001
+                return [[]] if len(batch) == 1 else [x for image in batch for x in tried([image])]
+
         for df in frames:
-            rows = [{**{c: key[i] for i, c in enumerate(by)}, **r} for key, found in zip(df[by].itertuples(index=False, name=None), model(df["image"].tolist()), strict=True) for r in found]
+            rows = [{**{c: key[i] for i, c in enumerate(by)}, **r} for key, found in zip(df[by].itertuples(index=False, name=None), tried(df["image"].tolist()), strict=True) for r in found]
             yield pd.DataFrame(rows, columns=names)
 
     return images.select(*by, "image").mapInPandas(run, schema)

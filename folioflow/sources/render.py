@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from folioflow.functions import constants as K
 from folioflow.sources.pages import PlainBackend
 
 RASTER = "height int, width int, pixels binary"
@@ -38,15 +39,36 @@ class GridRenderer:
         return out
 
 
-def render_pages(binaries: DataFrame, make_renderer: Callable[[], GridRenderer], dpi: int = 72) -> DataFrame:
-    """(path, page, height, width, pixels) of binaries(path, content), one page at a time."""
+def dominant_image(placements: list[tuple[int, float, np.ndarray]], least: float = K.DOMINANT_IMAGE) -> np.ndarray | None:
+    """The embedded image that covers most of a page, if its shares of the page add up to least: of
+    placements (number, share, raster); the first of equals. Colours become grey."""
+    shares: dict[int, float] = {}
+    for number, share, _ in placements:
+        shares[number] = shares.get(number, 0.0) + share
+    best = max(shares, key=shares.get, default=None)
+    if best is None or shares[best] < least:
+        return None
+    image = next(raster for number, _, raster in placements if number == best)
+    return image if image.ndim == 2 else np.round(image[..., :3] @ [0.299, 0.587, 0.114]).astype(np.uint8)
+
+
+def render_for_ocr(renderer, content: bytes, page: int, dpi: int) -> np.ndarray:
+    """A page as text recognition reads it best: its dominant image as it was embedded, else drawn."""
+    images = getattr(renderer, "images", None)
+    found = dominant_image(images(content, page)) if images else None
+    return renderer.render(content, page, dpi) if found is None else found
+
+
+def render_pages(binaries: DataFrame, make_renderer: Callable[[], GridRenderer], dpi: int = 72, for_ocr: bool = False) -> DataFrame:
+    """(path, page, height, width, pixels) of binaries(path, content), one page at a time. for_ocr takes
+    dominant embedded images instead of drawing; a layout model needs pages drawn."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         renderer = make_renderer()
         for df in frames:
             for path, content in zip(df["path"], df["content"], strict=True):
                 for page in range(renderer.n_pages(content)):
-                    image = renderer.render(content, page, dpi)
+                    image = render_for_ocr(renderer, content, page, dpi) if for_ocr else renderer.render(content, page, dpi)
                     yield pd.DataFrame([(path, page, *image.shape, image.tobytes())], columns=["path", "page", "height", "width", "pixels"])
 
     return binaries.select("path", "content").mapInPandas(run, f"path string, page int, {RASTER}")

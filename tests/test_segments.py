@@ -75,12 +75,12 @@ def test_whole_flow(spark, docs, tmp_path):
     cache = spark.createDataFrame([("echo", "{}", "word", "cached", 0)], schemas.CACHE)
     result = translate_documents(docs, cache, EchoProvider(), Settings(), str(tmp_path / "staging"))
     got = {r.seg_id: r.translation for r in result.segments.collect()}
-    assert got["0"] == "<TR:A heading here>" and got["4"] == "cached" and len(got) == 6
+    assert got["0"] == "echo(A heading here)" and got["4"] == "cached" and len(got) == 6
     assert spark.read.parquet(str(tmp_path / "staging")).count() == 5  # only misses were called for
     assert result.cache.count() == 6
     assert result.report.first().n_translated == 6
     files.write_documents(result.documents, str(tmp_path / "out"))
-    assert "<TR:Last one>" in "".join(p.read_text() for p in (tmp_path / "out").glob("*.json"))
+    assert "echo(Last one)" in "".join(p.read_text() for p in (tmp_path / "out").glob("*.json"))
 
 
 def test_languages_must_be_known(spark, docs, tmp_path):
