@@ -131,7 +131,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     met = met.groupBy("k1", "k2", F.floor(F.col("shift") / SPAN).alias("span")).agg(F.collect_list(place).alias("places"))
 
     # The words around each alignment, of the template and of the text.
-    around = rows.join(met, ["k1", "k2"])
+    around = rows.join(met.hint("shuffle_hash"), ["k1", "k2"])
     around = _once(around, "w", F.struct(template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("p"))).drop("text")
     part = lambda x, c: F.slice(F.col(f"w.{c}"), x.begin + 1, x.len)
     around = around.select("k1", "k2", "id", F.explode(F.transform("places", lambda x: F.struct(x.item.alias("item"), x.shift.alias("shift"), x.begin.alias("begin"), part(x, "t").alias("t"), part(x, "p").alias("p")))).alias("x"))
