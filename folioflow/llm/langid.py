@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,22 +58,24 @@ def _portions(word: str, order: int) -> Iterator[list[str]]:
         yield [padded[i : i + order] for i in range(a, min(a + LONGEST, ends))]
 
 
+def _key(mark: str, key: str) -> int:
+    """The 64-bit hash that stands for a word or, with the mark \\0, an n-gram in a model."""
+    return xxhash.xxh3_64_intdigest((mark + key).encode("utf-8", "surrogatepass"))
+
+
 class Model:
-    """Log frequencies of words and n-grams; n-grams' keys begin with \\0.
+    """Log frequencies of words and n-grams, as arrays over the sorted hashes of all entries.
 
     An entry's kind is 0 for a word, else the order of the n-gram. base (kinds, languages) scores
     what a language lacks; entry i gains gain[j] in language which[j] for begin[i] <= j < begin[i + 1].
     """
 
-    def __init__(self, langs: list[str], keys: list[str], begin: np.ndarray, which: np.ndarray, gain: np.ndarray, base: np.ndarray, floor: np.ndarray):
-        self.langs, self.keys, self.begin, self.which, self.gain, self.base, self.floor = langs, keys, begin, which, gain, base, floor
+    def __init__(self, langs: list[str], hashes: np.ndarray, kinds: np.ndarray, begin: np.ndarray, which: np.ndarray, gain: np.ndarray, base: np.ndarray, floor: np.ndarray):
+        self.langs, self.hashes, self.kinds, self.begin, self.which, self.gain, self.base, self.floor = langs, hashes, kinds, begin, which, gain, base, floor
         self._ready = False
 
     def _prepare(self) -> None:
-        """Lookup tables, built once where the model is used, and room for the scores of entries met."""
-        self._words = {k: i for i, k in enumerate(self.keys) if not k.startswith("\0")}
-        self._grams = {k[1:]: i for i, k in enumerate(self.keys) if k.startswith("\0")}
-        self._kinds = np.array([len(k) - 1 if k.startswith("\0") else 0 for k in self.keys], np.int64)
+        """Room for the scores of words and n-grams met, built once where the model is used."""
         self._room = max(CACHE_ROWS, CACHE_CELLS // max(1, len(self.langs)))
         self._rows, self._gram_rows = (np.zeros((self._room, len(self.langs))) for _ in range(2))
         self._seen: dict[str, int] = {}
@@ -81,10 +85,17 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in vars(self).items() if not k.startswith("_")} | {"_ready": False}
 
-    def _known(self, at: list[int]) -> np.ndarray:
+    def _find(self, mark: str, keys: list[str]) -> np.ndarray:
+        """The entry of each key, -1 where there is none."""
+        own = np.fromiter((_key(mark, k) for k in keys), np.uint64, len(keys))
+        at = np.searchsorted(self.hashes, own)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == own[known]
+        return np.where(known, at, -1)
+
+    def _known(self, ids: np.ndarray) -> np.ndarray:
         """Scores of entries of the model."""
-        ids = np.array(at, np.int64)
-        out = self.base[self._kinds[ids]]
+        out = self.base[self.kinds[ids]]
         lens = self.begin[ids + 1] - self.begin[ids]
         ends = np.cumsum(lens)
         flat = np.repeat(self.begin[ids] - (ends - lens), lens) + np.arange(lens.sum())
@@ -93,8 +104,9 @@ class Model:
 
     def gram(self, g: str) -> np.ndarray:
         """Scores of an n-gram, known or backed off."""
-        at = self._grams.get(g)
-        if at is not None:
+        own = np.uint64(_key("\0", g))
+        at = int(self.hashes.searchsorted(own))
+        if at < len(self.hashes) and self.hashes[at] == own:
             a, z = self.begin[at], self.begin[at + 1]
             out = self.base[len(g)].copy()
             out[self.which[a:z]] += self.gain[a:z]
@@ -144,13 +156,12 @@ class Model:
 
     def _scores(self, words: list[str]) -> np.ndarray:
         """Scores of words, known or not."""
-        known = [i for i, w in enumerate(words) if w in self._words]
+        at = self._find("", words)
         out = np.empty((len(words), len(self.langs)))
-        if known:
-            out[known] = self._known([self._words[words[i]] for i in known])
-        if len(known) < len(words):
-            rest = [i for i, w in enumerate(words) if w not in self._words]
-            out[rest] = self.unseen([words[i] for i in rest])
+        out[at >= 0] = self._known(at[at >= 0])
+        rest = np.flatnonzero(at < 0)
+        if len(rest):
+            out[rest] = self.unseen([words[i] for i in rest.tolist()])
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -222,7 +233,8 @@ def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, chars_per_lang:
     sizes = {r.lang: (r.n, r.chars or 0) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], [], np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros((len(ORDERS) + 1, 0)), np.zeros(0))
+        none = np.zeros(0, np.int64)
+        return Model([], none.astype(np.uint64), none, np.zeros(1, np.int64), none, none.astype(float), np.zeros((len(ORDERS) + 1, 0)), none.astype(float))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, rows_per_lang / sizes[lang][0], chars_per_lang / max(1, sizes[lang][1])))])
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
     words = _counts(sample.select("lang", "text")).cache()
@@ -231,22 +243,26 @@ def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, chars_per_lang:
     finally:
         words.unpersist()
     number = {lang: i for i, lang in enumerate(langs)}
-    keys: dict[str, int] = {}
-    entry, which, counts = [], [], []
+    hashes, kinds, entry, which, counts = [], [], [], [], []
     for mark, table in zip(("", "\0"), tables, strict=True):
-        table = table.sort_by([("key", "ascending"), ("lang", "ascending")])
-        entry += [keys.setdefault(mark + k, len(keys)) for k in table["key"].to_pylist()]
-        which += [number[x] for x in table["lang"].to_pylist()]
-        counts.append(table["n"].to_numpy())
-    entry, which, counts = np.array(entry, np.int64), np.array(which, np.int32), np.concatenate(counts).astype(float)
-    kinds = np.array([len(k) - 1 if k.startswith("\0") else 0 for k in keys], np.int64)
+        coded = table["key"].combine_chunks().dictionary_encode()
+        entry.append(coded.indices.to_numpy().astype(np.int64) + sum(map(len, hashes)))
+        hashes.append(np.fromiter((_key(mark, k.as_py()) for k in coded.dictionary), np.uint64, len(coded.dictionary)))
+        kinds.append(pc.utf8_length(coded.dictionary).to_numpy().astype(np.int8) if mark else np.zeros(len(coded.dictionary), np.int8))
+        own = table["lang"].combine_chunks().dictionary_encode()
+        which.append(np.array([number[x] for x in own.dictionary.to_pylist()], np.int32)[own.indices.to_numpy()] if len(own) else np.zeros(0, np.int32))
+        counts.append(table["n"].to_numpy().astype(float))
+    hashes, kinds, entry, which, counts = map(np.concatenate, (hashes, kinds, entry, which, counts))
+    order = np.argsort(hashes)
+    hashes, kinds, entry = hashes[order], kinds[order], np.argsort(order)[entry]
+    order = np.lexsort((which, entry))
+    entry, which, counts = entry[order], which[order], counts[order]
     # A word's frequency is its share of the language's words, an n-gram's that of its order.
     whole = np.zeros((len(ORDERS) + 1, len(langs)))
     np.add.at(whole, (kinds[entry], which), counts)
     base = np.log(SMOOTH / (whole + SMOOTH * np.bincount(kinds, minlength=len(ORDERS) + 1)[:, None] + 1))
-    floor = np.log(SMOOTH / (whole[0] + SMOOTH * len(keys) + 1))
-    begin = np.searchsorted(entry, np.arange(len(keys) + 1))
-    return Model(langs, list(keys), begin, which, np.log((counts + SMOOTH) / SMOOTH), base, floor)
+    floor = np.log(SMOOTH / (whole[0] + SMOOTH * len(hashes) + 1))
+    return Model(langs, hashes, kinds, np.searchsorted(entry, np.arange(len(hashes) + 1)), which, np.log((counts + SMOOTH) / SMOOTH), base, floor)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
