@@ -133,21 +133,24 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A key holds at most 2**16 * 49 fingerprints, so the open group stays bounded.
-        keys, values = np.empty(0, np.int64), np.empty(0, np.uint64)
+        rest: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(k: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-            u, w = _meet(k, v, radius)
+        def out() -> pa.RecordBatch:
+            u, w = _meet(*(np.concatenate(x) for x in zip(*rest, strict=True)), radius)
+            rest.clear()
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64))], ["u", "v"])
 
         for b in batches:
-            keys = np.concatenate([keys, b.column(0).to_numpy()])
-            values = np.concatenate([values, b.column(1).to_numpy().view(np.uint64)])
-            open_at = np.searchsorted(keys, keys[-1]) if len(keys) else 0
-            if open_at:
-                yield out(keys[:open_at], values[:open_at])
-                keys, values = keys[open_at:], values[open_at:]
-        if len(keys):
-            yield out(keys, values)
+            keys, values = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            if not len(keys):
+                continue
+            open_at = int(np.searchsorted(keys, keys[-1]))
+            if open_at or (rest and rest[-1][0][-1] != keys[0]):
+                rest.append((keys[:open_at], values[:open_at]))
+                yield out()
+            rest.append((keys[open_at:], values[open_at:]))
+        if rest:
+            yield out()
 
     return rows.mapInArrow(run, "u long, v long")
 
@@ -172,7 +175,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    """Fingerprint and component of every document."""
+    """Fingerprint and component of every document.
+
+    The class of keys is not the whole ball of half the radius over 64 bits, but for each 16-bit block
+    left out the ball of radius one over the other 48: see the module for why no link is lost.
+    """
     from folioflow.llm.common import documents
 
     found = near_duplicates(documents(spark, sf_dir))
