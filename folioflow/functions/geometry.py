@@ -73,7 +73,8 @@ def polygon_box(points: Column | str) -> Column:
 
 def unletterbox(b: Column | str, model_height, model_width, height, width) -> Column:
     """A box found on a padded, scaled image, on the image itself. Rounds half to even."""
-    b, mh, mw, h, w = _b(b), *(F.lit(v).cast("double") for v in (model_height, model_width, height, width))
+    number = lambda v: (F.col(v) if isinstance(v, str) else F.lit(v)).cast("double")
+    b, mh, mw, h, w = _b(b), *(number(v) for v in (model_height, model_width, height, width))
     gain = F.least(mh / h, mw / w)
     px, py = F.bround((mw - w * gain) / 2 - 0.1, 0), F.bround((mh - h * gain) / 2 - 0.1, 0)
     return box((b.x0 - px) / gain, (b.y0 - py) / gain, (b.x1 - px) / gain, (b.y1 - py) / gain)

@@ -26,6 +26,15 @@ def ranked_boxes(boxes: DataFrame, by: list[str], min_conf: float | None = K.MIN
     return own.groupBy(*by).agg(F.sort_array(F.collect_list(box)).alias("boxes"))
 
 
+def detected_boxes(found: DataFrame, model_height: int, model_width: int, min_conf: float = K.MIN_CONFIDENCE) -> DataFrame:
+    """Boxes on their pages of found(..., conf, x0..y1, height, width): what a layout model gave for a padded
+    image of a page of that size. Unsure ones go, the others are clamped to the page and those without
+    an extent left go too."""
+    on_page = G.clamp(G.unletterbox(G.box("x0", "y0", "x1", "y1"), model_height, model_width, "height", "width"), F.col("width"), F.col("height"))
+    sure = found.where(F.col("conf") > min_conf).withColumn("__b", on_page).where(~G.is_degenerate("__b"))
+    return sure.withColumns({c: F.col(f"__b.{c}") for c in ("x0", "y0", "x1", "y1")}).drop("__b")
+
+
 def page_marks(boxes: DataFrame, width: Column | str, height: Column | str) -> DataFrame:
     """ranked_boxes with a column marks instead: for each box the pixels that it covers on a raster of the
     page, and its region: 0 where it is reserved, else 2 plus its index. One row a page, so the corners are

@@ -28,6 +28,12 @@ def document_type(pages: DataFrame, by: list[str], kind: str = "page_type") -> D
     return pages.groupBy(*by).agg(n.alias("n_pages"), scanned.alias("n_scanned"), vote.alias("doc_type"))
 
 
+def route_of(category: Column | str) -> Column:
+    """The step that an element of a category goes to: none, structure (tables) or ocr."""
+    c = F.col(category) if isinstance(category, str) else category
+    return F.when(c == "BYPASS", "none").when(c == "TABLE", "structure").otherwise("ocr")
+
+
 _ERROR = "array<struct<path: string, message: string, code: string>>"
 
 

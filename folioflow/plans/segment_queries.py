@@ -123,8 +123,7 @@ def toc_hints(spark, sf_dir):
 @REGISTER(f"WITH {ELEMENTS} SELECT doc_id, CASE WHEN category = 'BYPASS' THEN 'none' WHEN category = 'TABLE' THEN 'structure' ELSE 'ocr' END AS route, count(*) AS n FROM c GROUP BY ALL")
 def routes_by_category(spark, sf_dir):
     """Which step an element goes to."""
-    route = F.when(F.col("category") == "BYPASS", "none").when(F.col("category") == "TABLE", "structure").otherwise("ocr")
-    return _elements(spark, sf_dir).groupBy("doc_id", route.alias("route")).agg(F.count("*").alias("n"))
+    return _elements(spark, sf_dir).groupBy("doc_id", quality.route_of("category").alias("route")).agg(F.count("*").alias("n"))
 
 
 @REGISTER("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> '') AS by_line, string_agg(text, ' ' ORDER BY turn) FILTER (WHERE text <> '') AS by_space, string_agg(text, ' | ' ORDER BY turn) FILTER (WHERE text <> '') AS by_cell FROM conversations GROUP BY conv_id")

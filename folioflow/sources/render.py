@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folioflow.functions import constants as K
 from folioflow.sources.pages import PlainBackend
@@ -107,6 +108,32 @@ def map_images(images: DataFrame, make: Callable[[], Callable[[np.ndarray], np.n
     return images.select(*by, "height", "width", "pixels").mapInPandas(run, f"{keys}, {RASTER}")
 
 
+def overlay(images: DataFrame, boxes: DataFrame, by: list[str], page_width: float, page_height: float) -> DataFrame:
+    """images(by..., height, width, pixels) with the borders of each page's boxes drawn in black, and marks:
+    the same boxes as JSON. boxes(by..., pos, label, x0..y1) are in points, origin at the top left; a page
+    without boxes stays as it is."""
+    box = F.struct("pos", "label", "x0", "y0", "x1", "y1")
+    held = images.join(boxes.groupBy(*by).agg(F.sort_array(F.collect_list(box)).alias("boxes")), by, "left")
+    held = held.withColumn("marks", F.coalesce(F.to_json("boxes"), F.lit("[]")))
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in images.select(*by).schema)
+
+    def draw(image: np.ndarray, found: list) -> np.ndarray:
+        out, (h, w) = image.copy(), image.shape
+        for b in found:
+            x0, x1 = (int(np.clip(v * w / page_width, 0, w - 1)) for v in (b["x0"], b["x1"]))
+            y0, y1 = (int(np.clip(v * h / page_height, 0, h - 1)) for v in (b["y0"], b["y1"]))
+            out[[y0, y1], x0 : x1 + 1] = 0
+            out[y0 : y1 + 1, [x0, x1]] = 0
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            rasters = [np.frombuffer(p, np.uint8).reshape(h, w) for h, w, p in zip(df["height"], df["width"], df["pixels"], strict=True)]
+            yield df[[*by, "height", "width"]].assign(pixels=[draw(r, [] if b is None else list(b)).tobytes() for r, b in zip(rasters, df["boxes"], strict=True)], marks=df["marks"])
+
+    return held.select(*by, "height", "width", "pixels", "boxes", "marks").mapInPandas(run, f"{keys}, {RASTER}, marks string")
+
+
 def convert(binaries: DataFrame, make: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
     """binaries(path, content) with contents converted (archival form, subset fonts, overlays) by a
     backend; a failure becomes an error and leaves the content null."""

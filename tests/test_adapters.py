@@ -64,6 +64,17 @@ def test_dominant_image():
     assert render.render_for_ocr(own, b"a\fb", 0, 72).shape == (4, 4) and render.render_for_ocr(own, b"a\fb", 1, 72).shape == (800, 600)
 
 
+def test_overlay(spark):
+    white = bytearray(np.full((20, 30), 255, np.uint8).tobytes())
+    images = spark.createDataFrame([(0, 20, 30, white), (1, 20, 30, white)], "page int, height int, width int, pixels binary")
+    boxes = spark.createDataFrame([(0, 1, "Text", 10.0, 10.0, 40.0, 30.0), (0, 0, "Table", 50.0, 0.0, 99.0, 5.0)], "page int, pos int, label string, x0 double, y0 double, x1 double, y1 double")
+    got = {r.page: r for r in render.overlay(images, boxes, ["page"], 60.0, 40.0).collect()}
+    drawn = np.frombuffer(got[0].pixels, np.uint8).reshape(20, 30)
+    assert (drawn[5, 5:21] == 0).all() and (drawn[15, 5:21] == 0).all() and (drawn[5:16, [5, 20]] == 0).all() and (drawn[6:15, 6:20] == 255).all()
+    assert (drawn[0:3, 29] == 0).all() and [m["label"] for m in json.loads(got[0].marks)] == ["Table", "Text"]
+    assert got[1].pixels == bytes(white) and got[1].marks == "[]"
+
+
 def test_failed_images_have_no_rows(spark):
     def make():
         def model(batch):
@@ -80,6 +91,14 @@ def test_failed_images_have_no_rows(spark):
     assert got == {1: ("one", "[EQUATION_PLACEHOLDER]"), 2: ("", "[EQUATION_PLACEHOLDER]"), 3: ("two", "")}
 
 
+def test_boxes_of_a_layout_model(spark):
+    """A page of 300 by 500 on an image of 1024: the middle of the image is that of the page."""
+    rows = [(1, 0.9, 0.0, 0.0, 1024.0, 1024.0), (2, 0.2, 0.0, 0.0, 9.0, 9.0), (3, 0.9, 512.0, 512.0, 512.01, 900.0), (4, 0.9, 512.0, 512.0, 1024.0, 1024.0)]
+    found = spark.createDataFrame([(*r, 300, 500) for r in rows], "i int, conf double, x0 double, y0 double, x1 double, y1 double, height int, width int")
+    got = {r.i: (round(r.x0), round(r.y0), round(r.x1), round(r.y1)) for r in layout.detected_boxes(found, 1024, 1024).collect()}
+    assert got == {1: (0, 0, 500, 300), 4: (250, 150, 500, 300)}
+
+
 def test_services():
     own = calls.provider_for("ollama:m", send=lambda texts: [t.upper() for t in texts], lang_in="en", lang_out="de", temperature=0, prompt="p")
     assert own.params == {"lang_in": "en", "lang_out": "de", "model": "m", "temperature": 0} and own.translate(["a"]) == ["A"]
