@@ -12,7 +12,7 @@ from folioflow.functions import text as X
 from folioflow.operators import gateway
 from folioflow.plans import translate
 from folioflow.plans.register import Register
-from folioflow.plans.segment_queries import SEGMENTS, _docs
+from folioflow.plans.segment_queries import CHUNKS, _docs
 from folioflow.staging import shared_dir
 
 REGISTER = Register()
@@ -40,9 +40,10 @@ def scripted(system: str, user: str) -> str:
 _NEW = "replace(replace(line, 'rewh', 'WHEN'), 'e', '3')"
 
 
-@REGISTER(f"""WITH {SEGMENTS}, t AS (SELECT doc_id, seg, line, seg % 13 = 7 AND length(line) >= {K.LENGTH_MIN_CHARS} AS mended FROM s)
-SELECT doc_id, CAST(seg AS VARCHAR) AS seg_id, md5(CASE WHEN mended THEN replace(line, 'e', '3') WHEN seg % 13 = 7 THEN {_NEW} || {_NEW} ELSE {_NEW} END) AS t_md5,
-  CASE WHEN mended THEN 'length' WHEN seg % 11 = 5 THEN 'retry' ELSE 'first' END AS source_of, false AS off FROM t""")
+@REGISTER(f"""WITH RECURSIVE {CHUNKS}, a AS (SELECT f.doc_id, f.chunk, f.seg, line, CASE WHEN f.seg % 13 = 7 THEN {_NEW} || {_NEW} ELSE {_NEW} END AS t, f.seg % 11 = 5 AS late, f.seg % 13 = 7 AND length(line) >= {K.LENGTH_MIN_CHARS} AS mended FROM f JOIN s ON s.doc_id = f.doc_id AND s.seg = f.seg),
+c AS (SELECT doc_id, chunk, bool_and(t = line) AND bool_or(late) AS again FROM a GROUP BY doc_id, chunk)
+SELECT a.doc_id, CAST(seg AS VARCHAR) AS seg_id, md5(CASE WHEN mended THEN replace(line, 'e', '3') ELSE t END) AS t_md5,
+  CASE WHEN mended THEN 'length' WHEN late THEN 'retry' WHEN again THEN 'unchanged' ELSE 'first' END AS source_of, false AS off FROM a JOIN c ON c.doc_id = a.doc_id AND c.chunk = a.chunk""")
 def translated_chunks(spark, sf_dir):
     """Every document through the whole
     flow, glossary and all rounds of calls included."""
