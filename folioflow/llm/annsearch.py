@@ -36,7 +36,7 @@ RECALL, JUDGES = 0.97, 256
 CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 8192
 RERANK = 200
 #: Larger components are cut to this size where only approximate scores are computed.
-LARGEST = 1e15
+LARGEST = 1e7
 CENTRES, THRESHOLD, ROUNDS = 16, 0.2, 8
 
 

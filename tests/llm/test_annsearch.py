@@ -51,6 +51,52 @@ def test_few_rows(spark):
     assert [tuple(r) for r in annsearch.search(two, F.col("id") % 20 == 0).collect()] == [(0, 1, 1, 11.0)]
 
 
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(0, [0.1, 0.2]), (1, [0.4, 0.4]), (2, [1e39, -1e39]), (3, [1e39, 1e39]), (20, [1e200, 1.0])]
+    got = [tuple(r) for r in annsearch.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()]
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1]
+    vectors = dict(rows)
+    for q in (0, 20):
+        want = sorted(((dot(vectors[q], v), i) for i, v in rows if i != q), key=lambda x: (-x[0], x[1]))
+        assert [(i, s) for query, _, i, s in sorted(got) if query == q] == [(i, s) for s, i in want]
+
+
+def test_every_length_is_searched(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (20, [1.0]), (21, [5.0]), (22, [7.0]), (40, [1.0, 1.0, 1.0])]
+    found = annsearch.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect()) == [(0, 1, 1), (20, 1, 22), (20, 2, 21)]
+
+
+def test_cells_of_clustered_vectors(spark, monkeypatch):
+    """Few cells are searched where vectors lie in clusters, nearly all where they do not; recall holds, and exact is exact."""
+    monkeypatch.setattr(annsearch, "CELL_ROWS", 100)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(25, 16))
+    for spread, probes in ((0.05, range(1, 9)), (50.0, range(12, 31))):
+        x = (centres[rng.integers(0, 25, 3000)] + spread * rng.normal(size=(3000, 16))).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert annsearch.partition(x, 30, 20).probes in probes
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        want = {(q, i) for q, v in brute(rows, [r for r in rows if r[0] % 100 == 0], 20).items() for i, _ in v}
+        got = {(r.query_id, r.vec_id) for r in annsearch.search(df, F.col("id") % 100 == 0).collect()}
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+        assert {(r.query_id, r.vec_id) for r in annsearch.search(df, F.col("id") % 100 == 0, exact=True).collect()} == want
+
+
+def test_a_vector_that_many_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(annsearch, "CANDIDATES_PER_BLOCK", 64)
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 0.0, 0.0, 0.0] if i % 3 else rng.normal(size=4).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    got = {}
+    for r in sorted(annsearch.search(df, F.col("id") % 20 == 0).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = sum(len(set(v) & {i for i, _ in want[q]}) for q, v in got.items())
+    assert hits >= 0.98 * sum(map(len, want.values()))
+
+
 def test_anisotropic_loss_beats_plain_assignment():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 32)).astype(np.float32)
