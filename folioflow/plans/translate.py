@@ -102,8 +102,9 @@ def translate_chunks(docs: DataFrame, model, settings: Settings, staging: str) -
         failed.append(answers.where("error is not null").select(F.lit(name).alias("round"), *KEY, "error"))
         return answers.where("answer is not null")
 
-    def settled(answers: DataFrame) -> DataFrame:
-        return calls.last_of_each(calls.parse_answers(answers, KEY), KEY)
+    def settled(requests: DataFrame, name: str) -> DataFrame:
+        """What came back for each id, parsed once: all later rounds read it."""
+        return kept(calls.last_of_each(calls.parse_answers(asked(requests, name), KEY), KEY), f"{name}-texts")
 
     found = segments.chunked_segments(docs, settings.chunk_bytes, settings.cell_text, carry=("source_language", "target_language"))
     found = kept(found, "segments")
@@ -121,18 +122,18 @@ def translate_chunks(docs: DataFrame, model, settings: Settings, staging: str) -
     more = lambda note: F.col("request").withField("user", F.concat("request.user", F.lit(note)))
 
     sent, none = found.select(*KEY, "seg_id", "text"), spark.createDataFrame([], "doc_id long, chunk_no int, seg_id string, t string")
-    first = settled(asked(requests, "first"))
+    first = settled(requests, "first")
     lacking = calls.missing_ids(sent, first, KEY).select(*KEY).distinct()
-    again = settled(asked(requests.join(lacking, KEY, "left_semi").withColumn("request", more(X.EVERY_ID)), "missing"))
+    again = settled(requests.join(lacking, KEY, "left_semi").withColumn("request", more(X.EVERY_ID)), "missing")
     so_far = calls.reconcile(sent, first, again, none, none, KEY, settings.tolerance)
     same = calls.all_unchanged(sent, so_far.select(*KEY, "seg_id", "t"), KEY).where("unchanged")
-    other = settled(asked(requests.join(same, KEY, "left_semi"), "unchanged"))
+    other = settled(requests.join(same, KEY, "left_semi"), "unchanged")
     so_far = calls.reconcile(sent, first, again, other, none, KEY, settings.tolerance)
     off = so_far.where(X.length_violation("t", "text", settings.tolerance)).join(found.select(*KEY, "seg_id", *languages), [*KEY, "seg_id"])
     off = _payloads(off, "text", "t")
     rejected = X.translation_request("json", "ids", *languages, F.lit(""))
     rejected = rejected.withField("user", F.concat(rejected["user"], F.lit(X.OTHER_LENGTHS), _json(F.col("entries.t"))))
-    lengths = settled(asked(off.withColumn("request", rejected), "length"))
+    lengths = settled(off.withColumn("request", rejected), "length")
     done = calls.reconcile(sent, first, again, other, lengths, KEY, settings.tolerance).withColumnRenamed("t", "translation")
     done = done.withColumn("off", X.length_violation("translation", "text", settings.tolerance))
     errors = failed[0]
