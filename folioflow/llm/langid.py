@@ -30,11 +30,11 @@ ROWS_PER_LANG, CHARS_PER_LANG = 5000, 50_000_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 #: Scores that a worker keeps, of words and of n-grams, and the rows that hold them at least.
-CACHE_CELLS, CACHE_ROWS = 800_000, 60_000
+CACHE_CELLS, CACHE_ROWS = 400_000, 60_000
 #: Unseen words scored at a time; longer ones are scored in portions of so many n-grams.
 PORTION, LONGEST = 200, 200
 #: Counts of n-grams that a worker holds at a time.
-HELD_GRAMS = 500_000
+HELD_GRAMS = 150_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -265,16 +265,16 @@ def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, chars_per_lang:
     return Model(langs, hashes, kinds, np.searchsorted(entry, np.arange(len(hashes) + 1)), which, np.log((counts + SMOOTH) / SMOOTH), base, floor)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with columns lang_pred and score; input columns of these names are replaced.
 
     lang_pred is a learned language, the first in order of equals, or und (score 0) if the text
-    is null or has no letter, or if nothing was learned. Every row comes back once. Only the
-    text takes part in a prediction.
+    is null or has no letter, or if nothing was learned. Every row comes back once, with its text
+    unless keep_text is false. Only the text takes part in a prediction.
     """
     from pyspark.sql import types as T
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,5 +302,5 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     """The predicted language of every document. A null doc_id counts as not held out and teaches nothing."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
-    found = identify(docs.select("doc_id", "text", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out")), learn(docs))
+    found = identify(docs.select("doc_id", "text", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out")), learn(docs), keep_text=False)
     return found.select("doc_id", "held_out", "lang_pred", "score")
