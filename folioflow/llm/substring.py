@@ -392,13 +392,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (c for s in slices(batches) for c in chunks(s)):
-            covered, first = _covered(b, window) if b.column("spans").null_count < b.num_rows else (None, None)
+            held = b.column("spans").is_valid()
+            covered, first = _covered(b.filter(held), window)
+            begins = iter(first.tolist())
             texts, n_words, n_removed, removed = [], [], [], []
             for i, (text, has) in enumerate(zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").is_valid().to_pylist(), strict=True)):
                 words, gone = (text or b"").split(), []
                 n = len(words)
                 if has:
-                    keep = covered[first[i] : first[i] + n] == 0
+                    at = next(begins)
+                    keep = covered[at : at + n] == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                     edge = np.flatnonzero(np.diff(np.concatenate(([True], keep, [True])).astype(np.int8)))
                     gone = [{"start": int(a), "end": int(z)} for a, z in zip(edge[::2], edge[1::2], strict=True)]
