@@ -37,7 +37,7 @@ MINIMIZER = 6
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bits of a word's place in a chunk; the rest of a 64-bit key holds the sub-sequence's hash.
 _PLACE = 24
-_CHUNK_BYTES = 8 << 20
+_CHUNK_BYTES = 4 << 20
 
 
 def _powers(c: int, n: int) -> np.ndarray:
