@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +26,28 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and has the driver forget the shuffles of jobs
+    that are done, so that executors delete their files now and not at some later collection. Only
+    shuffles of DataFrames that no variable holds can go."""
+    for t in tables:
+        _delete(spark, t._written_to)
+    gc.collect()
+    # What the first collection lets go of in the JVM is found by the second.
+    for wait in (0.05, 0.0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -86,9 +109,7 @@ def prefix_sums(df: DataFrame, key: str, value: str, alias: str, by: tuple[str,
 
 def cleanup(spark: SparkSession) -> None:
     """Deletes what this application's operators wrote to the shared folder."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folioflow-{spark.sparkContext.applicationId}")
-    path.getFileSystem(conf).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/folioflow-{spark.sparkContext.applicationId}")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import build_side, documents, materialize, row_ids, slices, split_join
+from folioflow.llm.common import build_side, documents, materialize, release, row_ids, slices, split_join
 from folioflow.llm.mph import mix
 
 MINIMIZER = 6
@@ -148,12 +148,18 @@ EDGES, KNOWN, COPIED, START, TAG = 255, 1 << 8, 1 << 9, 10, 41
 PLACE = ~(KNOWN | COPIED)
 #: Kinds of resolved occurrences: a later one, or the first one of an edge, of paths that branch, or both.
 LATER, EDGE, BRANCH = 0, 1, 2
+#: Checksums add up the hashes of edges without so many of their lower bits.
+SUMMED = 33
 
 
 def _tag(id_: Column, text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(id_, text), TAG + 1)
 
 
+def _tag_of(place: str) -> Column:
+    return F.shiftright(place, TAG).alias("tag")
+
+
 def _start(place: Column | str) -> Column:
     return F.shiftright(place, START).bitwiseAND(F.lit((1 << (TAG - START)) - 1))
 
@@ -230,7 +236,7 @@ class Windows:
         self.first = np.cumsum(lens) - lens
         at = np.arange(max(0, len(words) - window + 1))
         self.e1, self.e2 = (Rolling(words, c, seed)(at, at + window) for c, seed in ((_C1, 11), (_C2, 13)))
-        self.s1, self.s2 = (np.concatenate(([0], np.cumsum((e >> np.uint64(33)).astype(np.int64)))) for e in (self.e1, self.e2))
+        self.s1, self.s2 = (np.concatenate(([0], np.cumsum((e >> np.uint64(SUMMED)).astype(np.int64)))) for e in (self.e1, self.e2))
 
     def fits(self, d: np.ndarray, start: np.ndarray, edges: np.ndarray) -> np.ndarray:
         return start + edges + self.window - 1 <= self.lens[d]
@@ -250,7 +256,7 @@ def _listed(b: pa.RecordBatch, column: str, names: tuple[str, ...]) -> tuple[np.
 
 def read_edges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The edges of the texts (id, tag, text, wanted): (a, b, id, place, head, tail, d1, d2, single). a and
-    b name an edge, head and tail its nodes, d1 and d2 are its checksums."""
+    b name an edge, head and tail its nodes; d1 and d2 are the checksums of those that are not single."""
     for whole in batches:
         for b in chunks(whole):
             ids, tags = (b.column(c).to_numpy().astype(np.int64) for c in ("id", "tag"))
@@ -277,8 +283,10 @@ def read_edges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
             a = np.concatenate((h[long], here.e1[only].view(np.int64)))
             c = np.concatenate((p[long], here.e2[only].view(np.int64)))
             ends = [node(x, x + window - 1).view(np.int64) for x in (s, s + n)]
-            columns = [a, c, ids[d], tags[d] << TAG | start << START | n, *ends, *here.sums(s, n)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(single)], ["a", "b", "id", "place", "head", "tail", "d1", "d2", "single"])
+            columns = [a, c, ids[d], tags[d] << TAG | start << START | n, *ends]
+            # The checksums of a single edge are the upper bits of its hashes.
+            sums = [pa.array(x, mask=single) for x in here.sums(s, n)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *sums, pa.array(single)], ["a", "b", "id", "place", "head", "tail", "d1", "d2", "single"])
 
 
 def _links(graph: DataFrame) -> DataFrame:
@@ -323,31 +331,47 @@ def unbranched_paths(graph: DataFrame) -> DataFrame:
     return found.withColumn("path", F.coalesce("path", "chain")).withColumn("offset", F.col("offset") + F.coalesce("more", F.lit(0))).drop("chain", "more")
 
 
-def repeated_spans(slim: DataFrame, window: int = 20) -> DataFrame:
-    """Rows (id, tag, spans) for rows (id, tag, text): the spans of edges that also occur earlier, by id,
-    tag and start, as structs (start, n, d1, d2) with the checksums of the first occurrences."""
-    if not MINIMIZER <= window <= 200:
-        raise ValueError("the window can be 6 to 200 words")
+def _resolved(slim: DataFrame, window: int) -> DataFrame:
+    """The occurrences of paths that matter, see resolve_paths, for rows (id, tag, text)."""
     emitted = slim.mapInArrow(lambda it: emit_paths(it, window), "h long, p long, id long, place long")
     known = F.col("place").bitwiseAND(F.lit(KNOWN)) > 0
     # Known repeats have nobody to meet, so they go anywhere.
     dealt = emitted.repartition(F.when(known, F.xxhash64("id", "place")).otherwise(F.col("h"))).sortWithinPartitions(known, "h", "p", "id", "place")
-    found = materialize(dealt.mapInArrow(resolve_paths, "h long, p long, id long, place long, kind long"), "paths")
-    tag = F.shiftright("place", TAG).alias("tag")
-    wanted = found.where("kind > 0").groupBy("id", tag).agg(F.collect_set(F.struct("h", "p", "place", "kind")).alias("wanted"))
+    return materialize(dealt.mapInArrow(resolve_paths, "h long, p long, id long, place long, kind long"), "paths")
+
+
+def _read(slim: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """The edges of first occurrences, see read_edges."""
+    wanted = found.where("kind > 0").groupBy("id", _tag_of("place")).agg(F.collect_set(F.struct("h", "p", "place", "kind")).alias("wanted"))
     read = slim.join(wanted.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "text", "wanted")
-    edges = materialize(read.mapInArrow(lambda it: read_edges(it, window), "a long, b long, id long, place long, head long, tail long, d1 long, d2 long, single boolean"), "edges")
+    return materialize(read.mapInArrow(lambda it: read_edges(it, window), "a long, b long, id long, place long, head long, tail long, d1 long, d2 long, single boolean"), "edges")
+
+
+def _hits(edges: DataFrame) -> DataFrame:
+    """The single edges that occur more than once: (a, b, id, place, head, tail, later)."""
+    at, own = F.struct("id", "place"), edges.where("single").select("a", "b", "id", "place", "head", "tail")
+    first = own.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
+    return materialize(split_join(own, first, ["a", "b"]).withColumn("later", at > F.col("first")).drop("first"), "hits")
+
 
-    at = F.struct("id", "place")
-    first = edges.where("single").groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
-    hits = materialize(split_join(edges.where("single").drop("single"), first, ["a", "b"]).withColumn("later", at > F.col("first")).drop("first"), "hits")
+def _graph(edges: DataFrame, hits: DataFrame) -> DataFrame:
+    """The distinct repeated edges (a, b, k, id, place, head, tail, d1, d2) with their first occurrences."""
     columns = ["id", "place", "head", "tail", "d1", "d2"]
-    graph = edges.where("not single").select("a", "b", *columns).unionByName(hits.where("not later").drop("later"))
-    graph = graph.groupBy("a", "b").agg(F.min(F.struct(*columns)).alias("e")).select("a", "b", F.xxhash64("a", "b").alias("k"), "e.*")
-    labels = materialize(unbranched_paths(materialize(graph, "graph")).select("a", "b", "path", "offset", "d1", "d2"), "labels")
+    single = hits.where("not later").withColumns({d: F.shiftrightunsigned(c, SUMMED) for d, c in (("d1", "a"), ("d2", "b"))})
+    both = edges.where("not single").select("a", "b", *columns).unionByName(single.select("a", "b", *columns))
+    each = both.groupBy("a", "b").agg(F.min(F.struct(*columns)).alias("e"))
+    return materialize(each.select("a", "b", F.xxhash64("a", "b").alias("k"), "e.*"), "graph")
 
+
+def _labels(graph: DataFrame) -> DataFrame:
+    """Rows (a, b, path, offset, d1, d2) for the edges of a graph."""
+    return materialize(unbranched_paths(graph).select("a", "b", "path", "offset", "d1", "d2"), "labels")
+
+
+def _spans(found: DataFrame, hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """Later occurrences of edges of one path that lie end to end, as spans by row."""
     later = found.where(f"kind = {LATER}").select(F.col("h").alias("a"), F.col("p").alias("b"), "id", "place").unionByName(hits.where("later").select("a", "b", "id", "place"))
-    placed = split_join(later, labels, ["a", "b"]).select("id", tag, _start("place").alias("start"), F.col("place").bitwiseAND(F.lit(EDGES)).alias("n"), "path", "offset", "d1", "d2")
+    placed = split_join(later, labels, ["a", "b"]).select("id", _tag_of("place"), _start("place").alias("start"), F.col("place").bitwiseAND(F.lit(EDGES)).alias("n"), "path", "offset", "d1", "d2")
     along = Window.partitionBy("id", "tag", "path", "line").orderBy("start")
     placed = placed.withColumn("line", F.col("start") - F.col("offset")).drop("offset")
     placed = placed.withColumn("last", F.lag("start").over(along)).withColumn("end", F.lag(F.col("start") + F.col("n")).over(along))
@@ -359,6 +383,29 @@ def repeated_spans(slim: DataFrame, window: int = 20) -> DataFrame:
     return materialize(spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", "d1", "d2")).alias("spans")), "spans")
 
 
+def repeated_spans(slim: DataFrame, window: int = 20) -> DataFrame:
+    """Rows (id, tag, spans) for rows (id, tag, text): the spans of edges that also occur earlier, by id,
+    tag and start, as structs (start, n, d1, d2) with the checksums of the first occurrences.
+
+    Each step is written; then its shuffles and the tables that it was the last to read are deleted.
+    """
+    if not MINIMIZER <= window <= 200:
+        raise ValueError("the window can be 6 to 200 words")
+    spark = slim.sparkSession
+    found = _resolved(slim, window)
+    release(spark)
+    edges = _read(slim, found, window)
+    release(spark)
+    hits = _hits(edges)
+    graph = _graph(edges, hits)
+    release(spark, edges)
+    labels = _labels(graph)
+    release(spark, graph)
+    spans = _spans(found, hits, labels)
+    release(spark, found, hits, labels)
+    return spans
+
+
 def _covered(b: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray]:
     """How many spans, less those whose words differ from the first occurrence, cover each word of a
     chunk; and where its texts begin."""
@@ -396,7 +443,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             covered, first = _covered(b.filter(held), window)
             begins = iter(first.tolist())
             texts, n_words, n_removed, removed = [], [], [], []
-            for i, (text, has) in enumerate(zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").is_valid().to_pylist(), strict=True)):
+            for text, has in zip(b.column("text").cast(pa.binary()).to_pylist(), held.to_pylist(), strict=True):
                 words, gone = (text or b"").split(), []
                 n = len(words)
                 if has:
