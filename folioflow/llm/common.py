@@ -31,12 +31,19 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and has the driver forget the shuffles of jobs
-    that are done, so that executors delete their files now and not at some later collection. Only
-    shuffles of DataFrames that no variable holds can go."""
+#: Bytes of a written table from which it is worth a collection to delete the shuffles of its job at once.
+RELEASE_BYTES = 16 << 20
+
+
+def release(done: DataFrame, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more. Unless the table done, written last, is small, also
+    has the driver forget the shuffles of jobs that are done, so that executors delete their files now
+    and not at some later collection; only those of DataFrames that no variable holds can go."""
+    spark = done.sparkSession
     for t in tables:
         _delete(spark, t._written_to)
+    if _bytes(done) < RELEASE_BYTES:
+        return
     gc.collect()
     # What the first collection lets go of in the JVM is found by the second.
     for wait in (0.05, 0.0):
@@ -82,10 +89,14 @@ def row_ids(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), own)
 
 
+def _bytes(df: DataFrame) -> int:
+    """The size of a written table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def small(df: DataFrame) -> bool:
     """Whether a written table is small enough for Spark to broadcast it."""
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= conf.autoBroadcastJoinThreshold()
+    return _bytes(df) <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
 def build_side(df: DataFrame) -> DataFrame:

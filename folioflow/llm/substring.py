@@ -391,18 +391,17 @@ def repeated_spans(slim: DataFrame, window: int = 20) -> DataFrame:
     """
     if not MINIMIZER <= window <= 200:
         raise ValueError("the window can be 6 to 200 words")
-    spark = slim.sparkSession
     found = _resolved(slim, window)
-    release(spark)
+    release(found)
     edges = _read(slim, found, window)
-    release(spark)
+    release(edges)
     hits = _hits(edges)
     graph = _graph(edges, hits)
-    release(spark, edges)
+    release(found, edges)
     labels = _labels(graph)
-    release(spark, graph)
+    release(found, graph)
     spans = _spans(found, hits, labels)
-    release(spark, found, hits, labels)
+    release(spans, found, hits, labels)
     return spans
 
 
