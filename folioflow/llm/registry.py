@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import annsearch, decontam, langid, licenses, linededup, packing, secrets, simhash, substring, warc
+from folioflow.llm import annsearch, decontam, langid, licenses, linededup, merkle, packing, secrets, simhash, spelling, substring, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_mips": annsearch.op9_mips,
     "op10_simhash": simhash.op10_simhash,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_spelling": spelling.op12_spelling,
 }
 ORACLES = {
     "op1_line_dedup": linededup.OP1_SQL,
     "op3_secrets": secrets.OP3_SQL,
     "op4_substring_dedup": substring.OP4_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op12_spelling": spelling.OP12_SQL,
 }
