@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import annsearch, decontam, langid, licenses, linededup, merkle, packing, secrets, simhash, spelling, substring, warc
+from folioflow.llm import annsearch, decontam, langid, licenses, linededup, merkle, packing, secrets, simhash, spelling, substring, suffixes, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_merkle": merkle.op11_merkle,
     "op12_spelling": spelling.op12_spelling,
+    "op13_suffix_dedup": suffixes.op13_suffix_dedup,
 }
 ORACLES = {
     "op1_line_dedup": linededup.OP1_SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_warc": warc.OP8_SQL,
     "op11_merkle": merkle.OP11_SQL,
     "op12_spelling": spelling.OP12_SQL,
+    "op13_suffix_dedup": suffixes.OP13_SQL,
 }
