@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import constants as K
 from folioflow.functions import lenient
 from folioflow.functions import text as X
+from folioflow.operators.cachelog import CacheLog
 
 CACHE_KEY = ["translate_engine", "translate_engine_params", "original_text"]
 
@@ -111,8 +112,9 @@ def call_provider(texts: DataFrame, provider) -> DataFrame:
     return texts.select("original_text").mapInPandas(run, "original_text string, translation string, error string")
 
 
-def translate_texts(texts: DataFrame, cache: DataFrame, provider, write_seq: int, staging: str, ignore_cache: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(texts with translation, new cache). Only distinct misses are called for.
+def translate_texts(texts: DataFrame, cache: DataFrame | CacheLog, provider, write_seq: int, staging: str, ignore_cache: bool = False) -> tuple[DataFrame, DataFrame | CacheLog]:
+    """(texts with translation, new cache). Only distinct misses are called for. A log gets the answers as one more
+    run and is given back; the run is named by staging, so a batch that runs again is written once.
 
     texts has a column text. Blank texts and single placeholders pass through uncalled. With
     ignore_cache everything is called for; the answers are still written. Answers go to the
@@ -122,12 +124,19 @@ def translate_texts(texts: DataFrame, cache: DataFrame, provider, write_seq: int
     spark = texts.sparkSession
     keyed = texts.withColumn("translate_engine", F.lit(provider.name)).withColumn("translate_engine_params", F.lit(X.canonical_params(provider.params))).withColumnRenamed("text", "original_text")
     worth = keyed.where(~X.is_passthrough("original_text"))
-    wanted = worth.select(*CACHE_KEY).distinct() if ignore_cache else cache_misses(worth, cache)
+    logged = isinstance(cache, CacheLog)
+    wanted = worth.select(*CACHE_KEY).distinct() if ignore_cache else cache.misses(worth) if logged else cache_misses(worth, cache)
     call_provider(wanted, provider).write.mode("overwrite").parquet(staging)
     fresh = spark.read.parquet(staging).where("error is null and translation is not null")
     fresh = fresh.select(F.lit(provider.name).alias("translate_engine"), F.lit(X.canonical_params(provider.params)).alias("translate_engine_params"), "original_text", "translation", F.lit(write_seq).cast("long").alias("write_seq"))
-    new = upsert_cache(cache, fresh)
-    found = lookup_cache(keyed, new).withColumn("translation", F.when(X.is_passthrough("original_text"), F.col("original_text")).otherwise(F.col("translation")))
+    if logged and provider.name not in K.UNCACHED_SERVICES:
+        cache.put(fresh, staging.rstrip("/").rpartition("/")[2])
+        new = cache
+        found = cache.lookup(keyed)
+    else:
+        new = upsert_cache(cache.current() if logged else cache, fresh)
+        found = lookup_cache(keyed, new)
+    found = found.withColumn("translation", F.when(X.is_passthrough("original_text"), F.col("original_text")).otherwise(F.col("translation")))
     new = cache if provider.name in K.UNCACHED_SERVICES else new
     return found.drop("translate_engine", "translate_engine_params").withColumnRenamed("original_text", "text"), new
 

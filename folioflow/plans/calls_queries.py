@@ -5,12 +5,16 @@ events stand for cache writes and the call log, labels for the answers that came
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioflow.functions import constants as K
 from folioflow.functions import text as X
 from folioflow.operators import calls, quality
+from folioflow.operators.cachelog import CacheLog
 from folioflow.plans.register import Register, quoted, table, values
+from folioflow.staging import shared_dir
 
 REGISTER = Register()
 
@@ -251,3 +255,20 @@ def changed_params(spark, sf_dir):
     own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nationkey"), F.create_map(F.lit("model"), F.lit("v1"), F.lit("lang"), F.col("n_name")).alias("p"))
     new = X.with_params("p", {"model": "v2", "extra": "x"})
     return own.select("nationkey", new["model"].alias("model"), new["lang"].alias("lang"), new["extra"].alias("extra"))
+
+
+@REGISTER(
+    """WITH e AS (SELECT doc_id, source AS engine, string_split(text, chr(10))[1] AS line FROM documents),
+l AS (SELECT engine, line, max(doc_id) AS last FROM e GROUP BY engine, line)
+SELECT e.doc_id, CASE WHEN last % 7 <> 0 THEN 'T' || last END AS translation FROM e JOIN l ON l.engine IS NOT DISTINCT FROM e.engine AND l.line IS NOT DISTINCT FROM e.line"""
+)
+def cache_log_lookup(spark, sf_dir):
+    """The first lines of all documents, written to a log-structured cache in three writes by id, of which every
+    seventh is a deletion; then all are looked up."""
+    own = table(spark, sf_dir, "documents")
+    keys = own.select("doc_id", F.col("source").alias("translate_engine"), F.lit("{}").alias("translate_engine_params"), F.get(F.split("text", "\n", -1), F.lit(0)).alias("original_text"))
+    log = CacheLog(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}")
+    writes = keys.withColumns({"translation": F.concat(F.lit("T"), "doc_id"), "write_seq": F.col("doc_id"), "deleted": F.col("doc_id") % 7 == 0})
+    for third in (2, 0, 1):
+        log.put(writes.where(F.col("doc_id") % 3 == third))
+    return log.lookup(keys).select("doc_id", "translation")

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioflow import schemas
 from folioflow.operators import calls, segments
+from folioflow.operators.cachelog import CacheLog
 from folioflow.sources import files
 
 
@@ -18,20 +19,24 @@ def read_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return spark.readStream.schema(f"doc_id long, {schemas.DOCUMENT}").option("maxFilesPerTrigger", max_files).json(path)
 
 
-def translate_stream(docs: DataFrame, provider, cache_root: str, out: str, checkpoint: str, on_batch: Callable[[int], None] | None = None) -> StreamingQuery:
+def translate_stream(docs: DataFrame, provider, cache_root: str | CacheLog, out: str, checkpoint: str, on_batch: Callable[[int], None] | None = None) -> StreamingQuery:
     """Translates each batch with the cache of the batch before and writes a new version of it.
 
     Batch n reads cache version n and writes version n + 1, results go to out/batch=n; both are
     overwritten if a batch runs again, so a restart gives the same files. Only misses are called.
+    With a log instead of a folder each batch adds one run to it, also only once, and what is
+    written to the cache follows the batch, not the cache.
     """
 
     def each(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        cache = files.read_cache(spark, f"{cache_root}/v={n}")
-        found = segments.collect_segments(batch)
-        done, new = calls.translate_texts(found, cache, provider, n, f"{cache_root}/staging/{n}")
+        spark, found = batch.sparkSession, segments.collect_segments(batch)
+        if isinstance(cache_root, CacheLog):
+            done, _ = calls.translate_texts(found, cache_root, provider, n, f"{cache_root.root}/staging/{n}")
+        else:
+            done, new = calls.translate_texts(found, files.read_cache(spark, f"{cache_root}/v={n}"), provider, n, f"{cache_root}/staging/{n}")
         done.select("doc_id", "seg_id", "text", "translation").write.mode("overwrite").parquet(f"{out}/batch={n}")
-        files.write_cache(new, f"{cache_root}/v={n + 1}")
+        if not isinstance(cache_root, CacheLog):
+            files.write_cache(new, f"{cache_root}/v={n + 1}")
         if on_batch:
             on_batch(n)
 
