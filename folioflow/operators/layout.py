@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import constants as K
 from folioflow.functions import geometry as G
 from folioflow.functions import text as X
+from folioflow.operators import tiles
 
 # ---------------------------------------------------------------- regions and text of regions
 
@@ -74,11 +75,11 @@ def glyph_regions(glyphs: DataFrame, boxes: DataFrame, by: list[str], size: tupl
 
 def lines_in_cells(cells: DataFrame, lines: DataFrame, by: list[str], overlap: float = K.OVERLAP) -> DataFrame:
     """cells(by..., cell_pos, x0..y1) with the cleaned text of the OCR lines(by..., pos, text, x0..y1)
-    that lie in them by at least the overlap share of the line; a line may be in several cells."""
-    right = lines.select(*by, F.col("pos").alias("l_pos"), F.col("text").alias("l_text"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
-    a, b = G.box("x0", "y0", "x1", "y1"), G.box("l_x0", "l_y0", "l_x1", "l_y1")
-    met = cells.join(right, by).where(G.intersection(a, b).isNotNull())
-    met = met.where(G.area(G.intersection(a, b)) / F.greatest(F.lit(1.0), G.area(b)) >= overlap)
+    that lie in them by at least the overlap share of the line; a line may be in several cells. They meet by
+    tiles, so that a page with very many of them is no single task and pairs far apart are not made."""
+    box = G.box("x0", "y0", "x1", "y1")
+    met = tiles.meeting(cells.select(*by, "cell_pos", box.alias("__a")), lines.select(*by, F.col("pos").alias("l_pos"), F.col("text").alias("l_text"), box.alias("__b")), by, "__a", "__b")
+    met = met.where(G.area(G.intersection("__a", "__b")) / F.greatest(F.lit(1.0), G.area("__b")) >= overlap).withColumn("l_y0", F.col("__b.y0"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_y0", "l_pos", "l_text"))), lambda s: s.l_text), " ")
     found = met.groupBy(*by, "cell_pos").agg(text.alias("t"))
     return cells.join(found, [*by, "cell_pos"], "left").withColumn("cell_text", X.clean_ocr_text(F.coalesce("t", F.lit("")))).drop("t")

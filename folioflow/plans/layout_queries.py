@@ -89,6 +89,31 @@ def text_of_cells(spark, sf_dir):
     return found.select("page", "cell_pos", "cell_text")
 
 
+HOT_PAGE = """k AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey * 37 % 9973 AS DOUBLE) AS x0, CAST(l_suppkey * 101 + l_orderkey * 13 % 8999 AS DOUBLE) AS y0, CAST(2 + l_quantity AS DOUBLE) AS w FROM lineitem),
+b AS (SELECT l_orderkey * 10 + l_linenumber AS pos, x0, y0, x0 + w AS x1, y0 + w / 2 AS y1, l_linenumber FROM k),
+c AS (SELECT pos, x0 - 5 AS x0, y0 - 5 AS y0, CASE WHEN pos % 50021 = 11 THEN x0 + 5000 ELSE x1 + 9 END AS x1, y1 + 9 AS y1 FROM b WHERE l_linenumber = 1)"""
+
+
+def _hot_page(spark, sf_dir):
+    """Line items as boxes of one page, and cells around every order's first, of which a few are very wide."""
+    own = table(spark, sf_dir, "lineitem")
+    x0, y0 = (F.col("l_partkey") * 37 % 9973).cast("double"), (F.col("l_suppkey") * 101 + F.col("l_orderkey") * 13 % 8999).cast("double")
+    w = (F.lit(2) + F.col("l_quantity")).cast("double")
+    boxes = own.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), x0.alias("x0"), y0.alias("y0"), (x0 + w).alias("x1"), (y0 + w / 2).alias("y1"), "l_linenumber", F.lit(0).alias("page"))
+    wide = F.when(F.col("pos") % 50021 == 11, F.col("x0") + 5000).otherwise(F.col("x1") + 9)
+    cells = boxes.where("l_linenumber = 1").select("page", F.col("pos").alias("cell_pos"), (F.col("x0") - 5).alias("x0"), (F.col("y0") - 5).alias("y0"), wide.alias("x1"), (F.col("y1") + 9).alias("y1"))
+    return cells, boxes.select("page", "pos", "x0", "y0", "x1", "y1", F.concat(F.lit("w"), "pos").alias("text"))
+
+
+@REGISTER(f"""WITH {HOT_PAGE}, m AS (SELECT c.pos AS cell_pos, string_agg('w' || l.pos, ' ' ORDER BY l.y0, l.pos) AS t FROM c JOIN b l
+  ON c.x0 < l.x1 AND l.x0 < c.x1 AND c.y0 < l.y1 AND l.y0 < c.y1
+  AND (least(c.x1, l.x1) - greatest(c.x0, l.x0)) * (least(c.y1, l.y1) - greatest(c.y0, l.y0)) / greatest(1.0, (l.x1 - l.x0) * (l.y1 - l.y0)) >= {K.OVERLAP} GROUP BY ALL)
+SELECT c.pos AS cell_pos, coalesce(m.t, '') AS cell_text FROM c LEFT JOIN m ON m.cell_pos = c.pos""")
+def text_of_cells_on_one_page(spark, sf_dir):
+    """J6 where all boxes lie on one page."""
+    return layout.lines_in_cells(*_hot_page(spark, sf_dir), ["page"]).select("cell_pos", "cell_text")
+
+
 @REGISTER(f"""WITH {BOXES}, j AS (SELECT a.page, a.pos, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, c.x0, c.y0, c.x1, c.y1 FROM b a JOIN b c ON c.page = a.page AND c.pos = a.pos + 1),
 k AS (SELECT *, CASE WHEN greatest(ax0, x0) < least(ax1, x1) AND greatest(ay0, y0) < least(ay1, y1) THEN (least(ax1, x1) - greatest(ax0, x0)) * (least(ay1, y1) - greatest(ay0, y0)) ELSE 0.0::DOUBLE END AS common, (ax1 - ax0) * (ay1 - ay0) AS area FROM j)
 SELECT pos, area, common, round(common / (area + (x1 - x0) * (y1 - y0) - common), 9) AS iou, ax1 - ax0 < 25 OR ay1 - ay0 < 25 AS small FROM k""")
