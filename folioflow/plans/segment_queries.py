@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import constants as K
 from folioflow.functions import text as X
-from folioflow.operators import layout, quality, segments
+from folioflow.operators import layout, nextfit, quality, segments
 from folioflow.plans.register import Register, table
 
 REGISTER = Register()
@@ -65,6 +65,14 @@ def chunk_assignment(spark, sf_dir):
     return segments.chunked_segments(_docs(spark, sf_dir)).select("doc_id", "seg_id", "chunk_no")
 
 
+@REGISTER(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, CAST(seg AS VARCHAR) AS seg_id, CAST(chunk AS INTEGER) AS chunk_no FROM f")
+def chunk_assignment_by_rows(spark, sf_dir):
+    """W2 for documents of any length: the same chunks from entries as rows, composed instead of walked."""
+    found = segments.collect_segments(_docs(spark, sf_dir))
+    entries = found.select("doc_id", "seg_id", F.col("seg_id").cast("long").alias("pos"), segments.entry_bytes(F.col("seg_id"), F.col("text")).alias("size"))
+    return nextfit.next_fit(entries, ["doc_id"], "pos", "size", K.CHUNK_BYTES).select("doc_id", "seg_id", "chunk_no")
+
+
 @REGISTER(f"WITH RECURSIVE {CHUNKS}, c AS (SELECT source, doc_id, chunk, count(*) AS n, max(used) AS bytes FROM f GROUP BY ALL) SELECT source, CAST(sum(n) AS BIGINT) AS n_segments, count(*) AS n_chunks, CAST(max(bytes) AS BIGINT) AS max_bytes FROM c GROUP BY source")
 def chunk_stats(spark, sf_dir):
     """Chunks by source, measured on the payload. The flagship query."""

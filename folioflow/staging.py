@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -25,3 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
         _OWN[app] = tempfile.mkdtemp(prefix="folioflow-")
         atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return f"file://{_OWN[app]}"
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back, so that what follows never computes it again. The
+    shuffle files of the job go as it ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/folioflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
