@@ -22,18 +22,31 @@ from pyspark.sql import functions as F
 from folioflow.staging import written
 
 
-def next_fit(entries: DataFrame, by: list[str], pos: str, size: str, max_bytes: int, block: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], pos: str) -> DataFrame:
+    """df, written once, with pos: the rank of each row from 0 by order, of equals in any order. Ranges of the order are
+    sorted each by itself; only the number of rows of a range is added up."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = written(parts.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33).alias("__part")
+    # One row a range, as many as shuffle partitions.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy(part).agg(F.count("*").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return held.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn(pos, F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__base")
+
+
+def next_fit(entries: DataFrame, by: list[str], pos: str, size: str, max_bytes: int, block: int | None = None, each: int = 2, most: int | None = None) -> DataFrame:
     """entries with chunk_no (int). In each group of by, pos counts from 0 without gaps or repeats and size is the
-    bytes of the entry; an object of n entries has the sum of their sizes and two bytes for each, braces
-    and separators. A chunk takes entries in order while it has at most max_bytes; an entry too large lies
-    alone. Null in by is a group; no entries give no rows. block: entries of a block, at least half of max_bytes.
+    bytes of the entry; an object of n entries has the sum of their sizes and each bytes for every one, in JSON two, for
+    braces and separators. A chunk takes entries in order while it has at most max_bytes, and at most most entries; an
+    entry too large lies alone. An entry counts for one byte at least. Null in by is a group; no entries
+    give no rows. block: entries of a block, no fewer than a chunk may hold.
     """
-    reach = max_bytes // 2 + 2
+    reach = min(max_bytes // max(1, each), most or max_bytes) + 2
     block = max(block or 8 * reach, reach)
     keys = [f"__b{i}" for i in range(len(by))]
     # Keys without nulls, as joins leave those out.
     own = [F.struct(F.col(c)).alias(k) for c, k in zip(by, keys, strict=True)]
-    rows = entries.select(*own, F.col(pos).cast("long").alias("__pos"), (F.col(size).cast("long") + 2).alias("__f"))
+    rows = entries.select(*own, F.col(pos).cast("long").alias("__pos"), F.greatest(F.lit(1), F.col(size).cast("long") + each).alias("__f"))
     rows = rows.withColumn("__block", F.floor(F.col("__pos") / block))
 
     # Sums before each entry, in two levels; the last row of a group stands for its end.
@@ -49,6 +62,7 @@ def next_fit(entries: DataFrame, by: list[str], pos: str, size: str, max_bytes:
     near = F.when(F.pmod("__pos", F.lit(block)) < reach, F.array(F.col("__block"), F.col("__block") - 1)).otherwise(F.array("__block"))
     seen = at.unionByName(ends).withColumn("__group", F.explode(near))
     fits = F.count("*").over(Window.partitionBy(*keys, "__group").orderBy("__c").rangeBetween(0, max_bytes)) - 1
+    fits = F.least(fits, F.lit(most)) if most else fits
     jumps = seen.withColumn("__next", F.col("__pos") + F.greatest(F.lit(1), fits)).where((F.col("__group") == F.col("__block")) & F.col("__f").isNotNull())
     jumps = written(jumps.select(*keys, "__block", "__pos", "__f", "__next"), "jumps")
 
@@ -56,8 +70,9 @@ def next_fit(entries: DataFrame, by: list[str], pos: str, size: str, max_bytes:
     doors = jumps.where(F.floor(F.col("__next") / block) > F.col("__block")).groupBy(*keys, (F.col("__block") + 1).alias("__block")).agg(F.collect_set("__next").alias("__doors"))
     first = jumps.groupBy(*keys).agg(F.min("__block").alias("__block")).withColumn("__doors", F.array(F.lit(0).cast("long")))
     held = jumps.groupBy(*keys, "__block").agg(F.sort_array(F.collect_list(F.struct("__pos", "__next"))).alias("__j"), F.sum("__f").alias("__s"))
-    # Two chunks side by side hold more than max_bytes, which bounds the steps within a block.
-    held = held.select(*keys, "__block", F.transform("__j", lambda j: j["__next"]).alias("__n"), F.sequence(F.lit(1), (2 * F.floor(F.col("__s") / max_bytes) + 3).cast("int")).alias("__steps"))
+    # Two chunks side by side hold more than max_bytes, or one of them all it may: that bounds the steps within a block.
+    full = 2 * F.floor(F.size("__j") / most) if most else F.lit(0)
+    held = held.select(*keys, "__block", F.transform("__j", lambda j: j["__next"]).alias("__n"), F.sequence(F.lit(1), (2 * F.floor(F.col("__s") / max_bytes) + full + 3).cast("int")).alias("__steps"))
     start = F.col("__block") * block
 
     def leave(door):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import constants as K
 from folioflow.functions import text as X
-from folioflow.operators import calls, quality
+from folioflow.operators import calls, gateway, quality
 from folioflow.operators.cachelog import CacheLog
 from folioflow.plans.register import Register, quoted, table, values
 from folioflow.staging import shared_dir
@@ -272,3 +272,20 @@ def cache_log_lookup(spark, sf_dir):
     for third in (2, 0, 1):
         log.put(writes.where(F.col("doc_id") % 3 == third))
     return log.lookup(keys).select("doc_id", "translation")
+
+
+MOST_CALLS, MOST_TOKENS = 25, 3000
+
+
+@REGISTER(
+    f"""WITH RECURSIVE q AS (SELECT conv_id, turn, greatest(1, CAST(ceil(length(text) / 4) AS BIGINT)) AS tokens, row_number() OVER (ORDER BY conv_id, turn) AS i FROM conversations),
+s AS (SELECT conv_id, turn, i, tokens AS used, 1 AS n, 0 AS slot FROM q WHERE i = 1
+  UNION ALL SELECT q.conv_id, q.turn, q.i, CASE WHEN s.n = {MOST_CALLS} OR s.used + q.tokens > {MOST_TOKENS} THEN q.tokens ELSE s.used + q.tokens END,
+    CASE WHEN s.n = {MOST_CALLS} OR s.used + q.tokens > {MOST_TOKENS} THEN 1 ELSE s.n + 1 END, CASE WHEN s.n = {MOST_CALLS} OR s.used + q.tokens > {MOST_TOKENS} THEN s.slot + 1 ELSE s.slot END
+  FROM s JOIN q ON q.i = s.i + 1)
+SELECT conv_id, turn, CAST(slot AS INTEGER) AS slot, CAST(slot * 65 AS INTEGER) AS admit_at FROM s"""
+)
+def admission_schedule(spark, sf_dir):
+    """All turns as calls of one job, at most so many calls and tokens in any minute."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.ceil(F.length("text") / 4).alias("tokens"))
+    return gateway.scheduled(own, ["conv_id", "turn"], "tokens", MOST_CALLS, MOST_TOKENS).select("conv_id", "turn", "slot", "admit_at")
