@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import constants as K
@@ -219,22 +219,50 @@ def glossary_block(matches: DataFrame, by: list[str]) -> DataFrame:
 parse_lenient = lenient.loads
 
 
+def _text(x) -> str:
+    """A value as text; halves of code points, which no column can hold, become replacement characters."""
+    s = str(x)
+    return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in s) else s
+
+
 def parse_answer(raw: str | None) -> list[tuple[str, str]]:
     """(id, text) pairs of an answer in order: a list of objects with id and t, or one object."""
     found = parse_lenient(raw)
     if isinstance(found, dict):
-        return [(str(k), str(v)) for k, v in found.items()]
-    return [(str(x["id"]), str(x["t"])) for x in found if isinstance(x, dict) and "id" in x and "t" in x] if isinstance(found, list) else []
+        return [(_text(k), _text(v)) for k, v in found.items()]
+    return [(_text(x["id"]), _text(x["t"])) for x in found if isinstance(x, dict) and "id" in x and "t" in x] if isinstance(found, list) else []
+
+
+def _plain_answer(answer: Column) -> Column:
+    """(seg_id, t) structs of an answer that is JSON as it should be: a list of objects whose id is a text or a whole
+    number and whose t is a text, or an object of texts. Null for all others, which may be broken."""
+    pair = "array<struct<seg_id: string, t: string>>"
+    parsed = F.try_parse_json(answer)
+    items = F.try_variant_get(parsed, "$", "array<variant>")
+    # Numbers are cast to texts as well, so the id's kind is asked for; ids beyond a long are no such numbers.
+    kind = lambda x, at: F.schema_of_variant(F.try_variant_get(x, at, "variant"))
+    held = F.transform(items, lambda x: F.struct(F.try_variant_get(x, "$.id", "string").alias("seg_id"), F.try_variant_get(x, "$.t", "string").alias("t"), kind(x, "$.id").isin("STRING", "BIGINT").alias("a"), (kind(x, "$.t") == "STRING").alias("b")))
+    listed = F.when(F.forall(held, lambda x: x.a & x.b & x.seg_id.isNotNull() & x.t.isNotNull()), F.transform(held, lambda x: F.struct(x.seg_id, x.t)))
+    fields = F.try_variant_get(parsed, "$", "map<string, variant>")
+    texts = F.forall(F.map_values(fields), lambda v: F.schema_of_variant(v) == "STRING")
+    # A variant keeps its fields by name; the answer has them in order.
+    named = F.when(texts, F.transform(F.json_object_keys(answer), lambda k: F.struct(k.alias("seg_id"), F.try_variant_get(F.element_at(fields, k), "$", "string").alias("t"))))
+    # Halves of code points, which the two readers take differently, go to the other one.
+    return F.when(~answer.rlike(r"\\u[dD][89a-fA-F]"), F.coalesce(listed.cast(pair), named.cast(pair)))
 
 
 def parse_answers(raw: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by..., pos, seg_id, t) of raw(by..., answer). Python, as only it repairs; in Arrow batches."""
+    """Rows (by..., pos, seg_id, t) of raw(by..., answer). What is valid JSON of the usual form is read in the JVM; only
+    the rest goes to Python, which repairs, in Arrow batches."""
 
     @F.pandas_udf("array<struct<seg_id: string, t: string>>")
     def parse(s: pd.Series) -> pd.Series:
         return s.map(lambda x: [{"seg_id": a, "t": b} for a, b in parse_answer(x)])
 
-    return raw.select(*by, F.posexplode(parse("answer")).alias("pos", "x")).select(*by, "pos", "x.seg_id", "x.t")
+    tried = raw.select(*by, "answer", _plain_answer(F.col("answer")).alias("__x"))
+    rows = tried.where("__x is not null").select(*by, F.posexplode("__x").alias("pos", "x"))
+    broken = tried.where("__x is null and answer is not null").select(*by, F.posexplode(parse("answer")).alias("pos", "x"))
+    return rows.unionAll(broken).select(*by, "pos", "x.seg_id", "x.t")
 
 
 def parse_terms(raw: DataFrame, by: list[str]) -> DataFrame:
@@ -243,7 +271,7 @@ def parse_terms(raw: DataFrame, by: list[str]) -> DataFrame:
 
     @F.pandas_udf("array<struct<src: string, dst: string>>")
     def parse(s: pd.Series) -> pd.Series:
-        terms = lambda found: [{"src": str(x["src"]), "dst": str(x["dst"])} for x in found if isinstance(x, dict) and "src" in x and "dst" in x] if isinstance(found, list) else []
+        terms = lambda found: [{"src": _text(x["src"]), "dst": _text(x["dst"])} for x in found if isinstance(x, dict) and "src" in x and "dst" in x] if isinstance(found, list) else []
         return s.map(lambda x: terms(parse_lenient(x)))
 
     return raw.select(*by, F.posexplode(parse("answer")).alias("item_pos", "x")).select(*by, "item_pos", "x.src", "x.dst")

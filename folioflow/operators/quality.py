@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow import schemas
 from folioflow.functions import constants as K
+from folioflow.functions import jsonschema
 from folioflow.functions import text as X
 
 
@@ -135,12 +136,15 @@ def schema_errors(raw: Column | str) -> Column:
     return F.when(broken, F.array(_error(F.lit(""), "the text is no document of the schema", "JSON_SCHEMA")).cast(_ERROR)).otherwise(F.array().cast(_ERROR))
 
 
-def validate_json(texts: DataFrame, column: str = "value", stage: str = "A") -> DataFrame:
-    """texts with errors and valid, for documents as JSON text. What the schema cannot read has that one
-    error; the rest is judged as by validate."""
+def validate_json(texts: DataFrame, column: str = "value", stage: str = "A", schema: dict | None = None) -> DataFrame:
+    """texts with errors and valid, for documents as JSON text. What the record type cannot read has that one
+    error; the rest is judged as by validate. With a JSON schema, such as schemas.DOCUMENT_SCHEMA, its errors
+    come first: missing and unknown fields, types, enums, ranges, each with its path."""
     found = texts.withColumn("__schema", schema_errors(column))
     read = F.from_json(F.col(column), schemas.DOCUMENT, {"allowNonNumericNumbers": "true"})
     judged = found.withColumn("__d", read).select(*texts.columns, "__schema", "__d.*").withColumn("errors", F.when(F.size("__schema") > 0, F.col("__schema")).otherwise(validation_errors(stage)))
+    if schema is not None:
+        judged = judged.withColumn("errors", F.when(F.size("__schema") == 0, F.concat(jsonschema.violations(column, schema), "errors")).otherwise(F.col("errors")))
     return judged.select(*texts.columns, "errors", (F.size("errors") == 0).alias("valid"))
 
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from folioflow.functions import constants as K
+from folioflow.functions import jsonschema
 from folioflow.functions import text as X
 from folioflow.operators import calls, gateway, quality
 from folioflow.operators.cachelog import CacheLog
@@ -222,24 +223,60 @@ def glossary_blocks(spark, sf_dir):
     return calls.glossary_block(glossary_matches(spark, sf_dir), ["doc_id"])
 
 
-_ANSWERS = [
-    (1, '[{"id": "0", "t": "a"}, {"id": "1", "t": "b"}]', ["0=a", "1=b"]),
-    (2, '{"0": "a", "2": "c"}', ["0=a", "2=c"]),
-    (3, '```json\n[{"id": "0", "t": "a"}]\n```', ["0=a"]),
-    (4, '[{"id": "0", "t": "a"}, {"id": "1", "t": "b', ["0=a"]),
-    (5, '[{"id": 0, "t": 5}, {"id": "1"}, "x"]', ["0=5"]),
-    (6, "no JSON at all", []),
-    (7, "", []),
-    (8, '[{"id": "0", "t": "a"}, {"id": "0", "t": "z"}]', ["0=a", "0=z"]),
-]
+@REGISTER("SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, seg_id, md5(t) AS t_md5 FROM conversations, LATERAL (VALUES (0, 'b', text), (1, 'a', 'T: ' || text)) AS x(pos, seg_id, t)")
+def parsed_answers(spark, sf_dir):
+    """Turns as answers in five shapes: a list, an object, a fence around a list, prose around it, a list cut off."""
+    own = table(spark, sf_dir, "conversations")
+    other = F.concat(F.lit("T: "), "text")
+    item = lambda k, t: F.struct(F.lit(k).alias("id"), t.alias("t"))
+    listed = F.to_json(F.array(item("b", F.col("text")), item("a", other)))
+    shapes = [listed, F.to_json(F.struct(F.col("text").alias("b"), other.alias("a"))), F.concat(F.lit("```json\n"), listed, F.lit("\n```")), F.concat(F.lit("Here it is: "), listed, F.lit(" Good luck")), F.concat(F.substring(listed, F.lit(1), F.length(listed) - 1), F.lit(', {"id": "c", "t": "cut'))]
+    raw = own.select("conv_id", "turn", F.get(F.array(*shapes), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))).cast("int")).alias("answer"))
+    return calls.parse_answers(raw, ["conv_id", "turn"]).select("conv_id", "turn", "pos", "seg_id", F.md5("t").alias("t_md5"))
+
+
+#: Every keyword of the compiler, for records made of events.
+EVENT_SCHEMA = {
+    "type": "object", "required": ["id", "kind", "value"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": ["integer", "null"]}, "kind": {"enum": ["click", "view", "purchase"]}, "value": {"$ref": "#/$defs/amount"}, "version": {"const": 2},
+        "box": {"type": "array", "items": {"type": "number", "exclusiveMinimum": -1, "exclusiveMaximum": 1000}, "minItems": 3, "maxItems": 4},
+        "note": {"anyOf": [{"type": "string", "minLength": 2, "maxLength": 5, "pattern": "^[a-z]+$"}, {"type": "boolean"}]}, "more": {"type": "object", "additionalProperties": {"type": "string"}},
+    },
+    "$defs": {"amount": {"type": "number", "minimum": 5, "maximum": 40}},
+}
 
 
-@REGISTER("SELECT id, pairs FROM " + values([(i, p) for i, _, p in _ANSWERS if p], "id, pairs"))
-def parsed_answers(spark, sf_dir):
-    """Answers as lists or objects, fenced, truncated, duplicated."""
-    raw = spark.createDataFrame([(i, a) for i, a, _ in _ANSWERS], "id int, answer string")
-    found = calls.parse_answers(raw, ["id"]).withColumn("p", F.struct("pos", F.concat_ws("=", "seg_id", "t").alias("x")))
-    return found.groupBy("id").agg(F.transform(F.sort_array(F.collect_list("p")), lambda s: s.x).alias("pairs"))
+@REGISTER(
+    """WITH e AS (SELECT event_id AS i, event_type AS kind, value, event_id % 17 AS k FROM events),
+x AS (SELECT i, unnest(list_filter([
+  CASE WHEN k = 0 THEN '$: is no JSON' END,
+  CASE WHEN k = 1 THEN '$.kind: is required' END,
+  CASE WHEN k = 2 THEN '$.id: is no integer or null' END,
+  CASE WHEN k NOT IN (0, 1) AND kind NOT IN ('click', 'view', 'purchase') THEN '$.kind: is none of "click", "view", "purchase"' END,
+  CASE WHEN k <> 0 AND value < 5 THEN '$.value: below 5' END,
+  CASE WHEN k <> 0 AND value > 40 THEN '$.value: above 40' END,
+  CASE WHEN k = 3 THEN '$.version: is none of 2' END,
+  CASE WHEN k = 4 THEN '$.box: fewer than 3 items' END,
+  CASE WHEN k = 5 THEN '$.box: more than 4 items' END,
+  CASE WHEN k = 6 THEN '$.box[1]: is no number' END,
+  CASE WHEN k = 7 THEN '$.box[2]: not above -1' END,
+  CASE WHEN k = 8 THEN '$.box[0]: not below 1000' END,
+  CASE WHEN k IN (9, 10, 11, 12) THEN '$.note: fits none of the forms' END,
+  CASE WHEN k = 14 THEN '$.more.b: is no string' END,
+  CASE WHEN k = 15 THEN '$.extra: is no field here' END], lambda v: v IS NOT NULL)) AS error FROM e)
+SELECT i AS event_id, error FROM x"""
+)
+def schema_violations(spark, sf_dir):
+    """C6 JSON_SCHEMA: events as JSON records with faults in turn, against a schema with every keyword."""
+    own = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), "event_type", "value", (F.col("event_id") % 17).alias("k"))
+    k = lambda n, a, b: F.when(F.col("k") == n, F.lit(a)).otherwise(F.lit(b))
+    note = F.when(F.col("k") == 9, '"a"').when(F.col("k") == 10, '"abcdef"').when(F.col("k") == 11, '"A1"').when(F.col("k") == 12, "7").when(F.col("k") == 13, "true").otherwise('"abc"')
+    box = F.when(F.col("k") == 4, "[1,2]").when(F.col("k") == 5, "[1,2,3,4,5]").when(F.col("k") == 6, '[1,"2",3]').when(F.col("k") == 7, "[1,2,-1]").when(F.col("k") == 8, "[1000,2,3]").otherwise("[0,1.5,999]")
+    kind = F.when(F.col("k") == 1, F.lit("")).otherwise(F.concat(F.lit('"kind":'), F.to_json(F.struct(F.col("event_type").alias("x"))).substr(F.lit(6), F.length("event_type") + 2), F.lit(",")))
+    raw = F.concat(F.lit('{"id":'), F.when(F.col("k") == 2, F.lit('"x"')).when(F.col("k") == 16, F.lit("null")).otherwise(F.col("i").cast("string")), F.lit(","), kind, F.lit('"value":'), F.col("value").cast("decimal(20,6)").cast("string"), F.lit(',"version":'), k(3, "3", "2"), F.lit(',"box":'), box, F.lit(',"note":'), note, F.lit(',"more":'), k(14, '{"a":"x","b":1}', '{"a":"x"}'), k(15, ',"extra":[]', ""), k(0, "", "}"))
+    found = own.select(F.col("i").alias("event_id"), F.explode(jsonschema.violations(raw, EVENT_SCHEMA)).alias("e"))
+    return found.select("event_id", F.concat("e.path", F.lit(": "), "e.message").alias("error"))
 
 
 @REGISTER(f"SELECT {quoted(X.canonical_params({'b': 1, 'a': {'d': 2, 'c': [3, {'f': 4, 'e': 5}]}}))} AS nested, '{{\"k\": \"\\u00e9\"}}' AS escaped, '{{}}' AS empty")
