@@ -124,12 +124,20 @@ class _Compiler:
 _KEYWORDS = ("$ref", "type", "enum", "const", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "anyOf")
 
 
+def whole_json(raw: Column) -> Column:
+    """A JSON text as a variant, null if it is none. The parser stops at the end of the first value, so the text is read as the
+    only item of a list and as the only field of an object: what follows a value cannot close both."""
+    listed, named = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
+    one = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
+    return F.when(one & named.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def violations(raw: Column | str, schema: dict) -> Column:
     """Errors (path, message, code JSON_SCHEMA) of JSON texts against a schema. Paths begin with $; a null or a text
     that is no JSON, among them objects with repeated keys, has one error at $. Errors of a value come before
     those of its parts, parts in the order of the schema, unknown fields by name."""
     raw = F.col(raw) if isinstance(raw, str) else raw
     broken = F.array(_error(F.lit("$"), "is no JSON")).cast(f"array<{ERROR}>")
-    parsed = F.try_parse_json(raw)
+    parsed = whole_json(raw)
     found = _Compiler(schema).judge(schema, parsed, F.lit("$"))
     return F.when(parsed.isNull(), broken).otherwise(found)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions import constants as K
+from folioflow.functions import jsonschema
 
 
 def _c(x: Column | str) -> Column:
@@ -273,3 +274,13 @@ def fill_template(template: str, values: dict[str, Column]) -> Column:
         parts += [F.lit(template[at : m.start()]), F.lit("$") if m[1] else values.get(name, F.lit(m[0]))]
         at = m.end()
     return F.concat(*parts, F.lit(template[at:]))
+
+
+def canonical_json(value: Column | str) -> Column:
+    """JSON text in one form for equal values: keys sorted in all depths, no spaces, all but ASCII escaped as in UTF-16.
+    Of a text that is no JSON, or has a key twice, null. Numbers keep how they are written, but for zeros at the end."""
+    value = F.col(value) if isinstance(value, str) else value
+    flat = F.to_json(jsonschema.whole_json(value))
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    escaped = lambda c: F.when(c.rlike(r"[\x00-\x7F]"), c).otherwise(units(c))
+    return F.when(flat.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.regexp_extract_all(flat, F.lit("(?s)(.)")), escaped), "")).otherwise(flat)

@@ -14,7 +14,7 @@ from folioflow.functions import jsonschema
 from folioflow.functions import text as X
 from folioflow.operators import calls, gateway, quality
 from folioflow.operators.cachelog import CacheLog
-from folioflow.plans.register import Register, quoted, table, values
+from folioflow.plans.register import Register, table
 from folioflow.staging import shared_dir
 
 REGISTER = Register()
@@ -279,11 +279,14 @@ def schema_violations(spark, sf_dir):
     return found.select("event_id", F.concat("e.path", F.lit(": "), "e.message").alias("error"))
 
 
-@REGISTER(f"SELECT {quoted(X.canonical_params({'b': 1, 'a': {'d': 2, 'c': [3, {'f': 4, 'e': 5}]}}))} AS nested, '{{\"k\": \"\\u00e9\"}}' AS escaped, '{{}}' AS empty")
+@REGISTER(r"""SELECT event_id, md5('{"a":[{"b":1,"y":true},' || user_id || '],"p":' || replace(props, ' ', '') || ',"\u00e9":"\ud83d\ude00 ' || event_type || '"}') AS digest, CAST(NULL AS VARCHAR) AS broken FROM events""")
 def canonical_params(spark, sf_dir):
-    """F16: equal parameters give equal keys."""
-    one = [X.canonical_params(p) for p in ({"a": {"c": [3, {"e": 5, "f": 4}], "d": 2}, "b": 1}, {"k": "é"}, None)]
-    return spark.createDataFrame([one], "nested string, escaped string, empty string")
+    """Nested parameters in one form, whatever the order of their keys."""
+    own = table(spark, sf_dir, "events")
+    parts = [F.concat(F.lit('"p": '), "props"), F.concat(F.lit('"a" :[{"y":true , "b":1}, '), "user_id", F.lit("]")), F.concat(F.lit('"é":"😀 '), "event_type", F.lit('"'))]
+    turned = lambda k: F.concat(F.lit("{"), F.concat_ws(" , ", *parts[k:], *parts[:k]), F.lit("}"))
+    raw = F.get(F.array(*map(turned, range(3))), (F.col("event_id") % 3).cast("int"))
+    return own.select("event_id", F.md5(X.canonical_json(raw)).alias("digest"), X.canonical_json(F.concat(raw, F.lit("x"))).alias("broken"))
 
 
 @REGISTER("SELECT n_nationkey AS nationkey, 'v2' AS model, n_name AS lang, 'x' AS extra FROM nation")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import constants as K
 from folioflow.functions import text as X
-from folioflow.plans.register import Register, quoted, table, values
+from folioflow.plans.register import Register, quoted, table
 from folioflow.plans.segment_queries import sql_equation_only, sql_plain, sql_strip
 
 REGISTER = Register()
@@ -17,14 +17,22 @@ PREDICATES = [
 ]
 
 
-def _literals(spark, rows: list[str]):
-    return spark.createDataFrame(list(enumerate(rows)), "id int, s string")
+def _begun(spark, sf_dir, begins: list[str]):
+    """(id, s) for every customer: one of the begins in turn, alone or with the customer's name behind it."""
+    n, key = len(begins), F.col("c_custkey")
+    begin = F.get(F.array(*map(F.lit, begins)), (key % n).cast("int"))
+    return table(spark, sf_dir, "customer").select(key.alias("id"), F.when(F.floor(key / n) % 2 == 0, begin).otherwise(F.concat(begin, F.lit(" "), "c_name")).alias("s"))
 
 
-@REGISTER(rf"SELECT id, {sql_plain('s')} AS plain, {sql_equation_only('s')} AS equation_only, {sql_strip('s')} = '' OR regexp_matches(s, '^\{{v\p{{Nd}}+\}}\n?\z') AS passthrough FROM " + values(list(enumerate(PREDICATES)), "id, s"))
+def _begun_sql(begins: list[str]) -> str:
+    n = len(begins)
+    return f"(SELECT c_custkey AS id, CASE WHEN (c_custkey // {n}) % 2 = 0 THEN b ELSE b || ' ' || c_name END AS s FROM (SELECT *, ({quoted(begins)})[1 + c_custkey % {n}] AS b FROM customer)) AS t"
+
+
+@REGISTER(rf"SELECT id, {sql_plain('s')} AS plain, {sql_equation_only('s')} AS equation_only, {sql_strip('s')} = '' OR regexp_matches(s, '^\{{v\p{{Nd}}+\}}\n?\z') AS passthrough FROM " + _begun_sql(PREDICATES))
 def predicate_literals(spark, sf_dir):
     """P1, P2, P6."""
-    return _literals(spark, PREDICATES).select("id", X.is_plain_text("s").alias("plain"), X.is_equation_only("s").alias("equation_only"), X.is_passthrough("s").alias("passthrough"))
+    return _begun(spark, sf_dir, PREDICATES).select("id", X.is_plain_text("s").alias("plain"), X.is_equation_only("s").alias("equation_only"), X.is_passthrough("s").alias("passthrough"))
 
 
 @REGISTER(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE {sql_plain('s')}) AS n_plain, count(*) FILTER (WHERE {sql_equation_only('s')}) AS n_equation FROM l GROUP BY doc_id")
@@ -46,10 +54,10 @@ def _ocr_sql(x: str) -> str:
     return rf"regexp_replace({lines}, '^\n+|\n+\z', '', 'g')"
 
 
-@REGISTER(f"SELECT id, {_ocr_sql('s')} AS cleaned FROM " + values(list(enumerate(OCR)), "id, s"))
+@REGISTER(f"SELECT id, {_ocr_sql('s')} AS cleaned FROM " + _begun_sql(OCR))
 def ocr_clean_literals(spark, sf_dir):
     """F1."""
-    return _literals(spark, OCR).select("id", X.clean_ocr_text("s").alias("cleaned"))
+    return _begun(spark, sf_dir, OCR).select("id", X.clean_ocr_text("s").alias("cleaned"))
 
 
 @REGISTER(f"SELECT doc_id, md5({_ocr_sql('text')}) AS cleaned_md5 FROM documents")
@@ -67,10 +75,10 @@ def control_characters_removed(spark, sf_dir):
 ENTITIES = [("&lt;p&gt;", "<p>"), ("a &amp; b", "a & b"), ("&#233;&#xe9;", "éé"), ("&nbsp;", " "), ("&quot;x&#39;", "\"x'"), ("&unknown;", "&unknown;"), ("", "")]
 
 
-@REGISTER("SELECT id, s AS resolved FROM " + values([(i, b) for i, (_, b) in enumerate(ENTITIES)], "id, s"))
+@REGISTER("SELECT id, s AS resolved FROM " + _begun_sql([b for _, b in ENTITIES]))
 def html_unescaped_literals(spark, sf_dir):
     """F3."""
-    return _literals(spark, [a for a, _ in ENTITIES]).select("id", X.html_unescape("s").alias("resolved"))
+    return _begun(spark, sf_dir, [a for a, _ in ENTITIES]).select("id", X.html_unescape("s").alias("resolved"))
 
 
 @REGISTER("SELECT page_id, md5(regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')) AS html_md5 FROM pages")
@@ -84,20 +92,20 @@ THINK = ["<think>a</think>b", "<think></think>b", " <think>a</think>b", "<think>
 
 @REGISTER(
     r"SELECT id, regexp_replace(s, '(?s)^<think>.+?</think>', '') AS plain, regexp_replace(s, '(?s)^<think>.+?\n*(</think>|\n)*(</think>)\n*', '') AS lines, regexp_replace(s, '(?s)^\s*<think>.*?</think>', '') AS gateway FROM "
-    + values(list(enumerate(THINK)), "id, s")
+    + _begun_sql(THINK)
 )
 def think_stripped_literals(spark, sf_dir):
     """the three forms."""
-    return _literals(spark, THINK).select("id", *[X.strip_think("s", f).alias(f) for f in ("plain", "lines", "gateway")])
+    return _begun(spark, sf_dir, THINK).select("id", *[X.strip_think("s", f).alias(f) for f in ("plain", "lines", "gateway")])
 
 
 PLACEHOLDERS = [("{v1} and {V 2}", [1, 2]), ("{ v 1 2 }", [12]), ("none", []), ("{v}", []), ("{v0}{v10}", [0, 10]), ("{v99999999999}", [None])]
 
 
-@REGISTER("SELECT id, list_transform(ns, lambda n: CAST(n AS INTEGER)) AS ids FROM " + values([(i, b) for i, (_, b) in enumerate(PLACEHOLDERS)], "id, ns"))
+@REGISTER(f"SELECT c_custkey AS id, CAST(({quoted([b for _, b in PLACEHOLDERS])})[1 + c_custkey % {len(PLACEHOLDERS)}] AS INTEGER[]) AS ids FROM customer")
 def placeholder_literals(spark, sf_dir):
     """F7."""
-    return _literals(spark, [a for a, _ in PLACEHOLDERS]).select("id", X.placeholder_ids("s").alias("ids"))
+    return _begun(spark, sf_dir, [a for a, _ in PLACEHOLDERS]).select("id", X.placeholder_ids("s").alias("ids"))
 
 
 @REGISTER("SELECT p_partkey, '{v' || p_size || '}' AS made, CAST(p_size AS INTEGER) AS parsed FROM part")
@@ -123,10 +131,13 @@ def draw_ops(spark, sf_dir):
 GLYPHS = [("ABC+CMR10", "a"), ("CMMI10", "a"), ("Times", "="), ("Times", "α"), ("Times", "a"), ("Times", " "), ("Times", "ʰ"), ("Times", "(cid:12)"), ("TimesMono", "a"), ("X+Y+MSBM10", "a"), ("", " "), ("Times", "́"), ("Times", "")]
 
 
-@REGISTER(r"SELECT id, regexp_matches(c, '^\(cid:') OR regexp_matches(string_split(f, '+')[-1], '^(CM[^R]|MS.M|XY|MT|BL|RM|EU|LA|RS|LINE|LCIRCLE|TeX-|rsfs|txsy|wasy|stmary|.*Mono|.*Code|.*Ital|.*Sym|.*Math)') OR (c <> '' AND c <> ' ' AND regexp_matches(c, '^[\p{Lm}\p{Mn}\p{Sk}\p{Sm}\p{Zl}\p{Zp}\p{Zs}\x{370}-\x{3ff}]')) AS formula FROM " + values([(i, f, c) for i, (f, c) in enumerate(GLYPHS)], "id, f, c"))
+@REGISTER(r"SELECT id, regexp_matches(c, '^\(cid:') OR regexp_matches(string_split(f, '+')[-1], '^(CM[^R]|MS.M|XY|MT|BL|RM|EU|LA|RS|LINE|LCIRCLE|TeX-|rsfs|txsy|wasy|stmary|.*Mono|.*Code|.*Ital|.*Sym|.*Math)') OR (c <> '' AND c <> ' ' AND regexp_matches(c, '^[\p{Lm}\p{Mn}\p{Sk}\p{Sm}\p{Zl}\p{Zp}\p{Zs}\x{370}-\x{3ff}]')) AS formula FROM " + f"(SELECT p_partkey AS id, ({quoted([f for f, _ in GLYPHS])})[1 + p_partkey % {len(GLYPHS)}] AS f, CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 1, 1) ELSE ({quoted([c for _, c in GLYPHS])})[1 + (p_partkey // 5) % {len(GLYPHS)}] END AS c FROM part) AS t")
 def formula_glyph_literals(spark, sf_dir):
     """P4."""
-    rows = spark.createDataFrame([(i, f, c) for i, (f, c) in enumerate(GLYPHS)], "id int, f string, c string")
+    n, key = len(GLYPHS), F.col("p_partkey")
+    pick = lambda xs, at: F.get(F.array(*map(F.lit, xs)), (at % n).cast("int"))
+    glyph = F.when(key % 3 == 0, F.substring("p_name", 1, 1)).otherwise(pick([c for _, c in GLYPHS], F.floor(key / 5)))
+    rows = table(spark, sf_dir, "part").select(key.alias("id"), pick([f for f, _ in GLYPHS], key).alias("f"), glyph.alias("c"))
     return rows.select("id", X.is_formula_glyph("f", "c").alias("formula"))
 
 
@@ -139,11 +150,11 @@ def vertical_glyphs(spark, sf_dir):
 SERVICES = [("google", "google", None), ("ollama:gemma2", "ollama", "gemma2"), ("a:b:c", "a", "b:c"), ("x:", "x", "")]
 
 
-@REGISTER("SELECT id, a AS service, b AS model FROM " + values([(i, a, b) for i, (_, a, b) in enumerate(SERVICES)], "id, a, b"))
+@REGISTER("SELECT id, CASE WHEN instr(s, ':') > 0 THEN substr(s, 1, instr(s, ':') - 1) ELSE s END AS service, CASE WHEN instr(s, ':') > 0 THEN substr(s, instr(s, ':') + 1) END AS model FROM " + _begun_sql([s for s, _, _ in SERVICES]))
 def service_literals(spark, sf_dir):
     """F18, J13."""
     parts = X.split_service("s")
-    return _literals(spark, [s for s, _, _ in SERVICES]).select("id", parts.service.alias("service"), parts.model.alias("model"))
+    return _begun(spark, sf_dir, [s for s, _, _ in SERVICES]).select("id", parts.service.alias("service"), parts.model.alias("model"))
 
 
 @REGISTER(r"SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '(?s)^(\.*[^.].*)\.[^.]*$', '\1') AS stem FROM pages")

@@ -41,7 +41,7 @@ CASES = [
     ({"required": ["a"], "properties": {"a": {"type": "string"}, "b": {"properties": {"c": {"const": 1}}, "additionalProperties": False}}}, [("{}", 1), ('{"a": 1}', 1), ('{"a": "x", "z": 1}', 0), ('{"a": "x", "b": {"c": 2, "d": 1}}', 2), ("[]", 0)]),
     ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, [('"x"', 0), ("7", 0), ("1", 1)]),
     ({"$ref": "#/$defs/x", "$defs": {"x": {"additionalProperties": {"$ref": "#/definitions/y"}}}, "definitions": {"y": {"type": "boolean"}}}, [('{"k": true}', 0), ('{"k": 1, "l": 2}', 2)]),
-    ({}, [("{", 1), ("", 1), (None, 1), ('{"a": 1, "a": 2}', 1), ("[1, [2]]", 0)]),
+    ({}, [("{", 1), ("", 1), (None, 1), ('{"a": 1, "a": 2}', 1), ("[1, [2]]", 0), ("1 x", 1), ("[1]]", 1), ("null", 0)]),
 ]
 
 
@@ -72,3 +72,24 @@ def test_documents_of_the_closed_form(spark):
     assert found[0] == []
     assert found[1] == [("$.pages[0].raw_text", "is required"), ("$.pages[0].elements[0].category", 'is none of "BYPASS", "FLOWING_TEXT", "IN_PLACE", "TABLE", "EQUATION"'), ("$.pages[0].elements[0].cells[0].row_id", "below 0")]
     assert [p for p, _ in found[3]] == ["$.source_language"]
+
+
+def test_canonical_json(spark):
+    import random
+
+    from folioflow.functions import text as X
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices('ab"\\/\n\té😀\x7f ', k=rng.randint(0, 4)))
+
+    def value(depth):
+        kind = rng.randrange(6 if depth else 4)
+        return [lambda: rng.randint(-9, 9), lambda: rng.random() < 0.5, lambda: None, word, lambda: [value(depth - 1) for _ in range(rng.randint(0, 3))], lambda: {word(): value(depth - 1) for _ in range(rng.randint(0, 4))}][kind]()
+
+    values = [value(3) for _ in range(200)]
+    rows = [(i, json.dumps(v, ensure_ascii=bool(i % 2), indent=i % 3 or None)) for i, v in enumerate(values)]
+    found = {r.i: r.c for r in spark.createDataFrame(rows, "i int, t string").select("i", X.canonical_json("t").alias("c")).collect()}
+    want = {i: json.dumps(v, sort_keys=True, separators=(",", ":")) for i, v in enumerate(values)}
+    assert {i: c and c.replace("\x7f", "\\u007f") for i, c in found.items()} == {i: c.replace("\x7f", "\\u007f") for i, c in want.items()}
+    broken = spark.createDataFrame([(t,) for t in ("", "{", None, '{"a":1,"a":2}', "1 2", "1, 2", "1] x", "1} x", "{}x", '1], "v": [2', "//")], "t string")
+    assert [r[0] for r in broken.select(X.canonical_json("t")).collect()] == [None] * 11

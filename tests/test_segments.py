@@ -42,15 +42,12 @@ def test_collects_in_depth_first_order(docs):
 @pytest.mark.parametrize("limit", [10, 60, 200, 3000])
 def test_chunks_respect_bytes(docs, limit):
     rows = sorted(segments.chunked_segments(docs, limit).collect(), key=lambda r: int(r.seg_id))
-    want, chunk, no = [], {}, 0
-    for r in rows:
-        tried = {**chunk, r.seg_id: r.text}
-        if chunk and len(json.dumps(tried, ensure_ascii=False).encode()) > limit:
-            no, chunk = no + 1, {r.seg_id: r.text}
-        else:
-            chunk = tried
-        want.append(no)
-    assert [r.chunk_no for r in rows] == want
+    size = lambda part: len(json.dumps({r.seg_id: r.text for r in part}, ensure_ascii=False).encode())
+    parts = [[r for r in rows if r.chunk_no == n] for n in range(rows[-1].chunk_no + 1)]
+    assert sum(parts, []) == rows and all(parts)
+    # Every chunk fits or is one entry, and the next entry would not have fitted.
+    assert all(len(p) == 1 or size(p) <= limit for p in parts)
+    assert all(size([*p, following[0]]) > limit for p, following in zip(parts, parts[1:], strict=False))
 
 
 def test_json_bytes_like_python(spark):
