@@ -20,6 +20,7 @@ from folioflow.functions import constants as K
 from folioflow.functions import lenient
 from folioflow.functions import text as X
 from folioflow.operators.cachelog import CacheLog
+from folioflow.staging import written
 
 CACHE_KEY = ["translate_engine", "translate_engine_params", "original_text"]
 
@@ -158,7 +159,7 @@ def glossary_matches(chunks: DataFrame, glossary: DataFrame, on: list[str] | Non
     on: columns that must be equal, such as the document's; the terms of each value are then few and
     travel as one array. Without, the size of the glossary is checked first: a small one is read
     in one pass over each text, by an automaton over all terms; of a large one each text meets
-    the terms that share a gram with it. No text travels more than once for each match.
+    the terms whose rarest gram it holds. No text travels more than once for each match.
     """
     terms = glossary.where("src_key <> ''").select(*(on or []), "src_key", "dst").distinct()
     # Lower-cased before the join: once per chunk, not once per pair.
@@ -196,17 +197,32 @@ def _by_automaton(lowered: DataFrame, terms: list, columns: list[str]) -> DataFr
     return found.join(F.broadcast(rows), "__i").select(*columns, "src_key", "dst")
 
 
+def _grams(points: Column, n: int) -> Column:
+    """The runs of n of an array of code points."""
+    return F.transform(points, lambda _, i: F.array_join(F.slice(points, i + 1, n), ""))
+
+
+def rarest_grams(terms: DataFrame, held: DataFrame) -> DataFrame:
+    """(src_key, dst, gram): of each term's three-character grams the one that fewest texts hold, by held(gram), one row a
+    text; the whole of a shorter term. Terms of which no text holds some gram are left out: none can hold them."""
+    spread = held.groupBy("gram").agg(F.count("*").alias("n"))
+    points = F.split("src_key", "")
+    own = F.when(F.length("src_key") <= 3, F.array("src_key")).otherwise(F.array_distinct(F.slice(_grams(points, 3), F.lit(1), F.length("src_key") - 2)))
+    each = terms.select("src_key", "dst", F.explode(own).alias("gram")).join(spread, "gram", "left")
+    best = each.groupBy("src_key", "dst").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    return best.where("best.n > 0").select("src_key", "dst", "best.gram")
+
+
 def _by_grams(lowered: DataFrame, terms: DataFrame, columns: list[str], least: int) -> DataFrame:
-    """glossary_matches for a large glossary: keys of chunks meet the first gram of each term; only the
-    pairs that do meet the text again, which decides."""
+    """glossary_matches for a large glossary: keys of chunks meet the rarest gram of each term, so that a prefix which many
+    terms share brings nobody together; only the pairs that do meet the text again, which decides."""
     keyed = lowered.withColumn("__k1", F.xxhash64(F.lit(1), *columns)).withColumn("__k2", F.xxhash64(*columns, F.lit(2)))
     # Each text as its code points once, so that grams cost no walk through the text.
     points = keyed.select("__k1", "__k2", F.explode_outer(F.array(F.split("__l", ""))).alias("__c"))
-    gram = lambda n: F.transform("__c", lambda _, i: F.array_join(F.slice("__c", i + 1, n), ""))
-    grams = F.array_distinct(F.concat(*[gram(n) for n in range(min(least, 3), 4)]))
-    slim = points.select("__k1", "__k2", F.explode(grams).alias("__g"))
-    first = terms.withColumn("__g", F.left("src_key", F.lit(3)))
-    pairs = slim.join(first, "__g").select("__k1", "__k2", "src_key", "dst").distinct()
+    grams = F.array_distinct(F.concat(*[_grams(F.col("__c"), n) for n in range(min(least, 3), 4)]))
+    # Written, as the frequencies come from it first.
+    slim = written(points.select("__k1", "__k2", F.explode(grams).alias("gram")), "grams")
+    pairs = slim.join(rarest_grams(terms, slim), "gram").select("__k1", "__k2", "src_key", "dst").distinct()
     return keyed.join(pairs, ["__k1", "__k2"]).where(F.contains("__l", F.col("src_key"))).select(*columns, "src_key", "dst")
 
 
