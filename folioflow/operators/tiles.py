@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
+from folioflow.staging import written
 
 #: Levels are kept within powers of two that tile numbers can stand.
 LEAST_LEVEL, MOST_LEVEL = -20, 40
+#: Boxes of a page up to which the page's others are held against all of them, which is less than tiles cost there.
+FEW = 16
 
 
 def level_of(b: Column) -> Column:
@@ -40,28 +43,39 @@ def sound(b: Column) -> Column:
     return (b.x0 < b.x1) & (b.y0 < b.y1) & finite(b.x0) & finite(b.x1) & finite(b.y0) & finite(b.y1)
 
 
-def meeting(left: DataFrame, right: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
+def meeting(left: DataFrame, right: DataFrame, by: list[str], a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """Pairs of rows of left and right, equal in by, whose boxes a and b have a common area; columns of both. Other
     than by, their names must differ. Boxes without an extent, with nulls or corners that are no finite
-    numbers below 2**52 meet nothing; touching edges do not meet. Rows with a null in by meet nothing.
+    numbers below 2**52 meet nothing; touching edges do not meet. Rows with a null in by meet nothing. On pages with at
+    most few boxes on the left the right ones are held against all of them; the others are laid out in tiles.
     """
-    l0 = left.where(sound(F.col(a))).withColumn("__own", level_of(F.col(a)))
-    r0 = right.where(sound(F.col(b))).withColumn("__own", level_of(F.col(b)))
+    left, right = left.where(sound(F.col(a))), right.where(sound(F.col(b)))
+    large = written(left.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > few).select(*by), "large-pages")
+    some = not large.isEmpty()
+    # On a small page each box on the right meets a bounded number of others.
+    met = (left.join(large, by, "left_anti") if some else left).join(right, by).where(G.intersection(a, b).isNotNull())
+    return met.unionByName(_by_tiles(left.join(large, by, "left_semi"), right.join(large, by, "left_semi"), by, a, b)) if some else met
+
+
+def _by_tiles(left: DataFrame, right: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """meeting of sound boxes, all of them in tiles."""
+    l0 = left.withColumn("__own", level_of(F.col(a)))
+    r0 = right.withColumn("__own", level_of(F.col(b)))
     # At most MOST_LEVEL - LEAST_LEVEL + 1 numbers a side.
-    levels = [sorted(r[0] for r in df.select("__own").distinct().collect()) for df in (l0, r0)]
+    found = l0.select(F.lit(True).alias("left"), "__own").unionAll(r0.select(F.lit(False), "__own")).distinct().collect()
+    of_left, of_right = (sorted(r["__own"] for r in found if r["left"] is side) for side in (True, False))
 
-    def laid(df: DataFrame, box: str, at: list[int], own: bool) -> DataFrame:
-        """df in the tiles of its own level, or of those levels above it."""
-        level = F.array(F.col("__own")) if own else F.filter(F.array(*[F.lit(x) for x in at]).cast("array<int>"), lambda x: x > F.col("__own"))
-        df = df.withColumn("__level", F.explode(level))
-        return df.withColumn("__tile", F.explode(_tiles(F.col(box), F.col("__level")))).drop("__own")
+    def laid(df: DataFrame, box: str, own: bool, above: list[int]) -> DataFrame:
+        """df in the tiles of its own level and of those of the given levels that are above it."""
+        levels = F.filter(F.array(*[F.lit(x) for x in above]).cast("array<int>"), lambda x: x > F.col("__own"))
+        levels = F.array_prepend(levels, F.col("__own")) if own else levels
+        return df.withColumn("__level", F.explode(levels)).withColumn("__tile", F.explode(_tiles(F.col(box), F.col("__level")))).drop("__own")
 
     on = [*by, "__level", "__tile"]
-    # The larger one lies at its own level; of equals both do.
-    same = laid(l0, a, levels[1], True).join(laid(r0, b, [], True), on)
-    larger = laid(l0, a, [], True).join(laid(r0, b, levels[0], False), on)
-    smaller = laid(l0, a, levels[1], False).join(laid(r0, b, [], True), on)
-    met = same.unionByName(larger).unionByName(smaller)
+    # The larger one of a pair lies at its own level; first the pairs whose left box is no smaller.
+    met = laid(l0, a, True, []).join(laid(r0, b, True, of_left), on)
+    if of_left and of_right and of_left[0] < of_right[-1]:
+        met = met.unionByName(laid(l0, a, False, of_right).join(laid(r0, b, True, []), on))
     x, y = F.greatest(f"{a}.x0", f"{b}.x0"), F.greatest(f"{a}.y0", f"{b}.y0")
     first = (_tile(x, F.col("__level")) == F.col("__tile.x")) & (_tile(y, F.col("__level")) == F.col("__tile.y"))
     return met.where(first & G.intersection(a, b).isNotNull()).drop("__level", "__tile")
