@@ -20,7 +20,6 @@ from folioflow.functions import constants as K
 from folioflow.functions import lenient
 from folioflow.functions import text as X
 from folioflow.operators.cachelog import CacheLog
-from folioflow.staging import written
 
 CACHE_KEY = ["translate_engine", "translate_engine_params", "original_text"]
 
@@ -203,14 +202,14 @@ def _grams(points: Column, n: int) -> Column:
 
 
 def rarest_grams(terms: DataFrame, held: DataFrame) -> DataFrame:
-    """(src_key, dst, gram): of each term's three-character grams the one that fewest texts hold, by held(gram), one row a
+    """(src_key, dst, __g): of each term's three-character grams the one that fewest texts hold, by held(__g), one row a
     text; the whole of a shorter term. Terms of which no text holds some gram are left out: none can hold them."""
-    spread = held.groupBy("gram").agg(F.count("*").alias("n"))
+    spread = held.groupBy("__g").agg(F.count("*").alias("n"))
     points = F.split("src_key", "")
     own = F.when(F.length("src_key") <= 3, F.array("src_key")).otherwise(F.array_distinct(F.slice(_grams(points, 3), F.lit(1), F.length("src_key") - 2)))
-    each = terms.select("src_key", "dst", F.explode(own).alias("gram")).join(spread, "gram", "left")
-    best = each.groupBy("src_key", "dst").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
-    return best.where("best.n > 0").select("src_key", "dst", "best.gram")
+    each = terms.select("src_key", "dst", F.explode(own).alias("__g")).join(spread, "__g", "left")
+    best = each.groupBy("src_key", "dst").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "__g")).alias("best"))
+    return best.where("best.n > 0").select("src_key", "dst", "best.__g")
 
 
 def _by_grams(lowered: DataFrame, terms: DataFrame, columns: list[str], least: int) -> DataFrame:
@@ -220,9 +219,8 @@ def _by_grams(lowered: DataFrame, terms: DataFrame, columns: list[str], least: i
     # Each text as its code points once, so that grams cost no walk through the text.
     points = keyed.select("__k1", "__k2", F.explode_outer(F.array(F.split("__l", ""))).alias("__c"))
     grams = F.array_distinct(F.concat(*[_grams(F.col("__c"), n) for n in range(min(least, 3), 4)]))
-    # Written, as the frequencies come from it first.
-    slim = written(points.select("__k1", "__k2", F.explode(grams).alias("gram")), "grams")
-    pairs = slim.join(rarest_grams(terms, slim), "gram").select("__k1", "__k2", "src_key", "dst").distinct()
+    slim = points.select("__k1", "__k2", F.explode(grams).alias("__g"))
+    pairs = slim.join(rarest_grams(terms, slim), "__g").select("__k1", "__k2", "src_key", "dst").distinct()
     return keyed.join(pairs, ["__k1", "__k2"]).where(F.contains("__l", F.col("src_key"))).select(*columns, "src_key", "dst")
 
 
