@@ -141,12 +141,73 @@ def test_reparameterised_like_brute_force(spark):
     assert {(r.id, r.item) for r in found.collect()} == want and 20 < len(want) < 100
 
 
+SAM = "Sam has 12 red apples in his old bag. Sam buys 5 green pears at the market near home. Ann gives 3 apples to her brother. How many pieces of fruit does the family have now?"
+
+
+def test_names_that_begin_sentences(spark):
+    bench = spark.createDataFrame([(1, SAM), (2, "Sam has 3 apples in the old basket behind the house and buys more at the fair. How many apples does Sam have now?")], "item_id long, text string")
+    tim = SAM.replace("Sam", "Tim").replace("Ann", "Eve").replace("12", "14")
+    rows = [
+        (1, f"Words before. {SAM.replace('12', '19')} And after."), (2, f"Words before. {tim} And after."), (3, f"and so {tim}"), (4, SAM.lower()),
+        (5, tim.replace("Tim buys", "Bob buys")),  # one name became two
+        (6, "Well, Tim has 3 apples in the old basket behind the house and buys more at the fair. How many apples does Bob have now?"),
+        (7, "Well, Tim has 3 apples in the old basket behind the house and buys more at the fair. How many apples does Tim have now?"),
+        (8, "Sam went home. How many roads are there? Ann has none of them and Sam has all."),
+    ]
+    got = {(r.id, r.item): (r.kind, r.matched, r.windows) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    n = len(SAM.split()) - 4
+    assert {k: v[0] for k, v in got.items() if k != (5, 1)} == {(1, 1): "reparameterised", (2, 1): "reparameterised", (3, 1): "reparameterised", (4, 1): "verbatim", (7, 2): "reparameterised"}
+    assert got[1, 1][1:] == got[2, 1][1:] == got[3, 1][1:] == (n, n) and (5, 1) not in got
+
+
+def test_word_problems_with_other_names(spark):
+    """Items of several sentences, made from names that the generator knows, and filled in again: every copy
+    with consistent names is found, none where a name within a sentence became two, and no text that merely uses the words."""
+    import random
+
+    rng = random.Random(8)
+    names, nouns = ["Ida", "Tom", "Lea", "Max", "Zoe", "Ben", "Amy", "Jon"], [f"thing{a}{b}" for a in "abcdefghij" for b in "klmnop"]
+    verbs = ["buys", "finds", "keeps", "sells", "paints", "hides"]
+    shapes = []
+    for _ in range(60):
+        noun = lambda: rng.choice(nouns)
+        parts = [f"{{0}} {rng.choice(verbs)} {{n0}} {noun()} and a {noun()} for the {noun()} of {{1}}."] + [f"{{{rng.choice((0, 1))}}} {rng.choice(verbs)} {{n{rng.choice((1, 2))}}} {noun()} near the {noun()} with {noun()}." for _ in range(rng.randint(1, 4))] + [f"How many {noun()} does {{0}} share with {{1}} at the {noun()} now?"]
+        shapes.append(" ".join(parts))
+
+    def fill(shape, who):
+        out = shape
+        for i, name in enumerate(who):
+            out = out.replace(f"{{{i}}}", name)
+        for i in range(3):
+            out = out.replace(f"{{n{i}}}", str(rng.randint(2, 99) * 3 + i))
+        return out
+
+    items = [(i, fill(s, rng.sample(names[:4], 2))) for i, s in enumerate(shapes)]
+    docs, want = [], set()
+    for i, s in enumerate(shapes):
+        before = " ".join(rng.choices(nouns, k=20)) + ". "
+        docs.append((len(docs), before + fill(s, rng.sample(names[4:], 2)) + " The end of it."))
+        want.add((len(docs) - 1, i))
+        # {0} and {1} stand within sentences twice or more over the whole; the last sentence takes other names.
+        head, last = s[: s.rindex("How many")], s[s.rindex("How many") :]
+        docs.append((len(docs), before + fill(head, names[4:6]) + fill(last, names[6:8])))
+        docs.append((len(docs), " ".join(rng.choice(names) + " " + " ".join(rng.choices(nouns, k=6)) + "." for _ in range(8))))
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.id, r.item) for r in found} == want and all(r.matched == r.windows for r in found)
+
+
 def test_large_benchmark_takes_the_other_way(tables, monkeypatch):
     want = {tuple(r) for r in decontam.contaminated(*tables).collect()}
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
     assert {tuple(r) for r in decontam.contaminated(*tables).collect()} == want
 
 
+def test_marks_in_texts(spark):
+    rows = [("x\x01 \x01 \x02Sam\x02 Sam's dog. O'Brien 5. Miles",)]
+    r = spark.createDataFrame(rows, "t string").select(decontam.template_words(F.col("t")).alias("w"), decontam.plain_words(F.col("t")).alias("p")).first()
+    assert len(r.w) == len(r.p) == 8 and r.w[4:] == ["dog", "obrien", "<num>", "<unit>"]
+
+
 def test_templates(spark):
     texts = ["The cost is 3.5 kg or 12km, said Bob Smith.", "In 2020 we had 1,000 apples", "Paris. Paris is in France", "a . b", ""]
     row = spark.createDataFrame([(t,) for t in texts], "t string").select(decontam.template_words(F.col("t")).alias("w"), decontam.plain_words(F.col("t")).alias("p")).collect()
