@@ -13,9 +13,9 @@ its template. Template windows of the benchmark and of the documents meet by has
 
 A capitalised word at the begin of a sentence may be a name or not. A document's window has both
 readings there, the words as they are and all such words as names. An item's word is a name if the
-item has it as one within a sentence, and none if the item has it in small letters as well; with
-words left that may be either, the item has two templates, one for each reading, and is held where
-a document holds one of them. So names are replaced wherever they stand, and their slots tested.
+item has it as one within a sentence. With other words that begin sentences the item has two
+templates, one for each reading, and is held where a document holds one of them. So names are
+replaced wherever they stand, and their slots tested.
 
 Benchmark templates that are equal are one class, met once; the slots are tested for each way
 in which the items of the class repeat values. The seeds are broadcast only below a checked
@@ -55,14 +55,18 @@ def marked_words(text: Column) -> Column:
     return F.array_remove(F.split(t, SPACE), "")
 
 
+def _is_marked(word: Column) -> Column:
+    return F.contains(word, F.lit(OPEN)) | F.contains(word, F.lit(CLOSE))
+
+
 def _as_words(marked: Column | str) -> Column:
     """Marked words, the ones between marks read as plain words."""
-    return F.transform(marked, lambda w: F.translate(w, OPEN + CLOSE, ""))
+    return F.transform(marked, lambda w: F.when(_is_marked(w), F.translate(w, OPEN + CLOSE, "")).otherwise(w))
 
 
 def _as_names(marked: Column | str) -> Column:
     """Marked words, the ones between marks read as names."""
-    return F.transform(marked, lambda w: F.translate(F.regexp_replace(w, f"{OPEN}[^{CLOSE}]*{CLOSE}", "<name>"), OPEN + CLOSE, ""))
+    return F.transform(marked, lambda w: F.when(_is_marked(w), F.translate(F.regexp_replace(w, f"{OPEN}[^{CLOSE}]*{CLOSE}", "<name>"), OPEN + CLOSE, "")).otherwise(w))
 
 
 def template_words(text: Column) -> Column:
@@ -85,11 +89,11 @@ def _windows(hashes: Column | str, size: Column | int) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(hashes, i, size))))
 
 
-def _other_windows(h: str, g: str, size: int) -> Column:
-    """Structs (pos, window) of the windows of g that are not those of h."""
-    at = lambda c, i: F.slice(c, i, size)
-    each = F.transform(F.sequence(F.lit(1), F.size(g) - size + 1), lambda i: F.when(at(g, i) != at(h, i), F.struct((i - 1).alias("pos"), F.xxhash64(at(g, i)).alias("window"))))
-    return F.when(F.size(g) >= size, F.filter(each, lambda x: x.isNotNull()))
+def _windows_with(places: str, hashes: str, size: int) -> Column:
+    """Structs (pos, window) of the windows that hold one of the places, which count from 1."""
+    last = F.size(hashes) - size + 1
+    begins = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(F.lit(1), p - size + 1), F.least(p, last)))))
+    return F.when(last >= 1, F.transform(begins, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(hashes, i, size)).alias("window"))))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -105,11 +109,11 @@ def classes(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     items. at: the places of the slots, from 0. cls: a struct of two hashes that names the class."""
     rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = _once(rows.where("item is not null"), "marked", marked_words(F.col("text"))).select("item", "marked", plain_words(F.col("text")).alias("plain"))
-    # Words that begin sentences and are known to be names, or to be none, lose the marks.
+    # Words that begin sentences and are names within others are names in both readings.
     names = F.transform(F.filter(F.arrays_zip("marked", "plain"), lambda x: x.marked == "<name>"), lambda x: x.plain)
     rows = rows.withColumn("names", names)
     whole = lambda w, p: w == F.concat(F.lit(OPEN), p, F.lit(CLOSE))
-    settled = F.zip_with("marked", "plain", lambda w, p: F.when(whole(w, p) & F.array_contains("names", p), "<name>").when(whole(w, p) & F.array_contains("marked", p), p).otherwise(w))
+    settled = F.zip_with("marked", "plain", lambda w, p: F.when(whole(w, p) & F.array_contains("names", p), "<name>").otherwise(w))
     rows = _once(rows, "known", settled)
     rows = rows.select("item", "plain", F.explode(F.array_distinct(F.array(_as_words("known"), _as_names("known")))).alias("words"))
     both = F.filter(F.arrays_zip("words", "plain"), lambda x: x.words.isin(*SLOTS))
@@ -150,10 +154,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     rows = id_and_text(docs, id_col, text_col).where("text is not null").select(*row_keys("id", "text"), "id", "text")
 
     # Both readings of each text: h with the words that begin sentences as they are, g with them as names.
-    hashed = _once(rows, "w", marked_words(F.col("text"))).select("k1", "k2", _hashes(_as_words("w")).alias("h"), _hashes(_as_names("w")).alias("g"))
+    marked = F.filter(F.transform("w", lambda w, i: F.when(_is_marked(w), i + 1)), lambda i: i.isNotNull())
+    hashed = _once(rows, "w", marked_words(F.col("text"))).select("k1", "k2", _hashes(_as_words("w")).alias("h"), _hashes(_as_names("w")).alias("g"), marked.alias("marked"))
     # The outer form, as for the other the optimizer computes the arrays once more to test their sizes.
     none = F.array().cast("array<struct<pos: int, window: bigint>>")
-    each = [F.coalesce(x, none) for n in sizes for x in (F.transform(_windows("h", n), lambda w, i: F.struct(i.alias("pos"), w.alias("window"))), _other_windows("h", "g", n))]
+    each = [F.coalesce(x, none) for n in sizes for x in (F.transform(_windows("h", n), lambda w, i: F.struct(i.alias("pos"), w.alias("window"))), _windows_with("marked", "g", n))]
     own = hashed.select("k1", "k2", F.explode_outer(F.concat(*each)).alias("w")).select("k1", "k2", "w.pos", "w.window")
     met = own.where("window is not null").join(F.broadcast(seeds) if small else seeds, "window")
     met = met.select("k1", "k2", "cls", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
