@@ -4,10 +4,12 @@ Product quantisation with 16 centres per subspace, so a code is four bits. Assig
 centres minimise eta * |parallel residual|^2 + |orthogonal residual|^2, as the residual along
 a vector is what shifts its large inner products. A query scans a block of codes with tables of
 partial scores, two codes (a byte) at a time; the block's best by that score, ties and all by
-smaller id, are reranked by exact inner products in double precision.
+smaller id, are reranked by exact inner products in double precision. Then every row whose code, by the
+length of what it leaves out, could still reach the k-th of these is reranked too. So a block loses
+nothing, however uneven the lengths of vectors are or how close they lie.
 
 Every row lies in one coarse cell of about CELL_ROWS rows. A query goes to the cells whose
-centres score best, as many as held RECALL of the neighbours among the rows of the sample; so
+centres score best, as many as held RECALL of the neighbours that queries have among the rows of the sample; so
 clustered vectors need few cells whatever their number, and vectors without structure need most.
 A cell's rows travel once for each QUERIES_PER_BLOCK of the queries that it gets, and large
 cells are cut into blocks, so a vector that very many rows share is many tasks.
@@ -38,6 +40,8 @@ RERANK = 200
 #: Larger components are cut to this size where only approximate scores are computed.
 LARGEST = 1e7
 CENTRES, THRESHOLD, ROUNDS = 16, 0.2, 8
+#: Share of the lengths by which sums of single precision may be off.
+ROUNDING = 1e-5
 
 
 class Quantiser:
@@ -87,6 +91,15 @@ class Quantiser:
             codes = np.concatenate((codes, np.zeros((len(codes), 1), np.uint8)), axis=1)
         return codes[:, 0::2] | codes[:, 1::2] << 4
 
+    def left_out(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For rows x and their codes (bytes, rows): by how much at most the scan of a query of length 1
+        differs from the inner product. Not finite where lengths are beyond double precision."""
+        both = np.stack((codes & 15, codes >> 4), axis=1).reshape(-1, codes.shape[1])[: self.subspaces]
+        back = np.concatenate([book[c] for book, c in zip(self.books, both, strict=True)], axis=1)[:, : self.dim]
+        wide = x.astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.sqrt(((wide - back) ** 2).sum(1)) + ROUNDING * (np.sqrt((wide**2).sum(1)) + np.sqrt((back.astype(np.float64) ** 2).sum(1)))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Partial scores (pairs of subspaces, 256) of one query."""
         part = np.einsum("mcw,mw->mc", self.books, self.split(q[None])[0])
@@ -143,6 +156,30 @@ def best(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate((above, np.flatnonzero(score == least)[: n - len(above)]))
 
 
+def reaching(quantiser: Quantiser, q: np.ndarray, codes: np.ndarray, slack: np.ndarray, wide: np.ndarray, allowed: np.ndarray, k: int, keep: int) -> np.ndarray:
+    """Indexes of rows among which are the k of largest inner product with q, ties included, of those allowed. slack:
+    Quantiser.left_out of the rows; wide: the rows in double precision; keep: how many are tried first."""
+    score = scan(quantiser, q, codes).astype(np.float64)
+    score[~allowed] = -np.inf
+    own = q.astype(np.float64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        first = wide[best(score, keep + 1)] @ own
+        if len(first) <= k or not np.isfinite(first).all() or np.abs(own).max() > LARGEST:
+            return np.flatnonzero(allowed)
+        length = np.sqrt((own**2).sum())
+        # The row left out may be among the first, so one more is counted.
+        least = np.partition(first, len(first) - k - 1)[len(first) - k - 1]
+        at = np.flatnonzero(allowed & ~(score + length * slack < least))
+        if len(at) <= keep:
+            return at
+        exact = wide[at] @ own
+        if not np.isfinite(exact).all():
+            return at
+        least = np.partition(exact, len(exact) - k)[len(exact) - k]
+        # What the order of a sum may change is far less than that share of the slack.
+        return at[exact >= least - 1e-7 * length * slack[at]]
+
+
 class Cells:
     """Centres of coarse cells, and how many of the best a query is to search."""
 
@@ -160,10 +197,10 @@ class Cells:
         return np.argsort(-(np.clip(q, -LARGEST, LARGEST).astype(np.float32) @ self.centres.T), axis=1, kind="stable")
 
 
-def partition(x: np.ndarray, cells: int, k: int, recall: float = RECALL, rounds: int = 6) -> Cells:
+def partition(x: np.ndarray, cells: int, k: int, recall: float = RECALL, rounds: int = 6, queries: np.ndarray | None = None) -> Cells:
     """Cells for rows x of a sample. probes: the fewest best cells that hold the recall of the k best
-    neighbours that JUDGES of the rows have among the others. Farther apart than in the whole table,
-    these are spread over more cells than the neighbours that a search is for."""
+    neighbours that some queries, or without these JUDGES of the rows, have among the sample's others. Farther apart
+    than in the whole table, these are spread over more cells than the neighbours that a search is for."""
     x = np.clip(x[np.lexsort(x.T[::-1])], -LARGEST, LARGEST).astype(np.float32)
     if cells == 1 or len(x) <= cells:
         return Cells(x[:1], 1)
@@ -175,13 +212,16 @@ def partition(x: np.ndarray, cells: int, k: int, recall: float = RECALL, rounds:
         for j in range(x.shape[1]):
             sums = np.bincount(own, weights=x[:, j], minlength=cells)
             found.centres[n > 0, j] = (sums[n > 0] / n[n > 0]).astype(np.float32)
-    own, judges = found.of(x), rng.choice(len(x), min(JUDGES, len(x)), replace=False)
-    score = x[judges] @ x.T
-    score[np.arange(len(judges)), judges] = -np.inf
+    judges = x[rng.choice(len(x), min(JUDGES, len(x)), replace=False)] if queries is None or not len(queries) else np.clip(queries, -LARGEST, LARGEST).astype(np.float32)
+    own, score, places = found.of(x), judges @ x.T, {v.tobytes(): i for i, v in enumerate(x)}
+    # A judge is no neighbour of its own, where the sample holds it.
+    for i, v in enumerate(judges):
+        if v.tobytes() in places:
+            score[i, places[v.tobytes()]] = -np.inf
     k = min(k, len(x) - 1)
     near = np.argpartition(-score, k - 1, axis=1)[:, :k]
     place = np.empty((len(judges), cells), np.int64)
-    np.put_along_axis(place, found.ranked(x[judges]), np.arange(cells)[None], axis=1)
+    np.put_along_axis(place, found.ranked(judges), np.arange(cells)[None], axis=1)
     held = np.cumsum(np.bincount(place[np.arange(len(judges))[:, None], own[near]].ravel(), minlength=cells)) / near.size
     found.probes = int(np.searchsorted(held, recall)) + 1
     return found
@@ -205,7 +245,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     vectors: all candidates; the rows for which is_query (a condition on id) holds are the
     queries. A query's own id is no candidate. score is the inner product of the vectors as
-    given, in double precision; ties go to the smaller id. Vectors that are null, empty, zero
+    given, in double precision; ties go to the smaller id. Of the cells searched none of the nearest
+    is missed; rerank is how many of a block are tried before bounds tell which others to try. Vectors that are null, empty, zero
     or not finite take no part, nor do rows with a null id; equal rows count once; of several
     vectors with one id the best scoring counts. Vectors of different lengths have no inner
     product: a query meets those of its own length, each length is searched for itself. exact
@@ -230,7 +271,9 @@ def _search(rows: DataFrame, is_query, dim: int, n: int, k: int, rerank: int, re
     x = x if len(x) else np.eye(1, dim, dtype=np.float32)
     x = x[np.lexsort(x.T[::-1])]
     train = x[np.random.default_rng(1).permutation(len(x))[:TRAIN_ROWS]] if len(x) > 2 * TRAIN_ROWS else x
-    shared = spark.sparkContext.broadcast((fit(train), partition(x, cells, k, recall)))
+    # At most JUDGES of the queries, by hash, judge the cells.
+    judges = rows.where(is_query).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(JUDGES).select("v").toArrow()["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim) if cells > 1 else None
+    shared = spark.sparkContext.broadcast((fit(train), partition(x, cells, k, recall, queries=judges)))
     keep = n if exact else rerank
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,12 +305,15 @@ def _search(rows: DataFrame, is_query, dim: int, n: int, k: int, rerank: int, re
             quantiser = shared.value[0]
             left = left.sort_by("id")
             ids = left["id"].to_numpy()
+            # Where an id has several vectors, k rows may be fewer ids.
+            alone = len(np.unique(ids)) < len(ids)
             x = left["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
             codes = np.ascontiguousarray(np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1).T)
+            wide, slack = x.astype(np.float64), quantiser.left_out(x, codes)
             for own, q in zip(right["q_id"].to_pylist(), right["q_v"].combine_chunks().flatten().to_numpy().reshape(-1, dim), strict=True):
-                at = np.arange(len(ids)) if keep >= len(ids) else best(scan(quantiser, q, codes), keep + 1)
-                at = at[ids[at] != own]
-                exact = (x[at].astype(np.float64) * q.astype(np.float64)).sum(1)
+                others = ids != own
+                at = np.flatnonzero(others) if alone or keep >= len(ids) else reaching(quantiser, q, codes, slack, wide, others, k, keep)
+                exact = (wide[at] * q.astype(np.float64)).sum(1)
                 order = np.lexsort((ids[at], -exact))
                 # An id with several vectors may come more than once; its best comes first.
                 _, first = np.unique(ids[at][order], return_index=True)

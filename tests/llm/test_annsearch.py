@@ -97,6 +97,30 @@ def test_a_vector_that_many_rows_share(spark, monkeypatch):
     assert hits >= 0.98 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("kind", ["clusters", "lengths", "directions", "queries", "huge"])
+def test_no_kind_of_rows_loses_neighbours(spark, kind, monkeypatch):
+    """Close clusters, uneven lengths, few directions that count, queries unlike the rows and lengths beyond what is
+    quantised: the 200 best codes of a block held half of the neighbours or fewer there."""
+    monkeypatch.setattr(annsearch, "CELL_ROWS", 1500)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 16))
+    if kind == "clusters":
+        x = rng.normal(size=(5, 16))[rng.integers(0, 5, 6000)] + 0.002 * x
+    elif kind == "lengths":
+        x *= np.exp(3 * rng.normal(size=(6000, 1)))
+    elif kind == "directions":
+        x *= np.where(np.arange(16) == 0, 1000, 1)
+    elif kind == "queries":
+        x[::100] = 3 * x[::100] + 20
+    else:
+        x *= np.where(rng.random((6000, 1)) < 0.1, 1e9, 1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = {(q, i) for q, v in brute(rows, [r for r in rows if r[0] % 100 == 0], 20).items() for i, _ in v}
+    got = {(r.query_id, r.vec_id) for r in annsearch.search(df, F.col("id") % 100 == 0, rerank=40).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
+
+
 def test_anisotropic_loss_beats_plain_assignment():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 32)).astype(np.float32)
