@@ -9,8 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioflow.functions import constants as K
 from folioflow.functions import geometry as G
@@ -283,30 +286,58 @@ _L = "struct<x0: double, y0: double, x1: double, y1: double, line_width: double>
 PAGE_ROW = f"paragraphs array<struct<x: double, y: double, x0: double, x1: double, y0: double, y1: double, size: double, text: string, brk: boolean>>, formulas array<struct<width: double, fix: double, glyphs: array<{_G}>, lines: array<{_L}>>>, lines array<{_L}>"
 
 
+def _page_row(pdf: pd.DataFrame) -> dict:
+    """PAGE_ROW of the items of one page, in order; formula tells what font, character or direction mark."""
+    page = Segmenter(float(pdf["page_width"].iloc[0]))
+    for item in pdf.itertuples(index=False):
+        (page.line if item.kind == "line" else page.glyph)(item)
+    page.end()
+    glyph = lambda g: {"text": g.text, "font": g.font, "size": g.size, "x0": g.x0, "y0": g.y0, "x1": g.x1, "y1": g.y1, "cid": ord(g.text[0]) if g.text else 0}
+    line = lambda g: {"x0": g.x0, "y0": g.y0, "x1": g.x1, "y1": g.y1, "line_width": g.line_width}
+    formulas = [{"width": f.width, "fix": f.fix, "glyphs": [glyph(g) for g in f.glyphs], "lines": [line(x) for x in f.lines]} for f in page.formulas]
+    return {"paragraphs": [vars(p) for p in page.paragraphs], "formulas": formulas, "lines": [line(x) for x in page.lines]}
+
+
 def segment_pages(items: DataFrame, by: list[str]) -> DataFrame:
     """One row per page of items: glyphs and lines with by..., seq, kind (char or line), page_width.
 
-    A page is a group; a document's pages are independent, so they run in parallel.
+    A page is a group; a document's pages are independent, so they run in parallel. For items that still lie
+    page by page see segment_whole_pages, which moves none.
     """
     marked = items.withColumn("formula", F.coalesce(X.is_formula_glyph("font", "text") | X.is_vertical("m0", "m3"), F.lit(False)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*by).schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        page = Segmenter(float(pdf["page_width"].iloc[0]))
-        for item in pdf.sort_values("seq", kind="stable").itertuples(index=False):
-            (page.line if item.kind == "line" else page.glyph)(item)
-        page.end()
-        glyph = lambda g: {"text": g.text, "font": g.font, "size": g.size, "x0": g.x0, "y0": g.y0, "x1": g.x1, "y1": g.y1, "cid": ord(g.text[0]) if g.text else 0}
-        line = lambda g: {"x0": g.x0, "y0": g.y0, "x1": g.x1, "y1": g.y1, "line_width": g.line_width}
-        row = {c: pdf[c].iloc[0] for c in by}
-        row["paragraphs"] = [vars(p) for p in page.paragraphs]
-        row["formulas"] = [{"width": f.width, "fix": f.fix, "glyphs": [glyph(g) for g in f.glyphs], "lines": [line(x) for x in f.lines]} for f in page.formulas]
-        row["lines"] = [line(x) for x in page.lines]
-        return pd.DataFrame([row])
+        pdf = pdf.sort_values("seq", kind="stable")
+        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | _page_row(pdf)])
 
     return marked.groupBy(*by).applyInPandas(run, f"{schema}, {PAGE_ROW}")
 
 
+#: What tells whether a glyph is marked as of a formula.
+KIND = ("font", "text", "m0", "m3")
+
+
+def segment_whole_pages(pages: DataFrame, by: list[str]) -> DataFrame:
+    """segment_pages of pages(by..., page_width, items, kinds): a row a page with its items in order as an array of structs, and
+    their distinct KIND. Glyphs are never rows, so none is shuffled or sorted."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*by).schema)
+    marked = F.filter("kinds", lambda k: F.coalesce(X.is_formula_glyph(k.font, k.text) | X.is_vertical(k.m0, k.m3), F.lit(False)))
+    kept = list(to_arrow_schema(T._parse_datatype_string(PAGE_ROW)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                items = pa.RecordBatch.from_struct_array(one.column("items").flatten())
+                known = {tuple(k[c] for c in KIND) for k in one.column("kinds")[0].as_py()}
+                marks = [k in known for k in zip(*(items.column(c).to_pylist() for c in KIND), strict=True)] if known else False
+                row = _page_row(items.to_pandas().assign(formula=marks, page_width=one.column("page_width")[0].as_py()))
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in by), *(pa.array([row[f.name]], f.type) for f in kept)], [*by, *(f.name for f in kept)])
+
+    return pages.select(*by, "page_width", "items", marked.alias("kinds")).mapInArrow(run, f"{schema}, {PAGE_ROW}")
+
+
 # ---------------------------------------------------------------- reflow
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -107,6 +108,35 @@ def read_pages(binaries: DataFrame, backend: str = "plain") -> DataFrame:
     return binaries.select("path", "content").mapInPandas(run, f"path string, {schemas.GLYPH}, page_width double, page_height double")
 
 
+def read_whole_pages(binaries: DataFrame, backend: str = "plain") -> DataFrame:
+    """read_pages with a row a page: (path, page, page_width, page_height, items, kinds), for layout.segment_whole_pages."""
+    make = BACKENDS[backend]
+    fields = [c.strip().split(" ") for c in schemas.GLYPH.split(",") if not c.strip().startswith("page ")]
+    types = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+
+    def held(rows: pd.DataFrame, own: list) -> pa.ListArray:
+        """One array of the rows as structs of the columns own."""
+        columns = [pa.array(rows[c], types[t], from_pandas=True) for c, t in own]
+        return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.StructArray.from_arrays(columns, [c for c, _ in own]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = make()
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                content = content.as_py()
+                for n in range(own.n_pages(content)):
+                    rows = own.page(content, n)
+                    if len(rows):
+                        rows = rows.sort_values("seq", kind="stable")
+                        kinds = rows[[c for c, _ in kind]].drop_duplicates()
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n]), pa.array([own.page_width]), pa.array([own.page_height]), held(rows, fields), held(kinds, kind)], names)
+
+    kind = [(c, t) for c, t in fields if c in ("font", "text", "m0", "m3")]
+    names = ["path", "page", "page_width", "page_height", "items", "kinds"]
+    record = lambda own: "array<struct<" + ", ".join(f"{c}: {t}" for c, t in own) + ">>"
+    return binaries.select("path", "content").mapInArrow(run, f"path string, page long, page_width double, page_height double, items {record(fields)}, kinds {record(kind)}")
+
+
 def page_matrix(rotate: Column | str, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """The matrix of a page by its rotation, as an array of six numbers."""
     r = F.pmod(F.col(rotate) if isinstance(rotate, str) else rotate, F.lit(360))

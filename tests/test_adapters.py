@@ -196,6 +196,16 @@ def test_paragraphs_like_a_plain_version(spark, sf_dir):
             assert got[i] == plain_paragraphs(t.replace("\f", " ")), t
 
 
+def test_whole_pages_like_rows_of_glyphs(spark):
+    """Pages that stay whole give what grouped glyphs give, without moving any of them."""
+    rows = [(str(i), bytearray(("\f".join(TEXTS[i:] + ["(cid:3) ∑"])).encode())) for i in range(len(TEXTS))] + [("empty", bytearray(b""))]
+    own = spark.createDataFrame(rows, "path string, content binary")
+    want = sorted(layout.segment_pages(pages.read_pages(own), ["path", "page"]).collect(), key=str)
+    whole = layout.segment_whole_pages(pages.read_whole_pages(own), ["path", "page"])
+    assert sorted(whole.collect(), key=str) == want and any(r.formulas for r in want)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_drawing(text, width, left=50.0, top=740.0, size=10.0):
     """Drawing operators of one paragraph without formulas: broken greedily at the width, if it had lines."""
     rows, x = [[]], left
