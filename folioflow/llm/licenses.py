@@ -2,9 +2,10 @@
 
 Candidate blocks are runs of lines with license vocabulary. A template has its place in a block
 where the block holds its wording, found in windows of the template's size. What stands there,
-and not the text around it, is compressed by itself and with the template as a raw zstandard
-dictionary, which must shorten it. The template that fits best takes its place; what it leaves
-over is searched again, so a block gives all its licenses. Where the words around a block can hold more
+and not the text around it, is compressed by itself and with each template whose place it is as a raw zstandard
+dictionary, which must shorten it. Templates are ranked by the bytes of their place that they save less those that
+they leave, so of those that meet the one which accounts for most of the text wins; exact differences in wording confirm it and decide
+between equals. What it leaves over is searched again, so a block gives all its licenses. Where the words around a block can hold more
 than it showed, as in a notice that is wrapped to short lines, they are judged with it. All of it happens where a document
 is read, without a shuffle; equal blocks are judged once a worker.
 """
@@ -157,11 +158,20 @@ def differences(block: list[str], template: list[str]) -> tuple[float, list[str]
     return len(held) / len(template), [w for i, w in enumerate(template) if i not in held], [block[i] for i in range(first, last) if i not in inside]
 
 
-def _reduction(text: str, i: int) -> float:
-    """Share by which template i shortens a text."""
+@lru_cache(maxsize=1)
+def _least() -> list[int]:
+    """Bytes that are left of each template when it stands in its own dictionary."""
+    return [len(c.compress(framed(text).encode())) for c, (_, text) in zip(_compressors()[1], TEMPLATES, strict=True)]
+
+
+def _reduction(text: str, i: int) -> tuple[float, float]:
+    """Share by which template i shortens a text, and its rank by that: the bytes of the text, without what frames it,
+    that the template saves, less those that it does not tell."""
     data = framed(text).encode("utf-8", "replace")
     plain, with_template = _compressors()
-    return 1 - len(with_template[i].compress(data)) / len(plain.compress(data))
+    left = len(with_template[i].compress(data))
+    share = 1 - left / len(plain.compress(data))
+    return share, share * len(" ".join(text.split()).encode("utf-8", "replace")) - (left - _least()[i])
 
 
 @lru_cache(maxsize=1)
@@ -205,8 +215,8 @@ def _places(words: list[str], i: int) -> Iterator[tuple]:
 
 def judge_all(block: str) -> tuple[tuple, ...]:
     """(first line, last line + 1, license, reduction, share of the wording, missing words, extra
-    words) of each license of a block, in order. Of those that meet the best fit wins, then the
-    longest template, then the order of TEMPLATES. An SPDX expression has a license for each identifier."""
+    words) of each license of a block, in order. Of those that meet the one that ranks highest by compression wins,
+    then the best fit, then the longest template, then the order of TEMPLATES. An SPDX expression has a license for each identifier."""
     return tuple(hit for _, hit in (_kept(block) if len(block) <= KEPT_CHARS else _judged(block)))
 
 
@@ -238,19 +248,22 @@ def _judged(block: str) -> tuple[tuple[int, tuple], ...]:
         for i in sorted({i for w in counts.keys() & _by_word().keys() for i in _by_word()[w]}):
             if _holds(counts, i):
                 n = len(_template_words()[i][0])
-                # Words put within count against a template as much as missing ones.
-                places |= {(share - len(extra) / n, n, -i, -first, last, share, tuple(missing), tuple(extra)) for first, last, share, missing, extra in _places(own, i)}
+                for first, last, share, missing, extra in _places(own, i):
+                    reduction, rank = _reduction(block[found[lo + first][1] : found[lo + last - 1][2]], i)
+                    if reduction >= REDUCTION:
+                        # Words put within count against a template as much as missing ones: a place drawn out over
+                        # other notices comes after all that hold little but the template.
+                        fit = share - len(extra) / n
+                        places.add((fit >= WORDING, rank, fit, n, -i, -first, last, reduction, share, tuple(missing), tuple(extra)))
         taken = np.zeros(len(own), bool)
-        for _, _, i, first, last, share, missing, extra in sorted(places, reverse=True):
+        for _, _, _, _, i, first, last, reduction, share, missing, extra in sorted(places, reverse=True):
             i, first = -i, -first
             if taken[first:last].any():
                 continue
             begin, end = found[lo + first][1], found[lo + last - 1][2]
-            reduction = _reduction(block[begin:end], i)
-            if reduction >= REDUCTION:
-                taken[first:last] = True
-                lines = block.count("\n", 0, begin), block.count("\n", 0, end) + 1
-                hits.append((lo + first, i, (*lines, TEMPLATES[i][0], reduction, share, list(missing), list(extra))))
+            taken[first:last] = True
+            lines = block.count("\n", 0, begin), block.count("\n", 0, end) + 1
+            hits.append((lo + first, i, (*lines, TEMPLATES[i][0], reduction, share, list(missing), list(extra))))
         if taken.any():
             edges = np.flatnonzero(np.diff(np.concatenate(([1], taken, [1])).astype(int)))
             spans += [(lo + int(a), lo + int(z)) for a, z in edges.reshape(-1, 2)]
@@ -351,8 +364,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per license that a document holds: (id, line_start, line_end, license, reduction, wording, missing, extra).
 
     Lines count from 0, line_end is exclusive; they are those of the wording found, however its lines are
-    wrapped. A block or line may hold several; of those that meet, the best fit wins, of equals the longest
-    template, then the first listed. A text of any length is read as a whole; only blocks of bounded length are
+    wrapped. A block or line may hold several; of those that meet, the one wins that ranks highest by conditional
+    compression of its place, of equals the best fit, the longest template, then the first listed. A text of any length is read as a whole; only blocks of bounded length are
     kept for equal ones. A null or empty text has no rows, an empty table none; repeated rows and null ids
     each give their own. Other columns of docs are not read.
     """

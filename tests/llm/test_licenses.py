@@ -174,3 +174,14 @@ def test_cues_hold_stems():
     for cue in ("CC-BY", "cc0 by", "All\nRights\tReserved", "SUBLICENSE", "LiCenCe", "licenſe", "AGPL v3", "Merchantable"):
         assert licenses.cued(f"x {cue} y")
     assert not licenses.cued("a garden by the river") and not licenses.cued(None)
+
+
+def test_compression_ranks_the_templates_that_meet():
+    """A changed word costs the longer text a little; the shorter one in it is whole but accounts for less."""
+    long = dict((n, t) for n, t in reversed(licenses.TEMPLATES))
+    changed = long["BSD-3-Clause"].replace("specific prior written", "explicit prior written")
+    found = licenses.judge_all(changed)
+    assert [x[2] for x in found] == ["BSD-3-Clause"] and found[0][5:] == (["specific"], ["explicit"])
+    apache = long["Apache-2.0"].replace("you may not use", "you must not use")
+    found = licenses.judge_all(apache)
+    assert [x[2] for x in found] == ["Apache-2.0"] and found[0][5:] == (["may"], ["must"])
