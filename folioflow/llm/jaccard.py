@@ -1,7 +1,8 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands, verified on the sets.
+"""Near-duplicates by Jaccard similarity of word shingles: ball hashing and MinHash bands, verified on the sets.
 
-Each distinct set of shingles is a node. Two nodes that agree in all ROWS values of one of BANDS
-bands are a candidate pair; a pair of similarity 0.8 is none with a chance of 1 in 30,000, and a
+Each distinct set of shingles is a node with the fingerprint of simhash.py over its hashes. Nodes whose
+fingerprints meet by ball hashing within RADIUS bits are candidate pairs, verified like all others. Two nodes
+that agree in all ROWS values of one of BANDS bands are a candidate pair too; a pair of similarity 0.8 is none with a chance of 1 in 30,000, and a
 more similar one far less often. Every link is verified on the whole sets of hashes. In a first
 round every node meets the least one of each of its band values, so a large group of near copies
 costs as many pairs as it has members. Band values whose nodes the links of that round leave in
@@ -9,8 +10,8 @@ different components are open: there all nodes of different components are compa
 blocks of bounded size, each pair of blocks a group of its own that gives a spanning forest of
 the links found and never a row for each pair.
 
-This stands beside the fingerprints of simhash.py, which reach three of 64 bits: two texts of a
-Jaccard similarity of 0.8 differ in ten bits on average.
+Fingerprints alone do not reach the similarity: their balls join three of 64 bits, and two texts of a
+Jaccard similarity of 0.8 differ in ten on average. The bands reach it, and both kinds of links count.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import id_and_text, materialize, row_keys, slices
 from folioflow.llm.graph import connected_components
-from folioflow.llm.simhash import SEED, shingle_hashes
+from folioflow.llm.simhash import SEED, links as ball_links, majority, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
+#: Bits in which fingerprints that meet may differ.
+RADIUS = 3
 #: Hashes for which all values are computed at a time.
 CHUNK = 1 << 13
 #: Bounds of a block: sets, and hashes in all of them (but for a single larger set).
@@ -50,17 +53,28 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
-    """Rows (k1, k2, id, node, size, values) from (k1, k2, id, text): values are the hashes of the whole
-    set or those of its bands. node is a hash of the set, that of the empty set is 0."""
+    """Rows (k1, k2, id, node, fp, size, values) from (k1, k2, id, text): values are the hashes of the whole
+    set or those of its bands, fp the bits of its fingerprint. node is a hash of the set, that of the empty set is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column("text").cast(pa.binary()).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64)
             values = [(s if whole or not len(s) else bands(s)).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array(values, pa.list_(pa.int64()))], ["k1", "k2", "id", "node", "size", "values"])
+            fps = np.array([0 if whole else majority(s) for s in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array(values, pa.list_(pa.int64()))], ["k1", "k2", "id", "node", "fp", "size", "values"])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, id long, node long, size int, values array<long>")
+    return docs.mapInArrow(run, "k1 long, k2 long, id long, node long, fp long, size int, values array<long>")
+
+
+def _ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) of nodes(node, fp, size) by ball hashing: of each fingerprint the nodes meet the least of
+    them, and those of fingerprints within RADIUS bits, which simhash.links gives, meet each other."""
+    least = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("hub")), "fingerprints")
+    same = nodes.join(least, "fp").where(F.col("node") != F.col("hub.node")).select("hub", F.struct("node", "size").alias("own"))
+    met = materialize(ball_links(least.select("fp"), RADIUS).distinct(), "balls")
+    other = met.join(least.select(F.col("fp").alias("u"), "hub"), "u").join(least.select(F.col("fp").alias("v"), F.col("hub").alias("own")), "v").select("hub", "own")
+    return same.unionAll(other).select(F.col("hub.node").alias("u"), F.col("own.node").alias("v"), F.col("hub.size").alias("a"), F.col("own.size").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -158,17 +172,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = id_and_text(docs, id_col, text_col).select(*row_keys("id", "text"), "id", "text")
     each = materialize(_sketches(text, shingle, False), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("least")
-    own = materialize(each.groupBy("node").agg(first, F.first("size").alias("size"), F.first("values").alias("bands")), "nodes")
+    own = materialize(each.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("values").alias("bands")), "nodes")
     # A band's number is part of its hash.
     rows = own.select("node", "size", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     met = materialize(rows.join(materialize(shared, "shared-bands"), "key"), "bands")
     # Sets of very different size cannot be similar.
     alike = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
-    pairs = materialize(met.where((F.col("node") != F.col("hub.node")) & alike("size", "hub.size")).select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
+    balls = materialize(_ball_pairs(own.where("size > 0").select("node", "fp", "size")).where(alike("a", "b")).select("u", "v"), "ball-pairs")
+    banded = met.where((F.col("node") != F.col("hub.node")) & alike("size", "hub.size")).select(F.col("hub.node").alias("u"), F.col("node").alias("v"))
+    pairs = materialize(balls.unionAll(banded).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     # Only sets that some other meets are compared. They are made again from one text each: to
     # write the sets of all texts would take more room than the texts.
-    wanted = materialize(own.join(met.select("node").distinct(), "node", "left_semi").select("least.k1", "least.k2"), "met-nodes")
+    some = met.select("node").unionAll(balls.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    wanted = materialize(own.join(some, "node", "left_semi").select("least.k1", "least.k2"), "met-nodes")
     sets = _sketches(text.join(wanted.hint("shuffle_hash"), ["k1", "k2"], "left_semi"), shingle, True)
     sets = materialize(sets.select("node", F.col("values").alias("hashes")).dropDuplicates(["node"]), "met-sets")
     links = materialize(_verified(pairs, sets, similarity), "links-first")

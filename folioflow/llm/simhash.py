@@ -45,7 +45,11 @@ def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
     """Unsigned 64-bit fingerprint of one whole text in UTF-8."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have; zero of none."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

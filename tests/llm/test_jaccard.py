@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from folioflow.llm import jaccard
 from tests.llm.test_simhash import components
@@ -80,3 +83,28 @@ def test_near_dedup_finds_copies_of_similarity_08(spark):
         rows += [(2 * i, " ".join(words), "en", "s0", 0), (2 * i + 1, " ".join(near), "en", "s0", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(range(0, 60, 2))
+
+
+def test_ball_hashing_links_without_bands(spark, monkeypatch):
+    """Where no band is shared, the balls of the fingerprints bring close copies together, and only true ones stay."""
+    rng, rows = random.Random(6), []
+    for i in range(12):
+        words = [f"w{rng.randrange(9000)}" for _ in range(1500)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:700], "changed", *words[701:]]))]
+    sketches = jaccard._sketches
+    alone = lambda docs, shingle, whole: sketches(docs, shingle, whole) if whole else sketches(docs, shingle, whole).withColumn("values", F.array("node"))
+    monkeypatch.setattr(jaccard, "_sketches", alone)
+    prints = [jaccard.majority(np.unique(jaccard.shingle_hashes(t.encode(), 5))) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= jaccard.RADIUS]
+    got = {r.id: r.component for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(range(len(rows)), near) and len(set(got.values())) < len(rows)
+
+
+def test_ball_pairs_like_brute_force(spark):
+    rng = random.Random(7)
+    prints = [rng.getrandbits(64) for _ in range(20)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for p in prints for _ in range(4)]
+    signed = [p - 2**64 if p >> 63 else p for p in prints]
+    pairs = jaccard._ball_pairs(spark.createDataFrame([(i, p, 9) for i, p in enumerate(signed)], "node long, fp long, size int")).collect()
+    near = [(i, j) for i in range(len(prints)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 3]
+    assert components(range(len(prints)), [(r.u, r.v) for r in pairs]) == components(range(len(prints)), near)
