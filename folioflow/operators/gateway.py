@@ -16,8 +16,9 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 from folioflow.functions import constants as K
 from folioflow.operators import calls, nextfit
@@ -122,6 +123,29 @@ def call_requests(requests: DataFrame, by: list[str], model, limits: Limits = Li
     return spread.select(*by, "system", "user").mapInPandas(run, f"{schema}, answer string, error string")
 
 
+def with_replies(requests: DataFrame, system: Column, user: Column, model, limits: Limits = Limits(), force_json: bool = False) -> DataFrame:
+    """requests with reply(answer, error), the same calls as call_requests. All other columns stay in the JVM, so what a
+    request was made of need not be joined again. Write the result once before anything reads it."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        gateway = Gateway(model, limits)
+
+        def one(system: str, user: str) -> tuple[str | None, str | None]:
+            try:
+                return gateway.call(system, user, force_json), None
+            except Exception as e:  # noqa: BLE001
+                return None, f"{type(e).__name__}: {e}"
+
+        with ThreadPoolExecutor(limits.width) as pool:
+            for systems, users in batches:
+                found = list(pool.map(one, systems, users))
+                yield pd.DataFrame({"answer": [a for a, _ in found], "error": [e for _, e in found]}, dtype=object)
+
+    spread = requests.repartition(limits.tasks) if limits.tasks else requests
+    call = F.pandas_udf(run, "answer string, error string", PandasUDFType.SCALAR_ITER).asNondeterministic()
+    return spread.withColumn("reply", call(system, user))
+
+
 # ---------------------------------------------------------------- limits of a whole job
 
 #: Seconds of the window in which calls and tokens are counted, and those after its slot in which a call may begin.

@@ -87,6 +87,19 @@ def chunked_segments(docs: DataFrame, max_bytes: int = K.CHUNK_BYTES, cell_text:
     return found.select("doc_id", *carry, F.col("pos").cast("string").alias("seg_id"), "z.segs.page_pos", "z.segs.elem_pos", "z.segs.slot", "z.segs.cell_pos", "z.segs.write_key", "z.segs.text", F.col("z.chunks").alias("chunk_no"))
 
 
+def chunk_rows(docs: DataFrame, max_bytes: int = K.CHUNK_BYTES, cell_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per chunk of chunked_segments, with its segments in order as an array of structs (entries), without a shuffle."""
+    held = docs.select("doc_id", *carry, segments_of("pages", cell_text).alias("segs"))
+    sizes = F.transform("segs", lambda s, i: entry_bytes(i.cast("string"), s.text))
+    held = held.withColumn("chunks", chunk_numbers(sizes, max_bytes))
+    fields = ("page_pos", "elem_pos", "slot", "cell_pos", "write_key", "text")
+    held = held.withColumn("segs", F.transform("segs", lambda s, i: F.struct(i.cast("string").alias("seg_id"), *[s[f].alias(f) for f in fields])))
+    # The entries of a chunk lie side by side.
+    own = lambda k: F.slice("segs", F.array_position("chunks", k).cast("int"), F.size(F.filter("chunks", lambda c: c == k)))
+    rows = F.transform(F.sequence(F.lit(0), F.array_max("chunks")), lambda k: F.struct(k.alias("chunk_no"), own(k).alias("entries")))
+    return held.select("doc_id", *carry, F.explode_outer(rows).alias("z")).where("z is not null").select("doc_id", *carry, "z.chunk_no", "z.entries")
+
+
 def payloads(chunked: DataFrame) -> DataFrame:
     """One row per chunk with its segments as a map from id to text, and as JSON."""
     entries = F.transform(F.sort_array(F.collect_list(F.struct(F.col("seg_id").cast("int").alias("n"), "seg_id", "text"))), lambda s: F.struct(s.seg_id, s.text))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -65,16 +66,9 @@ class Chunked:
     errors: DataFrame
 
 
-def _payloads(rows: DataFrame, text: str, *also: str) -> DataFrame:
-    """One row per chunk of rows(doc_id, chunk_no, seg_id, languages, ...): ids and texts in order, and JSON."""
-    entry = F.struct(F.col("seg_id").cast("long").alias("n"), "seg_id", F.col(text).alias("text"), *also)
-    found = rows.groupBy(*KEY, "source_language", "target_language").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    return found.withColumn("ids", F.col("entries.seg_id")).withColumn("json", _json(F.col("entries.text")))
-
-
-def _json(texts: Column) -> Column:
+def _json(entries: Column, text: str = "text") -> Column:
     """The entries of a chunk as a JSON object from id to text."""
-    return F.to_json(F.map_from_arrays("entries.seg_id", texts))
+    return F.to_json(F.map_from_arrays(entries.seg_id, entries[text]))
 
 
 def translate_chunks(docs: DataFrame, model, settings: Settings, staging: str) -> Chunked:
@@ -91,52 +85,68 @@ def translate_chunks(docs: DataFrame, model, settings: Settings, staging: str) -
     spark, limits = docs.sparkSession, settings.limits
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{staging}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{staging}/{name}")
         return spark.read.schema(df.schema).parquet(f"{staging}/{name}")
 
-    failed = []
+    failed, languages = [], ("source_language", "target_language")
+    off = lambda e: F.coalesce(X.length_violation(e.t, e.text, settings.tolerance), F.lit(False))
 
-    def asked(requests: DataFrame, name: str) -> DataFrame:
-        """Answers to requests(doc_id, chunk_no, request)."""
-        answers = kept(gateway.call_requests(requests.select(*KEY, "request.*"), KEY, model, limits), name)
+    def noted(answers: DataFrame, name: str) -> DataFrame:
         failed.append(answers.where("error is not null").select(F.lit(name).alias("round"), *KEY, "error"))
-        return answers.where("answer is not null")
+        return answers
+
+    def settled(rows: DataFrame, request: Column, name: str, settle: Callable[[Column], Column]) -> DataFrame:
+        """rows called for, their entries settled with the map of answers (__m) that came back."""
+        rows = gateway.with_replies(rows.drop("error"), request["system"], request["user"], model, limits)
+        rows = calls.with_answers(rows, F.col("reply.answer"), "__m")
+        rows = rows.withColumn("entries", settle(F.col("__m"))).select(*KEY, *languages, "glossary", "entries", F.col("reply.error").alias("error"))
+        return noted(kept(rows, name), name)
+
+    def answered(change: Callable[[Column, Column], tuple[Column, Column]]) -> Callable[[Column], Column]:
+        """Entries with t and source_of by change(entry, its answer)."""
+
+        def one(m: Column, e: Column) -> Column:
+            t, source_of = change(e, F.try_element_at(m, e.seg_id))
+            return e.withField("t", t).withField("source_of", source_of)
 
-    def settled(requests: DataFrame, name: str) -> DataFrame:
-        """What came back for each id, parsed once: all later rounds read it."""
-        return kept(calls.last_of_each(calls.parse_answers(asked(requests, name), KEY), KEY), f"{name}-texts")
+        return lambda m: F.transform("entries", lambda e: one(m, e))
 
-    found = segments.chunked_segments(docs, settings.chunk_bytes, settings.cell_text, carry=("source_language", "target_language"))
-    found = kept(found, "segments")
-    chunks = _payloads(found, "text").withColumn("chunk_text", F.array_join("entries.text", " ")).drop("entries")
-    languages = ("source_language", "target_language")
+    chunks = kept(segments.chunk_rows(docs, settings.chunk_bytes, settings.cell_text, languages), "segments")
+    entries = F.col("entries")
     if settings.glossary:
-        chunks = kept(chunks, "chunks")
-        terms = calls.parse_terms(asked(chunks.withColumn("request", X.glossary_request("json", *languages)), "terms"), KEY)
-        terms = kept(calls.merge_glossary(terms), "glossary")
-        lines = calls.glossary_block(calls.glossary_matches(chunks.select(*KEY, "chunk_text"), terms, ["doc_id"]), KEY)
-        chunks = chunks.join(lines, KEY, "left")
+        asking = X.glossary_request(_json(entries), *languages)
+        terms = noted(kept(gateway.call_requests(chunks.select(*KEY, asking.alias("request")).select(*KEY, "request.*"), KEY, model, limits), "terms"), "terms")
+        terms = kept(calls.merge_glossary(calls.parse_terms(terms.where("answer is not null"), KEY)), "glossary")
+        chunks = calls.with_glossary(chunks, F.array_join(entries.text, " "), terms, ["doc_id"], "glossary")
     else:
         chunks = chunks.withColumn("glossary", F.lit(""))
-    requests = kept(chunks.select(*KEY, X.translation_request("json", "ids", *languages, "glossary").alias("request")), "requests")
-    more = lambda note: F.col("request").withField("user", F.concat("request.user", F.lit(note)))
-
-    sent, none = found.select(*KEY, "seg_id", "text"), spark.createDataFrame([], "doc_id long, chunk_no int, seg_id string, t string")
-    first = settled(requests, "first")
-    lacking = calls.missing_ids(sent, first, KEY).select(*KEY).distinct()
-    again = settled(requests.join(lacking, KEY, "left_semi").withColumn("request", more(X.EVERY_ID)), "missing")
-    so_far = calls.reconcile(sent, first, again, none, none, KEY, settings.tolerance)
-    same = calls.all_unchanged(sent, so_far.select(*KEY, "seg_id", "t"), KEY).where("unchanged")
-    other = settled(requests.join(same, KEY, "left_semi"), "unchanged")
-    so_far = calls.reconcile(sent, first, again, other, none, KEY, settings.tolerance)
-    off = so_far.where(X.length_violation("t", "text", settings.tolerance)).join(found.select(*KEY, "seg_id", *languages), [*KEY, "seg_id"])
-    off = _payloads(off, "text", "t")
-    rejected = X.translation_request("json", "ids", *languages, F.lit(""))
-    rejected = rejected.withField("user", F.concat(rejected["user"], F.lit(X.OTHER_LENGTHS), _json(F.col("entries.t"))))
-    lengths = settled(off.withColumn("request", rejected), "length")
-    done = calls.reconcile(sent, first, again, other, lengths, KEY, settings.tolerance).withColumnRenamed("t", "translation")
-    done = done.withColumn("off", X.length_violation("translation", "text", settings.tolerance))
+    request = X.translation_request(_json(entries), entries.seg_id, *languages, "glossary")
+    more = lambda r, note: r.withField("user", F.concat(r["user"], note))
+
+    # A chunk's row holds all that is known of it. Rounds after the first read and write only the rows that they
+    # ask for again; the others stay where they are.
+    lacking = F.exists("entries", lambda e: e.t.isNull())
+    state = settled(chunks, request, "first", answered(lambda e, t: (t, F.when(t.isNotNull(), "first"))))
+    second = lambda e, t: (F.coalesce(e.t, t, e.text), F.when(e.t.isNotNull(), e.source_of).when(t.isNotNull(), "retry").otherwise("source"))
+    state = state.where(~lacking).unionByName(settled(state.where(lacking), more(request, F.lit(X.EVERY_ID)), "missing", answered(second)))
+    same = F.forall("entries", lambda e: e.t == e.text)
+
+    def other(m: Column) -> Column:
+        still = F.forall("entries", lambda e: F.coalesce(F.try_element_at(m, e.seg_id) == e.text, F.lit(False)))
+        third = answered(lambda e, t: (F.coalesce(t, e.t), F.when(t.isNotNull(), "unchanged").otherwise(e.source_of)))
+        return F.when(still, entries).otherwise(third(m))
+
+    state = state.where(~same).unionByName(settled(state.where(same), request, "unchanged", other))
+    some = F.exists("entries", off)
+    wrong = F.filter("entries", off)
+    rejected = more(X.translation_request(_json(wrong), wrong.seg_id, *languages, F.lit("")), F.concat(F.lit(X.OTHER_LENGTHS), _json(wrong, "t")))
+    last = lambda e, t: (F.when(off(e) & t.isNotNull(), t).otherwise(e.t), F.when(off(e) & t.isNotNull(), "length").otherwise(e.source_of))
+    state = state.where(~some).unionByName(settled(state.where(some), rejected, "length", answered(last)))
+
+    done = state.select(*KEY, *languages, F.explode("entries").alias("e")).withColumn("off", off(F.col("e")))
+    places = [F.col(f"e.{c}") for c in ("page_pos", "elem_pos", "slot", "cell_pos", "write_key", "text")]
+    done = done.select(*KEY, "e.seg_id", *languages, *places, F.col("e.t").alias("translation"), "e.source_of", "off")
     errors = failed[0]
     for x in failed[1:]:
         errors = errors.unionAll(x)
-    return Chunked(found.drop("text").join(done, [*KEY, "seg_id"]), errors)
+    return Chunked(done, errors)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from folioflow import schemas
 from folioflow.functions import lenient
 from folioflow.functions import text as X
-from folioflow.operators import calls, gateway
+from folioflow.operators import calls, gateway, segments
+from folioflow.plans import translate
 from folioflow.plans.flow_queries import payload_of
 from folioflow.plans.translate import Settings, translate_documents
 
@@ -185,3 +186,17 @@ def test_glossary_plans(spark):
     generated = [line for line in plan.splitlines() if "Generate explode" in line and "__g" in line]
     assert generated and all("chunk_text" not in line.split("],")[-1] for line in generated)
     assert calls.glossary_matches(chunks, terms.limit(0)).count() == 0
+
+
+def test_rounds_do_not_deal_texts_out(spark, tmp_path):
+    """All that is known of a chunk stays in its row: no round joins or groups texts, and answers that name an id twice
+    settle by the last."""
+    docs = segments.lines_as_documents(spark.createDataFrame([(1, "one\ntwo"), (2, "three"), (None, "four")], "doc_id long, text string"))
+    docs = docs.withColumn("source_language", F.lit("a")).withColumn("target_language", F.lit("b"))
+
+    def twice(system, user):
+        return json.dumps([{"id": i, "t": f"{n} {t}"} for n in "xy" for i, t in payload_of(user).items()])
+
+    found = translate.translate_chunks(docs, gateway.ScriptedModel(twice), translate.Settings(), str(tmp_path)).segments
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.seg_id, r.translation, r.source_of) for r in found.collect()} == {(1, "0", "y one", "first"), (1, "1", "y two", "first"), (2, "0", "y three", "first"), (None, "0", "y four", "first")}
