@@ -50,6 +50,8 @@ def _texts(spark, sf_dir):
     """Every customer key as a text for every engine in the log."""
     engines = table(spark, sf_dir, "events").groupBy().agg(F.sort_array(F.collect_set("event_type")).alias("es"))
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("original_text"))
+    # Dealt out first: narrow keys of one split of a file are very many rows, and each becomes one for every engine.
+    keys = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "original_text")
     # One row of engine names: its size is that of a fixed vocabulary.
     return keys.join(F.broadcast(engines)).select(F.explode("es").alias("translate_engine"), F.lit(X.canonical_params({"lang_in": "de", "lang_out": "en"})).alias("translate_engine_params"), "original_text")
 
