@@ -53,3 +53,15 @@ def test_cells_without_lines(spark):
     lines = spark.createDataFrame([(1, 5, "in", 1.0, 1.0, 3.0, 3.0), (1, 6, "half", 8.0, 2.0, 12.0, 4.0), (1, 7, "out", 10.0, 0.0, 20.0, 9.0), (2, 8, "x", 0.0, 0.0, 5.0, 5.0)], "page int, pos int, text string, x0 double, y0 double, x1 double, y1 double")
     assert {r.cell_pos: r.cell_text for r in layout.lines_in_cells(cells, lines, ["page"]).collect()} == {0: "in half", 1: ""}
     assert {r.cell_text for r in layout.lines_in_cells(cells, lines.limit(0), ["page"]).collect()} == {""}
+
+
+def test_a_row_for_each_small_box(spark, monkeypatch):
+    """Few large boxes among many small ones are laid out in more tiles, so that the small ones are one row each."""
+    rows = {}
+    of = tiles._grids
+    monkeypatch.setattr(tiles, "_grids", lambda left, right: rows.setdefault("grids", of(left, right)))
+    small = spark.range(5000).select(F.lit(0).alias("page"), F.col("id").alias("j"), G.box((F.col("id") % 70 * 9).cast("double"), F.col("id") / 9, F.col("id") % 70 * 9 + 5.0, F.col("id") / 9 + 4).alias("b"))
+    large = spark.range(40).select(F.lit(0).alias("page"), F.col("id").alias("i"), G.box(F.col("id") * 1.0, F.col("id") * 9.0, F.when(F.col("id") == 3, 600.0).otherwise(F.col("id") + 7.0), F.col("id") * 9.0 + 5).alias("a"))
+    got = {(r.i, r.j) for r in tiles.meeting(large, small, ["page"]).collect()}
+    want = {(r.i, r.j) for r in large.crossJoin(small.drop("page")).where(G.intersection("a", "b").isNotNull()).collect()}
+    assert got == want and want and set(rows["grids"].values()) == {3} and len(rows["grids"]) == 2
