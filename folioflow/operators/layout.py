@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from folioflow.functions import constants as K
 from folioflow.functions import geometry as G
 from folioflow.functions import text as X
+from folioflow.functions.packed import PACKED, SIDES, unpacked
 from folioflow.operators import tiles
 
 # ---------------------------------------------------------------- regions and text of regions
@@ -156,22 +157,39 @@ class Formula:
 
 
 class Glyphs:
-    """The glyphs of a page in order as columns, and what each is to the one before it."""
+    """The glyphs of pages in order as columns, and what each is to the one before it on its page.
 
-    def __init__(self, glyphs: list, page_width: float):
+    code: each glyph's place in texts; counts: how many glyphs each page has.
+    """
+
+    def __init__(self, texts: list[str], code: np.ndarray, marked: np.ndarray, region: np.ndarray, size: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, page_width: np.ndarray, counts: np.ndarray):
+        self.texts, self.code, self.region, self.size, self.x0, self.y0, self.x1, self.y1 = texts, code, region, size, x0, y0, x1, y1
+        self.marked = marked | (region == 0)
+        self.ends = np.concatenate([[0], np.cumsum(counts)])
+        self.begins = self.ends[:-1][counts > 0]
+        self.first = np.zeros(len(code), bool)
+        self.first[self.begins] = True
+        before = lambda v: np.concatenate([v[:1], v[:-1]])
+        self.same = (region == before(region)) & ~self.first
+        self.far = np.abs(x0 - before(x0)) > np.repeat(page_width / 4, counts)
+        gap = x0 > before(x1) + 1
+        self.back = ~gap & (x1 < before(x0))
+        self.apart = gap | self.back
+        self.right = x0 > before(x0)
+
+    @classmethod
+    def of(cls, glyphs: list, page_width: float) -> Glyphs:
+        """The glyphs of one page."""
         column = lambda name, kind: np.array([getattr(g, name) for g in glyphs], kind)
-        self.text = column("text", object)
-        self.x0, self.x1, self.y0, self.y1, self.size = (column(c, float) for c in ("x0", "x1", "y0", "y1", "size"))
-        self.region, self.marked = column("region", int), column("formula", bool) | (column("region", int) == 0)
-        before = np.arange(len(glyphs)) - 1
-        self.same = (self.region == self.region[before]) & (before >= 0)
-        self.far = np.abs(self.x0 - self.x0[before]) > page_width / 4
-        self.gap = self.x0 > self.x1[before] + 1
-        self.back = ~self.gap & (self.x1 < self.x0[before])
-        self.right = self.x0 > self.x0[before]
+        sides = (column(c, float) for c in ("size", "x0", "y0", "x1", "y1"))
+        return cls([g.text for g in glyphs], np.arange(len(glyphs)), column("formula", bool), column("region", int), *sides, np.array([page_width]), np.array([len(glyphs)]))
+
+    def each(self, of_text: Callable[[str], object], kind: type) -> np.ndarray:
+        """A property of each glyph's text."""
+        return np.array([of_text(t) for t in self.texts], kind)[self.code]
 
     def __len__(self) -> int:
-        return len(self.text)
+        return len(self.code)
 
 
 @dataclass
@@ -186,42 +204,77 @@ class Cuts:
     size: np.ndarray
 
 
+def _turn(text: str) -> int:
+    """1 for a bracket that opens, -1 for one that closes, else 0."""
+    return (text == "(") - (text == ")")
+
+
 def cut_runs(page: Glyphs) -> Cuts:
-    """The decisions of a page that depend on the paragraph read so far: only these need a fold.
+    """What each glyph of the pages belongs to.
 
     Small glyphs after two visible characters and brackets that open within a formula belong to
     formulas. A formula ends at text, at another region and at a jump across the page, unless
     nothing stands before it in its paragraph; one by itself is a paragraph.
+
+    On a page of one size no glyph is small, so only brackets depend on what was read so far, and the rest
+    is known for all glyphs at once. Other pages are read glyph by glyph.
     """
     n = len(page)
-    out = Cuts(*(np.zeros(n, bool) for _ in range(4)), np.zeros(n))
-    size, shown, depth, formulas, inside = 0.0, "", 0, 0, False
-    for i in range(n):
-        small = page.same[i] and page.size[i] < size * K.SUBSCRIPT and len(shown.strip()) > 1
-        math = bool(page.marked[i] or small)
-        if not math and page.text[i] in ("(", ")"):
-            turn = 1 if page.text[i] == "(" else -1
+    if not n:
+        return Cuts(*(np.zeros(0, bool) for _ in range(4)), np.zeros(0))
+    math = page.marked.copy()
+    at = np.flatnonzero(~math & (page.each(_turn, int) != 0))
+    depth, last = 0, -1
+    for i, turn, own in zip(at.tolist(), page.each(_turn, int)[at].tolist(), np.searchsorted(page.begins, at, "right").tolist(), strict=True):
+        depth, last = (depth, last) if own == last else (0, own)
+        math[i] = depth > 0 if turn < 0 else math[i - 1] and not page.first[i]
+        depth += turn * int(math[i])
+    inside = np.concatenate([[False], math[:-1]]) & ~page.first
+    # A chain is a formula but for jumps. One that begins its paragraph has nothing before it, so jumps do not end it.
+    chained = inside & math & page.same
+    chain = np.cumsum(math & ~chained)
+    alone = np.concatenate([[False], ~page.same[math & ~chained]])[chain]
+    follows = chained & (alone | ~page.far)
+    paragraph = ~page.same | (inside & ~chained & alone)
+    run = ~follows & (paragraph | math | inside)
+    out = Cuts(math, run, paragraph, ~follows & ~paragraph & page.apart, page.size.copy())
+    low, high = np.minimum.reduceat(page.size, page.begins), np.maximum.reduceat(page.size, page.begins)
+    uneven = ~((low == high) & (low >= 0)) | np.logical_or.reduceat(page.each(lambda t: t == "", bool), page.begins)
+    for a, z in zip(page.begins[uneven].tolist(), np.append(page.begins[1:], n)[uneven].tolist(), strict=True):
+        _fold(page, a, z, out)
+    return out
+
+
+def _fold(page: Glyphs, a: int, z: int, out: Cuts) -> None:
+    """cut_runs of the page of glyphs a to z, one after the other. Of the text so far only counts matter: whether
+    there is any, and its visible characters."""
+    texts = [page.texts[i] for i in page.code[a:z].tolist()]
+    columns = (c[a:z].tolist() for c in (page.size, page.marked, page.same, page.far, page.apart))
+    size, shown, visible, depth, inside = 0.0, False, 0, 0, False
+    rows = []
+    for text, own, marked, same, far, apart in zip(texts, *columns, strict=True):
+        math, run, paragraph, spaced = marked or (same and own < size * K.SUBSCRIPT and visible > 1), False, False, False
+        turn = 0 if math else _turn(text)
+        if turn:
             math = inside if turn > 0 else depth > 0
             depth += turn * math
-        follows = inside and math and page.same[i] and not (shown and page.far[i])
-        if not follows:
-            alone = inside and not shown
+        if not (inside and math and same and not (shown and far)):
+            paragraph = not same or (inside and not shown)
             if inside:
-                shown += f"{{v{formulas}}}"
-                formulas += 1
-            out.paragraph[i] = alone or not page.same[i]
-            out.run[i] = out.paragraph[i] or math or inside
-            if out.paragraph[i]:
-                size, shown = page.size[i], ""
-            elif page.gap[i] or page.back[i]:
-                out.spaced[i] = True
-                shown += " "
+                shown, visible = True, visible + 4
+            run = paragraph or math or inside
+            if paragraph:
+                size, shown, visible = own, False, 0
+            elif apart:
+                spaced = shown = True
         if not math:
-            if page.text[i] != " " and (page.size[i] > size or len(shown.strip()) == 1):
-                size = page.size[i]
-            shown += page.text[i]
-        out.math[i], out.size[i], inside = math, size, math
-    return out
+            if text != " " and (own > size or visible == 1):
+                size = own
+            shown, visible = shown or text != "", visible + len("".join(text.split()))
+        rows.append((math, run, paragraph, spaced, size))
+        inside = math
+    for kept, values in zip((out.math, out.run, out.paragraph, out.spaced, out.size), zip(*rows, strict=True), strict=True):
+        kept[a:z] = values
 
 
 def _ranges(begins: np.ndarray) -> list[tuple[int, int]]:
@@ -230,12 +283,16 @@ def _ranges(begins: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(begins)], strict=False))
 
 
-def _offset(page: Glyphs, cuts: Cuts, a: int, z: int) -> float:
-    """How far the formula of glyphs a to z stands above the text: by the text right of it, if the
+def _offsets(page: Glyphs, cuts: Cuts, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """How far the formulas of glyphs a to z stand above the text: by the text right of one, if the
     formula ends there and it is of the same region, else by the glyph left of it."""
-    if z < len(page) and not cuts.math[z] and page.same[z] and (page.x0[z] > page.x0[a:z]).all():
-        return page.y0[a] - page.y0[z]
-    return page.y0[a] - page.y0[a - 1] if page.right[a] and not cuts.paragraph[a] else 0.0
+    if not len(a):
+        return np.zeros(0)
+    right = np.minimum(z, len(page) - 1)
+    inner = np.maximum.reduceat(page.x0, np.flatnonzero(cuts.run))[cuts.math[cuts.run]]
+    by_right = (z < len(page)) & ~cuts.math[right] & page.same[right] & (page.x0[right] > inner)
+    by_left = np.where(page.right[a] & ~cuts.paragraph[a], page.y0[a] - page.y0[a - 1], 0.0)
+    return np.where(by_right, page.y0[a] - page.y0[right], by_left)
 
 
 class Segmenter:
@@ -257,7 +314,7 @@ class Segmenter:
         self._glyphs.append(g)
 
     def end(self) -> Segmenter:
-        page = Glyphs(self._glyphs, self.page_width)
+        page = Glyphs.of(self._glyphs, self.page_width)
         cuts = cut_runs(page)
         runs = _ranges(cuts.run)
         formulas = [(a, z) for a, z in runs if cuts.math[a]]
@@ -269,8 +326,9 @@ class Segmenter:
         for (i, item), h in zip(self._lines, held, strict=True):
             if h:
                 own[owner[i]].append(item)
-        self.formulas = [Formula(self._glyphs[a:z], lines, _offset(page, cuts, a, z)) for (a, z), lines in zip(formulas, own, strict=True)]
-        pieces = np.where(cuts.spaced, " ", "").astype(object) + np.where(cuts.math, "", page.text)
+        fixes = _offsets(page, cuts, *np.array(formulas, int).reshape(-1, 2).T).tolist()
+        self.formulas = [Formula(self._glyphs[a:z], lines, fix) for (a, z), lines, fix in zip(formulas, own, fixes, strict=True)]
+        pieces = np.where(cuts.spaced, " ", "").astype(object) + np.where(cuts.math, "", np.array(page.texts, object))
         for number, (_, z) in enumerate(formulas):
             pieces[z - 1] += f"{{v{number}}}"
         self.paragraphs = []
@@ -314,28 +372,105 @@ def segment_pages(items: DataFrame, by: list[str]) -> DataFrame:
     return marked.groupBy(*by).applyInPandas(run, f"{schema}, {PAGE_ROW}")
 
 
-#: What tells whether a glyph is marked as of a formula.
-KIND = ("font", "text", "m0", "m3")
+def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of ranges of these begins and lengths, one range after the other."""
+    return np.arange(lengths.sum()) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, and how many each has."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), np.array([len(t) for t in texts], int)
+
+
+def _strings(points: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts that end at these places among the code points."""
+    sizes = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)])
+    data = points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(np.concatenate([[0], sizes[ends]]).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _texts(page: Glyphs, cuts: Cuts, begins: np.ndarray, last: np.ndarray, numbers: np.ndarray) -> pa.Array:
+    """The texts of the paragraphs that begin there: glyphs of no formula, spaces, and a placeholder with its number
+    after each formula's last glyph."""
+    own, lengths = _points(page.texts)
+    shown = lengths[page.code] * ~cuts.math
+    marks, marked = _points([f"{{v{i}}}" for i in numbers.tolist()])
+    total = shown + cuts.spaced
+    total[last] += marked
+    ends = np.cumsum(total)
+    out = np.empty(ends[-1] if len(ends) else 0, "<u4")
+    out[(ends - total)[cuts.spaced]] = 32
+    out[_spread((ends - total + cuts.spaced)[~cuts.math], shown[~cuts.math])] = own[_spread((np.cumsum(lengths) - lengths)[page.code[~cuts.math]], shown[~cuts.math])]
+    out[_spread(ends[last] - marked, marked)] = marks
+    return _strings(out, ends[np.append(begins[1:], len(page)) - 1] if len(begins) else ends)
+
+
+def _listed(ends: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _line_arrays(lines: pa.Array, rows: np.ndarray) -> pa.Array:
+    names = ["x0", "y0", "x1", "y1", "line_width"]
+    return pa.StructArray.from_arrays([lines.field(c).take(pa.array(rows)) for c in names], names)
+
+
+def _page_arrays(page: Glyphs, fonts: pa.Array, kind: np.ndarray, lines: pa.Array, of_page: np.ndarray) -> list[pa.Array]:
+    """PAGE_ROW of pages, as arrays. kind: each glyph's place in fonts; of_page: each line's page."""
+    cuts = cut_runs(page)
+    a = np.flatnonzero(cuts.run)
+    z = np.append(a[1:], len(page))
+    a, z = a[cuts.math[a]], z[cuts.math[a]]
+    firsts = np.searchsorted(a, page.ends)
+    numbers = np.arange(len(a)) - np.repeat(firsts[:-1], np.diff(firsts))
+    # A line belongs to the formula that the glyph before it is of.
+    after = lines.field("after").to_numpy()
+    at, held = page.ends[of_page] + after - 1, after > 0
+    held[held] = cuts.math[at[held]] & (page.region[at[held]] == lines.field("region").to_numpy()[held])
+    owned, free = np.flatnonzero(held), np.flatnonzero(~held)
+    owner = np.searchsorted(a, at[owned], "right") - 1
+    inner = np.flatnonzero(cuts.math)
+    code = pa.array(page.code[inner])
+    texts, points = pa.array(page.texts, pa.string()), pa.array([ord(t[0]) if t else 0 for t in page.texts], pa.int32())
+    glyphs = pa.StructArray.from_arrays([texts.take(code), fonts.take(pa.array(kind[inner])), *(pa.array(getattr(page, c)[inner]) for c in SIDES), points.take(code)], ["text", "font", *SIDES, "cid"])
+    widths = np.maximum.reduceat(page.x1, np.flatnonzero(cuts.run))[cuts.math[cuts.run]] - page.x0[a] if len(a) else np.zeros(0)
+    formulas = pa.StructArray.from_arrays([pa.array(widths), pa.array(_offsets(page, cuts, a, z)), _listed(np.append(np.searchsorted(inner, a), len(inner)), glyphs), _listed(np.searchsorted(owner, np.arange(len(a) + 1)), _line_arrays(lines, owned))], ["width", "fix", "glyphs", "lines"])
+    p = np.flatnonzero(cuts.paragraph)
+    size = cuts.size[np.append(p[1:], len(page)) - 1] if len(p) else np.zeros(0)
+    least = lambda v: np.minimum.reduceat(v, p) if len(p) else v
+    most = lambda v: np.maximum.reduceat(v, p) if len(p) else v
+    broken = np.logical_or.reduceat(cuts.spaced & page.back, p) if len(p) else np.zeros(0, bool)
+    columns = [page.x0[p], page.y0[p] - (size - page.size[p]), least(page.x0), np.maximum(page.x0[p], most(page.x1)), least(page.y0), most(page.y1), size]
+    paragraphs = pa.StructArray.from_arrays([*map(pa.array, columns), _texts(page, cuts, p, z - 1, numbers), pa.array(broken)], ["x", "y", "x0", "x1", "y0", "y1", "size", "text", "brk"])
+    return [_listed(np.searchsorted(p, page.ends), paragraphs), _listed(firsts, formulas), _listed(np.searchsorted(of_page[free], np.arange(len(page.ends))), _line_arrays(lines, free))]
 
 
 def segment_whole_pages(pages: DataFrame, by: list[str]) -> DataFrame:
-    """segment_pages of pages(by..., page_width, items, kinds): a row a page with its items in order as an array of structs, and
-    their distinct KIND. Glyphs are never rows, so none is shuffled or sorted."""
+    """segment_pages of pages(by..., page_width, glyphs, kinds, lines) as read_whole_pages gives them: a row a page with its glyphs in
+    order as packed columns. Only kinds are judged by themselves, glyphs are read by columns over many pages, and none is shuffled or sorted."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*by).schema)
-    marked = F.filter("kinds", lambda k: F.coalesce(X.is_formula_glyph(k.font, k.text) | X.is_vertical(k.m0, k.m3), F.lit(False)))
-    kept = list(to_arrow_schema(T._parse_datatype_string(PAGE_ROW)))
+    mark = lambda k: F.coalesce(X.is_formula_glyph(k.font, k.text) | X.is_vertical(k.m0, k.m3), F.lit(False))
+    marked = F.transform("kinds", lambda k: F.struct(k.font.alias("font"), F.coalesce(k.text, F.lit("")).alias("text"), mark(k).alias("marked")))
+    names, types = [*by, *(f.name for f in to_arrow_schema(T._parse_datatype_string(PAGE_ROW)))], [f.type for f in to_arrow_schema(T._parse_datatype_string(PAGE_ROW))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                one = b.slice(i, 1)
-                items = pa.RecordBatch.from_struct_array(one.column("items").flatten())
-                known = {tuple(k[c] for c in KIND) for k in one.column("kinds")[0].as_py()}
-                marks = [k in known for k in zip(*(items.column(c).to_pylist() for c in KIND), strict=True)] if known else False
-                row = _page_row(items.to_pandas().assign(formula=marks, page_width=one.column("page_width")[0].as_py()))
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in by), *(pa.array([row[f.name]], f.type) for f in kept)], [*by, *(f.name for f in kept)])
-
-    return pages.select(*by, "page_width", "items", marked.alias("kinds")).mapInArrow(run, f"{schema}, {PAGE_ROW}")
+            if not b.num_rows:
+                continue
+            n, *cells = b.column("glyphs").flatten()
+            counts = n.to_numpy().astype(int)
+            found = {c: unpacked(c, v, counts) for c, v in zip(PACKED, cells, strict=True)}
+            kinds, lines = b.column("kinds"), b.column("lines")
+            sizes = np.diff(kinds.offsets.to_numpy())
+            fonts, texts, marks = kinds.flatten().flatten()
+            own = texts.dictionary_encode()
+            kind = found["code"] + np.repeat(np.cumsum(sizes) - sizes, counts)
+            page = Glyphs(own.dictionary.to_pylist(), own.indices.to_numpy()[kind], marks.to_numpy(zero_copy_only=False)[kind], found["region"], *(found[c] for c in SIDES), b.column("page_width").to_numpy(), counts)
+            of_page = np.repeat(np.arange(b.num_rows), np.diff(lines.offsets.to_numpy()))
+            lines = lines.flatten()
+            arrays = _page_arrays(page, fonts, kind, lines, of_page)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), *(v.cast(t) for v, t in zip(arrays, types, strict=True))], names)
+
+    return pages.select(*by, "page_width", "glyphs", marked.alias("kinds"), "lines").mapInArrow(run, f"{schema}, {PAGE_ROW}")
 
 
 # ---------------------------------------------------------------- reflow

@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 import unicodedata
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow import schemas
 from folioflow.functions import text as X
+from folioflow.functions.packed import PACKED
 from folioflow.operators import calls, layout, quality
 from folioflow.sources import files, interpreter, pages, render
 
@@ -206,6 +208,30 @@ def test_whole_pages_like_rows_of_glyphs(spark):
     assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
 
 
+def test_whole_pages_with_lines_and_sizes(spark):
+    """Other backends' pages are packed from their rows: fonts, sizes, lines, pages without glyphs."""
+    draw = [["text", "F", 10, 50, 700, "area x"], ["text", "F", 7, 80, 698, "2"], ["line", 80, 697, 86, 697, 0.5], ["text", "CMMI", 10, 90, 700, "y"], ["line", 90, 699, 95, 699, 1], ["text", "F", 10, 96, 700, " is"]]
+    contents = [[draw, [["line", 1, 2, 3, 2, 1.0]], []], [draw[::-1]], [[["text", "F", 1 / 3, 50, 700, "thirds"]]]]
+    rows = [(str(i), bytearray(json.dumps({"pages": [{"content": c} for c in p]}).encode())) for i, p in enumerate(contents)]
+    own = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
+    want = sorted(layout.segment_pages(pages.read_pages(own, "forms"), ["path", "page"]).collect(), key=str)
+    got = layout.segment_whole_pages(pages.read_whole_pages(own, "forms"), ["path", "page"]).collect()
+    assert sorted(got, key=str) == want and len(want) == 4
+    assert any(f.lines for r in want for f in r.formulas) and any(r.lines for r in want)
+
+
+def test_glyphs_are_packed_and_long_pages_take_their_share(spark):
+    """Glyphs are a few cells a page for the engine, and a page of one very long paragraph is read in time in proportion."""
+    text = " so long a line" * 60_000
+    own = spark.createDataFrame([("a", bytearray(text.encode())), ("none", None)], "path string, content binary")
+    start = time.time()
+    (row,) = layout.segment_whole_pages(pages.read_whole_pages(own), ["path", "page"]).collect()
+    assert [p.text for p in row.paragraphs] == [text] and row.formulas == []
+    assert time.time() - start < 20
+    glyphs = pages.read_whole_pages(own).schema["glyphs"].dataType
+    assert {f.name: f.dataType.simpleString() for f in glyphs} == {"n": "int"} | dict.fromkeys(PACKED, "binary")
+
+
 def plain_drawing(text, width, left=50.0, top=740.0, size=10.0):
     """Drawing operators of one paragraph without formulas: broken greedily at the width, if it had lines."""
     rows, x = [[]], left

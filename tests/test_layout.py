@@ -61,6 +61,22 @@ def test_lines_of_formulas():
     assert len(page.lines) == 2 and len(page.formulas[0].lines) == 1
 
 
+def test_pages_at_once_like_glyph_by_glyph():
+    """Pages of one size are cut by columns; reading each glyph after the other gives the same."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        counts = rng.integers(0, 20, 3)
+        n, texts = int(counts.sum()), ["a", " ", "(", ")", "="]
+        code, x0, y0 = rng.integers(0, 5, n), np.cumsum(rng.choice([6.0, 6.0, 9.0, 200.0, -250.0], n)), rng.choice([700.0, 701.0], n)
+        page = layout.Glyphs(texts, code, (code == 4) & (rng.random(n) < 0.8), rng.choice([2, 2, 2, 3, 0], n), np.full(n, 10.0), x0, y0, x0 + 6, y0 + 10, np.full(3, 600.0), counts)
+        got, want = layout.cut_runs(page), layout.Cuts(*(np.zeros(n, bool) for _ in range(4)), np.zeros(n))
+        for a, z in zip(page.ends[:-1].tolist(), page.ends[1:].tolist(), strict=True):
+            if a < z:
+                layout._fold(page, a, z, want)
+        for name in ("math", "run", "paragraph", "spaced", "size"):
+            assert (getattr(got, name) == getattr(want, name)).all(), name
+
+
 PAR = {"x": 50.0, "y": 700.0, "x0": 50.0, "x1": 80.0, "y0": 690.0, "y1": 710.0, "size": 10.0, "text": "", "brk": True}
 
 
