@@ -487,7 +487,10 @@ class FixedMetrics:
         return (self.latin, 0.5) if ord(ch) < 256 else (self.other, 1.0)
 
     def codes(self, font: str, text: str) -> str:
-        return "".join(f"{ord(c):0{2 if font == self.latin else 4}x}" for c in text)
+        top, latin = max(text, default=""), font == self.latin
+        if top <= ("\xff" if latin else "\uffff"):
+            return text.encode("latin-1" if latin else "utf-16-be", "surrogatepass").hex()
+        return "".join(f"{ord(c):0{2 if latin else 4}x}" for c in text)
 
 
 _PLACEHOLDER = re.compile(r"\{\s*v([\d\s]+)\}", re.I)
@@ -518,9 +521,8 @@ def measure(text: str, formulas: list, metrics: FixedMetrics, size: float) -> li
         modifier = bool(last["text"]) and unicodedata.category(last["text"][0]) in _MODIFIERS
         return [Token("", f, None, f["width"], f["width"] - (last["x1"] - last["x0"]) * modifier)]
 
-    def chars(part: str) -> list[Token]:
-        sized = ((c, *metrics.advance(c)) for c in part)
-        return [Token(c, None, font, em * size, em * size) for c, font, em in sized]
+    sized = {c: Token(c, None, font, em * size, em * size) for c in set(text) for font, em in [metrics.advance(c)]}
+    chars = lambda part: [sized[c] for c in part]
 
     out, at = [], 0
     for m in _PLACEHOLDER.finditer(text):
@@ -561,6 +563,32 @@ def _formula_ops(f: dict, x: float, line: int, fix: float, metrics: FixedMetrics
     return glyphs + [{"kind": "LINE", "font": None, "size": None, "x": s["x0"] + x - left, "dy": s["y0"] + fix - base, "codes": None, "line": line, "dx": s["x1"] - s["x0"], "dy2": s["y1"] - s["y0"], "width": s["line_width"]} for s in thin]
 
 
+def place_even(text: str, width: float, par: dict) -> tuple[list[tuple[int, int, float, int]], int]:
+    """place for characters of one width: the stretches (first, last + 1, x, line) to be drawn, and the last character's line.
+    Even the first character of a line must fit."""
+    edge, left, n = par["x1"] + 0.1 * par["size"], par["x0"], len(text)
+    out, x, line, i, full = [], par["x"], 0, 0, 0
+    while True:
+        if x == left:
+            while i < n and text[i] == " ":
+                i += 1
+        z = min(i + full, n) if line else i
+        if not full or not line:
+            while z < n and x + width <= edge:
+                x, z = x + width, z + 1
+            full = z - i if line else 0
+        if z > i:
+            out.append((i, z, par["x"] if not line else left, line))
+        if z == n:
+            return out, line
+        if not par["brk"]:
+            for k in range(z, n):
+                out.append((k, k + 1, x, line))
+                x += width
+            return out, line
+        i, x, line = z, left, line + 1
+
+
 class Reflow:
     """The drawing operators of one paragraph with a new text: tokens are measured, placed, then drawn
     in stretches of one font and line."""
@@ -571,6 +599,14 @@ class Reflow:
         self.lines = 0
 
     def run(self, text: str) -> Reflow:
+        kinds = {self.metrics.advance(c) for c in set(text)}
+        if len(kinds) == 1 and not ("{" in text and _PLACEHOLDER.search(text)):
+            ((font, em),) = kinds
+            size = self.par["size"]
+            if self.par["x0"] <= self.par["x"] and self.par["x0"] < self.par["x0"] + em * size <= self.par["x1"] + 0.1 * size:
+                parts, self.lines = place_even(text, em * size, self.par)
+                self.ops = [_text_op(font, size, x, 0.0, self.metrics.codes(font, text[a:z]), line) for a, z, x, line in parts]
+                return self
         tokens = measure(text, self.formulas, self.metrics, self.par["size"])
         places = place(tokens, self.par)
         self.lines = places[-1][1] if places else 0
@@ -620,19 +656,15 @@ def draw_pages(pages: DataFrame, by: list[str], lang: str, make_metrics: Callabl
     """(by..., ops) of segment_pages rows with an array translations, one text per paragraph."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*by).schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         metrics = make_metrics()
-        for df in frames:
-            rows = [_plain(r) for r in df.to_dict("records")]
-            yield df[by].assign(ops=[draw_page(r, r["translations"], lang, metrics) for r in rows])
-
-    return pages.select(*by, "paragraphs", "formulas", "lines", "translations").mapInPandas(run, f"{schema}, ops string")
-
-
-def _plain(x):
-    """Lists and dicts for the arrays and rows that Arrow gives."""
-    if isinstance(x, dict):
-        return {k: _plain(v) for k, v in x.items()}
-    if hasattr(x, "tolist") and not isinstance(x, str):
-        return _plain(x.tolist())
-    return [_plain(v) for v in x] if isinstance(x, list) else x
+        for b in batches:
+            ops = []
+            for paragraphs, formulas, lines, texts in zip(*(b.column(c) for c in ("paragraphs", "formulas", "lines", "translations")), strict=True):
+                texts = texts.as_py()
+                page = {"paragraphs": paragraphs.as_py(), "formulas": formulas.as_py() if any("{" in t for t in texts) else [], "lines": lines.as_py()}
+                ops.append(draw_page(page, texts, lang, metrics))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), pa.array(ops, pa.string())], [*by, "ops"])
+
+    sizes = F.transform("paragraphs", lambda p: p.dropFields("text")).alias("paragraphs")
+    return pages.select(*by, sizes, "formulas", "lines", "translations").mapInArrow(run, f"{schema}, ops string")

@@ -89,6 +89,30 @@ def test_reflow_breaks_and_overflows():
     assert [o["font"] for o in layout.Reflow(PAR, [], layout.FixedMetrics()).run("a日").ops] == ["tiro", "noto"]
 
 
+def test_reflow_measures_each_character_once():
+    """Characters are measured once a paragraph, and those of one width are placed line by line; the places are the same."""
+    seen, rng = [], np.random.default_rng(6)
+
+    class Counted(layout.FixedMetrics):
+        def advance(self, ch):
+            seen.append(ch)
+            return super().advance(ch)
+
+    par = PAR | {"x1": 450.0}
+    for text in ("abc " * 5_000, "abc " * 5_000 + "\u65e5", "ab{v0}c " * 5_000):
+        seen.clear()
+        layout.draw_page({"paragraphs": [par], "formulas": [], "lines": []}, [text], "en", Counted())
+        assert len(seen) <= 4 * len(set(text))
+    for _ in range(500):
+        text, par = "".join(rng.choice(list("ab  "), rng.integers(1, 40))), PAR | {"x": float(rng.choice([50.0, 55.0, 90.0])), "x1": 50.0 + float(rng.integers(4, 90)), "brk": bool(rng.random() < 0.6)}
+        parts, last = layout.place_even(text, 3.7, par)
+        places = layout.place(layout.measure(text, [], SimpleNamespace(advance=lambda c: ("f", 0.37)), 10.0), par)
+        drawn = [(i, x, line) for i, (x, line, _) in enumerate(places) if not (text[i] == " " and x == par["x0"])]
+        assert last == places[-1][1] and [i for a, z, _, _ in parts for i in range(a, z)] == [i for i, _, _ in drawn]
+        at = {i: (x, line) for i, x, line in drawn}
+        assert all(at[a] == (x, line) for a, _, x, line in parts)
+
+
 def test_reflow_formulas():
     formula = {"width": 12.0, "fix": 2.0, "glyphs": [{"text": "x", "font": "F", "size": 10.0, "x0": 5.0, "y0": 700.0, "x1": 11.0, "y1": 710.0, "cid": 120}], "lines": [{"x0": 5.0, "y0": 699.0, "x1": 9.0, "y1": 699.0, "line_width": 1.0}, {"x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 0.0, "line_width": 9.0}]}
     flow = layout.Reflow(PAR, [formula], layout.FixedMetrics()).run("a{v0}{v7}b{ V 0 }")
