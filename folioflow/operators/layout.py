@@ -400,7 +400,12 @@ def _texts(page: Glyphs, cuts: Cuts, begins: np.ndarray, last: np.ndarray, numbe
     ends = np.cumsum(total)
     out = np.empty(ends[-1] if len(ends) else 0, "<u4")
     out[(ends - total)[cuts.spaced]] = 32
-    out[_spread((ends - total + cuts.spaced)[~cuts.math], shown[~cuts.math])] = own[_spread((np.cumsum(lengths) - lengths)[page.code[~cuts.math]], shown[~cuts.math])]
+    kept = np.flatnonzero(~cuts.math)
+    code = page.code[kept]
+    if (lengths == 1).all():
+        out[ends[kept] - 1] = own[code]
+    else:
+        out[_spread(ends[kept] - lengths[code], lengths[code])] = own[_spread((np.cumsum(lengths) - lengths)[code], lengths[code])]
     out[_spread(ends[last] - marked, marked)] = marks
     return _strings(out, ends[np.append(begins[1:], len(page)) - 1] if len(begins) else ends)
 
